@@ -85,7 +85,7 @@ def bucketed(docs: DataFrame, n: int, text_col: str = "text", id_col: str = "doc
     """Rows (b, doc_id, th, text): b a bucket of documents, th a hash of the text; a null text is an empty one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    return rows.select(F.pmod(F.xxhash64("doc_id", "th"), F.lit(n)).cast("int").alias("b"), "doc_id", "th", "text")
+    return rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", "th")), F.lit(n)).cast("int").alias("b"), "doc_id", "th", "text")
 
 
 INFO = "b int, kind int, doc_id long, th long, h binary"
@@ -134,8 +134,8 @@ def spread(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def shared_by_two(rows: DataFrame, n: int, kind: int) -> DataFrame:
-    """Rows (bucket, b, h): hashes, each once, that document bucket b holds. INFO rows with those of each b that
-    another document bucket holds too."""
+    """Rows (bucket, b, h): hashes that document bucket b holds, twice if two of its texts do. INFO rows with those
+    of each b that two texts hold, wherever they are."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, bs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
@@ -155,6 +155,18 @@ def shared_by_two(rows: DataFrame, n: int, kind: int) -> DataFrame:
     return rows.repartitionById(n, "bucket").mapInArrow(meet, INFO)
 
 
+def once_or_twice(h: np.ndarray, holder: np.ndarray) -> np.ndarray:
+    """Each hash once, or twice if it has two holders: what shared_by_two wants from a document bucket."""
+    order = np.lexsort((holder, h))
+    h, holder = h[order], holder[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (holder[1:] != holder[:-1])
+    h = h[new]
+    keep = np.ones(len(h), bool)
+    keep[2:] = (h[2:] != h[1:-1]) | (h[2:] != h[:-2])
+    return h[keep]
+
+
 def info_batch(b: np.ndarray, h: np.ndarray, kind: int) -> pa.RecordBatch:
     got = packs(b, {"h": h}, "b")
     none = pa.nulls(len(got["b"]), pa.int64())
@@ -260,11 +272,11 @@ def joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     return b"\n".join(texts), np.cumsum(size) - size
 
 
-def pieces(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `limit` bytes, or of one longer text."""
+def pieces(texts: list[bytes], limit: int = 1 << 20, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `limit` bytes, or of one longer text, and of `most` texts."""
     at = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+        if size and (size + len(t) > limit or i - at == most):
             yield at, i
             at, size = i, 0
         size += len(t) + 1

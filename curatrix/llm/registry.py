@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from curatrix.llm import html_text, mixing, warc
+from curatrix.llm import embeddings, html_text, jaccard, language, leaks, mixing, quality, substring, suffix, warc
 
 
 def queries() -> dict:
     return {
+        "op1_embeddings": embeddings.op1_embeddings,
+        "op2_quality": quality.op2_quality,
         "op3_mixing": mixing.op3_mixing,
+        "op4_decontamination": leaks.op4_decontamination,
+        "op5_substring": substring.op5_substring,
+        "op6_jaccard": jaccard.op6_jaccard,
+        "op7_language": language.op7_language,
         "op8_html": html_text.op8_html,
         "op9_warc": warc.op9_warc,
+        "op10_suffix": suffix.op10_suffix,
+        "language_of_pages": language.language_of_pages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_embeddings": embeddings.OP1_SQL,
         "op3_mixing": mixing.OP3_SQL,
+        "op5_substring": substring.OP5_SQL,
+        "op6_jaccard": jaccard.OP6_SQL,
+        "op10_suffix": suffix.OP10_SQL,
     }
