@@ -44,12 +44,9 @@ def _share(of: np.ndarray, base: np.ndarray) -> np.ndarray:
 
 
 def _repeated(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """By text, how many of its hashes are repeats."""
-    order = np.lexsort((h, doc))
-    d, x = doc[order], h[order]
-    again = np.zeros(len(d), bool)
-    again[1:] = (d[1:] == d[:-1]) & (x[1:] == x[:-1])
-    return np.bincount(d[again], minlength=n).astype(float)
+    """By text, how many of its hashes are repeats; hashes count by their upper 40 bits."""
+    key = np.sort((doc.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
+    return np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(40)).astype(np.int64), minlength=n).astype(float)
 
 
 def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
