@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from curatrix.llm import embeddings, html_text, jaccard, language, leaks, mixing, quality, substring, suffix, warc
 
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op9_warc": warc.op9_warc,
         "op10_suffix": suffix.op10_suffix,
         "language_of_pages": language.language_of_pages,
+        "pipeline": corpus_pipeline.run,
     }
 
 
