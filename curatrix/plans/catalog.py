@@ -4,18 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-FLAGSHIP = "a10_global_count"
+from curatrix.plans import base, records, tables  # noqa: F401  they register their queries
 
-
-def _count(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.count("*").alias("n"))
+FLAGSHIP = "f29_f37_post_thresholds"
 
 
 def queries() -> dict[str, Callable]:
-    return {"a10_global_count": _count}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"a10_global_count": "SELECT count(*) AS n FROM lineitem"}
+    return dict(base.SQL)
