@@ -206,7 +206,7 @@ def substring_dedup(docs: DataFrame, n_words: int = N_WORDS, digest: bool = Fals
     are copies of one document: none takes words from the other. Rows without doc_id stay whole and take nothing
     from others. Other columns are ignored. No rows in, none out."""
     n = partitions(docs)
-    rows = bucketed(docs, 4 * n)
+    rows = bucketed(docs, 2 * n)
     groups = rows.groupBy("b")
     levels = levels_for(n_words)
     info = first_copies(rows)
