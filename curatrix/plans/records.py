@@ -175,7 +175,7 @@ def p19_location_fallback(get):
     return rows.select("row_id", F.when(C("k").isNull(), C("edit")).otherwise(F.concat("edit", F.lit(" place "), C("k").cast("string"))).alias("edit"))
 
 
-@query(r"SELECT row_id, concat(regexp_replace(input, '\.$', ''), ', realistic photo, best quality') AS prompt FROM {instr}")
+@query(r"SELECT row_id, regexp_replace(input, '\.$', '') || ', realistic photo, best quality' AS prompt FROM {instr}")
 def p20_prompt_suffix(get):
     return get("instr").select("row_id", F.concat(F.regexp_replace("input", r"\.$", ""), F.lit(", realistic photo, best quality")).alias("prompt"))
 

