@@ -194,12 +194,14 @@ def w01_w02_moving_meter(get):
     return rows.select("name", "seq", "value", "median", R("mean").alias("mean"), "most")
 
 
-@query("SELECT name, seq, round(avg(value) OVER (PARTITION BY name ORDER BY seq) * (count(*) OVER (PARTITION BY name) - row_number() OVER (PARTITION BY name ORDER BY seq)), 1) AS eta FROM {meter}")
+@query("""SELECT name, seq, (sum(CAST(round(value * 100) AS BIGINT)) OVER w * (count(*) OVER (PARTITION BY name) - row_number() OVER w) // row_number() OVER w)::BIGINT AS eta_cents FROM {meter}
+    WINDOW w AS (PARTITION BY name ORDER BY seq)""")
 def w03_eta(get):
+    """Running mean times what remains, in whole hundredths."""
     w = Window.partitionBy("name").orderBy("seq")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    left = F.count("*").over(Window.partitionBy("name")) - F.row_number().over(w)
-    return get("meter").select("name", "seq", R(F.avg("value").over(so_far) * left, 1).alias("eta"))
+    so_far, done = F.sum(F.round(C("value") * 100).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(w)
+    rows = get("meter").select("name", "seq", so_far.alias("s"), done.alias("k"), F.count("*").over(Window.partitionBy("name")).alias("n"))
+    return rows.select("name", "seq", F.expr("s * (n - k) div k").alias("eta_cents"))
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS swap FROM events")
