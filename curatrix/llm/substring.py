@@ -62,6 +62,8 @@ class _Windows:
 
     def known(self, level: int, sets: dict[int, np.ndarray]) -> np.ndarray:
         """Which windows of n words are made of windows that the lookups of the levels before `level` let pass."""
+        if level == 0:
+            return self.ok
         out = self.ok & among(self.base, sets.get(1, np.zeros(0, np.uint64)))[self.anchor]
         for k in range(1, level):
             size, reach = self.levels[k], self.levels[-1] - self.levels[k]
