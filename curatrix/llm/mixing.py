@@ -43,7 +43,7 @@ def source_targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
     level = (F.col("total") - F.col("closed")) / F.col("open_weight")
     # the first source, in order of reach, that the level does not fill sets the level for all after it
     rows = rows.withColumn("level", F.when(F.col("reach") > level, level))
-    rows = rows.withColumn("level", F.min_by("level", "reach").over(whole))
+    rows = rows.withColumn("level", F.min_by("level", F.when(F.col("level").isNotNull(), F.col("reach"))).over(whole))
     target = F.least((F.col("source_size") * cap).cast("double"), F.coalesce(F.col("weight") * F.col("level"), F.lit(float("inf"))))
     return rows.select("source", "source_size", target.alias("target"))
 

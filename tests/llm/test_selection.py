@@ -117,7 +117,7 @@ def test_language_evidence(spark):
     """With text that says little, the declaration, the host and the address suffix decide."""
     de, fr = "der die und ist nicht das", "le la et est pas dans les"
     pages = [(k, f"http://h{k % 3}.example.{'de' if k % 2 else 'fr'}/x", f"<html lang='{'de' if k % 2 else 'fr'}'><p>{(de if k % 2 else fr) * 4}</p></html>") for k in range(60)]
-    pages += [(100, "http://h1.example.de/y", "<html><p>a</p></html>"), (101, "https://other.example.fr/", "<p>abc</p>"), (102, None, "<html lang=de><p>abc</p>"), (103, None, None)]
+    pages += [(100, "http://h1.example.de/y", "<html><p>1</p></html>"), (101, "https://other.example.fr/", "<p>2</p>"), (102, None, "<html lang=de><p>3</p>"), (103, None, None)]
     rows = {r.page_id: r for r in language.identify_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert rows[100].lid_lang == "de" and rows[101].lid_lang == "fr" and rows[102].lid_lang == "de" and not rows[103].lid_keep
     assert all(rows[k].lid_lang == ("de" if k % 2 else "fr") for k in range(60))
@@ -132,7 +132,7 @@ LOOSE = """<body><div class=menu><a>Home</a> <a>About</a></div><div><h2>Short</h
 
 def test_html(spark):
     assert html_text.main_text(PAGE) == "The & title\nFirst bold text here, long enough to count as a paragraph of prose.\nAfter the break.\nUnclosed paragraph é."
-    assert html_text.main_text(LOOSE).split("\n")[0] == "Short" and "one" not in html_text.main_text(LOOSE).split()
+    assert html_text.main_text(LOOSE).split("\n")[0] == "Short" and "two" not in html_text.main_text(LOOSE).split()
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
     assert html_text.main_text("plain words") == "plain words"
     long = "<article><p>" + "word " * 200_000 + "</p></article>"
