@@ -26,6 +26,7 @@ WORD_BITS = 12
 FACTORS = 8
 BINS = 16
 EPOCHS = 14
+STEPS = 900  # at least, where rows are few
 THRESHOLD = 0.3
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 lower case, 2 upper case, 3 digit, 4 stop or comma, 5 other ASCII symbol, 6 space
 for _c in range(33, 127):
@@ -151,13 +152,13 @@ class Machine:
         d, f, x = self.features(*describe(texts))
         return 1 / (1 + np.exp(-np.clip(self.raw(d, f, x, len(texts))[0], -30, 30)))
 
-    def fit(self, d: np.ndarray, f: np.ndarray, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.05, decay: float = 1e-5, batch: int = 256, seed: int = 2) -> None:
+    def fit(self, d: np.ndarray, f: np.ndarray, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.05, decay: float = 1e-5, batch: int = 128, seed: int = 2) -> None:
         """Adagrad on the logistic loss, in batches in an order that the seed decides."""
         rng = np.random.Generator(np.random.PCG64(seed))
         begin = np.searchsorted(d, np.arange(len(y) + 1))
         grad_w, grad_v, grad_b = np.full_like(self.weight, 1e-2), np.full_like(self.factor, 1e-2), 1e-2
         self.bias = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-        for _ in range(epochs):
+        for _ in range(max(epochs, STEPS * batch // max(1, len(y)))):
             order = rng.permutation(len(y))
             for s in range(0, len(y), batch):
                 rows = order[s : s + batch]
@@ -165,7 +166,7 @@ class Machine:
                 at = np.repeat(begin[rows] - np.cumsum(count) + count, count) + np.arange(count.sum())
                 dd, ff, xx = np.repeat(np.arange(len(rows)), count), f[at], x[at]
                 z, sums = self.raw(dd, ff, xx, len(rows))
-                err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows) * batch / 32
+                err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows) * batch / 16
                 ids, back = np.unique(ff, return_inverse=True)
                 g = err[dd] * xx
                 gw = np.bincount(back, g, len(ids)) + decay * self.weight[ids]
