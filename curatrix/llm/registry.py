@@ -29,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.OP3_SQL,
         "op5_substring": substring.OP5_SQL,
         "op6_jaccard": jaccard.OP6_SQL,
+        "op9_warc": warc.OP9_SQL,
         "op10_suffix": suffix.OP10_SQL,
     }

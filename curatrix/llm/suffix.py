@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import INFO, among, bucketed, first_copies, mixed, once_or_twice, packs, partitions, pieces, shared_by_two, spread, table_of, windows_of
+from curatrix.llm.common import INFO, among, bucketed, first_copies, mixed, once_or_twice, packs, partitions, pieces, shared_by_two, spread, table_of
 
 LENGTH = 100
 GRAM = 20
@@ -30,6 +30,19 @@ _SPACE_BIT = np.uint64(1 << 63)
 RUNS = 2  # kind of the INFO rows that carry marked runs
 
 
+_BYTE = mixed(np.arange(99, 355, dtype=np.uint64))
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of the grams from each byte on: polynomials by doubling, mixed at the end."""
+    h, size = _BYTE[data], 1
+    while size < gram:
+        step = min(size, gram - size)  # the last doubling may overlap; equal grams still have equal hashes
+        h, size = h[: len(h) - step] * np.uint64(pow(_BASE, step, 1 << 64)) + h[step:], size + step
+    return mixed(h)
+
+
 class _Segments:
     """The runs of windows of some texts that share an anchor: text number, first start, number of windows, hash."""
 
@@ -39,8 +52,7 @@ class _Segments:
         self.at = np.cumsum(size) - size
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         n = max(0, len(self.data) - length + 1)
-        raw = np.arange(256, dtype=np.uint64)
-        h = windows_of(mixed(raw + np.uint64(99))[self.data], gram)
+        h = _gram_hashes(self.data, gram)
         space = (self.data[: len(h)] == 32) | (self.data[: len(h)] == 10)
         h = np.where(space, h & ~_SPACE_BIT, h | _SPACE_BIT)  # grams that start with a space come first: fewer runs
         span, places = length - gram + 1, np.uint64((1 << max(1, len(h).bit_length())) - 1)
@@ -128,6 +140,15 @@ def _columns(x: list[tuple]) -> tuple[bytes, ...]:
     return np.array(anchor, np.uint64).tobytes(), np.array(doc, np.int64).tobytes(), np.array(start, np.int64).tobytes(), np.array(count, np.int32).tobytes(), b"".join(text)
 
 
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """The rank of each key, equal ones alike."""
+    order = np.argsort(key)
+    key = key[order]
+    rank = np.zeros(len(key), np.uint64)
+    rank[order[1:]] = np.cumsum(key[1:] != key[:-1], dtype=np.uint64)
+    return rank
+
+
 class _Level:
     """Windows with their places, in suffix order once `order` is asked for: each window of the text once."""
 
@@ -156,9 +177,13 @@ class _Level:
             rank, size = (rank[:-size] << np.uint64(8 * size)) | rank[size:], 2 * size
         while size < self.length:
             step = min(size, self.length - size)
-            pair = (rank[: len(rank) - step] << np.uint64(32)) | rank[step:]
-            _, back = np.unique(pair, return_inverse=True)
-            rank, size = back.astype(np.uint64), size + step
+            if size > 4 and step == size < self.length - size and len(self.text) < 1 << 21:  # three short ranks fit a number
+                far = min(2 * size, self.length - size)
+                key = (rank[: len(rank) - far] << np.uint64(42)) | (rank[size : len(rank) - far + size] << np.uint64(21)) | rank[far:]
+                step = far
+            else:
+                key = (rank[: len(rank) - step] << np.uint64(32)) | rank[step:]
+            rank, size = _ranked(key), size + step
         return rank[self.at]
 
     def scan(self) -> tuple[np.ndarray, np.ndarray]:

@@ -136,3 +136,13 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
         page("record_id").alias("page_id"), F.col("metadata.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.when(F.col("response.refers_to").isNotNull(), page("response.refers_to")).alias("refers_to"),
     )
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages WHERE page_id IS NOT NULL),
+bits AS (SELECT page_id, h, d, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || substr(d, i, 1))::BIGINT), 4, '0')), '') AS b FROM p),
+first AS (SELECT d, min(page_id) AS f FROM p GROUP BY d)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda k: substr(b, (5 * i + k + 1)::BIGINT, 1)::INT * (16 >> k::INT)))::INT, 1)), '') AS payload_digest,
+    CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> page_id THEN f END AS refers_to
+FROM bits JOIN first USING (d)"""
