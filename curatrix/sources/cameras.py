@@ -19,21 +19,23 @@ IMAGE = "image_id int, qvec array<double>, tvec array<double>, camera_id int, na
 POINT = "point_id long, xyz array<double>, rgb array<int>, error double, image_ids array<int>, point2d_idxs array<int>"
 
 
-def _words(spark: SparkSession, path: str) -> DataFrame:
+def _words(lines: DataFrame) -> DataFrame:
     line = F.trim("value")
-    return spark.read.text(path).where((line != "") & ~line.startswith("#")).select(F.split(line, r"\s+").alias("w"))
+    return lines.where((line != "") & ~line.startswith("#")).select(F.split(line, r"\s+").alias("w"))
 
 
-def read_cameras_text(spark: SparkSession, path: str) -> DataFrame:
+def cameras_of(lines: DataFrame) -> DataFrame:
+    """Cameras from text lines (value): number, model, width, height, parameters."""
     w = F.col("w")
-    return _words(spark, path).select(w[0].cast("int").alias("camera_id"), w[1].alias("model"), w[2].cast("long").alias("width"), w[3].cast("long").alias("height"), F.slice(w, F.lit(5), F.size(w) - 4).cast("array<double>").alias("params"))
+    return _words(lines).select(w[0].cast("int").alias("camera_id"), w[1].alias("model"), w[2].cast("long").alias("width"), w[3].cast("long").alias("height"), F.slice(w, F.lit(5), F.size(w) - 4).cast("array<double>").alias("params"))
 
 
-def read_points_text(spark: SparkSession, path: str) -> DataFrame:
+def points_of(lines: DataFrame) -> DataFrame:
+    """Points from text lines (value): number, place, colour, error, then pairs of image and position."""
     w = F.col("w")
     track = F.slice(w, F.lit(9), F.size(w) - 8)
     every = lambda at: F.filter(track, lambda x, i: i % 2 == at).cast("array<int>")
-    return _words(spark, path).select(w[0].cast("long").alias("point_id"), F.slice(w, 2, 3).cast("array<double>").alias("xyz"), F.slice(w, 5, 3).cast("array<int>").alias("rgb"), w[7].cast("double").alias("error"), every(0).alias("image_ids"), every(1).alias("point2d_idxs"))
+    return _words(lines).select(w[0].cast("long").alias("point_id"), F.slice(w, 2, 3).cast("array<double>").alias("xyz"), F.slice(w, 5, 3).cast("array<int>").alias("rgb"), w[7].cast("double").alias("error"), every(0).alias("image_ids"), every(1).alias("point2d_idxs"))
 
 
 def read_images_text(spark: SparkSession, path: str) -> DataFrame:
@@ -47,13 +49,25 @@ def read_images_text(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select(h[0].cast("int").alias("image_id"), F.slice(h, 2, 4).cast("array<double>").alias("qvec"), F.slice(h, 6, 3).cast("array<double>").alias("tvec"), h[8].cast("int").alias("camera_id"), h[9].alias("name"), xys.alias("xys"), every(2).cast("array<long>").alias("point3d_ids"))
 
 
-def read_poses(spark: SparkSession, path: str) -> DataFrame:
+def poses_of(lines: DataFrame) -> DataFrame:
     """(image_id, quat, tvec, camera_id, name) of the lines of ten words; the quaternion as x, y, z, w."""
     w = F.col("w")
-    rows = _words(spark, path).where(F.size("w") == 10)
+    rows = _words(lines).where(F.size("w") == 10)
     return rows.select(w[0].cast("int").alias("image_id"), F.array(w[2], w[3], w[4], w[1]).cast("array<double>").alias("quat"), F.slice(w, 6, 3).cast("array<double>").alias("tvec"), w[8].cast("int").alias("camera_id"), w[9].alias("name"))
 
 
+def read_cameras_text(spark: SparkSession, path: str) -> DataFrame:
+    return cameras_of(spark.read.text(path))
+
+
+def read_points_text(spark: SparkSession, path: str) -> DataFrame:
+    return points_of(spark.read.text(path))
+
+
+def read_poses(spark: SparkSession, path: str) -> DataFrame:
+    return poses_of(spark.read.text(path))
+
+
 def _cameras(data: bytes) -> Iterator[tuple]:
     at = 8
     for _ in range(struct.unpack_from("<Q", data)[0]):
@@ -122,9 +136,13 @@ def read_model(spark: SparkSession, path: str, ext: str) -> tuple[DataFrame, Dat
     return tuple(f(spark, f"{path}/{name}{ext}") for f, name in zip(kinds, ("cameras", "images", "points3D"), strict=True))
 
 
+def camera_lines(cameras: DataFrame) -> DataFrame:
+    return cameras.select(F.concat_ws(" ", F.col("camera_id").cast("string"), "model", F.col("width").cast("string"), F.col("height").cast("string"), F.col("params").cast("array<string>")).alias("value"))
+
+
 def write_cameras_text(cameras: DataFrame, path: str) -> None:
     """One line a camera, as read_cameras_text takes them."""
-    cameras.select(F.concat_ws(" ", F.col("camera_id").cast("string"), "model", F.col("width").cast("string"), F.col("height").cast("string"), F.col("params").cast("array<string>"))).write.text(path)
+    camera_lines(cameras).write.text(path)
 
 
 def observations(images: DataFrame, points: DataFrame) -> DataFrame:
