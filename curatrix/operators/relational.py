@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.functions.sampling import draw
+from curatrix.functions.sampling import draw, unit
 
 
 # --------------------------------------------------------------------------- joins
@@ -160,18 +160,25 @@ def shard(rows: DataFrame, key: str, shards: int, seed: str = "shard") -> DataFr
     return rows.withColumn("shard", (draw(F.col(key), seed) % shards).cast("int"))
 
 
-def numbered(rows: DataFrame, order: list[str], size: int) -> DataFrame:
-    """rows with position (from 0) and batch of `size` rows in a total order, without one task for all of them:
-    ranges are sorted apart, and their row counts, one per range, give each range its first position."""
-    keys = [f"k{i}" for i in range(len(order))]
-    kept = rows.withColumns(dict(zip(keys, map(F.col, order), strict=True))).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("range", F.spark_partition_id())
-    counts = kept.groupBy("range").agg(F.count("*").alias("rows_in"), F.min(F.struct(*keys)).alias("low"))
-    before = F.coalesce(F.sum("rows_in").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("low", before.alias("before"))
-    inner = F.row_number().over(Window.partitionBy("range").orderBy(*keys)) - 1
-    kept = kept.withColumns({"inner": inner, "low": F.min(F.struct(*keys)).over(Window.partitionBy("range"))})
+def numbered(rows: DataFrame, order: list[str], size: int, ranges: int | None = None) -> DataFrame:
+    """rows with position (from 0) and batch of `size` rows in a total order, without one task for all of them: cuts
+    from a hashed sample of keys deal the rows over `ranges` ranges, and the row counts of these, a row each, give
+    each range its first position. Columns of `order` are unique together, and not null."""
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    share = min(1.0, 50.0 * ranges / max(1, rows.count()))
+    keys = rows.select(*order).where(unit(F.concat_ws("|", *[F.col(c).cast("string") for c in order]), "cut") < share)
+    found = sorted(tuple(r) for r in keys.collect())  # about 50 keys a range
+    cuts = [found[len(found) * i // ranges] for i in range(1, ranges)] if found else []
+    key = F.struct(*order)
+    cut_rows = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cut, strict=True)]) for cut in cuts]) if cuts else None
+    ranged = rows.withColumn("range", F.size(F.filter(cut_rows, lambda c: c <= key)) if cuts else F.lit(0))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("rows_in"))
+    before = F.coalesce(F.sum("rows_in").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("range", before.alias("before"))
+    inner = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    out = ranged.withColumn("inner", inner).join(F.broadcast(starts), "range")  # a row per range
     position = (F.col("inner") + F.col("before")).cast("long")
-    out = kept.join(F.broadcast(starts), "low")  # one row per shuffle partition
     return out.select(*rows.columns, position.alias("position"), F.floor(position / size).alias("batch"))
 
 
