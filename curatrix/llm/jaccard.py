@@ -2,8 +2,9 @@
 
 Sets fall in size bands whose ends are a factor of the similarity apart, so that similar sets lie in one band or in
 neighbouring ones. Within a pair of bands, sets as similar as asked differ in at most k elements. Elements are
-dealt over n1 partitions such that one of them holds at most one difference, each partition over three parts, of
-which two then agree: each two parts of each partition make a signature, and similar sets share one.
+dealt over n1 partitions such that one of them holds at most one difference, each partition over n2 parts, of which
+all but one then agree: each n2 - 1 parts of each partition make a signature, and similar sets share one. n2 is 3,
+or 2 for similarities under 0.9, whose many signatures would take more room than the texts do.
 
 Sets that share signatures form clusters, usually of a few documents. Within a cluster all intersections are
 counted as products of 0/1 matrices, in blocks; a cluster of any size is spread over a task per pair of blocks.
@@ -85,6 +86,7 @@ def bands_for(largest: int, percent: int) -> list[int]:
 
 def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(number of the text, signature); texts with empty sets have none."""
+    n2 = 3 if percent >= 90 else 2
     size = np.bincount(doc, minlength=n_docs)
     bands = np.array(bands_for(int(size.max(initial=1)), percent))
     band = np.searchsorted(bands, size, "right") - 1
@@ -94,19 +96,19 @@ def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, percent: int) -> tup
         k = 2 * top * (100 - percent) // (100 + percent)
         n1 = (k + 2) // 2
         n1[size == 0] = 0
-        at = np.cumsum(3 * n1) - 3 * n1
+        at = np.cumsum(n2 * n1) - n2 * n1
         salted = mixed(h + (of[doc] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        part = 3 * ((salted >> np.uint64(32)) % n1[doc].astype(np.uint64)).astype(np.int64) + (salted % np.uint64(3)).astype(np.int64)
-        total = np.zeros(int(3 * n1.sum()), np.uint64)
+        part = n2 * ((salted >> np.uint64(32)) % n1[doc].astype(np.uint64)).astype(np.int64) + (salted % np.uint64(n2)).astype(np.int64)
+        total = np.zeros(int(n2 * n1.sum()), np.uint64)
         np.add.at(total, at[doc] + part, mixed(salted + np.uint64(17)))
-        total = total.reshape(-1, 3)
+        total = total.reshape(-1, n2)
         owner = np.repeat(np.arange(n_docs), n1)
-        place = paired(of[owner].astype(np.uint64), np.arange(len(owner), dtype=np.uint64) - np.repeat(at // 3, n1).astype(np.uint64))
+        place = paired(of[owner].astype(np.uint64), np.arange(len(owner), dtype=np.uint64) - np.repeat(at // n2, n1).astype(np.uint64))
         exact = k[owner] == 0  # no difference allowed: one signature of the whole set
-        for left, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
+        whole = total.sum(1, dtype=np.uint64)
+        for left in range(n2):  # all parts but one: their sum, which the others' order doesn't change
             use = ~exact if left else np.ones(len(owner), bool)
-            sig = paired(place + np.uint64(left), paired(total[:, a], total[:, b]))
-            sig = np.where(exact, paired(place, total.sum(1, dtype=np.uint64)), sig)
+            sig = np.where(exact, paired(place, whole), paired(place + np.uint64(left), mixed(whole - total[:, left])))
             out.append((owner[use], sig[use]))
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
@@ -129,8 +131,15 @@ def _sign(words: int, percent: int, parts: int):
                 of, sig = signatures(doc[use], h[use], j - i, percent)
                 sigs.append(sig)
                 nodes.append(node[of])
-            s = np.concatenate(sigs)
-            yield pa.RecordBatch.from_pydict(packs(spread(s, parts), {"sig": s, "node": np.concatenate(nodes)}))
+            s, n = np.concatenate(sigs), np.concatenate(nodes)
+            bucket = spread(s, parts)
+            order = np.lexsort((n, bucket))
+            bucket, n = bucket[order], n[order]
+            new = np.ones(len(n), bool)
+            new[1:] = (n[1:] != n[:-1]) | (bucket[1:] != bucket[:-1])
+            start = np.flatnonzero(new)
+            runs = packs(bucket[start], {"node": n[start], "count": np.diff(np.append(start, len(n))).astype(np.int32)})  # a node once for all its signatures
+            yield pa.RecordBatch.from_pydict(packs(bucket, {"sig": s[order]}) | {c: runs[c] for c in ("node", "count")})
 
     return run
 
@@ -139,9 +148,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the signatures that two nodes share, edges that join all their nodes."""
     sigs, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for x in batches:
-        for s, n in zip(x.column("sig").to_pylist(), x.column("node").to_pylist(), strict=True):
+        for s, n, c in zip(*(x.column(k).to_pylist() for k in ("sig", "node", "count")), strict=True):
             sigs.append(np.frombuffer(s, np.uint64))
-            nodes.append(np.frombuffer(n, np.int64))
+            nodes.append(np.repeat(np.frombuffer(n, np.int64), np.frombuffer(c, np.int32)))
     sig, node = np.concatenate(sigs), np.concatenate(nodes)
     order = np.argsort(sig)
     sig, node = sig[order], node[order]
@@ -228,7 +237,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     info = written(rows.mapInArrow(_describe(words), "doc_id long, n long, s1 long, s2 long"), "sets")
     classes = info.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"))
-    sent = rows.where("doc_id is not null").mapInArrow(_sign(words, percent, n_part), "bucket int, sig binary, node binary")
+    sent = rows.where("doc_id is not null").mapInArrow(_sign(words, percent, n_part), "bucket int, sig binary, node binary, count binary")
     shared = sent.repartitionById(n_part, "bucket").mapInArrow(_candidates, "a long, b long")
     clusters = connected(shared).withColumnRenamed("id", "s1").withColumnRenamed("component", "cluster")
     members = classes.join(clusters, "s1")
