@@ -51,9 +51,10 @@ def tile(a: list[int], b: list[int], least: int = TILE) -> list[tuple[int, int,
         for j in range(len(b) - size + 1):
             if not any(marked_b[j : j + size]):
                 at.setdefault(tuple(b[j : j + size]), []).append(j)
+        heads = {k[0] for k in at}
         found: list[tuple[int, int, int]] = []
         for i in range(len(a) - size + 1):
-            if a[i] in _heads(at) and not any(marked_a[i : i + size]):
+            if a[i] in heads and not any(marked_a[i : i + size]):
                 for j in at.get(tuple(a[i : i + size]), ()):
                     k = size
                     while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not marked_a[i + k] and not marked_b[j + k]:
@@ -77,10 +78,6 @@ def tile(a: list[int], b: list[int], least: int = TILE) -> list[tuple[int, int,
         size = max(least, size // 2)
 
 
-def _heads(at: dict[tuple[int, ...], list[int]]) -> set[int]:
-    return {k[0] for k in at}
-
-
 class Benchmark:
     """A block of items: tokens by item, and their seeds in order, by seed length."""
 
