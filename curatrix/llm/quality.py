@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from curatrix.llm.common import joined, pieces, words_of, written
 from curatrix.llm.mixing import unit_hash
 
-SAMPLE = 12000
+SAMPLE = 8000
 WORD_BITS = 12
 FACTORS = 8
 BINS = 16
