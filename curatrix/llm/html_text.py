@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 SIGMA = 1.0
 BLOCKS = frozenset(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,6 +32,8 @@ NAMED = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|aside|widget\w*|related|cookies?|consent|notice|gdpr|popup|modal|"
     r"newsletter|subscribe|signup|login|social|share|sharing|comments?|disqus|replies|reply|toolbar|pagination|pager|copyright|legal)(?:$|[-_\s])", re.I)
 
+HEADS = re.compile(r"header|masthead|nav|menu|banner", re.I)
+
 
 class _Events(HTMLParser):
     """Lines (text, tags before it, region number) of what isn't hidden."""
@@ -58,6 +60,8 @@ class _Events(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._end_line()
+        elif tag == "br":
+            self.parts.append(" ")
         self.tags += 1
         if tag in VOID:
             return
@@ -74,8 +78,12 @@ class _Events(HTMLParser):
             a = dict(attrs)
             named = " ".join(filter(None, (a.get("class"), a.get("id"))))
             styled = (a.get("style") or "").replace(" ", "").lower()
-            inner_head = tag == "header" and any(x[0] in ("article", "main") for x in self.open)
-            hidden = (tag in HIDDEN and not inner_head) or (a.get("role") or "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in styled or (tag not in ("html", "body", "article", "main") and bool(NAMED.search(named)))
+            inside = any(x[0] in ("article", "main") for x in self.open)
+            inner_head = tag == "header" and inside
+            marks = [m[0] for m in NAMED.finditer(named)]
+            if inside or tag == "article":  # an article's own header is content
+                marks = [m for m in marks if not HEADS.search(m)]
+            hidden = (tag in HIDDEN and not inner_head) or (a.get("role") or "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in styled or (tag not in ("html", "body", "main") and bool(marks))
             if tag in REGIONS and not hidden and not (region and self.regions[region] in ("article", "main")):
                 self.regions.append(tag)
                 region = len(self.regions) - 1

@@ -131,7 +131,10 @@ LOOSE = """<body><div class=menu><a>Home</a> <a>About</a></div><div><h2>Short</h
 
 
 def test_html(spark):
-    assert html_text.main_text(PAGE) == "The & title\nFirst bold text here, long enough to count as a paragraph of prose.\nAfter the break.\nUnclosed paragraph é."
+    assert html_text.main_text(PAGE) == "The & title\nFirst bold text here, long enough to count as a paragraph of prose. After the break.\nUnclosed paragraph é."
+    named = "<article class='post-header'><header><h1>T</h1></header><div class='article-header'>By me</div><p>text</p><div class='share'>Share</div></article><article class='comment'>hi</article>"
+    assert html_text.main_text(named) == "T\nBy me\ntext"
+    assert html_text.main_text("<body>a<script>x</script> b<br>c<!-- d --></body>") == "a b c"
     assert html_text.main_text(LOOSE).split("\n")[0] == "Short" and "two" not in html_text.main_text(LOOSE).split()
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
     assert html_text.main_text("plain words") == "plain words"
