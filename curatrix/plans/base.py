@@ -26,7 +26,7 @@ SHAPES = {
         p_size AS size, p_retailprice AS price
         FROM part""",
     # scores of those records
-    "scores": """SELECT p_partkey AS row_id, (p_partkey * 37 % 100) / 100.0 AS clip, (p_partkey * 53 % 20) / 100.0 AS clip_dir, (p_partkey * 29 % 100) / 100.0 AS l1,
+    "scores": """SELECT p_partkey AS row_id, CAST(p_partkey * 37 % 100 AS DOUBLE) / 100.0 AS clip, CAST(p_partkey * 53 % 20 AS DOUBLE) / 100.0 AS clip_dir, CAST(p_partkey * 29 % 100 AS DOUBLE) / 100.0 AS l1,
         CASE p_partkey % 4 WHEN 0 THEN 'yes it is' WHEN 1 THEN 'no' WHEN 2 THEN 'That is right' ELSE 'Yes' END AS vqa_answer,
         concat('sign ', p_name) AS ocr_src, concat('now ', lower(p_type)) AS ocr_dst, p_partkey % 3 = 0 AS detected, p_partkey % 10 <> 9 AS detected_new
         FROM part""",

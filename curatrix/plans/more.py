@@ -251,3 +251,102 @@ def m01_scorers(get):
 
     rows = scorers.scored(get("instr").select("row_id", "size", "price"), [scorers.stand_in("clip", "row_id"), scorers.from_model("model", load, ["size", "price"])])
     return rows.select("row_id", R("clip", 9).alias("clip"), "model")
+
+
+# --------------------------------------------------------------------------- further functions, joins and sinks
+
+
+@query("SELECT p_partkey, lower(p_brand) AS low, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS titled, replace(p_name, 'a', 'o') AS swapped, contains(p_name, 'ol') AS inside, list_contains(string_split(p_name, ' '), 'old') AS word FROM part")
+def f05_f08_string_basics(get):
+    return get("part").select("p_partkey", F.lower("p_brand").alias("low"), F.initcap("p_name").alias("titled"), F.replace("p_name", F.lit("a"), F.lit("o")).alias("swapped"), F.contains("p_name", F.lit("ol")).alias("inside"), t.has_word(C("p_name"), F.lit("old")).alias("word"))
+
+
+@query("SELECT p_brand, string_agg(p_name, ', ' ORDER BY p_partkey) AS names FROM part GROUP BY 1")
+def f11_joined_names(get):
+    rows = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
+    return get("part").groupBy("p_brand").agg(F.array_join(F.transform(rows, lambda s: s["p_name"]), ", ").alias("names"))
+
+
+@query("SELECT row_id, len(regexp_extract_all(input, '[a-z]+')) AS words, regexp_extract_all(input, '[a-z]+')[2] AS second FROM {instr} WHERE input IS NOT NULL")
+def f12_found_words(get):
+    w = F.regexp_extract_all("input", F.lit("[a-z]+"), F.lit(0))
+    return get("instr").where("input is not null").select("row_id", F.size(w).alias("words"), w[1].alias("second"))
+
+
+@query("SELECT c_custkey, md5(c_name || '|' || c_mktsegment) AS signed FROM customer")
+def f16_signed(get):
+    return get("customer").select("c_custkey", F.md5(F.concat_ws("|", "c_name", "c_mktsegment")).alias("signed"))
+
+
+@query("SELECT p_partkey, regexp_extract('[INST] q [/INST] ' || p_name || '</s>', '\\[/INST\\] (.*?)</s>', 1) AS answer FROM part")
+def f18_between_tags(get):
+    s = F.concat(F.lit("[INST] q [/INST] "), "p_name", F.lit("</s>"))
+    return get("part").select("p_partkey", F.regexp_extract(s, r"(?s)\[/INST\] (.*?)</s>", 1).alias("answer"))
+
+
+@query("SELECT row_id, array_to_string(list_filter(string_split(input, ' '), lambda x: NOT list_contains(string_split(output, ' '), x)), ' ') AS only FROM {instr} WHERE input IS NOT NULL AND output IS NOT NULL")
+def f31_list_difference(get):
+    only = F.filter(F.split("input", " "), lambda x: ~F.array_contains(F.split("output", " "), x))
+    return get("instr").where("input is not null and output is not null").select("row_id", F.array_join(only, " ").alias("only"))
+
+
+@query("SELECT row_id, trunc(clip * 512 - l1 * 512)::INT AS x, least(greatest(trunc(l1 * 600), 0), 512)::INT AS y, round((1 + 4) * clip * l1 / nullif(4 * clip + l1, 0), 6) AS f2 FROM {scores}")
+def f53_f54_scaled(get):
+    from curatrix.functions.vector import f_score
+
+    x, y = (C("clip") * 512 - C("l1") * 512).cast("int"), F.least(F.greatest((C("l1") * 600).cast("int"), F.lit(0)), F.lit(512))
+    return get("scores").select("row_id", x.alias("x"), y.alias("y"), R(f_score(C("clip"), C("l1"), 2.0)).alias("f2"))
+
+
+@query("SELECT n_nationkey, '[' || string_agg('{\"k\":' || c_custkey || '}', ',' ORDER BY c_custkey) || ']' AS j FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def k01_json_arrays(get):
+    """A JSON array a group: one array of a whole table would be one row of one task."""
+    rows = get("customer").groupBy(C("c_nationkey").alias("n_nationkey")).agg(F.to_json(F.array_sort(F.collect_list(F.struct(C("c_custkey").alias("k"))))).alias("j"))
+    return rows.join(get("nation").select("n_nationkey"), "n_nationkey", "left_semi")
+
+
+@query("SELECT row_id, n_name AS reference FROM {instr} JOIN nation ON n_nationkey = ('0x' || substr(md5('ref|' || row_id), 1, 8))::BIGINT % 25")
+def j09_drawn_reference(get):
+    from curatrix.functions.sampling import draw
+
+    rows = get("instr").select("row_id", (draw(C("row_id"), "ref") % 25).alias("key"))
+    return rows.join(get("nation"), C("key") == C("n_nationkey")).select("row_id", C("n_name").alias("reference"))
+
+
+@query("SELECT l_orderkey AS image_id, p_partkey AS point_id, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 20 GROUP BY 1, 2")
+def j10_observations(get):
+    """Images joined to the points of their arrays."""
+    images = get("lineitem").groupBy(C("l_orderkey").alias("image_id")).agg(F.collect_list("l_partkey").alias("ids"))
+    points = get("part").where("p_size < 20").select(C("p_partkey").alias("point_id"))
+    return images.select("image_id", F.explode("ids").alias("point_id")).join(points, "point_id").groupBy("image_id", "point_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT row_id, edit, vqa_answer FROM {instr} JOIN {scores} USING (row_id) WHERE row_id % 3 <> 0")
+def j13_joined_on_row_id(get):
+    """Records meet their answers by row_id, so rows without an answer shift nothing."""
+    answers = get("scores").where("row_id % 3 <> 0").select("row_id", "vqa_answer")
+    return get("instr").select("row_id", "edit").join(answers, "row_id")
+
+
+@query("SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def j15_label_lookup(get):
+    return get("documents").select("doc_id").join(get("labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+@query("SELECT p_partkey, CASE p_name WHEN 'old bolt' THEN 'bolt' WHEN 'red ring' THEN 'ring' ELSE p_name END AS lemma FROM part")
+def f51_lemma_lookup(get):
+    """A lexicon is a table; words that it lacks stay."""
+    rows = get("part").select("p_partkey", "p_name")
+    lexicon = rows.sparkSession.createDataFrame([("old bolt", "bolt"), ("red ring", "ring")], "p_name string, lemma string")
+    return rows.join(lexicon, "p_name", "left").select("p_partkey", F.coalesce("lemma", "p_name").alias("lemma"))
+
+
+@query("SELECT event_type, approx_count_distinct(user_id) > 0 AS seen, quantile_disc(value, 0.5) AS middle FROM events GROUP BY 1")
+def extension_percentile(get):
+    return get("events").groupBy("event_type").agg((F.approx_count_distinct("user_id") > 0).alias("seen"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("middle"))
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, CAST(split_part(o_orderpriority, '-', 1) AS BIGINT) * 1000000000 + o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def o05_numeric_prefix_order(get):
+    rank = F.struct(F.split_part("o_orderpriority", F.lit("-"), F.lit(1)).cast("int").alias("p"), "o_orderkey")
+    return get("orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", rank).alias("o_orderkey"))
