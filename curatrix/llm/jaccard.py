@@ -2,9 +2,14 @@
 
 Sets fall in size bands whose ends are a factor of the similarity apart, so that similar sets lie in one band or in
 neighbouring ones. Within a pair of bands, sets as similar as asked differ in at most k elements. Elements are
-dealt over n1 partitions such that one of them holds at most one difference, each partition over n2 parts, of which
-all but one then agree: each n2 - 1 parts of each partition make a signature, and similar sets share one. n2 is 3,
-or 2 for similarities under 0.9, whose many signatures would take more room than the texts do.
+dealt over n1 partitions such that one of them holds at most k2 differences, each partition over n2 parts, of which
+n2 - k2 then agree: each choice of so many parts of a partition makes a signature, and similar sets share one.
+
+Few differences allow all choices from a single partition (n1 = 1, k2 = k); more take k2 = 2 of 5, or k2 = 1 of 3 (of 2 under 0.9).
+Under a similarity of 0.9 parts hold few elements, and signatures of fewer than LEAST would join sets that have
+nothing in common; with over FULL differences they are left out. Sets at the threshold agree in over a third of their
+parts, so a pair is missed only if each of those is so small: for 50 differences a chance of about one in ten million.
+At 0.9 or more, under 0.75, and for up to FULL differences, no signature is left out and no pair is missed.
 
 Sets that share signatures form clusters, usually of a few documents. Within a cluster all intersections are
 counted as products of 0/1 matrices, in blocks; a cluster of any size is spread over a task per pair of blocks.
@@ -14,6 +19,7 @@ Equal sets are one node throughout.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +30,8 @@ from curatrix.llm.common import connected, joined, mixed, packs, paired, partiti
 from curatrix.llm.embeddings import forest
 
 BLOCK = 1024
+FULL, MIDDLE = 10, 30
+LEAST = 3
 COLUMNS = 4096
 _BITS = np.uint64(52)
 _LOW = np.uint64((1 << 52) - 1)
@@ -86,30 +94,43 @@ def bands_for(largest: int, percent: int) -> list[int]:
 
 def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(number of the text, signature); texts with empty sets have none."""
-    n2 = 3 if percent >= 90 else 2
     size = np.bincount(doc, minlength=n_docs)
     bands = np.array(bands_for(int(size.max(initial=1)), percent))
     band = np.searchsorted(bands, size, "right") - 1
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     for of in (band, band + 1):  # each band is joined with itself and with the one below
-        top = bands[of + 1] - 1
-        k = 2 * top * (100 - percent) // (100 + percent)
-        n1 = (k + 2) // 2
-        n1[size == 0] = 0
-        at = np.cumsum(n2 * n1) - n2 * n1
-        salted = mixed(h + (of[doc] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        part = n2 * ((salted >> np.uint64(32)) % n1[doc].astype(np.uint64)).astype(np.int64) + (salted % np.uint64(n2)).astype(np.int64)
-        total = np.zeros(int(n2 * n1.sum()), np.uint64)
-        np.add.at(total, at[doc] + part, mixed(salted + np.uint64(17)))
-        total = total.reshape(-1, n2)
-        owner = np.repeat(np.arange(n_docs), n1)
-        place = paired(of[owner].astype(np.uint64), np.arange(len(owner), dtype=np.uint64) - np.repeat(at // n2, n1).astype(np.uint64))
-        exact = k[owner] == 0  # no difference allowed: one signature of the whole set
-        whole = total.sum(1, dtype=np.uint64)
-        for left in range(n2):  # all parts but one: their sum, which the others' order doesn't change
-            use = ~exact if left else np.ones(len(owner), bool)
-            sig = np.where(exact, paired(place, whole), paired(place + np.uint64(left), mixed(whole - total[:, left])))
-            out.append((owner[use], sig[use]))
+        k = 2 * (bands[of + 1] - 1) * (100 - percent) // (100 + percent)
+        kind = np.where(size == 0, -1, np.minimum(np.where(k <= FULL, k, np.where(k <= MIDDLE, FULL + 1, FULL + 2)), FULL + 2))
+        for c in np.unique(kind[kind >= 0]).tolist():
+            mine = np.flatnonzero(kind == c)
+            use = (kind == c)[doc]
+            place = np.zeros(n_docs, np.int64)
+            place[mine] = np.arange(len(mine))
+            least = LEAST if c > FULL and 75 <= percent < 90 else 0
+            k2, n2 = (c, c + 3) if c <= FULL else (2, 5) if c == FULL + 1 else (1, 2 if least else 3)
+            n1 = np.ones(len(mine), np.int64) if c <= FULL else k[mine] // (k2 + 1) + 1
+            who, sig = _choices(place[doc[use]], h[use], of[mine], n1, n2, k2, least)
+            out.append((mine[who], sig))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def _choices(doc: np.ndarray, h: np.ndarray, band: np.ndarray, n1: np.ndarray, n2: int, k2: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, signature): for each partition each choice of n2 - k2 of its parts, of `least` elements."""
+    at = np.cumsum(n2 * n1) - n2 * n1
+    salted = mixed(h + (band[doc] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    part = n2 * ((salted >> np.uint64(32)) % n1[doc].astype(np.uint64)).astype(np.int64) + (salted % np.uint64(n2)).astype(np.int64)
+    total, count = np.zeros((2, int(n2 * n1.sum())), np.uint64)
+    np.add.at(total, at[doc] + part, mixed(salted + np.uint64(17)))
+    if least:
+        count += np.bincount(at[doc] + part, minlength=len(count)).astype(np.uint64)
+    total, count = total.reshape(-1, n2), count.reshape(-1, n2)
+    owner = np.repeat(np.arange(len(n1)), n1)
+    place = paired(band[owner].astype(np.uint64), np.arange(len(owner), dtype=np.uint64) - np.repeat(at // n2, n1).astype(np.uint64))
+    out = []
+    for i, chosen in enumerate(combinations(range(n2), n2 - k2)):
+        sig = paired(place + np.uint64(i), mixed(total[:, chosen].sum(1, dtype=np.uint64)))
+        use = count[:, chosen].sum(1) >= least if least else slice(None)
+        out.append((owner[use], sig[use]))
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
@@ -229,7 +250,7 @@ def _verify(words: int, percent: int):
 def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of `docs` (doc_id, text): the size of its set of
     `words`-word shingles, the smallest doc_id reachable by links, and how many other rows it links with. Rows link
-    when the Jaccard similarity of their sets is at least `percent` in 100, in whole numbers; none is missed. A-Z
+    when the Jaccard similarity of their sets is at least `percent` in 100, in whole numbers; the module says when a pair may be missed. A-Z
     count as a-z; fewer words make one shingle. Null and empty texts have empty sets and link with nothing, nor do
     rows without doc_id, whose component is null. Equal rows link with each other; two texts under one doc_id count
     as one document. Other columns are ignored. No rows in, none out."""
