@@ -9,6 +9,7 @@ one entry per sender, not one per document.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import tempfile
 import uuid
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 TARGET_BYTES = 16 << 20
 UNKNOWN_BYTES = 1 << 60
 _LOCAL: list[tempfile.TemporaryDirectory] = []
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 # --------------------------------------------------------------------------- written tables
@@ -41,10 +43,21 @@ def work_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     path = work_path(df.sparkSession, label)
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove_written() -> None:
+    """Removes the written tables when the driver's Python ends, if its session still runs then."""
+    for spark, path in _WRITTEN:
+        with contextlib.suppress(Exception):
+            to = spark._jvm.org.apache.hadoop.fs.Path(path)
+            to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions for `df`: the session's number, or more where its size asks for more."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
