@@ -285,8 +285,9 @@ def joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     return b"\n".join(texts), np.cumsum(size) - size
 
 
-def pieces(texts: list[bytes], limit: int = 1 << 20, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[bytes], limit: int = 1 << 19, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` bytes, or of one longer text, and of `most` texts."""
+    pa.default_memory_pool().release_unused()  # of batches before this one
     at = size = 0
     for i, t in enumerate(texts):
         if size and (size + len(t) > limit or i - at == most):
