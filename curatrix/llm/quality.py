@@ -158,7 +158,7 @@ class Machine:
         begin = np.searchsorted(d, np.arange(len(y) + 1))
         grad_w, grad_v, grad_b = np.full_like(self.weight, 1e-2), np.full_like(self.factor, 1e-2), 1e-2
         self.bias = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-        for _ in range(max(epochs, STEPS * batch // max(1, len(y)))):
+        for _ in range(max(epochs, -(-STEPS // -(-len(y) // batch)))):
             order = rng.permutation(len(y))
             for s in range(0, len(y), batch):
                 rows = order[s : s + batch]
