@@ -1,9 +1,12 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items meet on shared runs of SEED tokens. Around the seeds of an item, greedy string tiling
+Documents and benchmark items meet on shared runs of TILE tokens, the shortest that can be a tile, so no pair with a
+tile is left out. The share of an item's tokens that lie in shared runs bounds what tiles can cover; the items of a
+text are tiled in order of this bound, until no further one can cover more than the best so far. Greedy string tiling
 marks the longest match of tokens that neither side has marked yet, again and again, down to TILE tokens; running
 Karp-Rabin finds the matches of a search length. An item leaked if the tiles cover enough of its tokens, in
-whatever order they stand, so passages that were cut up and reordered count.
+whatever order they stand, so passages that were cut up and reordered count. Where a script sets no spaces between
+words, each character is a token.
 
 The benchmark goes to the tasks in blocks of a checked size; a larger one takes more passes over the documents, none
 of which shuffles.
@@ -22,18 +25,19 @@ from pyspark.sql import types as T
 
 from curatrix.llm.common import joined, pieces, windows_of, words_of
 
-SEED = 5
 TILE = 3
 COVERAGE = 0.6
 BLOCK_BYTES = 32 << 20
 _PUNCTUATION = re.compile(r"[\W_]+")
+#: Letters of scripts without spaces between words: Thai to Lao, Myanmar, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _ASCII = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
 def token_text(text: str) -> bytes:
-    """Lower case, with white space for all that is neither a letter nor a digit."""
+    """Lower case, with white space for all that is neither a letter nor a digit, and around unspaced letters."""
     text = text.lower()
-    return text.encode().translate(_ASCII) if text.isascii() else _PUNCTUATION.sub(" ", text).encode()
+    return text.encode().translate(_ASCII) if text.isascii() else _UNSPACED.sub(r" \g<0> ", _PUNCTUATION.sub(" ", text)).encode()
 
 
 def tokens(text: str) -> np.ndarray:
@@ -79,24 +83,25 @@ def tile(a: list[int], b: list[int], least: int = TILE) -> list[tuple[int, int,
 
 
 class Benchmark:
-    """A block of items: tokens by item, and their seeds in order, by seed length."""
+    """A block of items: their tokens, and all their runs of `least` tokens in order, with the item of each and its
+    place there."""
 
-    def __init__(self, rows: list[tuple[int, str]], seed: int = SEED, least: int = TILE) -> None:
-        self.ids, self.tokens, self.seeds = [], [], {}
-        per: dict[int, list[tuple[np.ndarray, int]]] = {}
+    def __init__(self, rows: list[tuple[int, str]], least: int = TILE) -> None:
+        self.least, self.ids, self.tokens = least, [], []
+        runs = [np.zeros(0, np.uint64)]
         for item, text in rows:
             t = tokens(text)
             if len(t) < least:
                 continue
-            size = min(seed, len(t))
-            per.setdefault(size, []).append((windows_of(t, size), len(self.ids)))
+            runs.append(windows_of(t, least))
             self.ids.append(item)
             self.tokens.append(t)
-        for size, found in per.items():
-            h = np.concatenate([x for x, _ in found])
-            of = np.concatenate([np.full(len(x), i, np.int64) for x, i in found])
-            order = np.argsort(h, kind="stable")
-            self.seeds[size] = (h[order], of[order])
+        size = [len(x) for x in runs[1:]]
+        h = np.concatenate(runs)
+        order = np.argsort(h, kind="stable")
+        self.runs = h[order]
+        self.of = np.repeat(np.arange(len(size)), size)[order]
+        self.place = np.concatenate([np.zeros(0, np.int64), *map(np.arange, size)])[order]
 
     def leaks(self, texts: list[str]) -> list[tuple[int, float, int] | None]:
         """For each text its item of greatest coverage, of those the smallest: (item_id, coverage, tiles)."""
@@ -104,33 +109,49 @@ class Benchmark:
         start, _, word = words_of(data)
         doc = np.searchsorted(at, start, "right") - 1
         begin = np.searchsorted(doc, np.arange(len(texts) + 1))
-        hits: dict[tuple[int, int], list[int]] = {}
-        for size, (seeds, of) in self.seeds.items():
-            h = windows_of(word, size)
-            lo = np.searchsorted(seeds, h)
-            same = np.flatnonzero((lo < len(seeds)) & (seeds[np.minimum(lo, len(seeds) - 1)] == h))
-            same = same[doc[same] == doc[same + size - 1]]
-            for p in same.tolist():
-                k = int(lo[p])
-                while k < len(seeds) and seeds[k] == h[p]:
-                    hits.setdefault((int(doc[p]), int(of[k])), []).append(p)
-                    k += 1
         out: list[tuple[int, float, int] | None] = [None] * len(texts)
-        for (d, i), places in hits.items():
+        h = windows_of(word, self.least)
+        lo = np.searchsorted(self.runs, h)
+        same = np.flatnonzero((lo < len(self.runs)) & (self.runs[np.minimum(lo, len(self.runs) - 1)] == h)) if len(self.runs) else np.zeros(0, np.int64)
+        same = same[doc[same] == doc[same + self.least - 1]]
+        ends = np.searchsorted(doc[same], np.arange(len(texts) + 1))
+        for d in np.flatnonzero(np.diff(ends)).tolist():
+            out[d] = self._best(word[begin[d] : begin[d + 1]], same[ends[d] : ends[d + 1]] - begin[d], h[same[ends[d] : ends[d + 1]]])
+        return out
+
+    def _best(self, word: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[int, float, int] | None:
+        """leaks() for one text, of which the runs `h` at `at` are shared with items."""
+        kinds = np.unique(h)
+        first = np.searchsorted(self.runs, kinds)
+        n = np.searchsorted(self.runs, kinds, "right") - first
+        row = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        of, place = self.of[row], self.place[row]
+        order = np.lexsort((place, of))
+        of, place, kind = of[order], place[order], np.repeat(kinds, n)[order]
+        fresh = np.minimum(np.diff(place, prepend=0), self.least)  # tokens of the item in no shared run before
+        heads = np.flatnonzero(np.diff(of, prepend=-1))
+        fresh[heads] = self.least
+        bound = np.add.reduceat(fresh, heads) / np.array([len(self.tokens[i]) for i in of[heads].tolist()])
+        last = np.append(heads[1:], len(of))
+        best = None
+        for k in sorted(range(len(heads)), key=lambda k: (-bound[k], self.ids[of[heads[k]]])):
+            i = int(of[heads[k]])
+            if best and (-bound[k], self.ids[i]) >= (-best[1], best[0]):
+                break
             item = self.tokens[i]
-            near = np.zeros(int(begin[d + 1] - begin[d]), bool)  # within an item's length of a seed
-            for p in sorted(set(places)):
-                q = p - int(begin[d])
-                near[max(0, q - len(item)) : q + 2 * len(item)] = True
-            keep = word[begin[d] : begin[d + 1]][near].tolist()
+            near = np.zeros(len(word), bool)  # in a run that the item has too
+            p = at[np.isin(h, kind[heads[k] : last[k]])]
+            for j in range(self.least):
+                near[p + j] = True
+            keep = word[near].tolist()
             gaps = np.flatnonzero(np.diff(np.flatnonzero(near)) > 1) + 1
-            for shift, g in enumerate(gaps.tolist()):  # no match runs from one place to another
-                keep.insert(g + shift, -1)
-            tiles = tile(item.tolist(), keep)
+            parts = list(zip([0, *gaps.tolist()], [*gaps.tolist(), len(keep)], strict=True))
+            keep = [x for i, j in parts for x in (*keep[i:j], -1)]  # no match runs from one place to another
+            tiles = tile(item.tolist(), keep[:-1], self.least)
             got = (self.ids[i], sum(k for _, _, k in tiles) / len(item), len(tiles))
-            if out[d] is None or (-got[1], got[0]) < (-out[d][1], out[d][0]):
-                out[d] = got
-        return out
+            if tiles and (best is None or (-got[1], got[0]) < (-best[1], best[0])):
+                best = got
+        return best
 
 
 LEAK = [T.StructField("leak_item", T.LongType()), T.StructField("leak_coverage", T.DoubleType()), T.StructField("leak_tiles", T.LongType())]
@@ -138,7 +159,7 @@ LEAK = [T.StructField("leak_item", T.LongType()), T.StructField("leak_coverage",
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with leak_item (the item_id whose tiles cover most of it in this text, of equal ones the smallest;
-    null if none shares a seed), leak_coverage (0 to 1; 0 if none) and leak_tiles. Columns of these names are
+    null if none has a tile), leak_coverage (0 to 1; 0 if none) and leak_tiles. Columns of these names are
     replaced. Null and empty texts leak nothing; null items and items of fewer than TILE tokens are no items, nor
     are rows without item_id. Repeated rows get equal results. Other columns stay. No rows in, none out; an empty
     benchmark leaks nowhere."""
