@@ -5,7 +5,11 @@ markup declares; the suffix of the address; and the host. Priors are smoothed in
 rows, address suffix, host. They are counts, by grouped aggregation over all rows, of the languages that the text
 alone points to; so is the table of how often which language is declared for which.
 
-The trigram models are fitted to a sample of rows by declared language, of about PER_LANGUAGE rows each.
+The trigram models are fitted to a sample of rows by declared language, of about PER_LANGUAGE rows each. Every
+declared language has one, region and script subtags aside, if any of its rows has text with letters; a model takes
+128 KB. A row that declares a language of fewer than RARE rows is scored by what the other rows say of it, so that one
+mistaken declaration makes no language; if there are none, its text counts as one of no language does, and the
+declaration decides.
 """
 
 from __future__ import annotations
@@ -22,13 +26,14 @@ from curatrix.llm.common import pieces, written
 from curatrix.llm.mixing import unit_hash
 
 PER_LANGUAGE = 1500
-LEAST_ROWS = 5
-LANGUAGES = 64
+RARE = 50
 BITS = 15
 EFFECTIVE = 120.0  # a text counts as this many independent trigrams at most
+SMOOTH = 0.05
 ALPHA, BETA = 20.0, 50.0  # rows' worth of the level above in a host's and in a suffix's prior
 LEAST_POSTERIOR = 0.5
 UNKNOWN = "und"
+LEVELS = ("lid_host", "lid_suffix", "lid_declared")
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 _SAME = np.zeros(256, np.uint32)  # digits and ASCII symbols are one class: they tell no language
@@ -62,44 +67,110 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k] * len(at), pa.string()), "gram": pa.array(at.astype(np.int32)), "n": pa.array(n[at].astype(np.int64))})
 
 
-def fit(rows: DataFrame, key: Column, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log likelihoods by trigram bucket, with a last column for no language at all: trigrams
-    that are all equally likely. rows: (text, lang) with lang the declared one; key: what decides the sample."""
+class Models:
+    """Log likelihoods of the languages by trigram bucket, in order of `langs`, with a last row for no language at
+    all: trigrams that are all equally likely. rare: number, mass and smoothing of each language of few rows."""
+
+    def __init__(self, langs: list[str], counts: np.ndarray, sizes: dict[str, int]) -> None:
+        self.langs = langs
+        smooth = SMOOTH * np.minimum(1.0, counts.sum(1) / (1 << BITS - 1))  # a tenth of a model at most, or few words would suit any text
+        smooth[-1] = SMOOTH
+        counts += smooth[:, None]
+        mass = counts.sum(1)
+        self.rare = {k: (i, float(mass[i]), float(smooth[i])) for i, k in enumerate(langs) if sizes[k] < RARE}
+        self.table = np.log(counts / mass[:, None]).astype(np.float32)
+
+    def scores(self, raw: list[bytes], declared: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihoods by text and language, and whether the text has a trigram."""
+        out = np.zeros((len(raw), len(self.table)))
+        doc, h = trigrams(raw)
+        if not len(h):
+            return out, np.zeros(len(raw), bool)
+        ends = np.searchsorted(doc, np.arange(len(raw) + 1))
+        n = np.diff(ends)
+        has = np.flatnonzero(n)
+        for k, row in enumerate(self.table):
+            out[has, k] = np.add.reduceat(row[h].astype(np.float64), ends[:-1][has])
+        for i in has.tolist() if self.rare else ():
+            if declared[i] in self.rare:
+                k, mass, smooth = self.rare[declared[i]]
+                rest = mass - n[i]
+                if rest < smooth * (1 << BITS) + 0.5:
+                    out[i, k] = out[i, -1]  # there is no other row
+                    continue
+                gram, own = np.unique(h[ends[i] : ends[i + 1]], return_counts=True)
+                left = np.maximum(np.exp(self.table[k, gram].astype(np.float64)) * mass - own, smooth)
+                out[i, k] = (own * np.log(left / rest)).sum()
+        out[has] *= np.minimum(1.0, EFFECTIVE / n[has])[:, None]
+        return out, n > 0
+
+
+def fit(rows: DataFrame, key: Column, per_language: int = PER_LANGUAGE) -> Models:
+    """rows: (text, lang) with lang the declared one; key: what decides the sample."""
     rows = rows.where("lang is not null and text is not null").select("text", "lang", key.alias("key"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).where(f"n >= {LEAST_ROWS}").orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    langs = sorted(sizes)
-    table = np.zeros((1 << BITS, len(langs) + 1))
-    if langs:
-        share = F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, per_language / sizes[k]))])
-        some = rows.where(F.col("lang").isin(langs)).where(unit_hash(F.col("key"), "fit") < share[F.col("lang")]).select("text", "lang")
-        counts = some.mapInArrow(_tally, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-        np.add.at(table, (counts["gram"].to_numpy(), [langs.index(x) for x in counts["lang"]]), counts["n"].to_numpy())
-    table += 0.05
-    return langs, np.log(table / table.sum(0)).astype(np.float32)
-
-
-def _scored(sent, names: list[str]):
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    large = {k: n for k, n in sizes.items() if n > per_language}
+    some = rows
+    if large:
+        share = F.create_map(*[F.lit(v) for k, n in sorted(large.items()) for v in (k, per_language / n)])
+        some = rows.where(unit_hash(F.col("key"), "fit") < F.coalesce(share[F.col("lang")], F.lit(1.0)))
+    counts = some.select("text", "lang").mapInArrow(_tally, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(set(counts["lang"]))
+    at = {k: i for i, k in enumerate(langs)}
+    table = np.zeros((len(langs) + 1, 1 << BITS))
+    np.add.at(table, (counts["lang"].map(at).to_numpy(np.int64), counts["gram"].to_numpy(np.int64)), counts["n"].to_numpy(np.float64))
+    return Models(langs, table, sizes)
+
+
+def _likeliest(sent):
+    """By text alone: lid_host, lid_suffix, lid_declared and l, the number of the likeliest language."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        models = sent.value
         for x in batches:
-            raw = [t or b"" for t in x.column("lid_text").cast(pa.binary()).to_pylist()]
-            out = np.zeros((len(raw), table.shape[1]))
+            raw, declared = [t or b"" for t in x.column("lid_text").cast(pa.binary()).to_pylist()], x.column("lid_declared").to_pylist()
+            best = [models.scores(raw[i:j], declared[i:j])[0].argmax(1) for i, j in pieces(raw)]
+            l = pa.array(np.concatenate([np.zeros(0, np.int64), *best]).astype(np.int32))  # noqa: E741
+            yield pa.RecordBatch.from_arrays([*(x.column(k) for k in LEVELS), l], [*LEVELS, "l"])
+
+    return run
+
+
+def _fused(sent, names: list[str]):
+    """The columns of `names` and lid_lang, lid_posterior, lid_keep, by all evidence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, whole, given = sent.value
+        labels = np.array([*models.langs, UNKNOWN], object)
+        none = np.zeros(len(whole))
+        for x in batches:
+            raw, declared, host = [t or b"" for t in x.column("lid_text").cast(pa.binary()).to_pylist()], x.column("lid_declared").to_pylist(), list(zip(x.column("lid_host").to_pylist(), x.column("lid_suffix").to_pylist(), strict=True))
+            prior: dict[tuple[str, str], np.ndarray] = {}
+            for i, k in enumerate(host):
+                if k not in prior:
+                    prior[k] = _level(x.column("lid_on_host")[i].as_py(), _level(x.column("lid_on_suffix")[i].as_py(), whole, BETA), ALPHA)
+            lang, posterior, keep = [], [], []
             for i, j in pieces(raw):
-                doc, h = trigrams(raw[i:j])
-                if not len(h):
-                    continue
-                ends = np.searchsorted(doc, np.arange(j - i + 1))
-                n = np.diff(ends)
-                has = np.flatnonzero(n)
-                for k in range(table.shape[1]):
-                    out[i + has, k] = np.add.reduceat(table[:, k][h].astype(np.float64), ends[:-1][has])
-                out[i + has] *= np.minimum(1.0, EFFECTIVE / n[has])[:, None]
-            scores = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * table.shape[1]), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*(x.column(k) for k in names), scores], [*names, "lid_text_score"])
+                score, said = models.scores(raw[i:j], declared[i:j])
+                score += np.log(np.array([prior[k] for k in host[i:j]])) + np.array([given.get(k, none) for k in declared[i:j]])
+                best = score.argmax(1)
+                p = 1 / np.exp(score - score.max(1, keepdims=True)).sum(1)
+                lang += labels[best].tolist()
+                posterior += p.tolist()
+                keep += (said & (best < len(models.langs)) & (p >= LEAST_POSTERIOR)).tolist()
+            yield pa.RecordBatch.from_arrays([*(x.column(k) for k in names), pa.array(lang, pa.string()), pa.array(posterior, pa.float64()), pa.array(keep, pa.bool_())], [*names, "lid_lang", "lid_posterior", "lid_keep"])
 
     return run
 
 
+def _level(counts: list[dict] | None, above: np.ndarray, weight: float) -> np.ndarray:
+    """The prior of counts (l, n), smoothed by the one above."""
+    out = weight * above
+    for c in counts or ():
+        out[c["l"]] += c["n"]
+    return out / (weight + sum(c["n"] for c in counts or ()))
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
@@ -108,6 +179,12 @@ def suffix_of(host: Column) -> Column:
     return F.element_at(F.split(host, r"\."), -1)
 
 
+def primary(declared: Column) -> Column:
+    """The language of a declaration, without region and script: en of en-US, en_GB and EN; null if there is none."""
+    found = F.regexp_extract(F.lower(declared), r"^[^-_\s]+", 0)
+    return F.when(found != "", found)
+
+
 def markup_language(html: Column) -> Column:
     """What <html lang> says, its first part, in lower case; null if it says nothing."""
     found = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
@@ -124,46 +201,26 @@ def identify(rows: DataFrame, text: Column, declared: Column, host: Column, suff
     spark: SparkSession = rows.sparkSession
     rows = rows.drop("lid_lang", "lid_posterior", "lid_keep")
     names = rows.columns
-    made = rows.select("*", text.alias("lid_text"), F.lower(declared).alias("lid_declared"), F.coalesce(host, F.lit("")).alias("lid_host"), F.coalesce(suffix, F.lit("")).alias("lid_suffix"))
-    langs, table = fit(made.select(F.col("lid_text").alias("text"), F.col("lid_declared").alias("lang"), key.alias("k")), F.col("k"), per_language)
-    sent = spark.sparkContext.broadcast(table)
-    kept = [*names, "lid_declared", "lid_host", "lid_suffix"]
-    schema = T.StructType([*made.drop("lid_text").schema.fields, T.StructField("lid_text_score", T.ArrayType(T.DoubleType()))])
-    scored = made.mapInArrow(_scored(sent, kept), schema)
+    made = rows.select("*", primary(declared).alias("lid_declared"), F.coalesce(host, F.lit("")).alias("lid_host"), F.coalesce(suffix, F.lit("")).alias("lid_suffix"))
+    models = fit(made.select(text.alias("text"), F.col("lid_declared").alias("lang"), key.alias("k")), F.col("k"), per_language)
     # on texts alone: the languages each level's prior is made of
-    thin = made.select("lid_text", "lid_declared", "lid_host", "lid_suffix").mapInArrow(
-        _scored(sent, kept[-3:]), "lid_declared string, lid_host string, lid_suffix string, lid_text_score array<double>")
-    best = F.array_position("lid_text_score", F.array_max("lid_text_score")).cast("int")
-    counts = written(thin.groupBy("lid_host", "lid_suffix", "lid_declared", best.alias("l")).agg(F.count("*").alias("n")), "counts")
-    n_lang = len(langs) + 1
-    whole = np.ones(n_lang)
-    said: dict[str, np.ndarray] = {}
-    for r in counts.groupBy("lid_declared", "l").agg(F.sum("n").alias("n")).where(F.col("lid_declared").isNull() | F.col("lid_declared").isin(langs)).collect():
-        whole[r.l - 1] += r.n
-        if r.lid_declared is not None:
-            said.setdefault(r.lid_declared, np.zeros(n_lang))[r.l - 1] += r.n
-    whole /= whole.sum()
-    given = np.ones((len(langs), n_lang))  # P(declared | language), one row's worth of doubt for each
-    for k, v in said.items():
-        given[langs.index(k)] += v
-    given = np.log(given / given.sum(0))
-    level = lambda *by: counts.groupBy(*by).agg(*[F.sum(F.when(F.col("l") == i + 1, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(n_lang)], F.sum("n").alias("all"))
-    suffixes = level("lid_suffix").select("lid_suffix", F.array(*[(F.col(f"n{i}") + BETA * float(whole[i])) / (F.col("all") + BETA) for i in range(n_lang)]).alias("above"))
-    hosts = level("lid_host", "lid_suffix").join(suffixes, "lid_suffix")
-    hosts = hosts.select(F.col("lid_host").alias("lid_h"), F.col("lid_suffix").alias("lid_s"), F.array(*[F.log((F.col(f"n{i}") + ALPHA * F.col("above")[i]) / (F.col("all") + ALPHA)) for i in range(n_lang)]).alias("lid_prior"))
-    hosts = written(hosts, "hosts")  # its size is known from now on, so Spark broadcasts it only if it is small
-    rows = scored.join(hosts, (scored["lid_host"] == hosts["lid_h"]) & (scored["lid_suffix"] == hosts["lid_s"]), "left")
-    told = F.create_map(*[F.lit(v) if isinstance(v, str) else F.array(*map(F.lit, v)) for k, row in zip(langs, given.tolist(), strict=True) for v in (k, row)]) if langs else None
-    zero = F.array(*[F.lit(0.0)] * n_lang)
-    declared_score = F.coalesce(told[F.col("lid_declared")], zero) if langs else zero
-    total = F.transform(F.arrays_zip("lid_text_score", F.coalesce("lid_prior", zero).alias("p"), declared_score.alias("d")), lambda s: s["lid_text_score"] + s["p"] + s["d"])
-    rows = rows.withColumn("lid_total", total)
-    top = F.array_max("lid_total")
-    chosen = F.element_at(F.array(*map(F.lit, [*langs, UNKNOWN])), F.array_position("lid_total", top).cast("int"))
-    posterior = 1 / F.aggregate("lid_total", F.lit(0.0), lambda s, v: s + F.exp(v - top))
-    silent = F.array_min("lid_text_score") == F.array_max("lid_text_score")
-    rows = rows.withColumns({"lid_lang": chosen, "lid_posterior": posterior})
-    return rows.withColumn("lid_keep", (F.col("lid_lang") != UNKNOWN) & (F.col("lid_posterior") >= LEAST_POSTERIOR) & ~silent).select(*names, "lid_lang", "lid_posterior", "lid_keep")
+    thin = made.select(text.alias("lid_text"), *LEVELS).mapInArrow(_likeliest(spark.sparkContext.broadcast(models)), "lid_host string, lid_suffix string, lid_declared string, l int")
+    counts = written(thin.groupBy(*LEVELS, "l").agg(F.count("*").alias("n")), "counts")
+    whole = np.ones(len(models.table))
+    said = {k: np.ones(len(whole)) for k in models.langs}  # P(declared | language), one row's worth of doubt for each
+    for r in counts.groupBy("lid_declared", "l").agg(F.sum("n").alias("n")).collect():
+        whole[r.l] += r.n
+        if r.lid_declared in said:
+            said[r.lid_declared][r.l] += r.n
+    total = np.sum(list(said.values()), axis=0)
+    given = {k: np.log(v / total) for k, v in said.items()}
+    level = lambda name, *by: counts.groupBy(*by, "l").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.collect_list(F.struct("l", "n")).alias(name))
+    hosts = level("lid_on_host", "lid_host", "lid_suffix").join(level("lid_on_suffix", "lid_suffix"), "lid_suffix")
+    # its size is known from now on, so Spark broadcasts it only if it is small
+    hosts = written(hosts.select(F.col("lid_host").alias("lid_h"), F.col("lid_suffix").alias("lid_s"), "lid_on_host", "lid_on_suffix"), "hosts")
+    rows = made.join(hosts, (made["lid_host"] == hosts["lid_h"]) & (made["lid_suffix"] == hosts["lid_s"]), "left").drop("lid_h", "lid_s").withColumn("lid_text", text)
+    schema = T.StructType([*made.select(*names).schema.fields, T.StructField("lid_lang", T.StringType()), T.StructField("lid_posterior", T.DoubleType()), T.StructField("lid_keep", T.BooleanType())])
+    return rows.mapInArrow(_fused(spark.sparkContext.broadcast((models, whole / whole.sum(), given)), names), schema)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 import random
 
-from curatrix.llm import leaks
-from tests.llm.conftest import sentence
+from curatrix.llm import language, leaks
+from tests.llm.conftest import LETTERS, sentence
 
 
 def test_leaks_without_a_run_of_five():
@@ -31,3 +31,18 @@ def test_leaks_are_those_of_all_pairs():
         if got:
             most = max(sum(k for _, _, k in leaks.tile(leaks.tokens(t).tolist(), leaks.tokens(text).tolist())) / len(t.split()) for _, t in items)
             assert got[1] >= most - 1e-9
+
+
+def test_language_beyond_64_declared(spark):
+    """70 languages with words of their own, the last of one to five rows; regions of one language are one; a single
+    mistaken declaration makes no language; rows that declare nothing known count in the priors."""
+    rng = random.Random(13)
+    words = {k: ["".join(rng.choice(LETTERS) for _ in range(6)) for _ in range(40)] for k in range(71)}
+    text = lambda k: " ".join(rng.choice(words[k]) for _ in range(60))
+    code = lambda k: f"q{chr(97 + k // 26)}{chr(97 + k % 26)}"
+    rows = [(k, text(k), code(k)) for k in range(70) for _ in range(12 if k < 64 else k - 63 if k < 69 else 1)]
+    rows += [(70, text(70), c) for c in ("en-US", "en_GB", "EN", "en") for _ in range(12)] + [(70, text(70), "odd")]
+    frame = spark.createDataFrame([(i, t, c, "h", k) for i, (k, t, c) in enumerate(rows)], "doc_id long, text string, lang string, source string, k int")
+    got = language.identify_documents(frame).collect()
+    wrong = [(r.lang, r.lid_lang) for r in got if r.lid_lang != ("en" if r.k == 70 else code(r.k)) or not r.lid_keep]
+    assert len(got) == len(rows) and wrong == []
