@@ -4,8 +4,11 @@ The standard library's parser streams events. A line is the text between two blo
 the sectioning element it stands in, and the number of tags met since the line before. The ratios of characters
 to tags, smoothed by a Gaussian over the page, fall into two clusters, split where the variance within them is
 least; a region whose lines hold mostly content characters is content, and is returned with all its lines, so
-that short paragraphs and headings stay. What names itself as menu, header, footer, sidebar, notice, advert, form,
-script, style or comments is never content.
+that short paragraphs and headings stay. Lines of an article or main part weigh more, and such a part is content if it
+holds most of the text; a dense region outside is content too. What is a menu, header, footer, sidebar, notice,
+advert, form, script or style by its tag or role is never content. What is one, or comments, by its class or id only
+is none either, unless it wraps the page: it holds most of the text, and with it a main part or first heading, or
+nearly all of the text.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.0
+MARKED = 1.5  # weight of the ratios in an article or main part
+MOST, NEARLY_ALL = 0.5, 0.9
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -36,25 +41,34 @@ HEADS = re.compile(r"header|masthead|nav|menu|banner", re.I)
 
 
 class _Events(HTMLParser):
-    """Lines (text, tags before it, region number) of what isn't hidden."""
+    """Lines (text, tags before it, region number) of what isn't hidden, and of each line the elements around it, from
+    the outermost on, that a class or id names as no content; wrapping: those with a main part or first heading."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
         self.tags = 0
-        self.open: list[tuple[str, bool, int]] = []
+        self.open: list[tuple[str, bool, int, tuple[int, ...]]] = []
         self.regions: list[str] = ["page"]
+        self.around: list[tuple[int, ...]] = []
+        self.named = 0
+        self.wrapping: set[int] = set()
 
     @property
     def _now(self) -> tuple[bool, int]:
         return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
 
+    @property
+    def _around(self) -> tuple[int, ...]:
+        return self.open[-1][3] if self.open else ()
+
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
             self.lines.append((text, self.tags, self._now[1]))
+            self.around.append(self._around)
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -74,6 +88,7 @@ class _Events(HTMLParser):
                 if self.open[i][0] in REGIONS or self.open[i][0] in ("ul", "ol", "table"):
                     break
         hidden, region = self._now
+        around = self._around
         if not hidden:
             a = dict(attrs)
             named = " ".join(filter(None, (a.get("class"), a.get("id"))))
@@ -83,11 +98,17 @@ class _Events(HTMLParser):
             marks = [m[0] for m in NAMED.finditer(named)]
             if inside or tag == "article":  # an article's own header is content
                 marks = [m for m in marks if not HEADS.search(m)]
-            hidden = (tag in HIDDEN and not inner_head) or (a.get("role") or "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in styled or (tag not in ("html", "body", "main") and bool(marks))
+            hidden = (tag in HIDDEN and not inner_head) or (a.get("role") or "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in styled
+            is_named = tag not in ("html", "body", "main") and bool(marks)
+            if not hidden and (tag in ("h1", "main") or (tag == "article" and not is_named)):
+                self.wrapping.update(around)
+            if not hidden and is_named:
+                self.named += 1
+                around = (*around, self.named)
             if tag in REGIONS and not hidden and not (region and self.regions[region] in ("article", "main")):
                 self.regions.append(tag)
                 region = len(self.regions) - 1
-        self.open.append((tag, hidden, region))
+        self.open.append((tag, hidden, region, around))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -139,11 +160,23 @@ def threshold(values: list[float]) -> float:
     return cut
 
 
+def _shown(lines: list[tuple[str, int, int]], events: _Events) -> list[tuple[str, int, int]]:
+    """The lines in no element named as no content, wrappers of the page aside. The tags of a line left out count to
+    none."""
+    size: dict[int, int] = {}
+    for (t, _, _), around in zip(lines, events.around, strict=True):
+        for k in around:
+            size[k] = size.get(k, 0) + len(t)
+    total = sum(len(t) for t, _, _ in lines)
+    wraps = {k for k, n in size.items() if n > (MOST if k in events.wrapping else NEARLY_ALL) * total}
+    return [x for x, around in zip(lines, events.around, strict=True) if wraps.issuperset(around)]
+
+
 def main_text(html: str | None) -> str:
     """The content lines of a page, joined by line feeds; empty for null, empty or boilerplate-only pages."""
     events = _Events()
     events.feed(html or "")
-    lines = events.done()
+    lines = _shown(events.done(), events)
     if not lines:
         return ""
     whole = {i for i, x in enumerate(events.regions) if x in ("article", "main")}
@@ -152,9 +185,9 @@ def main_text(html: str | None) -> str:
     size, dense = {}, {}
     for (t, _, r), v in zip(lines, ratio, strict=True):
         size[r] = size.get(r, 0) + len(t)
-        dense[r] = dense.get(r, 0) + len(t) * (v >= cut)
-    marked = whole & set(size)
-    keep = marked or {r for r in size if 2 * dense[r] >= size[r]} or {max(size, key=lambda r: (size[r], -r))}
+        dense[r] = dense.get(r, 0) + len(t) * (v * (MARKED if r in whole else 1) >= cut)
+    total = sum(size.values())
+    keep = {r for r in size if 2 * dense[r] >= size[r] or (r in whole and size[r] > MOST * total)} or {max(size, key=lambda r: (size[r], -r))}
     return "\n".join(t for t, _, r in lines if r in keep)
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from curatrix.llm import language, leaks
+from curatrix.llm import html_text, language, leaks
 from tests.llm.conftest import LETTERS, sentence
 
 
@@ -46,3 +46,24 @@ def test_language_beyond_64_declared(spark):
     got = language.identify_documents(frame).collect()
     wrong = [(r.lang, r.lid_lang) for r in got if r.lid_lang != ("en" if r.k == 70 else code(r.k)) or not r.lid_keep]
     assert len(got) == len(rows) and wrong == []
+
+
+PROSE = [f"Paragraph {k} of the real content, with many words in it, long enough to count as prose and not as a menu." for k in range(4)]
+
+
+def test_html_beside_teasers_and_in_layout_classes():
+    body = "".join(f"<p>{x}</p>" for x in PROSE)
+    want = "\n".join(PROSE)
+    teasers = "".join(f"<article><h3><a href={k}>More {k}</a></h3><p><a href={k}>Read</a></p></article>" for k in range(3))
+    assert html_text.main_text(f"<body><div>{body}</div>{teasers}</body>") == want
+    assert html_text.main_text(f"<body><article><h1>Title</h1></article><div>{body}</div></body>").endswith(want)
+    both = html_text.main_text(f"<body><article>{body}</article><div>{body}</div><div><a href=1>one</a> <a href=2>two</a></div></body>")
+    assert both == want + "\n" + want
+    for name in ("has-sidebar", "with-header", "content legal", "comments-enabled"):
+        page = f"<body><nav>x</nav><div class='{name}'><h1>Title</h1><div>{body}</div><div class='sidebar'>see also</div></div><footer>f</footer></body>"
+        assert html_text.main_text(page).split("\n")[-4:] == PROSE, name
+        assert "see also" not in html_text.main_text(page)
+        assert html_text.main_text(f"<body><div class='{name}'>{body}</div><p>By me</p></body>").split("\n")[:4] == PROSE, name
+    long = "".join(f"<p>{x}</p>" for x in PROSE * 3)  # comments longer than the article are comments still
+    assert html_text.main_text(f"<body><article><h1>T</h1>{body}</article><div id='comments'>{long}</div></body>") == "T\n" + want
+    assert html_text.main_text(f"<body><article><ul>{'<li>item</li>' * 60}</ul></article><div><p>{PROSE[0]}</p></div></body>").count("item") == 60
