@@ -23,16 +23,19 @@ from pyspark.sql import functions as F
 TARGET_BYTES = 16 << 20
 UNKNOWN_BYTES = 1 << 60
 _LOCAL: list[tempfile.TemporaryDirectory] = []
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 # --------------------------------------------------------------------------- written tables
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """A new path in the shared folder of spark.checkpoint.dir; a local one only where that is unset and the session
+    runs on this machine alone, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.TemporaryDirectory(prefix="curatrix-"))
             atexit.register(_LOCAL[0].cleanup)
@@ -43,24 +46,38 @@ def work_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     path = work_path(df.sparkSession, label)
+    _put(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _put(df: DataFrame, path: str) -> None:
     if not _WRITTEN:
         atexit.register(_remove_written)
-    _WRITTEN.append((df.sparkSession, path))
+    _WRITTEN[path] = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(path: str) -> None:
+    """Removes a written table that no later step reads."""
+    spark = _WRITTEN.pop(path)
+    if hasattr(spark, "_jsc"):
+        to = spark._jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+    else:  # a remote session has no file system: an empty table takes its place
+        spark.range(0).write.mode("overwrite").parquet(path)
 
 
 def _remove_written() -> None:
     """Removes the written tables when the driver's Python ends, if its session still runs then."""
-    for spark, path in _WRITTEN:
+    for path in list(_WRITTEN):
         with contextlib.suppress(Exception):
-            to = spark._jvm.org.apache.hadoop.fs.Path(path)
-            to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+            removed(path)
 
 
 def partitions(df: DataFrame) -> int:
-    """Shuffle partitions for `df`: the session's number, or more where its size asks for more."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Shuffle partitions for `df`: the session's number, or more where its size asks for more. A remote session
+    doesn't tell the size."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if hasattr(df, "_jdf") else UNKNOWN_BYTES
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, 1 if size >= UNKNOWN_BYTES else math.ceil(size / TARGET_BYTES))
 
@@ -68,10 +85,13 @@ def partitions(df: DataFrame) -> int:
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b) as rows (id, component): each id that has an edge, and the smallest id
     that it reaches. Alternates large-star and small-star until nothing changes; each round is a written table,
-    and only its row count and checksum come to the driver."""
+    removed when the next one stands, and only its row count and checksum come to the driver."""
+    spark = edges.sparkSession
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, last = written(e, "edges"), None
+    schema, path, last = e.schema, work_path(spark, "edges"), None
+    _put(e, path)
     for _ in range(rounds):
+        e = spark.read.schema(schema).parquet(path)
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         e = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
@@ -79,7 +99,10 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         ).where("a <> b").distinct()
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        e = written(e, "edges")
+        before, path = path, work_path(spark, "edges")
+        _put(e, path)
+        removed(before)
+        e = spark.read.schema(schema).parquet(path)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break
@@ -180,6 +203,32 @@ def once_or_twice(h: np.ndarray, holder: np.ndarray) -> np.ndarray:
     return h[keep]
 
 
+def among_pairs(h: np.ndarray, g: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the pairs (h, g) are rows of `known`."""
+    order = np.lexsort((known[:, 1], known[:, 0]))
+    kh, kg = known[order, 0], known[order, 1]
+    at, out = np.searchsorted(kh, h), np.zeros(len(h), bool)
+    live = np.flatnonzero(at < len(kh))
+    while len(live):  # one round, unless two pairs of one h are known
+        live = live[(at[live] < len(kh))]
+        live = live[kh[at[live]] == h[live]]
+        same = kg[at[live]] == g[live]
+        out[live[same]] = True
+        live = live[~same]
+        at[live] += 1
+    return out
+
+
+def numbered_pairs(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number): where each distinct pair (h, g) stands first, and the number of each pair among those."""
+    order = np.lexsort((g, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 def info_batch(b: np.ndarray, h: np.ndarray, kind: int) -> pa.RecordBatch:
     got = packs(b, {"h": h}, "b")
     none = pa.nulls(len(got["b"]), pa.int64())

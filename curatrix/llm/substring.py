@@ -7,7 +7,8 @@ anchors, so a window whose anchor is in one document only cannot repeat, and not
 
 Documents stay in document buckets. What travels are sets of 64-bit hashes, each once per document bucket, to the
 bucket of the hash and back; so a passage that a third of all documents hold costs its receiver one entry per
-document bucket. The last level carries 128 bits of hash.
+document bucket. The lookups of the shorter levels only narrow the candidates; the last level decides, and compares
+128 bits of hash on the way there and back.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from curatrix.llm.common import INFO, among, bucketed, first_copies, grown, info_batch, joined, once_or_twice, packs, partitions, pieces, shared_by_two, spread, table_of, windows_of, words_of
+from curatrix.llm.common import INFO, among, among_pairs, bucketed, first_copies, info_batch, joined, numbered_pairs, once_or_twice, packs, partitions, pieces, shared_by_two, spread, table_of, windows_of, words_of
 
 N_WORDS = 13
 SHORTEST = 8
@@ -110,7 +111,7 @@ def _last_level(raw: list[bytes], ids: list[int], n: int, sets: dict[int, np.nda
         for col, x in zip(cols, (windows_of(w.word, n)[at], windows_of(w.word, n, 7)[at], known[i:j][w.doc[at]]), strict=True):
             col.append(x)
     a, c, doc = (np.concatenate(x) for x in cols)
-    _, at = np.unique(a, return_index=True)  # texts come by doc_id, so the first of equal ones has the smallest
+    at, _ = numbered_pairs(a, c)  # texts come by doc_id, so the first of equal ones has the smallest
     return a[at], c[at], doc[at]
 
 
@@ -144,8 +145,8 @@ def _later(kind: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             new[1:] = (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])
             least = ds[np.flatnonzero(new)][np.cumsum(new) - 1]
             later = ds > least
-            bs, hs = bs[later], hs[later]
-        yield info_batch(bs, hs, kind)
+            bs, hs, gs = bs[later], hs[later], gs[later]
+        yield info_batch(bs, np.stack((hs, gs), 1).view("V16").ravel(), kind)
 
     return meet
 
@@ -157,15 +158,13 @@ def _marked(ids: list[int], raw: list[bytes], n: int, sets: dict[int, np.ndarray
     for i, j in pieces(raw):
         w = _Windows(raw[i:j], n)
         at = np.flatnonzero(w.known(len(w.levels) - 1, sets))
-        found.append((j - i, w.doc, at, windows_of(w.word, n)[at], known[i:j][w.doc[at]]))
-    h = np.concatenate([np.zeros(0, np.uint64)] + [x[3] for x in found])
-    doc = np.concatenate([np.zeros(0, np.int64)] + [x[4] for x in found])
-    _, at, back = np.unique(h, return_index=True, return_inverse=True)
-    gone = among(h, sets.get(kind, np.zeros(0, np.uint64)))
-    if len(h):
-        gone |= doc > doc[at][back]
+        found.append((j - i, w.doc, at, windows_of(w.word, n)[at], windows_of(w.word, n, 7)[at], known[i:j][w.doc[at]]))
+    h, g = (np.concatenate([np.zeros(0, np.uint64)] + [x[k] for x in found]) for k in (3, 4))
+    doc = np.concatenate([np.zeros(0, np.int64)] + [x[5] for x in found])
+    first, number = numbered_pairs(h, g)
+    gone = among_pairs(h, g, sets.get(kind, np.zeros(0, np.uint64)).reshape(-1, 2)) | (doc > doc[first][number])
     out, k = [], 0
-    for texts, of, start, _, _ in found:
+    for texts, of, start, *_ in found:
         hit = start[gone[k : k + len(start)]]
         k += len(start)
         cover = np.zeros(len(of) + 1, np.int32)
