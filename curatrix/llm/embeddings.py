@@ -1,13 +1,15 @@
 """Embedding near-dedup by collision counting on one-dimensional projections.
 
 Two unit vectors with cosine c lie sqrt(2 - 2c) apart, and so do, in standard deviations, their projections on a
-random direction. A pair collides on a projection when each lies in the window centred on the other. A pair goes on
-to the exact cosine when it collides on at least as many of the projections as a pair at the threshold does with
-probability RECALL_COUNT.
-
-Windows on one projection alone hold a fixed share of all pairs, which no cluster affords. So the vectors are sorted
-by the cells of several projections at once, in a number of tables that grows with the logarithm of the row count,
-and pairs are counted within a cell. Cells per table and tables follow from the row count and the recall asked for.
+random direction. Vectors are sorted along a projection, and the window centred on each gives the vectors that it may
+be near to; a pair collides on a projection when each lies in the window of the other. A pair goes on to the exact
+cosine when it collides on at least as many of the projections as a pair at the threshold does with probability
+RECALL_COUNT.
+
+Windows on one projection alone hold a fixed share of all pairs, so their number would grow with the square of the
+rows. Vectors are therefore sorted within cells that several projections make at once, in a number of tables that
+grows with the logarithm of the row count. Cells per table and tables follow from the row count and the recall asked
+for. What a pair shares is counted in the first table that joins it, so no link counts twice.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ RECALL_COUNT = 0.9995
 COUNTED = 64
 CELL = math.sqrt(10.0)
 MATES = 20
+WIDE = 4.0  # standard deviations that a window on the sorted projection reaches
 BLOCK = 4096
 PAIRS = 1 << 17
 
@@ -67,43 +71,62 @@ def _directions(d: int, k: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([seed, d])).standard_normal((d, k))
 
 
-def _unit(rows: list, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    x = np.array([np.frombuffer(r, kind) for r in rows]).astype(np.float64)
-    return x, x / np.sqrt((x * x).sum(1))[:, None]
+def _packed(col: pa.Array, kind: str) -> np.ndarray:
+    """The bytes of a binary column, one after the other, as numbers."""
+    ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind)
+
+
+def _binary(data: np.ndarray, size: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """A binary column of rows of `size` bytes of `data`, null where not valid; such rows have size 0."""
+    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [pa.array(valid).buffers()[1], pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _by_length(col: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Lengths in bytes, and the rows of each."""
+    size = pc.binary_length(col).to_numpy(zero_copy_only=False)
+    for n in np.unique(size).tolist():
+        yield int(n), np.flatnonzero(size == n)
 
 
 def _valid(kind: str):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            out = []
-            for v in x.column("embedding").to_pylist():
-                if v is None or not v or None in v:
-                    out.append(None)
-                    continue
-                a = np.array(v, kind) + np.zeros(1, kind)  # -0.0 becomes 0.0, so that equal vectors have equal bytes
-                n = float((a.astype(np.float64) ** 2).sum())
-                out.append(a.tobytes() if 0 < n < math.inf else None)
-            yield pa.RecordBatch.from_pydict({"vec_id": x.column("vec_id"), "v": pa.array(out, pa.binary())})
+            col = x.column("embedding")
+            size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = col.flatten()
+            value = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(kind) + np.zeros(1, kind)  # -0.0 becomes 0.0, so that equal vectors have equal bytes
+            norm = np.zeros(len(size))
+            full = np.flatnonzero(size)
+            if len(full):
+                norm[full] = np.add.reduceat(value.astype(np.float64) ** 2, (np.cumsum(size) - size)[full])
+            valid = (norm > 0) & (norm < math.inf)
+            kept = value[np.repeat(valid, size)]
+            yield pa.RecordBatch.from_pydict({"vec_id": x.column("vec_id"), "v": _binary(kept.view(np.uint8), np.where(valid, size * kept.itemsize, 0), valid)})
 
     return check
 
 
 def _cells(kind: str, t: int, tables: int, width: float):
+    """Adds `codes`, the cell of each table, and `packed`, four bytes of each."""
+    shift = np.random.Generator(np.random.PCG64(5)).random(t * tables) * width
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            v = x.column("v").to_pylist()
-            codes: list[bytes] = [b""] * len(v)
-            for size in {len(r) for r in v}:
-                at = [i for i, r in enumerate(v) if len(r) == size]
-                _, u = _unit([v[i] for i in at], kind)
-                shift = np.random.Generator(np.random.PCG64(5)).random(t * tables) * width
+            v = x.column("v")
+            codes = np.zeros((len(v), tables), np.uint64)
+            for size, at in _by_length(v):
+                u = _packed(v.take(pa.array(at)), kind).reshape(len(at), -1).astype(np.float64)
+                u /= np.sqrt((u * u).sum(1))[:, None]
                 cell = np.floor((u @ _directions(u.shape[1], t * tables, 1) + shift) / width).astype(np.int64).view(np.uint64)
                 h = np.full((len(at), tables), size, np.uint64)
                 for k in range(t):
                     h = paired(h, cell[:, k::t], k)
-                for i, row in zip(at, h, strict=True):
-                    codes[i] = row.view(np.int64).tolist()
-            yield x.append_column("codes", pa.array(codes, pa.list_(pa.int64())))
+                codes[at] = h
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * tables), pa.array(codes.view(np.int64).ravel()))
+            short = _binary(codes.astype(np.uint32).view(np.uint8).ravel(), np.full(len(v), 4 * tables), np.ones(len(v), bool))
+            yield x.append_column("codes", lists).append_column("packed", short)
 
     return code
 
@@ -129,45 +152,51 @@ LINKED = "a long, b long, links long"
 
 
 def _count_and_verify(kind: str, cosine: float, need: int):
+    """Sorts each cell along the first of the counted projections; of the pairs within a window centred on one of
+    both, wide enough for all pairs at the threshold, counts the collisions on all of them, and verifies."""
     reach = math.sqrt(2 - 2 * cosine)
 
-    def pairs_of(order_end: np.ndarray, side: np.ndarray, half: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        count = order_end - np.arange(len(order_end)) - 1
+    def windows(p: np.ndarray, cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows (i, k) of one cell, k after i along the projection and in the window of i, by blocks."""
+        place = cell * (4 * p.max(initial=1.0, where=np.isfinite(p)) + 4 * WIDE * reach + 4) + p  # sorted over all cells
+        count = np.searchsorted(place, place + WIDE * reach * (1 + 1e-5), "right") - np.arange(len(p)) - 1
         ends = np.cumsum(count)
         at = 0
         while at < len(count):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + PAIRS, "right")))
             i = np.repeat(np.arange(at, to), count[at:to])
-            k = i + 1 + np.arange(len(i)) - np.repeat(ends[at:to] - count[at:to] - (ends[at - 1] if at else 0), count[at:to])
-            use = ~half[i] | (side[i] != side[k])  # of two blocks only the pairs across
-            yield i[use], k[use]
+            yield i, i + 1 + np.arange(len(i)) - np.repeat(ends[at:to] - count[at:to] - base, count[at:to])
             at = to
 
-    def work(rows: dict[str, list]) -> pa.RecordBatch:
-        rep, n = np.array(rows["rep"], np.int64), np.array(rows["n"], np.int64)
-        key = np.array([rows[c] for c in ("tab", "code", "bi", "bj")], np.int64)
-        order = np.lexsort(key[::-1])
-        key, rep, n = key[:, order], rep[order], n[order]
-        codes = np.array(rows["codes"], np.int64)[order]
-        side, half = np.array(rows["x"], np.int64)[order], key[2] != key[3]
-        x, u = _unit([rows["v"][i] for i in order], kind)
-        p = (u @ _directions(u.shape[1], COUNTED, 2)).astype(np.float32)
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        col = lambda c: rows.column(c).combine_chunks()
+        key = np.stack([col(c).to_numpy() for c in ("tab", "code", "bi", "bj")]).astype(np.int64)
+        v = col("v")
+        x = _packed(v, kind).reshape(len(v), -1).astype(np.float64)
+        square = np.einsum("ij,ij->i", x, x)
+        p = (x / np.sqrt(square)[:, None] @ _directions(x.shape[1], COUNTED, 2)).astype(np.float32)
+        order = np.lexsort((p[:, 0], *key[::-1]))
+        key, p, x, square = key[:, order], p[order], x[order], square[order]
+        rep, n, side = (col(c).to_numpy()[order].astype(np.int64) for c in ("rep", "n", "x"))
+        half, tab = key[2] != key[3], key[0]
+        size = 4 * tab  # of each row the cells of the tables before this one, four bytes each
+        before = np.zeros((len(rep), int(tab.max(initial=0))), np.int32)
+        data, start = _packed(col("codes"), "<i4"), np.concatenate(([0], np.cumsum(size[np.argsort(order)])))[order] // 4
+        for t in range(before.shape[1]):
+            has = tab > t
+            before[has, t] = data[start[has] + t]
         new = np.ones(len(rep), bool)
         new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
-        at = np.flatnonzero(new)
-        end = np.append(at[1:], len(rep))[np.cumsum(new) - 1]
         links, a, b = np.zeros(len(rep), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, k in pairs_of(end, side, half):
-            if not len(i):
-                continue
-            tab = key[0][i]
-            first = np.ones(len(i), bool)
-            for t in range(int(tab.max())):  # a pair counts in the first table in which it shares a cell
-                first &= (codes[i, t] != codes[k, t]) | (tab <= t)
-            i, k = i[first], k[first]
+        for i, k in windows(p[:, 0].astype(np.float64), np.cumsum(new) - 1):
+            use = ~half[i] | (side[i] != side[k])  # of two blocks only the pairs across
+            for t in range(before.shape[1]):  # a pair counts in the first table in which it shares a cell
+                use &= (before[i, t] != before[k, t]) | (tab[i] <= t)
+            i, k = i[use], k[use]
             hits = (np.abs(p[i] - p[k]) <= np.float32(reach * (1 + 1e-5))).sum(1)
             i, k = i[hits >= need], k[hits >= need]
-            dot = np.einsum("ij,ij->i", x[i], x[k]) / np.sqrt(np.einsum("ij,ij->i", x[i], x[i]) * np.einsum("ij,ij->i", x[k], x[k]))
+            dot = np.einsum("ij,ij->i", x[i], x[k]) / np.sqrt(square[i] * square[k])
             i, k = i[dot >= cosine], k[dot >= cosine]
             np.add.at(links, i, n[k])
             np.add.at(links, k, n[i])
@@ -184,15 +213,11 @@ def _count_and_verify(kind: str, cosine: float, need: int):
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, dict[str, list]] = {}
-        for x in batches:
-            got = x.to_pydict()
-            for i, v in enumerate(got["v"]):
-                mine = rows.setdefault(len(v), {c: [] for c in got})
-                for c in got:
-                    mine[c].append(got[c][i])
-        for size in list(rows):
-            yield work(rows.pop(size))
+        found = list(batches)
+        if found:
+            rows = pa.Table.from_batches(found)
+            for _, at in _by_length(rows.column("v").combine_chunks()):
+                yield work(rows if len(at) == rows.num_rows else rows.take(pa.array(at)))
 
     return run
 
@@ -212,8 +237,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     classes = known.groupBy("k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     reps = known.join(classes, (known["vec_id"] == classes["rep"]) & (known["k"] == classes["k"])).select("rep", "n", "v").dropDuplicates(["rep"])
     t, tables, width = tables_for(classes.count(), cosine, recall)
-    coded = written(reps.mapInArrow(_cells(kind, t, tables, width), "rep long, n long, v binary, codes array<long>"), "codes")
-    cells = coded.select("rep", "n", "v", "codes", F.posexplode("codes").alias("tab", "code"))
+    coded = written(reps.mapInArrow(_cells(kind, t, tables, width), "rep long, n long, v binary, codes array<long>, packed binary"), "codes")
+    cells = coded.select("rep", "n", "v", "packed", F.posexplode("codes").alias("tab", "code"))
+    cells = cells.withColumn("codes", F.substring("packed", F.lit(1), 4 * F.col("tab"))).drop("packed")
     crowds = coded.select(F.posexplode("codes").alias("tab", "code")).groupBy("tab", "code").count().where(F.col("count") > 1)
     crowds = crowds.select("tab", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     cells = cells.join(crowds, ["tab", "code"]).withColumn("x", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
