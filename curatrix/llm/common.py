@@ -287,7 +287,8 @@ def windows_of(h: np.ndarray, to: int, salt: int = 0) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base of the polynomial hashes, and of its inverse."""
     if len(_POWERS[0]) < n:
         for i, base in enumerate((_BASE, _INVERSE)):
             x = np.full(n, base)
@@ -299,7 +300,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _in_block(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate(([0], (~_SPACE[b]).view(np.int8), [0])).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _powers(len(b) + 1)
+    power, inverse = powers(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(_TABLE[b] * power[:-1], out=total[1:])
@@ -347,5 +348,14 @@ def pieces(texts: list[bytes], limit: int = 1 << 19, most: int = 1 << 16) -> Ite
         yield at, len(texts)
 
 
+def chunks(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to at most `limit`, or of one row of a larger size."""
+    ends, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield at, to
+        at = to
+
+
 def no_nulls(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))

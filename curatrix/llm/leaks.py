@@ -1,15 +1,18 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items meet on shared runs of TILE tokens, the shortest that can be a tile, so no pair with a
-tile is left out. The share of an item's tokens that lie in shared runs bounds what tiles can cover; the items of a
-text are tiled in order of this bound, until no further one can cover more than the best so far. Greedy string tiling
-marks the longest match of tokens that neither side has marked yet, again and again, down to TILE tokens; running
-Karp-Rabin finds the matches of a search length. An item leaked if the tiles cover enough of its tokens, in
-whatever order they stand, so passages that were cut up and reordered count. Where a script sets no spaces between
-words, each character is a token.
-
-The benchmark goes to the tasks in blocks of a checked size; a larger one takes more passes over the documents, none
-of which shuffles.
+Texts and benchmark items meet on seeds, runs of TILE tokens, the shortest that can be a tile. An item covered to
+`coverage` has at least coverage * length / TILE of its runs in the text, so of its rarest runs, all but so many less
+one, the text holds one: these are its seeds, and a phrase that many items share joins none of them by itself. The
+share of an item's tokens that lie in shared runs bounds what tiles can cover; items whose bound reaches `coverage`
+are tiled, in order of this bound, until no further one can cover more than the best so far.
+
+Greedy string tiling marks the longest match of tokens that neither side has marked yet, again and again, down to
+TILE tokens; running Karp-Rabin finds the matches of a search length. An item leaked if the tiles cover enough of its
+tokens, in whatever order they stand, so passages that were cut up and reordered count. Where a script sets no spaces
+between words, each character is a token.
+
+The benchmark goes to the tasks in blocks of a checked size, one pass over the texts each; the driver holds one block
+at a time. A pass writes the leaks it found, by hash of the text, and these are joined to the documents at the end.
 """
 
 from __future__ import annotations
@@ -21,13 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from curatrix.llm.common import joined, pieces, windows_of, words_of
+from curatrix.llm.common import among, chunks, joined, pieces, powers, windows_of, words_of, written
 
 TILE = 3
 COVERAGE = 0.6
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+PAIRS = 1 << 18  # pairs worked on at once
 _PUNCTUATION = re.compile(r"[\W_]+")
 #: Letters of scripts without spaces between words: Thai to Lao, Myanmar, Khmer, kana and Han.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
@@ -44,38 +47,72 @@ def tokens(text: str) -> np.ndarray:
     return words_of(token_text(text))[2]
 
 
-def tile(a: list[int], b: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in a, start in b, length) of non-overlapping equal runs of `least` or more
-    tokens, longest first; of equally long ones the one that starts first in a, then in b."""
-    marked_a, marked_b = [False] * len(a), [False] * len(b)
+class _Rolling:
+    """Karp-Rabin hashes of the runs of a sequence: prefix sums of a polynomial, so that those of any length follow
+    from one another by a subtraction."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        power, self.inverse = powers(len(x) + 1)
+        self.x, self.free = x, np.ones(len(x), bool)
+        self.total = np.zeros(len(x) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(x * power[:-1], out=self.total[1:])
+
+    def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash) of the runs of `size` unmarked tokens."""
+        taken = np.concatenate(([0], np.cumsum(~self.free)))
+        start = np.flatnonzero(taken[size:] == taken[: max(0, len(taken) - size)])
+        with np.errstate(over="ignore"):
+            return start, (self.total[start + size] - self.total[start]) * self.inverse[start]
+
+
+def _matches(a: _Rolling, b: _Rolling, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start in a, start in b, length) of the unmarked equal runs of `size` or more tokens that no token before or
+    after them makes longer. Runs of equal hash are compared token by token."""
+    i, ha = a.runs(size)
+    j, hb = b.runs(size)
+    order = np.argsort(hb, kind="stable")
+    hb, j = hb[order], j[order]
+    low, high = np.searchsorted(hb, ha), np.searchsorted(hb, ha, "right")
+    n, found = high - low, [np.zeros((3, 0), np.int64)]
+    for at, to in chunks(n, PAIRS):
+        m = n[at:to]
+        x = np.repeat(i[at:to], m)
+        y = j[np.arange(len(x)) - np.repeat(np.cumsum(m) - m - low[at:to], m)]
+        starts = (x == 0) | (y == 0)
+        starts |= ~(a.free[x - 1] & b.free[y - 1] & (a.x[x - 1] == b.x[y - 1]))
+        x, y = x[starts], y[starts]
+        k, live = np.zeros(len(x), np.int64), np.arange(len(x))
+        while len(live):
+            p, q = x[live] + k[live], y[live] + k[live]
+            inside = (p < len(a.x)) & (q < len(b.x))
+            live, p, q = live[inside], p[inside], q[inside]
+            live = live[(a.x[p] == b.x[q]) & a.free[p] & b.free[q]]
+            k[live] += 1
+        found.append(np.stack((x, y, k))[:, k >= size])
+    return tuple(np.concatenate(found, 1))
+
+
+def tile(x: np.ndarray, y: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (start in x, start in y, length) of non-overlapping equal runs of `least` or more
+    tokens, longest first; of equally long ones the one that starts first in x, then in y."""
+    a, b = _Rolling(np.asarray(x, np.uint64)), _Rolling(np.asarray(y, np.uint64))
     tiles: list[tuple[int, int, int]] = []
-    size = max(least, min(len(a), len(b)) // 2)
+    size = max(least, min(len(x), len(y)) // 2)
     while True:
-        at: dict[tuple[int, ...], list[int]] = {}  # running Karp-Rabin: the runs of `size` unmarked tokens of b
-        for j in range(len(b) - size + 1):
-            if not any(marked_b[j : j + size]):
-                at.setdefault(tuple(b[j : j + size]), []).append(j)
-        heads = {k[0] for k in at}
-        found: list[tuple[int, int, int]] = []
-        for i in range(len(a) - size + 1):
-            if a[i] in heads and not any(marked_a[i : i + size]):
-                for j in at.get(tuple(a[i : i + size]), ()):
-                    k = size
-                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not marked_a[i + k] and not marked_b[j + k]:
-                        k += 1
-                    found.append((-k, i, j))
-        found.sort()
-        if found and -found[0][0] > 2 * size:
-            size = -found[0][0]
+        i, j, k = _matches(a, b, size)
+        if len(k) and k.max() > 2 * size:
+            size = int(k.max())
             continue
         redo = False
-        for k, i, j in found:
-            if any(marked_a[i : i - k]) or any(marked_b[j : j - k]):
+        for t in np.lexsort((j, i, -k)).tolist():
+            p, q, n = int(i[t]), int(j[t]), int(k[t])
+            if a.free[p : p + n].all() and b.free[q : q + n].all():
+                a.free[p : p + n] = b.free[q : q + n] = False
+                tiles.append((p, q, n))
+            else:
                 redo = True  # part of it is taken; what is left may still be long enough
-                continue
-            marked_a[i : i - k] = marked_b[j : j - k] = [True] * -k
-            tiles.append((i, j, -k))
-        if redo and found:
+        if redo:
             continue
         if size <= least:
             return tiles
@@ -83,11 +120,10 @@ def tile(a: list[int], b: list[int], least: int = TILE) -> list[tuple[int, int,
 
 
 class Benchmark:
-    """A block of items: their tokens, and all their runs of `least` tokens in order, with the item of each and its
-    place there."""
+    """A block of items: their tokens and runs, and the seeds with the item of each."""
 
-    def __init__(self, rows: list[tuple[int, str]], least: int = TILE) -> None:
-        self.least, self.ids, self.tokens = least, [], []
+    def __init__(self, rows: list[tuple[int, str]], coverage: float = COVERAGE, least: int = TILE) -> None:
+        self.least, self.coverage, self.ids, self.tokens = least, coverage, [], []
         runs = [np.zeros(0, np.uint64)]
         for item, text in rows:
             t = tokens(text)
@@ -96,112 +132,135 @@ class Benchmark:
             runs.append(windows_of(t, least))
             self.ids.append(item)
             self.tokens.append(t)
-        size = [len(x) for x in runs[1:]]
-        h = np.concatenate(runs)
-        order = np.argsort(h, kind="stable")
-        self.runs = h[order]
-        self.of = np.repeat(np.arange(len(size)), size)[order]
-        self.place = np.concatenate([np.zeros(0, np.int64), *map(np.arange, size)])[order]
+        self.size = np.array([len(t) for t in self.tokens], np.int64)
+        n = np.maximum(0, self.size - least + 1)
+        self.known, self.run, count = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
+        self.first = np.cumsum(n) - n  # where the runs of each item begin
+        of = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((self.run, count[self.run], of))  # the rarest of each item first
+        spare = np.maximum(1, np.ceil(coverage * self.size / least - 1e-9).astype(np.int64)) - 1
+        use = np.arange(len(of)) - self.first[of] < (n - spare)[of]
+        order = order[use]
+        order = order[np.lexsort((of[order], self.run[order]))]
+        self.seed, self.of = self.run[order], of[order]
 
     def leaks(self, texts: list[str]) -> list[tuple[int, float, int] | None]:
         """For each text its item of greatest coverage, of those the smallest: (item_id, coverage, tiles)."""
+        out: list[tuple[int, float, int] | None] = [None] * len(texts)
         data, at = joined([token_text(t) for t in texts])
         start, _, word = words_of(data)
         doc = np.searchsorted(at, start, "right") - 1
         begin = np.searchsorted(doc, np.arange(len(texts) + 1))
-        out: list[tuple[int, float, int] | None] = [None] * len(texts)
         h = windows_of(word, self.least)
-        lo = np.searchsorted(self.runs, h)
-        same = np.flatnonzero((lo < len(self.runs)) & (self.runs[np.minimum(lo, len(self.runs) - 1)] == h)) if len(self.runs) else np.zeros(0, np.int64)
-        same = same[doc[same] == doc[same + self.least - 1]]
-        ends = np.searchsorted(doc[same], np.arange(len(texts) + 1))
-        for d in np.flatnonzero(np.diff(ends)).tolist():
-            out[d] = self._best(word[begin[d] : begin[d + 1]], same[ends[d] : ends[d + 1]] - begin[d], h[same[ends[d] : ends[d + 1]]])
+        place = np.flatnonzero(doc[: len(h)] == doc[self.least - 1 :]) if len(h) else np.zeros(0, np.int64)
+        if not len(place) or not len(self.known):
+            return out
+        run = np.minimum(np.searchsorted(self.known, h[place]), len(self.known) - 1)
+        same = self.known[run] == h[place]
+        place, run = place[same], run[same]
+        pair = np.unique(doc[place] * len(self.known) + run)  # (text, run), each once
+        text = pair // len(self.known)
+        met = np.searchsorted(self.seed, pair % len(self.known), "right") - np.searchsorted(self.seed, pair % len(self.known))
+        ends = np.searchsorted(text, np.arange(len(texts) + 1))
+        met = np.concatenate(([0], np.cumsum(met)))[ends]
+        for i, j in chunks(np.diff(met), PAIRS):  # of texts
+            self._candidates(pair[ends[i] : ends[j]], word, begin, place, run, out)
         return out
 
-    def _best(self, word: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[int, float, int] | None:
-        """leaks() for one text, of which the runs `h` at `at` are shared with items."""
-        kinds = np.unique(h)
-        first = np.searchsorted(self.runs, kinds)
-        n = np.searchsorted(self.runs, kinds, "right") - first
-        row = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        of, place = self.of[row], self.place[row]
-        order = np.lexsort((place, of))
-        of, place, kind = of[order], place[order], np.repeat(kinds, n)[order]
-        fresh = np.minimum(np.diff(place, prepend=0), self.least)  # tokens of the item in no shared run before
-        heads = np.flatnonzero(np.diff(of, prepend=-1))
-        fresh[heads] = self.least
-        bound = np.add.reduceat(fresh, heads) / np.array([len(self.tokens[i]) for i in of[heads].tolist()])
-        last = np.append(heads[1:], len(of))
-        best = None
-        for k in sorted(range(len(heads)), key=lambda k: (-bound[k], self.ids[of[heads[k]]])):
-            i = int(of[heads[k]])
-            if best and (-bound[k], self.ids[i]) >= (-best[1], best[0]):
-                break
-            item = self.tokens[i]
-            near = np.zeros(len(word), bool)  # in a run that the item has too
-            p = at[np.isin(h, kind[heads[k] : last[k]])]
-            for j in range(self.least):
-                near[p + j] = True
-            keep = word[near].tolist()
-            gaps = np.flatnonzero(np.diff(np.flatnonzero(near)) > 1) + 1
-            parts = list(zip([0, *gaps.tolist()], [*gaps.tolist(), len(keep)], strict=True))
-            keep = [x for i, j in parts for x in (*keep[i:j], -1)]  # no match runs from one place to another
-            tiles = tile(item.tolist(), keep[:-1], self.least)
-            got = (self.ids[i], sum(k for _, _, k in tiles) / len(item), len(tiles))
-            if tiles and (best is None or (-got[1], got[0]) < (-best[1], best[0])):
-                best = got
-        return best
-
-
-LEAK = [T.StructField("leak_item", T.LongType()), T.StructField("leak_coverage", T.DoubleType()), T.StructField("leak_tiles", T.LongType())]
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs` with leak_item (the item_id whose tiles cover most of it in this text, of equal ones the smallest;
-    null if none has a tile), leak_coverage (0 to 1; 0 if none) and leak_tiles. Columns of these names are
-    replaced. Null and empty texts leak nothing; null items and items of fewer than TILE tokens are no items, nor
-    are rows without item_id. Repeated rows get equal results. Other columns stay. No rows in, none out; an empty
-    benchmark leaks nowhere."""
-    spark = docs.sparkSession
-    docs = docs.drop(*(f.name for f in LEAK))
+    def _candidates(self, pair: np.ndarray, word: np.ndarray, begin: np.ndarray, place: np.ndarray, run: np.ndarray, out: list) -> None:
+        """Fills `out` for the texts of `pair`: each the number of a text and of a run that it holds."""
+        runs = len(self.known)
+        low = np.searchsorted(self.seed, pair % runs)
+        n = np.searchsorted(self.seed, pair % runs, "right") - low
+        row = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.unique(np.repeat(pair // runs, n) * len(self.size) + self.of[row])
+        for k, z in chunks((self.size - self.least + 1)[both % len(self.size)], PAIRS):
+            text, item = np.divmod(both[k:z], len(self.size))
+            n = self.size[item] - self.least + 1
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            key = np.repeat(text, n) * runs + self.run[np.repeat(self.first[item], n) + inner]
+            hit = np.flatnonzero(among(key, pair))
+            of = np.repeat(np.arange(len(item)), n)[hit]
+            fresh = np.minimum(np.diff(inner[hit], prepend=0), self.least)  # tokens of the item in no shared run before
+            heads = np.flatnonzero(np.diff(of, prepend=-1))
+            fresh[heads] = self.least
+            bound = np.bincount(of, fresh, len(item)) / self.size[item]
+            may = np.flatnonzero(bound >= self.coverage)
+            for t in may[np.lexsort((np.array(self.ids)[item[may]], -bound[may], text[may]))].tolist():
+                d, i, best = int(text[t]), int(item[t]), out[int(text[t])]
+                if best and (-bound[t], self.ids[i]) >= (-best[1], best[0]):
+                    continue
+                mine = slice(*np.searchsorted(place, begin[d : d + 2]))
+                tiles = tile(self.tokens[i], self._near(i, word[begin[d] : begin[d + 1]], place[mine] - begin[d], run[mine]), self.least)
+                got = (self.ids[i], sum(z for _, _, z in tiles) / int(self.size[i]), len(tiles))
+                if got[1] >= self.coverage and (best is None or (-got[1], got[0]) < (-best[1], best[0])):
+                    out[d] = got
+
+    def _near(self, i: int, word: np.ndarray, place: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """The tokens of a text in runs that item i has too, with a gap, a token of no item, after each stretch."""
+        p = place[np.isin(run, self.run[self.first[i] : self.first[i] + int(self.size[i]) - self.least + 1])]
+        near = np.zeros(len(word) + 1, bool)
+        for j in range(self.least):
+            near[p + j] = True
+        ends = np.concatenate(([False], near[:-1] & ~near[1:]))
+        return np.where(near, np.append(word, np.uint64(0)), np.uint64(0))[near | ends]
+
+
+FOUND = "leak_key string, leak_item long, leak_coverage double, leak_tiles long"
+
+
+def leaking(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(leak_key, leak_item, leak_coverage, leak_tiles): for each distinct text of `docs`, by its MD5, of which an
+    item is covered to `coverage`, the item covered most, of equal ones the smallest. Null items and items of fewer
+    than TILE tokens are no items, nor are rows without item_id."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, *LEAK])
-    out = docs.select("*", F.lit(None).cast("long").alias("leak_item"), F.lit(0.0).alias("leak_coverage"), F.lit(0).cast("long").alias("leak_tiles"))
+    texts = docs.where("text is not null").select(F.md5("text").alias("leak_key"), F.col("text").alias("leak_text"))
+    found = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        sent = spark.sparkContext.broadcast(Benchmark(sorted((r.item_id, r.text) for r in block.distinct().collect())))
-        out = out.mapInArrow(_look_up(sent, names), schema)
-    return out
+        sent = docs.sparkSession.sparkContext.broadcast(Benchmark(sorted((r.item_id, r.text) for r in block.distinct().collect()), coverage))
+        part = written(texts.mapInArrow(_look_up(sent), FOUND), "leaks")  # the block is done with now
+        sent.destroy()
+        found = part if found is None else found.union(part)
+    best = F.min(F.struct((-F.col("leak_coverage")).alias("c"), "leak_item", "leak_tiles")).alias("r")
+    best = found.groupBy("leak_key").agg(best).select("leak_key", "r.leak_item", (-F.col("r.c")).alias("leak_coverage"), "r.leak_tiles")
+    return written(best, "leaks")  # its size is known from now on, so Spark broadcasts it only if it is small
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`docs` with leak_item (see leaking(); null if none is covered), leak_coverage (its covered share; 0 if none)
+    and leak_tiles. Columns of these names are replaced; the others stay. Null and empty texts leak nothing. Repeated
+    rows get equal results, and texts of any length are looked at whole. No rows in, none out; an empty benchmark
+    leaks nowhere."""
+    docs = docs.drop("leak_item", "leak_coverage", "leak_tiles")
+    best = leaking(docs, benchmark, coverage, block_bytes)
+    rows = docs.join(best, F.md5(docs["text"]) == best["leak_key"], "left")
+    return rows.select(*[docs[c] for c in docs.columns], best["leak_item"], F.coalesce(best["leak_coverage"], F.lit(0.0)).alias("leak_coverage"), F.coalesce(best["leak_tiles"], F.lit(0).cast("long")).alias("leak_tiles"))
 
 
-def _look_up(sent, names: list[str]):
+def _look_up(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = sent.value
         for x in batches:
-            text = [t or "" for t in x.column("text").to_pylist()]
-            best = list(zip(*(x.column(f.name).to_pylist() for f in LEAK), strict=True))
+            text, key = x.column("leak_text").to_pylist(), x.column("leak_key")
             for i, j in pieces(text):
-                for k, got in enumerate(block.leaks(text[i:j]), i):
-                    old = best[k]
-                    if got and (old[0] is None or (-got[1], got[0]) < (-old[1], old[0])):
-                        best[k] = got
-            cols = list(zip(*best, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([x.column(i) for i in range(len(names))] + [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.int64()), strict=True)], [*names, *(f.name for f in LEAK)])
+                got = [(k, *g) for k, g in enumerate(block.leaks(text[i:j]), i) if g]
+                if got:
+                    at, *cols = zip(*got, strict=True)
+                    yield pa.RecordBatch.from_arrays([key.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.int64()), strict=True))], [c.split()[0] for c in FOUND.split(", ")])
 
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of `docs` of whose text no item is covered to `coverage` or more."""
-    return find_leaks(docs, benchmark).where(F.col("leak_coverage") < coverage).select(*docs.columns)
+    """The rows of `docs` of whose text no item is covered to `coverage` or more, with all their columns."""
+    best = leaking(docs, benchmark, coverage)
+    return docs.join(best, F.md5(docs["text"]) == best["leak_key"], "left_anti")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaked = F.col("leak_coverage") >= COVERAGE
-    return rows.select("doc_id", leaked.alias("contaminated"), F.when(leaked, F.col("leak_item")).alias("item_id"), F.col("leak_coverage").alias("coverage"), F.col("leak_tiles").alias("n_tiles"))
+    return rows.select("doc_id", F.col("leak_item").isNotNull().alias("contaminated"), F.col("leak_item").alias("item_id"), F.col("leak_coverage").alias("coverage"), F.col("leak_tiles").alias("n_tiles"))

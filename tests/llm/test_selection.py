@@ -90,7 +90,7 @@ def test_leaks(spark, none):
     docs = spark.createDataFrame([(*r, 1.0, "x") for r in rows], "doc_id long, text string, leak_coverage double, b string")
     bench = spark.createDataFrame([*items, (50, None), (51, ""), (52, "a b"), (None, "c d e f g"), items[3]], "item_id long, text string")
     for size in (leaks.BLOCK_BYTES, 3000):  # one block of items, and several
-        got = {r.doc_id: (r.leak_item, r.leak_coverage) for r in leaks.find_leaks(docs, bench, size).collect()}
+        got = {r.doc_id: (r.leak_item, r.leak_coverage) for r in leaks.find_leaks(docs, bench, block_bytes=size).collect()}
         assert all(got[d][0] == item and got[d][1] >= leaks.COVERAGE for d, item in want.items())
         assert all(got[d][1] < leaks.COVERAGE for d in got if d is not None and d >= 1000)
         assert got[None] == (0, 1.0)
