@@ -8,7 +8,8 @@ that short paragraphs and headings stay. Lines of an article or main part weigh
 holds most of the text; a dense region outside is content too. What is a menu, header, footer, sidebar, notice,
 advert, form, script or style by its tag or role is never content. What is one, or comments, by its class or id only
 is none either, unless it wraps the page: it holds most of the text, and with it a main part or first heading, or
-nearly all of the text.
+nearly all of the text. Names that content bears too (WEAK) leave it to the ratios: such an element of an article is a
+region of its own. Time and memory are linear in the page, whatever its depth.
 """
 
 from __future__ import annotations
@@ -38,39 +39,61 @@ NAMED = re.compile(
     r"newsletter|subscribe|signup|login|social|share|sharing|comments?|disqus|replies|reply|toolbar|pagination|pager|copyright|legal)(?:$|[-_\s])", re.I)
 
 HEADS = re.compile(r"header|masthead|nav|menu|banner", re.I)
+WEAK = re.compile(r"related|widget|toolbar|copyright|legal", re.I)
+SCOPES = REGIONS | {"ul", "ol", "table"}  # a tag in one of these ends none outside it
+SOLE = frozenset("p li dt dd option tr td th".split())  # an open one ends where the next begins
 
 
 class _Events(HTMLParser):
-    """Lines (text, tags before it, region number) of what isn't hidden, and of each line the elements around it, from
-    the outermost on, that a class or id names as no content; wrapping: those with a main part or first heading."""
+    """Lines (text, tags before it, region number) of what isn't hidden. Elements that a class or id names as no
+    content are numbered; of each line `around` has the innermost, of each element `outer` has the next one around
+    it, and `wrapping` whether it holds a main part or first heading itself."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
         self.tags = 0
-        self.open: list[tuple[str, bool, int, tuple[int, ...]]] = []
+        self.open: list[tuple[str, bool, int, int, bool]] = []  # tag, hidden, region, named element, in an article
+        self.count: dict[str, int] = {}
+        self.scopes: list[tuple[str, dict[str, int]]] = [("", {})]  # open tags since the last of SCOPES
         self.regions: list[str] = ["page"]
-        self.around: list[tuple[int, ...]] = []
-        self.named = 0
-        self.wrapping: set[int] = set()
+        self.around: list[int] = []
+        self.outer: list[int] = [0]
+        self.wrapping: list[bool] = [False]
 
     @property
-    def _now(self) -> tuple[bool, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
-
-    @property
-    def _around(self) -> tuple[int, ...]:
-        return self.open[-1][3] if self.open else ()
+    def _now(self) -> tuple[bool, int, int, bool]:
+        return self.open[-1][1:] if self.open else (False, 0, 0, False)
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
             self.lines.append((text, self.tags, self._now[1]))
-            self.around.append(self._around)
+            self.around.append(self._now[2])
             self.tags = 0
 
+    def _push(self, tag: str, *state) -> None:
+        self.open.append((tag, *state))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        if tag in SCOPES:
+            self.scopes.append((tag, {}))
+        else:
+            self.scopes[-1][1][tag] = self.scopes[-1][1].get(tag, 0) + 1
+
+    def _pop_to(self, tag: str) -> None:
+        """Ends open elements up to and with the last `tag`: each element ends once."""
+        while True:
+            last = self.open.pop()[0]
+            self.count[last] -= 1
+            if last in SCOPES:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][1][last] -= 1
+            if last == tag:
+                return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._end_line()
@@ -79,36 +102,30 @@ class _Events(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):  # an open one of its kind ends here
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == tag:
-                    if all(x[0] not in REGIONS and x[0] not in ("ul", "ol", "table") for x in self.open[i + 1 :]):
-                        del self.open[i:]
-                    break
-                if self.open[i][0] in REGIONS or self.open[i][0] in ("ul", "ol", "table"):
-                    break
-        hidden, region = self._now
-        around = self._around
+        if tag in SOLE and (self.scopes[-1][0] == tag or self.scopes[-1][1].get(tag)):
+            self._pop_to(tag)
+        hidden, region, around, inside = self._now
         if not hidden:
             a = dict(attrs)
             named = " ".join(filter(None, (a.get("class"), a.get("id"))))
             styled = (a.get("style") or "").replace(" ", "").lower()
-            inside = any(x[0] in ("article", "main") for x in self.open)
             inner_head = tag == "header" and inside
             marks = [m[0] for m in NAMED.finditer(named)]
             if inside or tag == "article":  # an article's own header is content
                 marks = [m for m in marks if not HEADS.search(m)]
             hidden = (tag in HIDDEN and not inner_head) or (a.get("role") or "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in styled
-            is_named = tag not in ("html", "body", "main") and bool(marks)
+            weak = inside and bool(marks) and all(WEAK.search(m) for m in marks)
+            is_named = tag not in ("html", "body", "main") and bool(marks) and not weak
             if not hidden and (tag in ("h1", "main") or (tag == "article" and not is_named)):
-                self.wrapping.update(around)
+                self.wrapping[around] = True
             if not hidden and is_named:
-                self.named += 1
-                around = (*around, self.named)
-            if tag in REGIONS and not hidden and not (region and self.regions[region] in ("article", "main")):
-                self.regions.append(tag)
+                self.outer.append(around)
+                self.wrapping.append(False)
+                around = len(self.outer) - 1
+            if not hidden and (weak or (tag in REGIONS and not (region and self.regions[region] in ("article", "main")))):
+                self.regions.append("named" if weak else tag)
                 region = len(self.regions) - 1
-        self.open.append((tag, hidden, region, around))
+        self._push(tag, hidden, region, around, inside or tag in ("article", "main"))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -119,12 +136,8 @@ class _Events(HTMLParser):
         if tag in BLOCKS:
             self._end_line()
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-            if tag not in REGIONS and self.open[i][0] in REGIONS:
-                break  # a stray end tag ends nothing outside its region
+        if self.count.get(tag) if tag in SCOPES else self.scopes[-1][1].get(tag):
+            self._pop_to(tag)
 
     def handle_data(self, data: str) -> None:
         if not self._now[0]:
@@ -163,13 +176,17 @@ def threshold(values: list[float]) -> float:
 def _shown(lines: list[tuple[str, int, int]], events: _Events) -> list[tuple[str, int, int]]:
     """The lines in no element named as no content, wrappers of the page aside. The tags of a line left out count to
     none."""
-    size: dict[int, int] = {}
-    for (t, _, _), around in zip(lines, events.around, strict=True):
-        for k in around:
-            size[k] = size.get(k, 0) + len(t)
-    total = sum(len(t) for t, _, _ in lines)
-    wraps = {k for k, n in size.items() if n > (MOST if k in events.wrapping else NEARLY_ALL) * total}
-    return [x for x, around in zip(lines, events.around, strict=True) if wraps.issuperset(around)]
+    outer, wrapping = events.outer, events.wrapping.copy()
+    size = [0] * len(outer)
+    for (t, _, _), k in zip(lines, events.around, strict=True):
+        size[k] += len(t)
+    for k in range(len(outer) - 1, 0, -1):  # an element comes before those in it
+        size[outer[k]] += size[k]
+        wrapping[outer[k]] |= wrapping[k]
+    shown = [True] * len(outer)
+    for k in range(1, len(outer)):
+        shown[k] = shown[outer[k]] and size[k] > (MOST if wrapping[k] else NEARLY_ALL) * size[0]
+    return [x for x, k in zip(lines, events.around, strict=True) if shown[k]]
 
 
 def main_text(html: str | None) -> str:
@@ -180,12 +197,13 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     whole = {i for i, x in enumerate(events.regions) if x in ("article", "main")}
+    inner = whole | {i for i, x in enumerate(events.regions) if x == "named"}
     ratio = smoothed([len(t) / max(1, tags) for t, tags, _ in lines])
     cut = threshold(ratio)
     size, dense = {}, {}
     for (t, _, r), v in zip(lines, ratio, strict=True):
         size[r] = size.get(r, 0) + len(t)
-        dense[r] = dense.get(r, 0) + len(t) * (v * (MARKED if r in whole else 1) >= cut)
+        dense[r] = dense.get(r, 0) + len(t) * (v * (MARKED if r in inner else 1) >= cut)
     total = sum(size.values())
     keep = {r for r in size if 2 * dense[r] >= size[r] or (r in whole and size[r] > MOST * total)} or {max(size, key=lambda r: (size[r], -r))}
     return "\n".join(t for t, _, r in lines if r in keep)
@@ -198,7 +216,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) for every row of `pages`, repeated rows included; text is never null."""
+    """(page_id, url, text) for every row of `pages` (page_id, url, html), repeated rows included; text is never
+    null, and empty for null, empty and boilerplate-only pages. Pages of any length are read whole. Other columns are
+    ignored, also one named text. No rows in, none out."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string")
 

@@ -1,6 +1,9 @@
 """Cases that a cut inside an operator would lose."""
 
+import math
 import random
+import re
+import time
 
 from curatrix.llm import html_text, language, leaks
 from tests.llm.conftest import LETTERS, sentence
@@ -25,7 +28,7 @@ def test_leaks_are_those_of_all_pairs():
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 14)))) for i in range(30)]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(60)]
     runs = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
-    for text, got in zip(texts, leaks.Benchmark(items).leaks(texts), strict=True):
+    for text, got in zip(texts, leaks.Benchmark(items, 1e-9).leaks(texts), strict=True):
         shares = any(runs(text.split()) & runs(t.split()) for _, t in items)
         assert (got is not None) == shares
         if got:
@@ -67,3 +70,42 @@ def test_html_beside_teasers_and_in_layout_classes():
     long = "".join(f"<p>{x}</p>" for x in PROSE * 3)  # comments longer than the article are comments still
     assert html_text.main_text(f"<body><article><h1>T</h1>{body}</article><div id='comments'>{long}</div></body>") == "T\n" + want
     assert html_text.main_text(f"<body><article><ul>{'<li>item</li>' * 60}</ul></article><div><p>{PROSE[0]}</p></div></body>").count("item") == 60
+
+
+def test_html_ratios_by_brute_force():
+    """Smoothing is the weighted mean over the page; the threshold is the split of least variance within."""
+    rng = random.Random(14)
+    for n in (1, 2, 3, 9, 40):
+        v = [rng.choice([1.0, 2.0, 30.0, 80.0]) * rng.random() for _ in range(n)]
+        want = []
+        for i in range(n):
+            k = {j: math.exp(-((i - j) ** 2) / 2) for j in range(n) if abs(i - j) <= 3}
+            want.append(sum(v[j] * w for j, w in k.items()) / sum(k.values()))
+        assert all(math.isclose(a, b) for a, b in zip(html_text.smoothed(v), want, strict=True))
+        spread = lambda x: sum((y - sum(x) / len(x)) ** 2 for y in x) if x else 0.0
+        cuts = {c: spread([x for x in v if x < c]) + spread([x for x in v if x >= c]) for c in v}
+        assert cuts[html_text.threshold(v)] <= min(cuts.values()) + 1e-9
+
+
+def test_html_without_article_tags(spark):
+    """The ratios alone find what the article tag marks."""
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        assert html_text.main_text(r.html) == html_text.main_text(re.sub(r"(</?)article", r"\1div", r.html))
+
+
+def test_html_names_inside_an_article():
+    body = "".join(f"<p>{x}</p>" for x in PROSE)
+    law = "<div class='legal'><p>The law says this, in a long sentence that is part of the article and its argument.</p></div>"
+    links = "<div class='related'><a href=1>One</a><p><a href=2>Two</a></p><p><a href=3>Three</a></p></div>"
+    got = html_text.main_text(f"<article><h1>T</h1>{body}{law}{links}{body}</article><nav>x</nav>")
+    assert "The law says" in got and "Three" not in got and got.count(PROSE[0]) == 2
+
+
+def test_html_depth_is_linear():
+    took = []
+    for n in (4000, 32000):
+        begun = time.process_time()
+        page = "<div class='sidebar'>" * n + "<span>" * n + "</i>" * n + "<p>x" * 50 + "</span>" * n + "</div>" * n
+        assert html_text.main_text(page + f"<p>{PROSE[0]}</p>").endswith(PROSE[0])
+        took.append(time.process_time() - begun)
+    assert took[1] < 24 * took[0]
