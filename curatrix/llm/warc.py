@@ -1,15 +1,17 @@
 """WARC: write captures as archives, read them back, and assemble each capture's records.
 
 A capture is three records: a request, a response (or, for a payload that an earlier page has, a revisit) and a
-metadata record; the first and last name the second in WARC-Concurrent-To. Spark's text writer writes the records:
-the record end, two line breaks, is its line separator. So any file system that Spark writes to will do, and its
-commit protocol covers lost executors. Reading follows each record's Content-Length, never the separator, so that
-payloads may hold anything.
+metadata record; the first and last name the second in WARC-Concurrent-To. Each record is a gzip member of its own. A
+task fills archives of about ARCHIVE_BYTES; an archive is one line of Spark's text writer, and the line separator is
+the last byte of its last member. So any file system that Spark writes to will do, and its commit protocol covers lost
+executors. Reading inflates an archive bit by bit and follows each record's Content-Length, so that payloads may hold
+anything and memory holds one record at a time.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -20,7 +22,10 @@ from pyspark.sql import functions as F
 
 from curatrix.llm.common import no_nulls, work_path
 
-RECORDS_PER_FILE = 6000
+ARCHIVE_BYTES = 32 << 20
+PART = 1 << 16  # bytes that are inflated at once
+MEMBER = 8 << 20  # a longer record is several members, so that the size of each ends in a zero byte
+HELD = 8 << 20  # bytes of records to a batch
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -37,50 +42,82 @@ def _clean(url: str | None) -> str:
     return (url or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _page_records(page: int, url: str, html: str, first: int | None) -> Iterator[str]:
+    payload = html.encode()
+    peer = f"WARC-Concurrent-To: <urn:page:{page}:capture>\r\n"
+    about = f"WARC-Payload-Digest: sha1:{digest_of(payload)}\r\n"
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
+    if first is None:
+        yield _header("response", f"{page}:capture", url, (head + html).encode(), "application/http; msgtype=response", about) + head + html
+    else:
+        about += f"WARC-Refers-To: <urn:page:{first}:capture>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
+        yield _header("revisit", f"{page}:capture", url, head.encode(), "application/http; msgtype=response", about) + head
+    body = f"GET {url} HTTP/1.1\r\n\r\n"
+    yield _header("request", f"{page}:request", url, body.encode(), "application/http; msgtype=request", peer) + body
+    body = f"payload-bytes: {len(payload)}\r\n"
+    yield _header("metadata", f"{page}:metadata", url, body.encode(), "application/warc-fields", peer) + body
+
+
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Archives without their last byte, which is zero."""
+    held, size = [], 0
+    give = lambda: pa.RecordBatch.from_pydict({"value": pa.array([b"".join(held)[:-1]], pa.binary())})
     for x in batches:
-        out = []
         for page, url, html, first in zip(*(x.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id")), strict=True):
-            url, payload = _clean(url), html.encode()
-            digest = digest_of(payload)
-            peer = f"WARC-Concurrent-To: <urn:page:{page}:capture>\r\n"
-            about = f"WARC-Payload-Digest: sha1:{digest}\r\n"
-            head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-            if first is None or first == page:
-                body = f"{head}Content-Length: {len(payload)}\r\n\r\n{html}"
-                out.append(_header("response", f"{page}:capture", url, body.encode(), "application/http; msgtype=response", about) + body)
-            else:
-                about += f"WARC-Refers-To: <urn:page:{first}:capture>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
-                body = f"{head}Content-Length: {len(payload)}\r\n\r\n"
-                out.append(_header("revisit", f"{page}:capture", url, body.encode(), "application/http; msgtype=response", about) + body)
-            body = f"GET {url} HTTP/1.1\r\n\r\n"
-            out.append(_header("request", f"{page}:request", url, body.encode(), "application/http; msgtype=request", peer) + body)
-            body = f"payload-bytes: {len(payload)}\r\n"
-            out.append(_header("metadata", f"{page}:metadata", url, body.encode(), "application/warc-fields", peer) + body)
-        yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+            for record in _page_records(page, _clean(url), html, first):
+                data = (record + "\r\n\r\n").encode()
+                for at in range(0, len(data), MEMBER):
+                    held.append(gzip.compress(data[at : at + MEMBER], 6, mtime=0))
+                    size += len(held[-1])
+            if size >= ARCHIVE_BYTES:
+                yield give()
+                held, size = [], 0
+    if held:
+        yield give()
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Writes the captures of rows (page_id, url, html) to gzip archives in `path`. Of pages with equal payloads of
     at least least_bytes bytes the one with the smallest page_id is a response and the others are revisits. Null
     html: an empty payload; null url: an empty address. Rows without page_id aren't captures and are left out; a
-    page_id is one capture, so rows beyond the first of a page_id read back as the same capture."""
+    page_id is one capture, so rows beyond the first of a page_id read back as the same capture. Other columns are
+    ignored; no rows make no archive."""
     rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", no_nulls(F.col("html")).alias("html"))
-    rows = rows.withColumn("sha", F.when(F.octet_length("html") >= least_bytes, F.sha1("html")))
-    first = rows.where("sha is not null").groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "sha", "left").select("page_id", "url", "html", "first_id")
-    lines = rows.mapInArrow(_records, "value string")
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    keys = rows.where(F.octet_length("html") >= least_bytes).select("page_id", F.sha1("html").alias("sha"))
+    first = keys.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # payloads meet by page_id, never by digest: that of an error page may be a third of all
+    later = keys.join(first, "sha").where("first_id < page_id").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "first_id").distinct()
+    rows = rows.join(later, (rows["page_id"] == later["p"]) & (F.sha1("html") == later["s"]), "left").select("page_id", "url", "html", "first_id")
+    archives = rows.mapInArrow(_archives, "value binary").select(F.col("value").cast("string"))
+    archives.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
-def _parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
+def _inflated(data: bytes) -> Iterator[bytes]:
+    at, member = 0, zlib.decompressobj(wbits=31)
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-        size = int(head["Content-Length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        part = data[at : at + PART]
+        yield member.decompress(part)
+        at += len(part) - len(member.unused_data)
+        if member.eof:
+            member = zlib.decompressobj(wbits=31)
+
+
+def _parse(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    held = bytearray()
+    for part in parts:
+        held += part
+        at = 0
+        while (end := held.find(b"\r\n\r\n", at)) >= 0:
+            fields = (x.partition(":") for x in held[at:end].decode().split("\r\n")[1:])
+            head = {k: v.strip() for k, _, v in fields}
+            stop = end + 4 + int(head["Content-Length"])
+            if len(held) < stop + 4:
+                break
+            yield head, bytes(held[end + 4 : stop])
+            at = stop + 4
+        del held[:at]
+    if held:
+        raise ValueError("an archive ends inside a record")
 
 
 def _id(text: str | None) -> str | None:
@@ -91,26 +128,38 @@ RECORD = "type string, record_id string, concurrent_to string, refers_to string,
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of the archives in `path`, one row each. Archives stay small, so a file is a row of binaryFile."""
+    """The records of the archives in `path`, one row each; a field that a record lacks is null. Archives of any gzip
+    members will do; a file is a row of binaryFile, so it stays under 2 GB. A folder without archives has no rows; an
+    archive that ends inside a record is an error."""
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    types = [pa.string()] * 6 + [pa.int64(), pa.binary()]
+
+    def row(head: dict[str, str], block: bytes) -> tuple:
+        payload, n, kind = None, None, head["WARC-Type"]
+        digest = head.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
+        if kind == "response":
+            payload = block[block.index(b"\r\n\r\n") + 4 :]
+            n, digest = len(payload), digest_of(payload)
+        elif kind == "metadata":
+            said = dict(y.split(": ", 1) for y in block.decode().split("\r\n") if y)
+            n = int(said["payload-bytes"]) if "payload-bytes" in said else None
+        return kind, _id(head.get("WARC-Record-ID")), _id(head.get("WARC-Concurrent-To")), _id(head.get("WARC-Refers-To")), head.get("WARC-Target-URI"), digest, n, payload if with_payload else None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORD.split(", ")]
         for x in batches:
             for data in x.column("content").to_pylist():
-                got: list[tuple] = []
-                for head, block in _parse(zlib.decompress(data, wbits=31)):
-                    payload, n, kind = None, None, head["WARC-Type"]
-                    digest = head.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
-                    if kind == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
-                        n, digest = len(payload), digest_of(payload)
-                    elif kind == "metadata":
-                        n = int(dict(y.split(": ", 1) for y in block.decode().split("\r\n") if y)["payload-bytes"])
-                    got.append((kind, _id(head["WARC-Record-ID"]), _id(head.get("WARC-Concurrent-To")), _id(head.get("WARC-Refers-To")), head.get("WARC-Target-URI"), digest, n, payload if with_payload else None))
-                types = [pa.string()] * 6 + [pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)] if got else [pa.array([], t) for t in types], names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+                got, size = [], 0
+                give = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                for head, block in _parse(_inflated(data)):
+                    got.append(row(head, block))
+                    size += len(block) if with_payload else 200
+                    if size >= HELD:
+                        yield give(got)
+                        got, size = [], 0
+                if got:
+                    yield give(got)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(read, RECORD)
 
 
@@ -118,11 +167,12 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: record_id, url and structs request, response, metadata; response is the response
     or revisit record. The records meet by record_id, or by the record_id that they are concurrent to. A record
     without a peer gives a row whose other structs are null; of repeated records the one with the greatest fields
-    stays."""
+    stays. Records without either identifier are no capture's and are left out. Other columns are ignored. No rows in,
+    none out."""
     key = F.coalesce("concurrent_to", "record_id").alias("record_id")
     body = F.struct("type", "uri", "digest", "payload_bytes", "refers_to", "payload")
     of = lambda *kinds: F.max(F.when(F.col("type").isin(*kinds), F.col("body")))
-    rows = records.select(key, "type", body.alias("body")).groupBy("record_id").agg(
+    rows = records.select(key, "type", body.alias("body")).where("record_id is not null").groupBy("record_id").agg(
         of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata"))
     return rows.select("record_id", F.coalesce("response.uri", "request.uri", "metadata.uri").alias("url"), "request", "response", "metadata")
 
