@@ -5,9 +5,10 @@ hash, so equal windows meet. Anchors are looked up first: only runs of windows w
 Windows that follow each other share an anchor, so a run travels as one segment of text with its place.
 
 In a shard, segments come in batches. Each batch gets a suffix array (ranks by prefix doubling, up to `length`
-bytes), is merge-scanned against the levels there are, and levels of equal size merge. Equal windows are
-neighbours in the merged order: the earliest place stays, the others are marked. A segment that is there already
-needs no sorting: all its windows are marked at once, or its place replaces a later one.
+bytes) and is merge-scanned against the levels there are: the sorted windows of both meet by columns of eight bytes.
+Of equal windows the earliest place stays in the level, the other is marked and leaves the batch, so no window is in
+two levels; levels of about equal size merge. A segment that is there already needs no sorting: all its windows are
+marked at once, or its place replaces a later one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from curatrix.llm.common import INFO, among, bucketed, first_copies, mixed, once
 
 LENGTH = 100
 GRAM = 20
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 _SPACE_BIT = np.uint64(1 << 63)
 RUNS = 2  # kind of the INFO rows that carry marked runs
 
@@ -150,7 +151,7 @@ def _ranked(key: np.ndarray) -> np.ndarray:
 
 
 class _Level:
-    """Windows with their places, in suffix order once `order` is asked for: each window of the text once."""
+    """Windows in suffix order, each window of the text once, with its earliest place."""
 
     def __init__(self, segments: list[bytes], windows: list[tuple[int, int, int]], length: int) -> None:
         """windows: of each segment, the doc_id, first start and number of its windows."""
@@ -163,14 +164,7 @@ class _Level:
         self.doc = np.repeat(np.array([w[0] for w in windows], np.int64), count)
         self.start = np.repeat(np.array([w[1] for w in windows], np.int64), count) + inner
 
-    def merged(self, other: _Level) -> _Level:
-        out = object.__new__(_Level)
-        out.length, out.text = self.length, np.concatenate((self.text, other.text))
-        out.at = np.concatenate((self.at, other.at + len(self.text)))
-        out.doc, out.start = np.concatenate((self.doc, other.doc)), np.concatenate((self.start, other.start))
-        return out
-
-    def ranks(self) -> np.ndarray:
+    def _ranks(self) -> np.ndarray:
         """Rank of the `length` bytes from each window's start, by prefix doubling over the text."""
         rank, size = self.text.astype(np.uint64), 1
         while 2 * size <= min(4, self.length):  # up to four bytes are their own rank
@@ -186,10 +180,9 @@ class _Level:
             rank, size = _ranked(key), size + step
         return rank[self.at]
 
-    def scan(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorts the windows and returns (doc, start) of those with an earlier equal one; those leave the level,
-        so a window stays once, with its earliest place."""
-        rank = self.ranks()
+    def sort(self) -> tuple[np.ndarray, np.ndarray]:
+        """Puts the windows in suffix order and returns (doc, start) of those with an earlier equal one, which leave."""
+        rank = self._ranks()
         order = np.lexsort((self.start, self.doc, rank))
         rank = rank[order]
         later = np.zeros(len(order), bool)
@@ -199,14 +192,69 @@ class _Level:
         self.at, self.doc, self.start = self.at[stay], self.doc[stay], self.start[stay]
         return out
 
+    def _column(self, rows: np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8 * k to 8 * k + 7 of the windows of some rows, as numbers in the order of the bytes; the last
+        column overlaps the one before it."""
+        size = min(8, self.length)
+        every = np.ndarray(len(self.text) - size + 1, f">u{size}" if size in (1, 2, 4, 8) else f"S{size}", self.text, strides=(1,))
+        return every[self.at[rows] + min(8 * k, self.length - size)].astype(every.dtype.newbyteorder("="))
+
+    def places_of(self, other: _Level) -> tuple[np.ndarray, np.ndarray]:
+        """For each window of `other`, in order, how many of this level's come before it, and whether the next one is
+        equal: column by column, each within the range that the columns before it left."""
+        low, high, live = np.zeros(len(other.at), np.int64), np.full(len(other.at), len(self.at)), np.arange(len(other.at))
+        for k in range(-(-self.length // 8)):
+            key = other._column(live, k)
+            if k == 0:
+                column = self._column(np.arange(len(self.at)), 0)
+                low, high = np.searchsorted(column, key), np.searchsorted(column, key, "right")
+            else:
+                a, z = low[live], high[live]
+                low[live], high[live] = self._bisect(k, key, a, z, np.less), self._bisect(k, key, a, z, np.less_equal)
+            live = np.flatnonzero(high > low)
+            if not len(live):
+                break
+        return low, high > low
+
+    def _bisect(self, k: int, key: np.ndarray, low: np.ndarray, high: np.ndarray, before: Callable) -> np.ndarray:
+        """For each key the first row from low to high whose column k is not before it."""
+        low, high, live = low.copy(), high.copy(), np.arange(len(low))
+        while len(live := live[low[live] < high[live]]):
+            mid = (low[live] + high[live]) >> 1
+            go = before(self._column(mid, k), key[live])
+            low[live[go]], high[live[~go]] = mid[go] + 1, mid[~go]
+        return low
+
+    def scan(self, new: _Level) -> tuple[np.ndarray, np.ndarray]:
+        """(doc, start) of the later one of each pair of equal windows of this level and `new`; those of `new` leave
+        it, and this level keeps the earlier place."""
+        at, same = self.places_of(new)
+        mine, its = at[same], np.flatnonzero(same)
+        first = (new.doc[its] < self.doc[mine]) | ((new.doc[its] == self.doc[mine]) & (new.start[its] < self.start[mine]))
+        out = tuple(np.where(first, a[mine], b[its]) for a, b in ((self.doc, new.doc), (self.start, new.start)))
+        self.doc[mine[first]], self.start[mine[first]] = new.doc[its[first]], new.start[its[first]]
+        new.at, new.doc, new.start = new.at[~same], new.doc[~same], new.start[~same]
+        return out
+
+    def merged(self, other: _Level) -> _Level:
+        """Both levels as one, their sorted windows merged; they have none in common."""
+        at, _ = self.places_of(other)
+        out = object.__new__(_Level)
+        out.length, out.text = self.length, np.concatenate((self.text, other.text))
+        out.at = np.insert(self.at, at, other.at + len(self.text))
+        out.doc, out.start = np.insert(self.doc, at, other.doc), np.insert(self.start, at, other.start)
+        return out
+
 
-def _merge(levels: list[_Level], marks: list[tuple[np.ndarray, np.ndarray]], last: bool = False) -> None:
-    """Merges the two newest levels, scanning them for equal windows, while they are about equally large; the last
-    time all of them. Marks count when all batches are in, so that each pair of levels meets just once."""
-    while len(levels) > 1 and (last or len(levels[-2].text) <= 2 * len(levels[-1].text)):
-        new = levels.pop()
-        levels.append(levels.pop().merged(new))
-        marks.append(levels[-1].scan())
+def _index(levels: list[_Level], new: _Level) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Puts a batch into the family of levels and yields the windows to mark."""
+    yield new.sort()
+    for level in levels:
+        yield level.scan(new)
+    levels.append(new)
+    while len(levels) > 1 and len(levels[-2].at) <= 2 * len(levels[-1].at):
+        last = levels.pop()
+        levels.append(levels.pop().merged(last))
 
 
 def _shard(rows: list[tuple], length: int, batch_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -236,12 +284,8 @@ def _shard(rows: list[tuple], length: int, batch_bytes: int) -> Iterator[tuple[n
         again.append(x)
         size += len(x[0])
         if size >= batch_bytes or i + 1 == len(todo):
-            new = _Level([t for t, _ in again], [p for _, p in again], length)
-            marks.append(new.scan())
-            levels.append(new)
-            _merge(levels, marks)
+            marks += _index(levels, _Level([t for t, _ in again], [p for _, p in again], length))
             again, size = [], 0
-    _merge(levels, marks, last=True)
     if marks:
         doc, start = (np.concatenate(c) for c in zip(*marks, strict=True))
         order = np.lexsort((start, doc))
