@@ -240,9 +240,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     coded = written(reps.mapInArrow(_cells(kind, t, tables, width), "rep long, n long, v binary, codes array<long>, packed binary"), "codes")
     cells = coded.select("rep", "n", "v", "packed", F.posexplode("codes").alias("tab", "code"))
     cells = cells.withColumn("codes", F.substring("packed", F.lit(1), 4 * F.col("tab"))).drop("packed")
-    crowds = coded.select(F.posexplode("codes").alias("tab", "code")).groupBy("tab", "code").count().where(F.col("count") > 1)
-    crowds = crowds.select("tab", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    cells = cells.join(crowds, ["tab", "code"]).withColumn("x", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    crowds = coded.select(F.posexplode("codes").alias("tab", "code")).groupBy("tab", "code").count().where(F.col("count") > BLOCK)
+    crowds = written(crowds.select(F.col("tab").alias("t"), F.col("code").alias("c"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "crowds")  # its size is known from now on
+    cells = cells.join(crowds, (F.col("tab") == F.col("t")) & (F.col("code") == F.col("c")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cells = cells.withColumn("x", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # each pair of blocks of a crowd is a task of its own
     cells = cells.select("rep", "n", "v", "codes", "tab", "code", "x", F.least("x", "y").alias("bi"), F.greatest("x", "y").alias("bj"))
     found = cells.repartition(n_part * 2, "tab", "code", "bi", "bj").mapInArrow(_count_and_verify(kind, cosine, least_count()), LINKED)
