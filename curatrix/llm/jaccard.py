@@ -7,34 +7,38 @@ n2 - k2 then agree: each choice of so many parts of a partition makes a signatur
 
 Few differences allow all choices from a single partition (n1 = 1, k2 = k); more take k2 = 2 of 5, or k2 = 1 of 3 (of 2 under 0.9).
 Under a similarity of 0.9 parts hold few elements, and signatures of fewer than LEAST would join sets that have
-nothing in common; with over FULL differences they are left out. Sets at the threshold agree in over a third of their
-parts, so a pair is missed only if each of those is so small: for 50 differences a chance of about one in ten million.
-At 0.9 or more, under 0.75, and for up to FULL differences, no signature is left out and no pair is missed.
+nothing in common. Up to MIDDLE differences such a signature is paired with each signature of a second family, a part
+for each difference and one more, that is complete by itself: similar sets share one of these too, so no pair is
+missed. Beyond, small signatures are left out, and up to LARGE differences a second family of them is added. Sets at
+the threshold agree in over a third of their parts, and a pair is missed only if each of those is so small: a chance of
+at most one in a billion (with 31 differences two in a hundred thousand by each family, with 60 one in a billion, and
+ever less beyond). At 0.9 or more, and under 0.75, no signature is left out.
 
 Sets that share signatures form clusters, usually of a few documents. Within a cluster all intersections are
-counted as products of 0/1 matrices, in blocks; a cluster of any size is spread over a task per pair of blocks.
-Equal sets are one node throughout.
+counted as products of 0/1 matrices. A cluster of more than BLOCK sets is dealt to a task per pair of blocks, of one
+size band or of neighbouring ones: other sizes can't be similar. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import connected, joined, mixed, packs, paired, partitions, pieces, spread, windows_of, words_of, written
 from curatrix.llm.embeddings import forest
 
-BLOCK = 1024
-FULL, MIDDLE = 10, 30
+BLOCK = 512
+FULL, MIDDLE, LARGE = 10, 30, 60
+_OTHER = np.uint64(0x5851F42D4C957F2D)  # makes the second family
 LEAST = 3
 COLUMNS = 4096
-_BITS = np.uint64(52)
-_LOW = np.uint64((1 << 52) - 1)
+_BAND = 1 << 20  # a block's number is that of its size band times this, and its own
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,19 +50,22 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     h = windows_of(word, words)
     of = doc[: len(h)]
     whole = of == doc[words - 1 :] if len(h) else np.zeros(0, bool)
-    keys = [(of[whole].astype(np.uint64) << _BITS) | (h[whole] & _LOW)]
+    docs, sets = [of[whole]], [h[whole]]
     count = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
     first = np.cumsum(count) - count
     for size in range(1, words):
         short = np.flatnonzero(count == size)
         if len(short):
             h = windows_of(word, size)[first[short]]
-            keys.append((short.astype(np.uint64) << _BITS) | (paired(h, h, size) & _LOW))
-    key = np.sort(np.concatenate(keys))
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    key = key[new]
-    return (key >> _BITS).astype(np.int64), key & _LOW
+            docs.append(short)
+            sets.append(paired(h, h, size))
+    doc, h = np.concatenate(docs).astype(np.uint16), np.concatenate(sets)
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order], kind="stable")]
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new].astype(np.int64), h[new]
 
 
 def _sums(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -100,7 +107,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, percent: int) -> tup
     out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     for of in (band, band + 1):  # each band is joined with itself and with the one below
         k = 2 * (bands[of + 1] - 1) * (100 - percent) // (100 + percent)
-        kind = np.where(size == 0, -1, np.minimum(np.where(k <= FULL, k, np.where(k <= MIDDLE, FULL + 1, FULL + 2)), FULL + 2))
+        kind = np.where(size == 0, -1, np.where(k <= FULL, k, FULL + 1 + (k > MIDDLE) + (k > LARGE)))
         for c in np.unique(kind[kind >= 0]).tolist():
             mine = np.flatnonzero(kind == c)
             use = (kind == c)[doc]
@@ -109,13 +116,24 @@ def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, percent: int) -> tup
             least = LEAST if c > FULL and 75 <= percent < 90 else 0
             k2, n2 = (c, c + 3) if c <= FULL else (2, 5) if c == FULL + 1 else (1, 2 if least else 3)
             n1 = np.ones(len(mine), np.int64) if c <= FULL else k[mine] // (k2 + 1) + 1
-            who, sig = _choices(place[doc[use]], h[use], of[mine], n1, n2, k2, least)
-            out.append((mine[who], sig))
+            who, sig, full = _choices(place[doc[use]], h[use], of[mine], n1, n2, k2, least)
+            if least and c == FULL + 1:
+                _, second, _ = _choices(place[doc[use]], h[use] ^ _OTHER, of[mine], k[mine] + 1, 1, 0, 0)
+                few, parts = np.flatnonzero(~full), k[mine] + 1
+                ends = np.cumsum(parts) - parts  # the second family's signatures come by text
+                pick = np.repeat(few, parts[who[few]])
+                inner = np.arange(len(pick)) - np.repeat(np.cumsum(parts[who[few]]) - parts[who[few]], parts[who[few]])
+                out.append((mine[who[pick]], paired(sig[pick], second[ends[who[pick]] + inner])))
+            out.append((mine[who[full]], sig[full]))
+            if least and c == FULL + 2:
+                who, sig, full = _choices(place[doc[use]], h[use] ^ _OTHER, of[mine], n1, n2, k2, least)
+                out.append((mine[who[full]], ~sig[full]))
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
-def _choices(doc: np.ndarray, h: np.ndarray, band: np.ndarray, n1: np.ndarray, n2: int, k2: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, signature): for each partition each choice of n2 - k2 of its parts, of `least` elements."""
+def _choices(doc: np.ndarray, h: np.ndarray, band: np.ndarray, n1: np.ndarray, n2: int, k2: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, signature, whether of `least` elements): for each partition each choice of n2 - k2 of its
+    parts; those of one choice by text."""
     at = np.cumsum(n2 * n1) - n2 * n1
     salted = mixed(h + (band[doc] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     part = n2 * ((salted >> np.uint64(32)) % n1[doc].astype(np.uint64)).astype(np.int64) + (salted % np.uint64(n2)).astype(np.int64)
@@ -129,9 +147,8 @@ def _choices(doc: np.ndarray, h: np.ndarray, band: np.ndarray, n1: np.ndarray, n
     out = []
     for i, chosen in enumerate(combinations(range(n2), n2 - k2)):
         sig = paired(place + np.uint64(i), mixed(total[:, chosen].sum(1, dtype=np.uint64)))
-        use = count[:, chosen].sum(1) >= least if least else slice(None)
-        out.append((owner[use], sig[use]))
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+        out.append((owner, sig, count[:, chosen].sum(1) >= least if least else np.ones(len(sig), bool)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _sign(words: int, percent: int, parts: int):
@@ -247,6 +264,20 @@ def _verify(words: int, percent: int):
     return run
 
 
+def _block(band: Column, number: Column) -> Column:
+    return band * _BAND + number
+
+
+def _pair(x: Column, y: Column) -> Column:
+    return F.struct(F.least(x, y).cast("long").alias("bi"), F.greatest(x, y).cast("long").alias("bj"))
+
+
+def _partners(x: Column, band: Column, blocks: Column) -> Column:
+    """The pairs of blocks that block x takes part in: with those of its own size band and of the two next to it."""
+    of = lambda b: F.when(blocks[b].isNotNull(), F.transform(F.sequence(F.lit(0), blocks[b] - 1), lambda y: _pair(x, _block(b, y)))).otherwise(F.array().cast("array<struct<bi: bigint, bj: bigint>>"))
+    return F.concat(of(band - 1), of(band), of(band + 1))
+
+
 def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of `docs` (doc_id, text): the size of its set of
     `words`-word shingles, the smallest doc_id reachable by links, and how many other rows it links with. Rows link
@@ -257,21 +288,23 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     n_part = partitions(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     info = written(rows.mapInArrow(_describe(words), "doc_id long, n long, s1 long, s2 long"), "sets")
-    classes = info.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"))
+    classes = info.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.max("n").alias("n"))
     sent = rows.where("doc_id is not null").mapInArrow(_sign(words, percent, n_part), "bucket int, sig binary, node binary, count binary")
     shared = sent.repartitionById(n_part, "bucket").mapInArrow(_candidates, "a long, b long")
     clusters = connected(shared).withColumnRenamed("id", "s1").withColumnRenamed("component", "cluster")
-    members = classes.join(clusters, "s1")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(blocks, "cluster").select(F.col("rep").alias("doc_id"), "cluster", "n_rows", "blocks")
-    placed = rows.join(members, "doc_id").withColumn("x", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("doc_id", "text", "n_rows", "cluster", "x", F.least("x", "y").alias("bi"), F.greatest("x", "y").alias("bj"), "blocks")
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(8 * n_part))).otherwise(F.xxhash64("cluster", "bi", "bj"))
-    found = written(placed.withColumn("task", group).drop("blocks").groupBy("task").applyInArrow(_verify(words, percent), VERIFIED), "links")
+    members = classes.join(clusters, "s1").withColumn("band", F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).cast("long"))
+    bands = members.groupBy("cluster", "band").agg(F.count("*").alias("m"))
+    whole = bands.groupBy("cluster").agg(F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("m") / BLOCK).alias("blocks")))).alias("blocks"))  # bands are as many as a set's size has places
+    whole = whole.select("cluster", F.when(F.col("m") > BLOCK, F.col("blocks")).alias("blocks"))
+    members = members.join(whole, "cluster").select(F.col("rep").alias("doc_id"), "cluster", "n_rows", "band", "blocks")
+    placed = rows.join(members, "doc_id").withColumn("x", _block(F.col("band"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")[F.col("band")])))
+    placed = placed.withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(_pair(F.lit(0), F.lit(0)))).otherwise(_partners(F.col("x"), F.col("band"), F.col("blocks")))))
+    placed = placed.select("doc_id", "text", "n_rows", "cluster", F.coalesce("x", F.lit(0)).alias("x"), "pair.bi", "pair.bj", F.col("blocks").isNull().alias("alone"))
+    group = F.when(F.col("alone"), F.pmod(F.xxhash64("cluster"), F.lit(8 * n_part))).otherwise(F.xxhash64("cluster", "bi", "bj"))
+    found = written(placed.withColumn("task", group).drop("alone").groupBy("task").applyInArrow(_verify(words, percent), VERIFIED), "links")
     links = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     part = connected(found.where("links = 0").select("a", "b")).withColumnRenamed("id", "rep")
-    classes = classes.join(links, "rep", "left").join(part, "rep", "left").withColumnsRenamed({"s1": "c1", "s2": "c2"})
+    classes = classes.drop("n").join(links, "rep", "left").join(part, "rep", "left").withColumnsRenamed({"s1": "c1", "s2": "c2"})
     on = (info["s1"] == classes["c1"]) & (info["s2"] == classes["c2"]) & info["doc_id"].isNotNull() & (info["n"] > 0)
     return info.join(classes, on, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"),

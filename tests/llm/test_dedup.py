@@ -97,7 +97,7 @@ def test_jaccard(docs, words, percent):
 
 
 def test_jaccard_in_blocks(spark, monkeypatch):
-    """A cluster over several blocks gives what one block gives."""
+    """A cluster over several blocks of several size bands gives what brute force gives."""
     rng = random.Random(3)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -107,9 +107,11 @@ def test_jaccard_in_blocks(spark, monkeypatch):
             w[rng.randrange(60)] = f"x{rng.randrange(9)}"
         rows.append((i, " ".join(w)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    whole = sorted(map(tuple, jaccard.jaccard_join(frame, 3, 90).collect()))
+    rows += [(100 + i, " ".join(base[: 40 + i % 20] + [f"y{i % 7}"])) for i in range(40)]  # sets of several size bands
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(jaccard, "BLOCK", 16)
-    assert sorted(map(tuple, jaccard.jaccard_join(frame, 3, 90).collect())) == whole == brute_sets(rows, 3, 90) or sorted(brute_sets(rows, 3, 90)) == whole
+    for words, percent in ((3, 90), (5, 80)):
+        assert sorted(map(tuple, jaccard.jaccard_join(frame, words, percent).collect())) == sorted(brute_sets(rows, words, percent))
 
 
 def test_signatures_lose_no_pair():
@@ -126,6 +128,18 @@ def test_signatures_lose_no_pair():
                 assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
 
 
+def test_signatures_at_the_threshold():
+    """Pairs with as many differences as the similarity allows, in sets of the sizes that leave signatures out."""
+    rng = np.random.default_rng(2)
+    for n in (45, 50, 54, 60, 90, 120, 135, 150, 200):
+        common = n * 80 // 90
+        for _ in range(300):
+            x = rng.choice(1 << 62, 2 * n - common, replace=False).astype(np.uint64)
+            a, b = x[:n], np.concatenate((x[:common], x[n:]))
+            of, sig = jaccard.signatures(np.repeat([0, 1], [len(a), len(b)]), np.concatenate((a, b)), 2, 80)
+            assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist()), n
+
+
 def vectors(d=16):
     rng = np.random.default_rng(5)
     out = []
