@@ -194,17 +194,17 @@ def markup_language(html: Column) -> Column:
 def identify(rows: DataFrame, text: Column, declared: Column, host: Column, suffix: Column, key: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
     """`rows` with lid_lang, the likeliest language ("und" if text of no language is likelier), lid_posterior and
     lid_keep: whether a language was found with a posterior of at least LEAST_POSTERIOR. Columns of these names are
-    replaced; the others stay. text, declared, host and suffix are columns over `rows`; a null one is no evidence:
+    replaced; all others stay. text, declared, host and suffix are columns over `rows`; a null one is no evidence:
     an empty or null text leaves the declaration and the priors, and such a row is not kept, since its text has no
     language. Repeated rows get equal results, as do long and short texts of one make. No rows in, none out;
     without any declared language all rows are "und"."""
     spark: SparkSession = rows.sparkSession
     rows = rows.drop("lid_lang", "lid_posterior", "lid_keep")
-    names = rows.columns
-    made = rows.select("*", primary(declared).alias("lid_declared"), F.coalesce(host, F.lit("")).alias("lid_host"), F.coalesce(suffix, F.lit("")).alias("lid_suffix"))
-    models = fit(made.select(text.alias("text"), F.col("lid_declared").alias("lang"), key.alias("k")), F.col("k"), per_language)
+    names = ["row"]
+    made = rows.select(F.struct("*").alias("row"), text.alias("lid_text"), key.alias("lid_key"), primary(declared).alias("lid_declared"), F.coalesce(host, F.lit("")).alias("lid_host"), F.coalesce(suffix, F.lit("")).alias("lid_suffix"))
+    models = fit(made.select(F.col("lid_text").alias("text"), F.col("lid_declared").alias("lang"), F.col("lid_key").alias("k")), F.col("k"), per_language)
     # on texts alone: the languages each level's prior is made of
-    thin = made.select(text.alias("lid_text"), *LEVELS).mapInArrow(_likeliest(spark.sparkContext.broadcast(models)), "lid_host string, lid_suffix string, lid_declared string, l int")
+    thin = made.select("lid_text", *LEVELS).mapInArrow(_likeliest(spark.sparkContext.broadcast(models)), "lid_host string, lid_suffix string, lid_declared string, l int")
     counts = written(thin.groupBy(*LEVELS, "l").agg(F.count("*").alias("n")), "counts")
     whole = np.ones(len(models.table))
     said = {k: np.ones(len(whole)) for k in models.langs}  # P(declared | language), one row's worth of doubt for each
@@ -218,9 +218,10 @@ def identify(rows: DataFrame, text: Column, declared: Column, host: Column, suff
     hosts = level("lid_on_host", "lid_host", "lid_suffix").join(level("lid_on_suffix", "lid_suffix"), "lid_suffix")
     # its size is known from now on, so Spark broadcasts it only if it is small
     hosts = written(hosts.select(F.col("lid_host").alias("lid_h"), F.col("lid_suffix").alias("lid_s"), "lid_on_host", "lid_on_suffix"), "hosts")
-    rows = made.join(hosts, (made["lid_host"] == hosts["lid_h"]) & (made["lid_suffix"] == hosts["lid_s"]), "left").drop("lid_h", "lid_s").withColumn("lid_text", text)
-    schema = T.StructType([*made.select(*names).schema.fields, T.StructField("lid_lang", T.StringType()), T.StructField("lid_posterior", T.DoubleType()), T.StructField("lid_keep", T.BooleanType())])
-    return rows.mapInArrow(_fused(spark.sparkContext.broadcast((models, whole / whole.sum(), given)), names), schema)
+    rows = made.join(hosts, (made["lid_host"] == hosts["lid_h"]) & (made["lid_suffix"] == hosts["lid_s"]), "left").drop("lid_h", "lid_s", "lid_key")
+    schema = T.StructType([*made.select("row").schema.fields, T.StructField("lid_lang", T.StringType()), T.StructField("lid_posterior", T.DoubleType()), T.StructField("lid_keep", T.BooleanType())])
+    out = rows.mapInArrow(_fused(spark.sparkContext.broadcast((models, whole / whole.sum(), given)), names), schema)
+    return out.select("row.*", "lid_lang", "lid_posterior", "lid_keep")
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

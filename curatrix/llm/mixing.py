@@ -52,20 +52,23 @@ def mix_rates(docs: DataFrame, cap: int = CAP, seed: str = "mix", id_col: str =
     """`docs` with mix_size (its words), mix_source_size, mix_target (its source's) and mix_copies (how often the
     mix takes the document). Null source: a source of its own, last in order. Null text: no words. A source
     without words has target 0 and its documents 0 copies. Rows with equal id and source get equal copies. No
-    rows in, none out. Other columns stay as they are."""
+    rows in, none out. Columns of these four names are replaced; other columns stay as they are."""
+    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
     sized = docs.withColumn("mix_size", word_count(F.col("text")))
     sums = sized.groupBy("source").agg(F.sum("mix_size").alias("source_size"))
     goal = source_targets(sums, cap).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    rows = sized.join(goal, sized["source"].eqNullSafe(goal["mix_source"])).drop("mix_source")
+    rows = sized.join(goal, sized["source"].eqNullSafe(goal["mix_source"])).drop(goal["mix_source"])
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
     copies = F.floor(rate) + (unit_hash(F.col(id_col), seed) < rate - F.floor(rate)).cast("long")
     return rows.withColumn("mix_copies", copies.cast("long"))
 
 
 def mix(docs: DataFrame, cap: int = CAP, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
-    """The mix: each row of `docs` as often as mix_copies says, with copy_no from 1 on."""
-    rows = mix_rates(docs, cap, seed, id_col).where("mix_copies > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy_no"))
+    """The mix: each row of `docs` as often as mix_copies says (see mix_rates), with copy_no from 1 on. A copy_no of
+    `docs` is replaced; all other columns stay."""
+    nested = docs.select(F.struct(*[c for c in docs.columns if c != "copy_no"]).alias("mix_row"), id_col, "text", "source")
+    rows = mix_rates(nested, cap, seed, id_col).where("mix_copies > 0")
+    return rows.select("mix_row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy_no"))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

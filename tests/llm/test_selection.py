@@ -113,6 +113,24 @@ def test_language(spark, none):
     assert [r.lid_lang for r in without] == ["und"]
 
 
+def test_language_of_rows_that_declare_none(spark):
+    """A fifth of the rows lose their declaration; text and host alone tell their language."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", F.col("lang").alias("true"), "source")
+    hidden = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    rows = language.identify_documents(docs.withColumn("lang", F.when(~hidden, F.col("true")))).where("lang is null and length(text) > 60").collect()
+    assert len(rows) > 150 and np.mean([r.lid_lang == r.true for r in rows]) > 0.97
+
+
+def test_clashing_names(spark, docs):
+    """Columns named as the operators name theirs inside stay as they are."""
+    own = ("cut_text", "cut_id", "lid_declared", "lid_text", "lid_host", "lid_suffix", "lid_key", "row", "mix_size", "mix_source", "mix_row", "leak_key", "leak_text", "gone", "repeated_id", "component_id")
+    rows = docs.select("doc_id", "text", "lang", "source", *[F.concat(F.lit(c), F.coalesce("doc_id", F.lit(0))).alias(c) for c in own])
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, SF).collect()
+        assert out and all(r[c] == f"{c}{r.doc_id or 0}" for r in out for c in own)
+    assert mixing.mix(rows.withColumn("copy_no", F.lit("old"))).columns[-1] == "copy_no"
+
+
 def test_language_evidence(spark):
     """With text that says little, the declaration, the host and the address suffix decide."""
     de, fr = "der die und ist nicht das", "le la et est pas dans les"
