@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept and returns a DataFrame; run()
 writes each stage's rows as Parquet and gives them to the next one. All but the last return the columns of `docs`.
-Empty tables, null texts and extra columns pass through every stage; columns that start with lid_, leak_ or mix_ and
-copy_no are the operators' own and must not be in `docs`.
+Empty tables, null texts and extra columns of any name pass through every stage; only a copy_no of `docs` gives way to
+that of the mix.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ SIMILARITY = 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the declared languages. Null and empty texts go."""
-    return language.identify_documents(docs).where("lid_keep").select(*docs.columns)
+    return language.identify_documents(docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang", "source")).where("lid_keep").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     character that was cut in two goes as well; n_chars is that of the text that stays; documents of which nothing
     is left go."""
     cut = suffix.suffix_dedup(docs).where("n_removed > 0").select("doc_id", "kept").mapInArrow(_readable, "cut_id long, cut_text string").dropDuplicates(["cut_id"])
-    rows = docs.join(cut, docs["doc_id"].cast("long") == cut["cut_id"], "left").where("cut_text is null or cut_text rlike '[^ \\t-\\r]'")
-    new = {"text": F.coalesce("cut_text", "text")}
+    left = cut["cut_text"]
+    rows = docs.join(cut, docs["doc_id"].cast("long") == cut["cut_id"], "left").where(left.isNull() | left.rlike(r"[^ \t-\r]"))
+    new = {"text": F.coalesce(left, docs["text"])}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("cut_text").isNotNull(), F.length("cut_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(left.isNotNull(), F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
     return rows.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 
