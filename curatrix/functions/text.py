@@ -62,11 +62,12 @@ def drop_trailing_parens(s: Column) -> Column:
 
 
 def drop_punctuation(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?U)[^\w\s]", "")
+    """s without what is neither a letter, a number, an underscore nor white space, in any script."""
+    return F.regexp_replace(s, r"[^\p{L}\p{N}_\p{Z}\x09-\x0D\x1C-\x1F\x85]", "")
 
 
 def join_hyphens(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?U)(\w+)-(\w+)", "$1$2")
+    return F.regexp_replace(s, r"([\p{L}\p{N}_]+)-([\p{L}\p{N}_]+)", "$1$2")
 
 
 def quoted(s: Column) -> Column:

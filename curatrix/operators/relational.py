@@ -85,7 +85,7 @@ def histogram(rows: DataFrame, value: str, edges: list[float], close_top: bool =
     if close_top:
         at = F.when(v == edges[-1], len(edges) - 2).otherwise(at)
     found = rows.select(at.alias("bin")).where(F.col("bin").between(0, len(edges) - 2)).groupBy("bin").agg(F.count("*").alias("n"))
-    bins = rows.sparkSession.createDataFrame([(i, e) for i, e in enumerate(edges[:-1])], "bin int, low double")
+    bins = rows.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, edges[:-1]))).alias("bin", "low"))
     return bins.join(found, "bin", "left").select("bin", "low", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -129,11 +129,45 @@ def meters(series: DataFrame, name: str = "name", value: str = "value", n: str =
 # --------------------------------------------------------------------------- windows
 
 
-def moving_meter(series: DataFrame, name: str, order: str, value: str, size: int = 20) -> DataFrame:
+STRETCH = 50_000
+
+
+def placed(rows: DataFrame, group: list[str], order: str, stretch: int = STRETCH) -> DataFrame:
+    """rows with `place`, from 0 on within the group, and `piece`, the number of its stretch of `stretch` rows: a
+    window partitioned by group and piece holds no more rows than that, however large the group. Columns of group and
+    order are not null, and unique together."""
+    at = numbered(rows, [*group, order], 1).drop("batch")
+    first = at.groupBy(*group).agg(F.min("position").alias("first"))
+    out = at.join(first, group).withColumn("place", F.col("position") - F.col("first"))
+    return out.select(*rows.columns, "place", F.floor(F.col("place") / stretch).alias("piece"))
+
+
+def with_carried(rows: DataFrame, before: int, stretch: int = STRETCH) -> DataFrame:
+    """placed() rows with `carried`: each stretch also holds the last `before` rows of the one before it, so that
+    frames of so many rows see what they need; drop them after the window."""
+    late = F.col("place") % stretch >= stretch - before
+    pieces = F.when(late, F.array(F.struct(F.col("piece").alias("p"), F.lit(False).alias("c")), F.struct((F.col("piece") + 1).alias("p"), F.lit(True).alias("c"))))
+    rows = rows.withColumn("in", F.explode(pieces.otherwise(F.array(F.struct(F.col("piece").alias("p"), F.lit(False).alias("c"))))))
+    return rows.withColumn("piece", F.col("in.p")).withColumn("carried", F.col("in.c")).drop("in")
+
+
+def running_sum(rows: DataFrame, group: list[str], value: Column, name: str) -> DataFrame:
+    """placed() rows with the sum of value over the rows of the group up to each: stretches sum up by themselves, and
+    one row a stretch carries what came before."""
+    totals = rows.groupBy(*group, "piece").agg(F.sum(value).alias("whole"))
+    earlier = Window.partitionBy(*group).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*group, "piece", F.coalesce(F.sum("whole").over(earlier), F.lit(0)).alias("earlier"))
+    inner = F.sum(value).over(Window.partitionBy(*group, "piece").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, inner).join(totals, [*group, "piece"]).withColumn(name, F.col(name) + F.col("earlier")).drop("earlier")
+
+
+def moving_meter(series: DataFrame, name: str, order: str, value: str, size: int = 20, stretch: int = STRETCH) -> DataFrame:
     """By row, over the last `size` rows of its name: lower median, mean and maximum."""
-    w = Window.partitionBy(name).orderBy(order).rowsBetween(-(size - 1), 0)
+    w = Window.partitionBy(name, "piece").orderBy("place").rowsBetween(-(size - 1), 0)
     held = F.array_sort(F.collect_list(value).over(w))
-    return series.withColumns({"median": F.element_at(held, ((F.size(held) + 1) / 2).cast("int")), "mean": F.avg(value).over(w), "most": F.max(value).over(w)})
+    rows = with_carried(placed(series, [name], order, stretch), size - 1, stretch)
+    rows = rows.withColumns({"median": F.element_at(held, ((F.size(held) + 1) / 2).cast("int")), "mean": F.avg(value).over(w), "most": F.max(value).over(w)})
+    return rows.where("not carried").select(*series.columns, "median", "mean", "most")
 
 
 def last_k(rows: DataFrame, group: str, order: Column, k: int) -> DataFrame:

@@ -6,10 +6,11 @@ filter. A rule that is null rejects, as one that is false does; see passes().
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as t
+from curatrix.functions.sampling import pick
 
 # Lists that decide results.
 BASIC_COLORS = ["red", "blue", "green", "yellow", "black", "purple", "white", "pink", "orange", "gray", "brown", "gold", "silver"]
@@ -24,6 +25,7 @@ CHECKED_COLORS = ["color", "white", "black", "green", "blue", "red", "grey", "pi
 ROOMS = ["kitchen", "room", "bathroom", "bedroom", "wall"]
 BE_AND_HAVE = ["be", "being", "have", "having"]
 YES_WORDS = ["yes", "true", "right", "correct"]
+ROTATION_VERBS = ["Turn", "Make", "Rotate"]
 NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
 # End of fixed values.
 
@@ -208,3 +210,18 @@ def counted(noun: Column, now: Column, removed: Column) -> Column:
     names = F.array(*map(F.lit, NUMBER_WORDS))
     name = lambda n: F.get(names, n)
     return F.concat(F.lit("Turn the total number of the "), noun, F.lit(" from "), name(now), F.lit(" to "), name(now - removed))
+
+
+def rotation_direction(q: Column) -> Column:
+    """left or right, by where the axis of a turn (w, x, y, z) points, taken as the turn of less than half a circle."""
+    return F.when(q[2] * F.signum(q[0]) > 0, "left").otherwise("right")
+
+
+def rotations(turns: DataFrame, sequence: str, order: str) -> DataFrame:
+    """turns with `swapped`: whether the direction was there before in its sequence."""
+    return turns.withColumn("swapped", F.row_number().over(Window.partitionBy(sequence, "direction").orderBy(order)) > 1)
+
+
+def rotation_edit(key: Column, obj: Column, direction: Column, swapped: Column) -> Column:
+    verb = pick(F.array(*map(F.lit, ROTATION_VERBS)), key, "turn")
+    return F.concat(verb, F.lit(" the "), obj, F.when((direction == "right") == ~swapped, " clockwise").otherwise(" counterclockwise"))

@@ -31,10 +31,10 @@ SHAPES = {
         concat('sign ', p_name) AS ocr_src, concat('now ', lower(p_type)) AS ocr_dst, p_partkey % 3 = 0 AS detected, p_partkey % 10 <> 9 AS detected_new
         FROM part""",
     # detections, one per line item; images are orders
-    "boxes": """SELECT CAST(l_orderkey % 500 AS BIGINT) AS image_id, CAST(l_orderkey AS BIGINT) * 1000 + l_linenumber * 100 + CAST(l_quantity AS INT) AS box_id,
-        l_quantity * 8.0 AS x0, l_discount * 3000.0 AS y0, l_quantity * 8.0 + 20.0 + l_linenumber * 25.0 AS x1, l_discount * 3000.0 + 30.0 + l_tax * 900.0 AS y1,
+    "boxes": """SELECT CAST(l_orderkey AS BIGINT) AS image_id, CAST(l_orderkey AS BIGINT) * 1000 + l_linenumber * 100 + CAST(l_quantity AS INT) AS box_id,
+        l_quantity * 8.0 AS x0, l_discount * 3000.0 AS y0, l_quantity * 8.0 + 20.0 + l_linenumber * 25.0 AS x1, l_discount * 3000.0 + 30.0 + l_tax * 1500.0 AS y1,
         CAST(CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS DOUBLE) / 1000.0 AS score, CASE l_linenumber WHEN 1 THEN 'dog' WHEN 2 THEN 'red dog' WHEN 3 THEN 'cat' ELSE 'park bench' END AS phrase
-        FROM lineitem WHERE l_orderkey % 20 = 3 AND l_orderkey < 6000""",
+        FROM lineitem""",
     # a meter's series, one per event type
     "meter": "SELECT event_type AS name, event_id AS seq, value, CAST(user_id % 5 + 1 AS INT) AS n FROM events",
     # pixels of predicted and true classes

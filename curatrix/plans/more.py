@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import align, scorers
 from curatrix.functions import boxes as bx
 from curatrix.functions import text as t
+from curatrix.functions import vector as v
 from curatrix.operators import relational as rel
 from curatrix.operators import rules as r
 from curatrix.plans.base import query
@@ -66,9 +67,10 @@ def a23_f42_g16_largest_component(get):
     WINDOW w AS (PARTITION BY name ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def w04_last_n_mean(get):
     """Mean of the last five, weighted, in whole hundredths."""
-    w = Window.partitionBy("name").orderBy("seq").rowsBetween(-4, 0)
-    rows = get("meter").select("name", "seq", F.sum(F.round(C("value") * 100).cast("long") * C("n")).over(w).alias("s"), F.sum("n").over(w).alias("k"))
-    return rows.select("name", "seq", F.expr("s div k").alias("mean_cents"))
+    rows = rel.with_carried(rel.placed(get("meter"), ["name"], "seq"), 4)
+    w = Window.partitionBy("name", "piece").orderBy("place").rowsBetween(-4, 0)
+    rows = rows.select("name", "seq", "carried", F.sum(F.round(C("value") * 100).cast("long") * C("n")).over(w).alias("s"), F.sum("n").over(w).alias("k"))
+    return rows.where("not carried").select("name", "seq", F.expr("s div k").alias("mean_cents"))
 
 
 @query(r"""SELECT p_partkey, string_split(l, '; ')[1] AS caption, string_split(l, '; ')[4] AS keywords FROM (SELECT p_partkey, unnest(regexp_extract_all(concat('1. ', p_name, '; a; b; c', chr(10), '2. ', p_type, '; only two'), '[0-9]+\.? *(.*)', 1)) AS l FROM part) WHERE len(string_split(l, '; ')) >= 4""")
@@ -107,11 +109,21 @@ def p25_output_path(get):
     return get("instr").select("row_id", F.replace("image_file", F.lit("imgs/"), F.lit("edited/")).alias("edited_file"))
 
 
-@query("""SELECT seq, k % 2 = 0 AS swap, CASE WHEN up THEN 'left' ELSE 'right' END AS direction FROM (SELECT seq, value > 50 AS up, row_number() OVER (PARTITION BY name, value > 50 ORDER BY seq) AS k FROM {meter})""")
+_TURN = """(SELECT row_id, row_id // 8 AS sequence, CASE WHEN (0.6 * a - 0.8 * c) * sign(0.6 * c + 0.8 * a) > 0 THEN 'left' ELSE 'right' END AS direction
+    FROM (SELECT row_id, 2 * clip - 1 AS a, l1 AS b, 2 * clip_dir - 0.1 AS c FROM {scores}) WHERE 0.6 * c + 0.8 * a <> 0)"""
+
+
+@query(f"""SELECT row_id, direction, k > 1 AS swapped, concat(['Turn', 'Make', 'Rotate'][1 + ('0x' || substr(md5('turn|' || row_id), 1, 8))::BIGINT % 3], ' the ', p_name,
+    CASE WHEN (direction = 'right') = (k = 1) THEN ' clockwise' ELSE ' counterclockwise' END) AS edit
+    FROM (SELECT *, row_number() OVER (PARTITION BY sequence, direction ORDER BY row_id) AS k FROM {_TURN}) JOIN part ON p_partkey = row_id""")
 def p10_rotation_direction(get):
-    w = Window.partitionBy("name", "up").orderBy("seq")
-    rows = get("meter").select("seq", "name", (C("value") > 50).alias("up")).withColumn("k", F.row_number().over(w))
-    return rows.select("seq", (C("k") % 2 == 0).alias("swap"), F.when(C("up"), "left").otherwise("right").alias("direction"))
+    """The turn between two orientations, q of the row and one that is fixed: left where its axis points up. The second
+    turn of one direction in a sequence is told backwards, with its pictures swapped."""
+    rows = get("scores").select("row_id", (2 * C("clip") - 1).alias("a"), C("l1").alias("b"), (2 * C("clip_dir") - 0.1).alias("c"))
+    rows = rows.select("row_id", F.floor(C("row_id") / 8).alias("sequence"), v.relative_rotation(F.array(F.lit(0.6), F.lit(0.0), F.lit(0.8), F.lit(0.0)), F.array("c", "b", "a", F.lit(0.0))).alias("q"))
+    rows = r.rotations(rows.where(C("q")[0] != 0).withColumn("direction", r.rotation_direction(C("q"))), "sequence", "row_id")
+    rows = rows.join(get("part").select(C("p_partkey").alias("row_id"), "p_name"), "row_id")
+    return rows.select("row_id", "direction", "swapped", r.rotation_edit(C("row_id"), C("p_name"), C("direction"), C("swapped")).alias("edit"))
 
 
 @query("""WITH e AS (SELECT edit_type, string_agg(edit, ' / ' ORDER BY h) AS shots FROM (SELECT edit_type, edit, md5('shot|' || row_id) AS h, row_number() OVER (PARTITION BY edit_type ORDER BY md5('shot|' || row_id)) AS k FROM {instr}) WHERE k <= 3 GROUP BY 1)
@@ -261,10 +273,10 @@ def f05_f08_string_basics(get):
     return get("part").select("p_partkey", F.lower("p_brand").alias("low"), F.initcap("p_name").alias("titled"), F.replace("p_name", F.lit("a"), F.lit("o")).alias("swapped"), F.contains("p_name", F.lit("ol")).alias("inside"), t.has_word(C("p_name"), F.lit("old")).alias("word"))
 
 
-@query("SELECT p_brand, string_agg(p_name, ', ' ORDER BY p_partkey) AS names FROM part GROUP BY 1")
+@query("SELECT o_custkey, string_agg(o_orderpriority, ', ' ORDER BY o_orderkey) AS names FROM orders GROUP BY 1")
 def f11_joined_names(get):
-    rows = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
-    return get("part").groupBy("p_brand").agg(F.array_join(F.transform(rows, lambda s: s["p_name"]), ", ").alias("names"))
+    rows = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority")))
+    return get("orders").groupBy("o_custkey").agg(F.array_join(F.transform(rows, lambda s: s["o_orderpriority"]), ", ").alias("names"))
 
 
 @query("SELECT row_id, len(regexp_extract_all(input, '[a-z]+')) AS words, regexp_extract_all(input, '[a-z]+')[2] AS second FROM {instr} WHERE input IS NOT NULL")
@@ -298,11 +310,10 @@ def f53_f54_scaled(get):
     return get("scores").select("row_id", x.alias("x"), y.alias("y"), R(f_score(C("clip"), C("l1"), 2.0)).alias("f2"))
 
 
-@query("SELECT n_nationkey, '[' || string_agg('{\"k\":' || c_custkey || '}', ',' ORDER BY c_custkey) || ']' AS j FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+@query("SELECT o_custkey, '[' || string_agg('{\"k\":' || o_orderkey || '}', ',' ORDER BY o_orderkey) || ']' AS j FROM orders GROUP BY 1")
 def k01_json_arrays(get):
-    """A JSON array a group: one array of a whole table would be one row of one task."""
-    rows = get("customer").groupBy(C("c_nationkey").alias("n_nationkey")).agg(F.to_json(F.array_sort(F.collect_list(F.struct(C("c_custkey").alias("k"))))).alias("j"))
-    return rows.join(get("nation").select("n_nationkey"), "n_nationkey", "left_semi")
+    """A JSON array a customer: one array of a whole table would be one row of one task."""
+    return get("orders").groupBy("o_custkey").agg(F.to_json(F.array_sort(F.collect_list(F.struct(C("o_orderkey").alias("k"))))).alias("j"))
 
 
 @query("SELECT row_id, n_name AS reference FROM {instr} JOIN nation ON n_nationkey = ('0x' || substr(md5('ref|' || row_id), 1, 8))::BIGINT % 25")
@@ -315,17 +326,16 @@ def j09_drawn_reference(get):
 
 @query("SELECT l_orderkey AS image_id, p_partkey AS point_id, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 20 GROUP BY 1, 2")
 def j10_observations(get):
-    """Images joined to the points of their arrays."""
-    images = get("lineitem").groupBy(C("l_orderkey").alias("image_id")).agg(F.collect_list("l_partkey").alias("ids"))
+    """Images joined to the points that they see."""
+    seen = get("lineitem").select(C("l_orderkey").alias("image_id"), C("l_partkey").alias("point_id"))
     points = get("part").where("p_size < 20").select(C("p_partkey").alias("point_id"))
-    return images.select("image_id", F.explode("ids").alias("point_id")).join(points, "point_id").groupBy("image_id", "point_id").agg(F.count("*").alias("n"))
+    return seen.join(points, "point_id").groupBy("image_id", "point_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT row_id, edit, vqa_answer FROM {instr} JOIN {scores} USING (row_id) WHERE row_id % 3 <> 0")
+@query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)")
 def j13_joined_on_row_id(get):
-    """Records meet their answers by row_id, so rows without an answer shift nothing."""
-    answers = get("scores").where("row_id % 3 <> 0").select("row_id", "vqa_answer")
-    return get("instr").select("row_id", "edit").join(answers, "row_id")
+    """Records meet their answers by id, so rows without an answer shift nothing."""
+    return get("documents").select("doc_id", "lang").join(get("labels").select("doc_id", "quality"), "doc_id")
 
 
 @query("SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
@@ -341,9 +351,9 @@ def f51_lemma_lookup(get):
     return rows.join(lexicon, "p_name", "left").select("p_partkey", F.coalesce("lemma", "p_name").alias("lemma"))
 
 
-@query("SELECT event_type, approx_count_distinct(user_id) > 0 AS seen, quantile_disc(value, 0.5) AS middle FROM events GROUP BY 1")
+@query("SELECT event_type, count(DISTINCT user_id) AS seen, quantile_disc(value, 0.5) AS middle FROM events GROUP BY 1")
 def extension_percentile(get):
-    return get("events").groupBy("event_type").agg((F.approx_count_distinct("user_id") > 0).alias("seen"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("middle"))
+    return get("events").groupBy("event_type").agg(F.countDistinct("user_id").alias("seen"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("middle"))
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, CAST(split_part(o_orderpriority, '-', 1) AS BIGINT) * 1000000000 + o_orderkey) AS o_orderkey FROM orders GROUP BY 1")

@@ -53,15 +53,14 @@ def f10_right(get):
     return get("instr").select("row_id", F.right("input", F.lit(20)).alias("tail"))
 
 
-@query("SELECT doc_id, regexp_replace(left(text, 60), '[^\\x00-\\x7F]', '', 'g') AS plain, regexp_matches(left(text, 60), '[0-9]') AS has_digit FROM documents")
-def f14_ascii_and_digits(get):
-    s = F.left("text", F.lit(60))
-    return get("documents").select("doc_id", t.ascii_only(s).alias("plain"), s.rlike("[0-9]").alias("has_digit"))
+@query("SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS plain, regexp_matches(text, '[0-9]') AS has_digit FROM documents")
+def f14_f15_ascii_and_digits(get):
+    return get("documents").select("doc_id", t.ascii_only(C("text")).alias("plain"), C("text").rlike("[0-9]").alias("has_digit"))
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '[^\p{L}\p{N}_\s]', '', 'g') AS plain FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')")
+@query(r"SELECT doc_id, regexp_replace(text, '[^\p{L}\p{N}_\p{Z}\x09-\x0D\x1C-\x1F\x85]', '', 'g') AS plain, regexp_replace(text, '([\p{L}\p{N}_]+)-([\p{L}\p{N}_]+)', '\1\2', 'g') AS joined FROM documents")
 def f13_drop_punctuation(get):
-    return get("documents").where(C("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", t.drop_punctuation(C("text")).alias("plain"))
+    return get("documents").select("doc_id", t.drop_punctuation(C("text")).alias("plain"), t.join_hyphens(C("text")).alias("joined"))
 
 
 @query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'USER: ' WHEN 'assistant' THEN 'ASSISTANT: ' ELSE '' END || text, ' ' ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")

@@ -38,11 +38,20 @@ def j05_membership(get):
     return get("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(known, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("""WITH a AS (SELECT p_brand AS k, list(p_name ORDER BY p_partkey) AS x FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_brand AS k, list(p_name ORDER BY p_partkey) AS y FROM part WHERE p_partkey % 5 = 1 GROUP BY 1)
-    SELECT k, array_to_string(list_concat(x, y), '|') AS names FROM a JOIN b USING (k)""")
+def _said(get, key: str, order: str, value: str, table: str, to: str):
+    """(k, to): the values of each key in order. Keys are persons, so lists stay short."""
+    rows = F.array_sort(F.collect_list(F.struct(order, value)))
+    return get(table).groupBy(C(key).cast("long").alias("k")).agg(F.transform(rows, lambda s: s[value]).alias(to))
+
+
+_PRIORITIES = "SELECT o_custkey AS k, list(o_orderpriority ORDER BY o_orderkey, o_orderpriority) AS x FROM orders GROUP BY 1"
+_TURNS = "SELECT conv_id AS k, list(role ORDER BY turn, role) AS y FROM conversations GROUP BY 1"
+
+
+@query(f"SELECT k, array_to_string(list_concat(x, y), '|') AS names FROM ({_PRIORITIES}) JOIN ({_TURNS}) USING (k)")
 def j03_joined_lists(get):
-    lists = lambda rule, c: get("part").where(rule).groupBy(C("p_brand").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda s: s["p_name"]).alias(c))
-    return lists("p_partkey % 2 = 0", "x").join(lists("p_partkey % 5 = 1", "y"), "k").select("k", F.array_join(F.concat("x", "y"), "|").alias("names"))
+    both = _said(get, "o_custkey", "o_orderkey", "o_orderpriority", "orders", "x").join(_said(get, "conv_id", "turn", "role", "conversations", "y"), "k")
+    return both.select("k", F.array_join(F.concat("x", "y"), "|").alias("names"))
 
 
 @query("SELECT n_name, count(s_suppkey) AS suppliers FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 9000) ON s_nationkey = n_nationkey GROUP BY n_name")
@@ -96,11 +105,10 @@ def a02_distinct_sets(get):
     return get("part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("s")).where(F.size("s") >= 5).select("p_brand", F.array_join("s", "|").alias("names"))
 
 
-@query("""WITH a AS (SELECT p_brand AS k, list(p_name ORDER BY p_partkey) AS x FROM part WHERE p_partkey % 3 = 0 GROUP BY 1), b AS (SELECT p_brand AS k, list(p_name ORDER BY p_partkey) AS x FROM part WHERE p_partkey % 7 = 2 GROUP BY 1)
-    SELECT k, array_to_string(list_concat(coalesce(a.x, []), coalesce(b.x, [])), '|') AS names FROM a FULL JOIN b USING (k)""")
+@query(f"SELECT k, array_to_string(list_concat(coalesce(x, []), coalesce(y, [])), '|') AS names FROM ({_PRIORITIES}) FULL JOIN ({_TURNS}) USING (k)")
 def a04_merged_lists(get):
-    lists = lambda rule: get("part").where(rule).groupBy(C("p_brand").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda s: s["p_name"]).alias("names"))
-    return rel.merged_lists([lists("p_partkey % 3 = 0"), lists("p_partkey % 7 = 2")], "k", "names").withColumn("names", F.array_join("names", "|"))
+    lists = [_said(get, "o_custkey", "o_orderkey", "o_orderpriority", "orders", "names"), _said(get, "conv_id", "turn", "role", "conversations", "names")]
+    return rel.merged_lists(lists, "k", "names").withColumn("names", F.array_join("names", "|"))
 
 
 @query("""WITH k AS (SELECT unnest(['ring', 'hot', 'bolt', 'old']) AS keyword, unnest([0, 1, 2, 3]) AS ord)
@@ -198,9 +206,9 @@ def w01_w02_moving_meter(get):
     WINDOW w AS (PARTITION BY name ORDER BY seq)""")
 def w03_eta(get):
     """Running mean times what remains, in whole hundredths."""
-    w = Window.partitionBy("name").orderBy("seq")
-    so_far, done = F.sum(F.round(C("value") * 100).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(w)
-    rows = get("meter").select("name", "seq", so_far.alias("s"), done.alias("k"), F.count("*").over(Window.partitionBy("name")).alias("n"))
+    rows = rel.placed(get("meter").select("name", "seq", F.round(C("value") * 100).cast("long").alias("cents")), ["name"], "seq")
+    counts = rows.groupBy("name").agg(F.count("*").alias("n"))
+    rows = rel.running_sum(rows, ["name"], C("cents"), "s").withColumn("k", C("place") + 1).join(counts, "name")
     return rows.select("name", "seq", F.expr("s * (n - k) div k").alias("eta_cents"))
 
 
@@ -428,6 +436,6 @@ def g23_patches(get):
     return vision.patches(get("nation").select(C("n_nationkey").alias("image_id"), (C("n_nationkey") * 40 + 300).alias("w"), F.lit(400).alias("h")), 256, 200)
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS side, ('0x' || substr(md5('s|' || doc_id), 1, 8))::BIGINT % 10 AS bucket FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS side, ('0x' || substr(md5('s|' || doc_id), 1, 8))::BIGINT % 10 AS bucket FROM documents")
 def d04_bounded_draws(get):
-    return get("documents").where("lang = 'en'").select("doc_id", F.when(C("doc_id") % 3 == 0, "a").otherwise("b").alias("side"), (sm.draw(C("doc_id"), "s") % 10).alias("bucket"))
+    return get("documents").select("doc_id", F.when(C("doc_id") % 3 == 0, "a").otherwise("b").alias("side"), (sm.draw(C("doc_id"), "s") % 10).alias("bucket"))

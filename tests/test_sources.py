@@ -103,3 +103,17 @@ def test_positions(spark):
     rows = spark.range(1000).selectExpr("id * 7919 % 1009 as k", "id")
     got = rel.numbered(rows, ["k", "id"], 10).orderBy("position").collect()
     assert [r.position for r in got] == list(range(1000)) and [(r.k, r.id) for r in got] == sorted((r.k, r.id) for r in got)
+
+
+def test_windows_over_stretches(spark):
+    """A group cut into stretches gives what the whole group gives."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = spark.range(500).selectExpr("if(id < 400, 'hot', concat('k', id % 7)) as name", "id * 7919 % 1009 as seq", "id * 31 % 97 as value")
+    w = Window.partitionBy("name").orderBy("seq")
+    want = rows.select("name", "seq", F.max("value").over(w.rowsBetween(-19, 0)).alias("most"), F.sum("value").over(w).alias("s"), (F.row_number().over(w) - 1).alias("place"))
+    most = {(r.name, r.seq): r.most for r in rel.moving_meter(rows, "name", "seq", "value", stretch=25).collect()}
+    for stretch in (25, 1000):
+        sums = {(r.name, r.seq): (r.s, r.place) for r in rel.running_sum(rel.placed(rows, ["name"], "seq", stretch), ["name"], F.col("value"), "s").collect()}
+        assert all(most[r.name, r.seq] == r.most and sums[r.name, r.seq] == (r.s, r.place) for r in want.collect())
