@@ -72,6 +72,58 @@ def scaled(b: Column, sx: Column, sy: Column) -> Column:
     return box(b["x0"] * sx, b["y0"] * sy, b["x1"] * sx, b["y1"] * sy)
 
 
+def expanded(b: Column, ratio: Column, w: Column, h: Column, least: float = 0.0) -> Column:
+    """b grown by ratio around its centre, sides counted with their last pixel and at least `least` long, in whole
+    pixels and clipped to the image."""
+    wide, high = F.greatest(ratio * (b["x1"] - b["x0"] + 1), F.lit(least)), F.greatest(ratio * (b["y1"] - b["y0"] + 1), F.lit(least))
+    cx, cy = (b["x0"] + b["x1"]) * 0.5, (b["y0"] + b["y1"]) * 0.5
+    low, high_end = (lambda c, s: F.greatest(F.lit(0).cast("long"), (c - s * 0.5).cast("long"))), (lambda c, s, top: F.least(top.cast("long"), (c + s * 0.5).cast("long")))
+    return box(low(cx, wide), low(cy, high), high_end(cx, wide, w), high_end(cy, high, h))
+
+
+def squared(b: Column, w: Column, h: Column) -> Column:
+    """b, in whole pixels, with its shorter side made as long as the other, around its centre, clipped to the image."""
+    x0, y0, x1, y1 = (b[c].cast("long") for c in ("x0", "y0", "x1", "y1"))
+    cx, cy = F.floor((x0 + x1) / 2), F.floor((y0 + y1) / 2)
+    tall, half = y1 - y0 >= x1 - x0, F.floor(F.greatest(y1 - y0, x1 - x0) / 2)
+    zero = F.lit(0).cast("long")
+    return box(
+        F.greatest(zero, F.when(tall, cx - half).otherwise(x0)), F.greatest(zero, F.when(tall, y0).otherwise(cy - half)),
+        F.least(w.cast("long"), F.when(tall, cx + half).otherwise(x1)), F.least(h.cast("long"), F.when(tall, y1).otherwise(cy + half)),
+    )
+
+
+def resized(b: Column, w: Column, h: Column, to_w: Column, to_h: Column) -> Column:
+    """b in an image scaled from w x h to to_w x to_h, in whole pixels."""
+    fit = lambda v, side, to: F.least((v / side * to).cast("long"), to.cast("long"))
+    return box(fit(b["x0"], w, to_w), fit(b["y0"], h, to_h), fit(b["x1"], w, to_w), fit(b["y1"], h, to_h))
+
+
+def relative(b: Column, outer: Column) -> Column:
+    """b from the corner of the box that it lies in."""
+    return shifted(b, -outer["x0"], -outer["y0"])
+
+
+def square_padding(w: Column, h: Column) -> Column:
+    """Pixels before and after that make the shorter side as long as the other: a struct (left, right, top, bottom)."""
+    gap = F.abs(w - h)
+    first, zero = F.floor(gap / 2), F.lit(0).cast("long")
+    at = lambda rule, v: F.when(rule, v).otherwise(zero)
+    return F.struct(at(h > w, first).alias("left"), at(h > w, gap - first).alias("right"), at(w > h, first).alias("top"), at(w > h, gap - first).alias("bottom"))
+
+
+def fitting_scale(b: Column, scale: Column, w: Column, h: Column) -> Column:
+    """scale, or 0.7 where the box at its place would leave the image."""
+    over = (b["x0"] + F.floor((b["x1"] - b["x0"]) * scale) > w) | (b["y0"] + F.floor((b["y1"] - b["y0"]) * scale) > h)
+    return F.when(over, 0.7).otherwise(scale)
+
+
+def headroom_scale(b: Column, w: Column, h: Column) -> Column:
+    """1.3 where the image leaves twice the box's size from its corner on, else 0.7: whole times, against 1.5."""
+    room = lambda side, low, high: F.floor((side - low) / F.nullif(high - low, F.lit(0.0))) < 1.5
+    return F.when(room(w, b["x0"], b["x1"]) | room(h, b["y0"], b["y1"]), 0.7).otherwise(1.3)
+
+
 def near_crop_edge(b: Column, crop: Column, image: Column, within: float = 20.0) -> Column:
     """Whether a side lies within reach of the crop's side that is no side of the image."""
     out = F.lit(False)

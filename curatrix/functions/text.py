@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,13 +98,9 @@ def repair_json(s: Column) -> Column:
     return F.when(~F.contains(s, F.lit("}")), F.concat(s, F.lit("}"))).otherwise(F.concat(F.substring_index(s, "}", 1), F.lit("}")))
 
 
-def clauses_until(text: Column, action: Column) -> Column:
-    """The comma clauses of text up to and with the first whose first word is `action`; null if none is."""
-    parts = F.split(text, ", ")
-    at = F.array_position(F.transform(parts, lambda c: F.element_at(F.split(c, " "), 1)), action)
-    return F.when(at > 0, F.array_join(F.slice(parts, F.lit(1), at.cast("int")), ", "))
-
-
-def shorten(s: Column, tokens: Column, limit: int = 77) -> Column:
-    """A caption of more than `limit` tokens cut at its first sentence; `tokens` counts those of a text."""
-    return F.when(tokens > limit, F.concat(F.split_part(s, F.lit(". "), F.lit(1)), F.lit("."))).otherwise(s)
+def shorten(s: Column, tokens: Callable[[Column], Column], limit: int = 77) -> Column:
+    """A caption of more than `limit` tokens cut after its first sentence; if that is still longer, after its first
+    clause; if that is, after `limit` words. tokens: counts those of a text."""
+    sentence = F.when(tokens(s) > limit, F.concat(F.split_part(s, F.lit(". "), F.lit(1)), F.lit("."))).otherwise(s)
+    clause = F.when(tokens(sentence) > limit, F.concat(F.split_part(sentence, F.lit(", "), F.lit(1)), F.lit("."))).otherwise(sentence)
+    return F.when(tokens(clause) > limit, F.array_join(F.slice(words(clause), 1, limit), " ")).otherwise(clause)

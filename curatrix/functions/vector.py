@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,3 +96,48 @@ def quaternion_product(a: Column, b: Column) -> Column:
 def relative_rotation(a: Column, b: Column) -> Column:
     """The quaternion that turns a into b."""
     return quaternion_product(b, F.array(a[0], -a[1], -a[2], -a[3]))
+
+
+def quaternion(m: Column) -> Column:
+    """The quaternion (w, x, y, z), w not negative, of a row-major 3 x 3 rotation matrix: of the four ways to divide, the
+    one by the greatest number."""
+    r = lambda i, j: m[3 * i + j]
+    squares = [1 + r(0, 0) + r(1, 1) + r(2, 2), 1 + r(0, 0) - r(1, 1) - r(2, 2), 1 - r(0, 0) + r(1, 1) - r(2, 2), 1 - r(0, 0) - r(1, 1) + r(2, 2)]
+    by = [
+        [squares[0], r(2, 1) - r(1, 2), r(0, 2) - r(2, 0), r(1, 0) - r(0, 1)],
+        [r(2, 1) - r(1, 2), squares[1], r(0, 1) + r(1, 0), r(0, 2) + r(2, 0)],
+        [r(0, 2) - r(2, 0), r(0, 1) + r(1, 0), squares[2], r(1, 2) + r(2, 1)],
+        [r(1, 0) - r(0, 1), r(0, 2) + r(2, 0), r(1, 2) + r(2, 1), squares[3]],
+    ]
+    most, out = F.greatest(*squares), None
+    for s, row in zip(squares, by, strict=True):
+        q = F.array(*[x / (2 * F.sqrt(s)) for x in row])
+        out = F.when(s == most, q) if out is None else out.when(s == most, q)
+    return F.transform(out, lambda x: x * F.when(out[0] < 0, -1.0).otherwise(1.0))
+
+
+def ssim(a: Column, b: Column, w: int, size: int = 11, sigma: float = 1.5) -> Column:
+    """Structural similarity of two grey images of rows of w values 0 to 255, averaged over the places where a Gaussian
+    window fits; null where none does or the images differ in size. A window is a matrix, so it runs on Arrow batches."""
+    at = np.arange(size) - (size - 1) / 2
+    kernel = np.exp(-(at**2) / (2 * sigma**2))
+    kernel /= kernel.sum()
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+
+    def means(x: np.ndarray) -> np.ndarray:
+        x = np.lib.stride_tricks.sliding_window_view(x, size, 0) @ kernel
+        return np.lib.stride_tricks.sliding_window_view(x, size, 1) @ kernel
+
+    def one(x: np.ndarray, y: np.ndarray) -> float | None:
+        if x is None or y is None or len(x) != len(y) or len(x) // w < size or w < size:
+            return None
+        x, y = (np.asarray(v, np.float64).reshape(-1, w) for v in (x, y))
+        mx, my = means(x), means(y)
+        vx, vy, cov = means(x * x) - mx * mx, means(y * y) - my * my, means(x * y) - mx * my
+        return float((((2 * mx * my + c1) * (2 * cov + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))).mean())
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return run(a, b)

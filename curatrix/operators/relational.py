@@ -175,6 +175,13 @@ def last_k(rows: DataFrame, group: str, order: Column, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("rank") <= k)
 
 
+def first_k(rows: DataFrame, group: str, item: str, k: int) -> DataFrame:
+    """(group, item): an array of the k smallest items of each group. Spark drops all but k rows a group in each task
+    before they travel."""
+    least = last_k(rows.select(group, item), group, F.col(item).asc(), k)
+    return least.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias(item))
+
+
 def lowest_tier(rows: DataFrame, group: str, tier: Column) -> DataFrame:
     """Of each group only the rows of its lowest tier; rows without a tier go."""
     rows = rows.withColumn("tier", tier).where("tier is not null")

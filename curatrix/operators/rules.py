@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as t
-from curatrix.functions.sampling import pick
+from curatrix.functions.sampling import draw, pick, sample
 
 # Lists that decide results.
 BASIC_COLORS = ["red", "blue", "green", "yellow", "black", "purple", "white", "pink", "orange", "gray", "brown", "gold", "silver"]
@@ -25,6 +25,11 @@ CHECKED_COLORS = ["color", "white", "black", "green", "blue", "red", "grey", "pi
 ROOMS = ["kitchen", "room", "bathroom", "bedroom", "wall"]
 BE_AND_HAVE = ["be", "being", "have", "having"]
 YES_WORDS = ["yes", "true", "right", "correct"]
+REMOVE_VERBS = ["Remove", "Erase", "Elimate"]
+LEFT_VERBS = ["Turn", "Make", "Let"]
+PLACES = ["on the", "in the", "at the"]
+CENTER = "location='in the center'"
+LAYOUTS = ["right", "left", "bottom", "up"]
 ROTATION_VERBS = ["Turn", "Make", "Rotate"]
 NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
 # End of fixed values.
@@ -99,10 +104,36 @@ def foreground(nouns: Column, current: Column) -> Column:
     return F.filter(nouns, lambda n: ~F.array_contains(seen, n))
 
 
-def action_words(lemmas: Column, action: Column, verbs: Column) -> Column:
-    """lemmas: of the first word of each clause; rejects be and have, and clauses whose action isn't tagged a verb."""
-    tagged = (F.size(verbs) > 0) & ~F.array_contains(verbs, action)
-    return ~action.isin(BE_AND_HAVE) & F.array_contains(lemmas, action) & tagged
+def action_cut(edit: Column, said: Column, output: Column, lexicon: Column) -> tuple[Column, Column, Column]:
+    """(kept, input, output) of an edit to another action. lexicon: a map of verb forms to lemmas; what it lacks is its
+    own lemma and no verb. The clauses of input and output go side by side, as many as the shorter has, up to and with
+    the first in which a word of the output has the lemma of the new action. Not kept are be and have, and edits whose
+    clause of the input at that place has no verb, or has that action already; edits without such a clause are."""
+    lemma = lambda w: F.coalesce(lexicon[w], w)
+    new = t.first_word(t.after_last(edit, "to "))
+    clauses = F.filter(F.arrays_zip(F.split(said, ", ").alias("i"), F.split(output, ", ").alias("o")), lambda c: c["i"].isNotNull() & c["o"].isNotNull())
+    hit = F.array_position(F.transform(clauses, lambda c: F.exists(t.words(t.strip(c["o"], ".")), lambda w: lemma(w) == lemma(new))), True)
+    verbs = F.transform(F.filter(t.words(t.strip(F.element_at(clauses, hit.cast("int"))["i"], ".")), lambda w: lexicon[w].isNotNull()), lemma)
+    done = F.when(hit > 0, (F.size(verbs) == 0) | F.array_contains(verbs, lemma(new)) | F.array_contains(verbs, new)).otherwise(False)
+    cut = F.when(hit > 0, F.slice(clauses, F.lit(1), hit.cast("int"))).otherwise(clauses)
+    return ~new.isin(BE_AND_HAVE) & ~done, F.array_join(F.transform(cut, lambda c: c["i"]), ", "), F.array_join(F.transform(cut, lambda c: c["o"]), ", ")
+
+
+def named_parts(kind: Column, said: Column, tags: Column) -> Column:
+    """Whether a caption has what its edit type needs, by tags, a map of words to parts of speech: a verb for a change of
+    action, else a noun."""
+    need = F.when(kind == "action_change", "VERB").otherwise("NOUN")
+    return F.exists(t.words(t.strip(said, ".")), lambda w: F.coalesce(tags[w] == need, F.lit(False)))
+
+
+def noun_concepts(words: DataFrame, tags: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(concept): the lemmas, in lower case, of the words (word) that tags (word, pos, entity, lemma) call nouns or
+    names but not persons, and that are in the vocabulary (word), whatever their case. All three may be large: they meet
+    in joins on the word."""
+    nouns = tags.where(F.col("pos").isin("NOUN", "PROPN") & (F.coalesce("entity", F.lit("")) != "PERSON"))
+    known = vocabulary.select(F.lower("word").alias("known")).distinct()
+    found = words.select("word").distinct().join(nouns.select("word", "lemma"), "word").join(known, F.lower("word") == F.col("known"), "left_semi")
+    return found.select(F.lower("lemma").alias("concept")).distinct()
 
 
 def complete() -> Column:
@@ -205,11 +236,32 @@ def moved(verb: Column, obj: Column, direction: Column, target: Column) -> Colum
     return F.when(target.isNull(), F.concat(start, F.lit(" to "), direction)).otherwise(near)
 
 
-def counted(noun: Column, now: Column, removed: Column) -> Column:
-    """The sentence that changes a number of things: word numbers for digits."""
+def counted_noun(caption: Column, nouns: Column) -> Column:
+    """The first of the nouns that a number from 2 to 9, digit or word, stands before, as a struct (noun, said, n): said
+    is the last word, by single spaces, before the noun's first place."""
+    digits = F.array(*[F.lit(str(i)) for i in range(len(NUMBER_WORDS))])
+    said = lambda n: t.last_word(F.trim(F.split_part(caption, n, F.lit(1))))
+    number = lambda w: F.greatest(F.array_position(digits, w), F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), w)) - 1
+    found = F.transform(nouns, lambda n: F.struct(n.alias("noun"), said(n).alias("said"), number(said(n)).cast("int").alias("n")))
+    return F.get(F.filter(found, lambda x: x["n"] > 1), F.lit(0))
+
+
+def counted(caption: Column, found: Column, key: Column) -> tuple[Column, Column, Column]:
+    """(edit, output, removed) for a caption and its counted_noun(): how many go, the wording and the verbs are draws.
+    Numbers are told in words; the output changes a number that the caption tells in words."""
     names = F.array(*map(F.lit, NUMBER_WORDS))
     name = lambda n: F.get(names, n)
-    return F.concat(F.lit("Turn the total number of the "), noun, F.lit(" from "), name(now), F.lit(" to "), name(now - removed))
+    gone = (draw(key, "gone") % found["n"] + 1).cast("int")
+    left, noun, now = name(found["n"] - gone), found["noun"], name(found["n"])
+    verb, turn = (pick(F.array(*map(F.lit, words)), key, seed) for words, seed in ((REMOVE_VERBS, "remove"), (LEFT_VERBS, "left")))
+    to = F.concat(F.lit(" from "), now, F.lit(" to "), left)
+    edits = F.array(
+        F.concat(verb, F.lit(" "), name(gone), F.lit(" of the "), noun, F.lit(" in the image")),
+        F.concat(turn, F.lit(" the total number of the "), noun, to),
+        F.concat(verb, F.lit(" "), name(gone), F.lit(" of the "), noun, F.lit(" to "), F.lower(turn), F.lit(" the total number"), to),
+    )
+    output = F.replace(caption, F.concat(F.lit(" "), now, F.lit(" "), noun), F.concat(F.lit(" "), left, F.lit(" "), noun))
+    return pick(edits, key, "counting"), output, gone
 
 
 def rotation_direction(q: Column) -> Column:
@@ -225,3 +277,19 @@ def rotations(turns: DataFrame, sequence: str, order: str) -> DataFrame:
 def rotation_edit(key: Column, obj: Column, direction: Column, swapped: Column) -> Column:
     verb = pick(F.array(*map(F.lit, ROTATION_VERBS)), key, "turn")
     return F.concat(verb, F.lit(" the "), obj, F.when((direction == "right") == ~swapped, " clockwise").otherwise(" counterclockwise"))
+
+
+def located(caption: Column, backgrounds: Column, key: Column, k: int = 10) -> Column:
+    """Captions as an array: the one that there is, if its last 20 characters name a place; else k with a background
+    each, drawn without replacement."""
+    bare = t.strip(caption, ".")
+    made = F.transform(sample(backgrounds, k, key, "place"), lambda b: F.concat(bare, F.lit(" "), b, F.lit(".")))
+    return F.when(t.has_any(F.right(caption, F.lit(20)), PLACES), F.array(caption)).otherwise(made)
+
+
+def layouts(layout: Column, regions: int = 3) -> Column:
+    """Variants (relation, layout) of the first regions of a layout: one as it is, or, if something stands in the
+    center, one for each place that it may move to."""
+    head = F.concat(F.array_join(F.slice(F.split(layout, "\n\n#"), 1, regions), "\n\n#"), F.lit("\n```"))
+    moved = [F.struct(F.lit(to).alias("relation"), F.replace(head, F.lit(CENTER), F.lit(CENTER.replace("center", to))).alias("layout")) for to in LAYOUTS]
+    return F.when(F.contains(head, F.lit(CENTER)), F.array(*moved)).otherwise(F.array(F.struct(F.lit("ori").alias("relation"), head.alias("layout"))))

@@ -2,36 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import boxes as bx
 
+BOX = ("x0", "y0", "x1", "y1")
+
+
+def _ranked(boxes: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:
+    """The boxes of each group as an array, by score and then box_id: groups are images, and stay small."""
+    item = F.struct((-F.col("score")).alias("order"), "box_id", "score", *BOX, *rest)
+    return boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("found"))
+
 
 def suppressed(boxes: DataFrame, group: str, threshold: float = 0.5, by_class: str | None = None) -> DataFrame:
     """Greedy non-maximum suppression over rows (group, box_id, score, x0, y0, x1, y1): of each group the boxes that
     overlap no kept one of a greater score (then smaller box_id) by more than threshold. by_class: boxes of different
-    classes never suppress each other. Groups are images, so a task holds the boxes of one image at a time."""
+    classes never suppress each other."""
     keys = [group] + ([by_class] if by_class else [])
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True])
-        b = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        size = np.maximum(0, b[:, 2] - b[:, 0]) * np.maximum(0, b[:, 3] - b[:, 1])
-        alive, kept = np.ones(len(b), bool), []
-        for i in range(len(b)):
-            if not alive[i]:
-                continue
-            kept.append(i)
-            w = np.minimum(b[i, 2], b[:, 2]) - np.maximum(b[i, 0], b[:, 0])
-            h = np.minimum(b[i, 3], b[:, 3]) - np.maximum(b[i, 1], b[:, 1])
-            both = np.maximum(0, w) * np.maximum(0, h)
-            alive &= ~(both > threshold * np.maximum(size[i] + size - both, 1e-12))
-        return pdf.iloc[kept]
-
-    return boxes.groupBy(*keys).applyInPandas(keep, boxes.schema)
+    rest = [c for c in boxes.columns if c not in (*keys, "box_id", "score", *BOX)]
+    kind = _ranked(boxes, keys, rest)
+    none = F.filter("found", lambda x: F.lit(False))
+    near = lambda a, b: F.coalesce(bx.iou(a, b) > threshold, F.lit(False))
+    kept = F.aggregate("found", none, lambda kept, x: F.when(F.exists(kept, lambda k: near(k, x)), kept).otherwise(F.array_append(kept, x)))
+    rows = kind.select(*keys, F.explode(kept).alias("x"))
+    return rows.select(*[F.col(c) if c in keys else F.col(f"x.{c}") for c in boxes.columns])
+
+
+def softly_suppressed(boxes: DataFrame, group: str, threshold: float = 0.3, sigma: float = 0.5, least: float = 1e-3, gaussian: bool = False) -> DataFrame:
+    """Soft suppression: the box of the greatest score (then smallest box_id) is kept, the scores of the rest fall by
+    their overlap with it, and so on. Linear: by 1 - IoU where the IoU is over threshold; gaussian: by
+    exp(-IoU * IoU / sigma). Boxes whose score falls to `least` or below are dropped. `score` is that at which a box
+    was kept."""
+    rest = [c for c in boxes.columns if c not in (group, "box_id", "score", *BOX)]
+    kind = _ranked(boxes, [group], rest)
+
+    def lower(top: Column, x: Column) -> Column:
+        iou = F.coalesce(bx.iou(top, x), F.lit(0.0))
+        score = x["score"] * (F.exp(-iou * iou / sigma) if gaussian else F.when(iou > threshold, 1 - iou).otherwise(1.0))
+        return x.withField("score", score).withField("order", -score)
+
+    def step(state: Column, _: Column) -> Column:
+        top = F.array_min(state["left"])
+        left = F.filter(F.transform(F.filter(state["left"], lambda x: x["box_id"] != top["box_id"]), lambda x: lower(top, x)), lambda x: x["score"] > least)
+        done = F.when(top.isNull(), state["kept"]).otherwise(F.array_append(state["kept"], top))
+        return F.struct(left.alias("left"), done.alias("kept"))
+
+    start = F.struct(F.filter("found", lambda x: x["score"] > least).alias("left"), F.filter("found", lambda x: F.lit(False)).alias("kept"))
+    kept = F.aggregate(F.sequence(F.lit(1), F.size("found")), start, step)["kept"]
+    rows = kind.select(group, F.explode(kept).alias("x"))
+    return rows.select(*[F.col(c) if c == group else F.col(f"x.{c}") for c in boxes.columns])
+
+
+def enough_per_group(rows: DataFrame, group: str, order: Column, n: Column) -> DataFrame:
+    """The first n rows of each group by `order`, n a column of the group; groups of fewer rows, or of one, go."""
+    w = Window.partitionBy(group)
+    rows = rows.withColumn("rank", F.row_number().over(w.orderBy(order))).withColumn("of", F.count("*").over(w))
+    return rows.where((F.col("rank") <= n) & (F.col("of") >= n) & (F.col("of") > 1)).drop("of")
 
 
 def any_overlap(boxes: DataFrame, others: DataFrame, group: str) -> DataFrame:
@@ -67,6 +99,114 @@ def mask_boxes(masks: DataFrame) -> DataFrame:
     return at.groupBy("id").agg(*[F.coalesce(f(c), zero).alias(f"{c}{n}") for n, f in ((0, F.min), (1, F.max)) for c in ("x", "y")])
 
 
+def merged_masks(masks: DataFrame, group: str) -> DataFrame:
+    """(group, pixel) of the pixels that any mask of the group has: masks (group, counts)."""
+    return masks.select(group, F.explode(bx.rle_pixels(F.col("counts"))).alias("pixel")).distinct()
+
+
+def _runs(counts: np.ndarray, h: int, on: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(column, first row, row after the last) of the runs, cut at columns, of a mask's pixels that are on, or off."""
+    ends = np.cumsum(counts)
+    start, stop = (ends - counts)[int(on) :: 2], ends[int(on) :: 2]
+    start, stop = start[stop > start], stop[stop > start]
+    apart = start[1:] != stop[:-1]  # an empty run between two cuts nothing
+    start, stop = start[np.append(True, apart)[: len(start)]], stop[np.append(apart, True)[: len(stop)]]
+    first, last = start // h, (stop - 1) // h
+    n = last - first + 1
+    col = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return col, np.maximum(np.repeat(start, n) - col * h, 0), np.minimum(np.repeat(stop, n) - col * h, h)
+
+
+def _labels(col: np.ndarray, top: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The number of the component of each run: runs of neighbouring columns touch by sides or corners."""
+    parent = np.arange(len(col))
+    at = np.searchsorted(col, np.arange(col.max(initial=-1) + 3))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(col)):
+        a, z = at[col[i] + 1], at[col[i] + 2]
+        a += np.searchsorted(end[a:z], top[i])  # the first run of the next column that reaches as far as the row above this one
+        while a < z and top[a] <= end[i]:
+            x, y = root(i), root(a)
+            parent[max(x, y)] = min(x, y)
+            a += 1
+    return np.array([root(i) for i in range(len(col))], np.int64)
+
+
+def _by_mask(masks: DataFrame, schema: str, work: Callable[[np.ndarray, int], list[tuple]]) -> DataFrame:
+    """(id, ...) rows that `work` makes of the run lengths and the height of each mask (id, h, counts); an image is a
+    row, so a task holds a batch of them."""
+    kind = masks.schema["id"].dataType.simpleString()
+    names = ["id", *[c.split()[0] for c in schema.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            ids, out = [], []
+            for i, h, counts in zip(*(x.column(c).to_pylist() for c in ("id", "h", "counts")), strict=True):
+                got = work(np.array(counts or [], np.int64), h)
+                ids += [i] * len(got)
+                out += got
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_pydict(dict(zip(names, [pa.array(ids, x.column("id").type), *map(pa.array, cols)], strict=True)))
+
+    return masks.select("id", "h", "counts").mapInArrow(run, f"id {kind}, {schema}")
+
+
+def components(masks: DataFrame, on: bool = True) -> DataFrame:
+    """(id, component, area) of the connected parts, by sides and corners, of the pixels that are on, or off, of
+    column-major run-length masks (id, h, counts). component: the position of its first pixel. Empty masks have none."""
+
+    def work(counts: np.ndarray, h: int) -> list[tuple]:
+        col, top, end = _runs(counts, h, on)
+        label = _labels(col, top, end)
+        return [(int(col[k] * h + top[k]), int((end - top)[label == k].sum())) for k in np.unique(label).tolist()]
+
+    return _by_mask(masks, "component long, area long", work)
+
+
+def without_small(masks: DataFrame, least: int, holes: bool = False) -> DataFrame:
+    """(id, counts, changed): masks without islands of fewer than `least` pixels, of which the largest stays if all are
+    small; or, with `holes`, with such holes filled."""
+
+    def work(counts: np.ndarray, h: int) -> list[tuple]:
+        col, top, end = _runs(counts, h, not holes)
+        label = _labels(col, top, end)
+        area = np.bincount(label, end - top, len(label)) if len(label) else np.zeros(0)
+        small = (area < least) & (area > 0)
+        if not small.any():
+            return [(counts.tolist(), False)]
+        bits = np.repeat(np.arange(len(counts)) % 2, counts)
+        if not holes and not (area >= least).any():
+            small[int(area.argmax())] = False  # of equal ones that with the first pixel
+        for k in np.flatnonzero(small[label]).tolist():
+            bits[col[k] * h + top[k] : col[k] * h + end[k]] = int(holes)
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(bits)) + 1, [len(bits)]))
+        runs = np.diff(cut).tolist()
+        return [(([0] if bits[0] else []) + runs, True)]
+
+    return _by_mask(masks, "counts array<long>, changed boolean", work)
+
+
+def occlusion(parts: DataFrame, threshold: float = 0.15, least: int = 50) -> DataFrame:
+    """(id, largest, occluded) from components(): parts of fewer than `least` pixels are noise; the share of the largest
+    of the others, null if there is none, and whether it leaves more than threshold to them."""
+    kept = F.when(F.col("area") >= least, F.col("area"))
+    share = F.max(kept) / F.sum(kept)
+    return parts.groupBy("id").agg(share.alias("largest"), F.coalesce(share < 1 - threshold, F.lit(False)).alias("occluded"))
+
+
+def connectivity(parts: DataFrame, least: int = 10) -> DataFrame:
+    """(id, score) from components(): the share of the largest part; 0 for masks of fewer than `least` pixels."""
+    whole = F.sum("area")
+    return parts.groupBy("id").agg(F.when(whole < least, 0.0).otherwise(F.max("area") / whole).alias("score"))
+
+
 def grid(spark, side: int) -> DataFrame:
     """(x, y) of side x side points, each in the middle of its cell of the unit square."""
     n = F.sequence(F.lit(0), F.lit(side - 1))

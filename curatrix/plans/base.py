@@ -35,6 +35,17 @@ SHAPES = {
         l_quantity * 8.0 AS x0, l_discount * 3000.0 AS y0, l_quantity * 8.0 + 20.0 + l_linenumber * 25.0 AS x1, l_discount * 3000.0 + 30.0 + l_tax * 1500.0 AS y1,
         CAST(CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS DOUBLE) / 1000.0 AS score, CASE l_linenumber WHEN 1 THEN 'dog' WHEN 2 THEN 'red dog' WHEN 3 THEN 'cat' ELSE 'park bench' END AS phrase
         FROM lineitem""",
+    # captions of two clauses that say what a thing does, with an edit to do something else
+    "acts": """SELECT p_partkey AS row_id, CASE WHEN p_partkey % 3 = 0 THEN 'action_change' ELSE 'add' END AS edit_type,
+        concat('make it to ', CASE p_partkey % 6 WHEN 0 THEN 'run' WHEN 1 THEN 'jump' WHEN 2 THEN 'be' WHEN 3 THEN 'sit' WHEN 4 THEN 'eating' ELSE 'having' END, ' now') AS edit,
+        concat('a ', p_name, CASE p_size % 3 WHEN 0 THEN ' runs' WHEN 1 THEN ' stands' ELSE ' sits' END, ' here, it ', CASE p_partkey % 4 WHEN 0 THEN 'jumps' WHEN 1 THEN 'waits' WHEN 2 THEN 'eats' ELSE 'is red' END, ' there, near a wall.') AS input,
+        concat('a ', p_name, CASE p_size % 4 WHEN 0 THEN ' runs' WHEN 1 THEN ' stands' WHEN 2 THEN ' jumping' ELSE ' sits' END, ' here, it ', CASE p_partkey % 5 WHEN 0 THEN 'eats' WHEN 1 THEN 'jumps' WHEN 2 THEN 'waits' WHEN 3 THEN 'run' ELSE 'sitting' END, ' there.') AS output,
+        CASE p_partkey % 5 WHEN 0 THEN 'red women' WHEN 1 THEN 'two cats' WHEN 2 THEN 'painters' WHEN 3 THEN 'teachers' ELSE p_name END AS new_object,
+        concat('a table with ', CASE p_partkey % 10 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN 'two' WHEN 3 THEN '3' WHEN 4 THEN 'seven' WHEN 5 THEN 'nine' WHEN 6 THEN 'many' WHEN 7 THEN 'one' WHEN 8 THEN '5' ELSE 'ten' END, ' ', split_part(p_name, ' ', 2), 's and ',
+            CASE p_size % 4 WHEN 0 THEN 'four' WHEN 1 THEN '8' WHEN 2 THEN 'some' ELSE 'three' END, ' chairs') AS caption, concat(split_part(p_name, ' ', 2), 's') AS noun,
+        concat('# sky', CASE WHEN p_size % 3 = 0 THEN ', location=''in the center''' ELSE '' END, chr(10), chr(10), '# ', p_name, CASE WHEN p_size % 5 = 0 THEN ', location=''in the center''' ELSE ', location=''on the left''' END,
+            CASE WHEN p_partkey % 2 = 0 THEN concat(chr(10), chr(10), '# third') ELSE '' END, CASE WHEN p_partkey % 4 = 0 THEN concat(chr(10), chr(10), '# fourth, location=''in the center''') ELSE '' END) AS layout
+        FROM part""",
     # a meter's series, one per event type
     "meter": "SELECT event_type AS name, event_id AS seq, value, CAST(user_id % 5 + 1 AS INT) AS n FROM events",
     # pixels of predicted and true classes

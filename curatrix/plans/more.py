@@ -57,12 +57,6 @@ def a20_row_equality(get):
     return p.join(q, C("k") == C("p_partkey") + C("p_partkey") % 2).agg(R(F.avg((far < 1e-4).cast("double"))).alias("accuracy"))
 
 
-@query("SELECT o_custkey, round(max(o_totalprice) / sum(o_totalprice), 6) AS largest, max(o_totalprice) / sum(o_totalprice) >= 0.9 AS whole FROM orders GROUP BY 1")
-def a23_f42_g16_largest_component(get):
-    share = F.max("o_totalprice") / F.sum("o_totalprice")
-    return get("orders").groupBy("o_custkey").agg(R(share).alias("largest"), (share >= 0.9).alias("whole"))
-
-
 @query("""SELECT name, seq, (sum(CAST(round(value * 100) AS BIGINT) * n) OVER w // sum(n) OVER w)::BIGINT AS mean_cents FROM {meter}
     WINDOW w AS (PARTITION BY name ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def w04_last_n_mean(get):
@@ -126,17 +120,6 @@ def p10_rotation_direction(get):
     return rows.select("row_id", "direction", "swapped", r.rotation_edit(C("row_id"), C("p_name"), C("direction"), C("swapped")).alias("edit"))
 
 
-@query("""WITH e AS (SELECT edit_type, string_agg(edit, ' / ' ORDER BY h) AS shots FROM (SELECT edit_type, edit, md5('shot|' || row_id) AS h, row_number() OVER (PARTITION BY edit_type ORDER BY md5('shot|' || row_id)) AS k FROM {instr}) WHERE k <= 3 GROUP BY 1)
-    SELECT row_id, shots || ' / ' || input AS prompt FROM {instr} JOIN e USING (edit_type)""")
-def p11_d05_prompts(get):
-    """Few-shot prompts: three examples by draw for each type, a table of as many rows as types."""
-    rows = get("instr")
-    h = F.md5(F.concat(F.lit("shot|"), C("row_id").cast("string")))
-    shots = rel.last_k(rows.select("edit_type", "edit", h.alias("h")), "edit_type", C("h").asc(), 3)
-    shots = shots.groupBy("edit_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "edit"))), lambda s: s["edit"]), " / ").alias("shots"))
-    return rows.join(shots, "edit_type").select("row_id", F.concat("shots", F.lit(" / "), "input").alias("prompt"))
-
-
 @query("SELECT row_id, array_to_string(CASE WHEN list_contains(string_split(input, ' '), edited_object) THEN string_split(input, ' ') ELSE list_append(string_split(input, ' '), edited_object) END, ' ') AS tags FROM {instr} WHERE input IS NOT NULL AND edited_object IS NOT NULL")
 def f30_append_if_absent(get):
     w = F.split("input", " ")
@@ -161,7 +144,8 @@ def f19_alignment(get):
     return get("instr").where("input is not null and output is not null").select("row_id", align.aligned(C("input"), C("output")).alias("partners"))
 
 
-@query("SELECT p_partkey, array_to_string(list_transform(range(8), lambda i: CAST(floor(i * greatest(p_size - 2, 0) / 7) AS INT)), ',') AS frames FROM part")
+@query("""SELECT p_partkey, array_to_string(CASE WHEN n <= 1 THEN list_transform(range(8), lambda i: -1) WHEN n < 8 THEN list_concat(list_transform(range(8 - n), lambda i: -1), range(n))
+    ELSE list_transform(range(8), lambda i: CAST(floor(i * (n - 2) / 7) AS BIGINT)) END, ',') AS frames FROM (SELECT p_partkey, p_size AS n FROM part)""")
 def s28_frame_positions(get):
     return get("part").select("p_partkey", F.array_join(frame_positions(C("p_size"), 8).cast("array<string>"), ",").alias("frames"))
 
@@ -169,29 +153,11 @@ def s28_frame_positions(get):
 # --------------------------------------------------------------------------- guards with scores
 
 
-@query("""SELECT row_id FROM {instr} WHERE string_split(edit, ' ')[1] NOT IN ('be', 'being', 'have', 'having') AND list_contains(string_split(input, ' '), 'near') AND NOT list_contains(['turn', 'make'], string_split(edit, ' ')[1])""")
-def f10_action_words(get):
-    rule = r.action_words(F.split("input", " "), F.lit("near"), F.array(F.lit("turn"), F.lit("make"))) & ~t.first_word(C("edit")).isin(r.BE_AND_HAVE) & ~F.array_contains(F.array(F.lit("turn"), F.lit("make")), t.first_word(C("edit")))
-    return get("instr").where(r.passes(rule)).select("row_id")
-
-
-@query("SELECT row_id FROM {instr} WHERE edit_type = 'action_change' AND regexp_matches(edit, '^(turn|make)') OR edit_type <> 'action_change' AND edited_object IS NOT NULL")
-def f13_nouns_and_verbs(get):
-    rule = F.when(C("edit_type") == "action_change", C("edit").rlike("^(turn|make)")).otherwise(C("edited_object").isNotNull())
-    return get("instr").where(rule).select("row_id")
-
-
 @query("SELECT row_id, contains(lower(vqa_answer), 'y') AS kept FROM {scores}")
 def f18_judge_keep(get):
     return get("scores").select("row_id", F.contains(F.lower("vqa_answer"), F.lit("y")).alias("kept"))
 
 
-@query(r"SELECT DISTINCT regexp_replace(word, '[^\x00-\x7F]', '', 'g') AS word FROM (SELECT unnest(string_split(left(text, 200), ' ')) AS word FROM documents) WHERE NOT regexp_matches(word, '[0-9]')")
-def f20_f19_plain_words(get):
-    w = get("documents").select(F.explode(F.split(F.left("text", F.lit(200)), " ")).alias("word"))
-    return w.where(~C("word").rlike("[0-9]")).select(t.ascii_only(C("word")).alias("word")).distinct()
-
-
 @query("SELECT row_id, CASE WHEN list_contains(string_split(input, ' '), string_split(edited_object, ' ')[-1]) THEN 'tried' ELSE 'failure' END AS colour, coalesce(contains(input, edited_object), false) AS attribute, coalesce(edited_object NOT IN ('people', 'man', 'woman', 'boy', 'girl', 'person', 'adult', 'child', 'hand', 'foot'), false) AS relation FROM {instr}")
 def f24_f25_f27_driver_guards(get):
     obj = C("edited_object")
@@ -237,6 +203,16 @@ def f50_away_from_crop_edge(get):
 # --------------------------------------------------------------------------- geometry decisions
 
 
+@query("SELECT row_id, CASE WHEN l1 < 0.33 THEN 8 WHEN l1 < 0.66 THEN 15 ELSE 20 END AS kernel FROM {scores}")
+def g21_kernels(get):
+    return get("scores").select("row_id", F.when(C("l1") < 0.33, 8).when(C("l1") < 0.66, 15).otherwise(20).alias("kernel"))
+
+
+@query("SELECT user_id, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def a24_mean(get):
+    return get("events").groupBy("user_id").agg(F.max("value").alias("most"), R(F.avg("value")).alias("mean"))
+
+
 @query("SELECT user_id, round(count(*) FILTER (value > 60) / nullif(count(*) FILTER (value > 40), 0), 6) AS stability FROM events GROUP BY 1")
 def g11_stability(get):
     return get("events").groupBy("user_id").agg(R(F.try_divide(F.count_if(C("value") > 60), F.count_if(C("value") > 40))).alias("stability"))
@@ -249,11 +225,6 @@ def g14_g17_moved_and_scaled(get):
     return get("boxes").select("box_id", R(m["x0"]).alias("x0"), R(m["y0"]).alias("y0"), R(s["x0"]).alias("sx"), R(s["y1"]).alias("sy"))
 
 
-@query("SELECT row_id, CASE WHEN l1 < 0.33 THEN 8 WHEN l1 < 0.66 THEN 15 ELSE 20 END AS kernel, CASE WHEN clip * 1.5 > 1 THEN 0.7 ELSE 1.3 END::DOUBLE AS scale FROM {scores}")
-def g19_g21_decisions(get):
-    return get("scores").select("row_id", F.when(C("l1") < 0.33, 8).when(C("l1") < 0.66, 15).otherwise(20).alias("kernel"), F.when(C("clip") * 1.5 > 1, 0.7).otherwise(1.3).alias("scale"))
-
-
 @query("SELECT row_id, round(('0x' || substr(md5('clip|' || row_id), 1, 8))::BIGINT / 4294967296.0, 9) AS clip, size * 2.0 + price AS model FROM {instr}")
 def m01_scorers(get):
     """A stand-in and a model loaded once a worker."""

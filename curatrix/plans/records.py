@@ -63,13 +63,6 @@ def f13_drop_punctuation(get):
     return get("documents").select("doc_id", t.drop_punctuation(C("text")).alias("plain"), t.join_hyphens(C("text")).alias("joined"))
 
 
-@query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'USER: ' WHEN 'assistant' THEN 'ASSISTANT: ' ELSE '' END || text, ' ' ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
-def f22_chat_rendering(get):
-    said = F.concat(F.when(C("role") == "user", "USER: ").when(C("role") == "assistant", "ASSISTANT: ").otherwise(""), C("text"))
-    turns = F.array_sort(F.collect_list(F.struct("turn", said.alias("said"))))
-    return get("conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["said"]), " ").alias("prompt"))
-
-
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def f36_json_field(get):
     return get("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
@@ -122,12 +115,6 @@ def p07_referenced(get):
     return rows.select("row_id", edit.alias("edit"), said.alias("input"))
 
 
-@query(f"""SELECT row_id, concat('Turn the total number of the ', edited_object, ' from ', {_list(r.NUMBER_WORDS)}[1 + size % 8 + 2], ' to ', {_list(r.NUMBER_WORDS)}[1 + size % 8 + 1]) AS edit
-    FROM {{instr}} WHERE edited_object IS NOT NULL""")
-def p08_counted(get):
-    return get("instr").where("edited_object is not null").select("row_id", r.counted(C("edited_object"), C("size") % 8 + 2, F.lit(1)).alias("edit"))
-
-
 @query("""WITH d AS (SELECT row_id, edited_object AS o, new_object AS g, ['left', 'right', 'down', 'upper'][1 + row_id % 4] AS d FROM {instr} WHERE edited_object IS NOT NULL)
     SELECT row_id, d AS direction, CASE WHEN g IS NULL THEN concat('Move the ', o, ' to ', d) WHEN d = 'left' THEN concat('Move the ', o, ' to left of the ', g)
         WHEN d = 'right' THEN concat('Move the ', o, ' to right of the ', g) WHEN d = 'down' THEN concat('Move the ', o, ' under the ', g) ELSE concat('Move the ', o, ' on the top of the ', g) END AS edit FROM d""")
@@ -161,35 +148,11 @@ def p18_trailing_count_stripped(get):
     return get("instr").select("row_id", t.drop_trailing_parens(F.concat("edit", F.lit(" ("), C("size").cast("string"), F.lit(" words)"))).alias("edit"))
 
 
-_MARKS = ("on the", "in the", "at the")
-
-
-@query("""WITH s AS (SELECT row_id, edit, right(edit, 20) AS tail FROM {instr})
-    SELECT row_id, CASE WHEN k IS NULL THEN edit ELSE concat(edit, ' place ', k) END AS edit
-    FROM (SELECT row_id, edit, unnest(CASE WHEN contains(tail, 'on the') OR contains(tail, 'in the') OR contains(tail, 'at the') THEN [NULL] ELSE range(10) END) AS k FROM s)""")
-def p19_location_fallback(get):
-    place = t.has_any(F.right("edit", F.lit(20)), list(_MARKS))
-    k = F.when(place, F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(9)))
-    rows = get("instr").select("row_id", "edit", F.explode(k).alias("k"))
-    return rows.select("row_id", F.when(C("k").isNull(), C("edit")).otherwise(F.concat("edit", F.lit(" place "), C("k").cast("string"))).alias("edit"))
-
-
 @query(r"SELECT row_id, regexp_replace(input, '\.$', '') || ', realistic photo, best quality' AS prompt FROM {instr}")
 def p20_prompt_suffix(get):
     return get("instr").select("row_id", F.concat(F.regexp_replace("input", r"\.$", ""), F.lit(", realistic photo, best quality")).alias("prompt"))
 
 
-@query("""SELECT row_id, CASE WHEN string_split(string_split(input, ', ')[1], ' ')[1] = 'near' THEN string_split(input, ', ')[1]
-    WHEN string_split(string_split(input, ', ')[2], ' ')[1] = 'near' THEN input END AS clauses FROM {instr}""")
-def p21_clauses_until_action(get):
-    return get("instr").select("row_id", t.clauses_until(C("input"), F.lit("near")).alias("clauses"))
-
-
-@query("""SELECT row_id, CASE WHEN n > 12 THEN concat(split_part(input, '. ', 1), '.') ELSE input END AS caption FROM (SELECT row_id, input, len(string_split(input, ' ')) AS n FROM {instr})""")
-def p23_caption_shortened(get):
-    return get("instr").select("row_id", t.shorten(C("input"), F.size(F.split("input", " ")), 12).alias("caption"))
-
-
 @query("SELECT row_id, CASE WHEN ends_with(lower(trim(edit)), '.') THEN lower(trim(edit)) ELSE concat(lower(trim(edit)), '.') END AS caption FROM {instr}")
 def p24_caption(get):
     return get("instr").select("row_id", t.caption(C("edit")).alias("caption"))
@@ -201,12 +164,6 @@ def p26_prefix_by_path(get):
     return get("instr").select("row_id", F.concat(F.when(one, "one_").otherwise("other_"), C("row_id").cast("string")).alias("target"))
 
 
-@query("""SELECT row_id, unnest(CASE WHEN row_id % 4 = 0 THEN ['right', 'left', 'bottom', 'up'] ELSE ['ori'] END) AS layout FROM {instr}""")
-def p27_layout_variants(get):
-    four = F.array(*map(F.lit, ("right", "left", "bottom", "up")))
-    return get("instr").select("row_id", F.explode(F.when(C("row_id") % 4 == 0, four).otherwise(F.array(F.lit("ori")))).alias("layout"))
-
-
 # --------------------------------------------------------------------------- filters
 
 
@@ -233,11 +190,6 @@ def f08_appearance_words(get):
     return get("instr").where(r.appearance_words()).select("row_id")
 
 
-@query(f"SELECT row_id FROM {{instr}} WHERE NOT (string_split(new_object, ' ')[-1] IN ({_list(r.PEOPLE_REPLACED)[1:-1]}) OR regexp_matches(string_split(new_object, ' ')[-1], '(er|or|ist|ian|ee)$'))")
-def f09_replace_words(get):
-    return get("instr").where(r.passes(r.replace_words())).select("row_id")
-
-
 @query("SELECT row_id FROM {instr} WHERE NOT (list_contains(string_split(trim(output, '.'), ' '), string_split(new_background, ' ')[-1]) OR list_contains(string_split(trim(input, '.'), ' '), string_split(new_background, ' ')[-1]))")
 def f11_background_words(get):
     return get("instr").where(r.passes(r.background_words(C("output")))).select("row_id")

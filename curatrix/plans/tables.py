@@ -182,11 +182,6 @@ def a21_best_of_n(get):
     return get("boxes").groupBy("image_id").agg(F.max_by("box_id", F.struct("score", (-C("box_id")).alias("first"))).alias("box_id"))
 
 
-@query("SELECT user_id, max(value) AS most, avg(value) FILTER (event_type = 'click') IS NOT NULL AS clicked, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
-def a22_a24_grouped(get):
-    return get("events").groupBy("user_id").agg(F.max("value").alias("most"), (F.count_if(C("event_type") == "click") > 0).alias("clicked"), F.countDistinct("event_type").alias("kinds"))
-
-
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def extension_cube(get):
     return get("orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
@@ -387,11 +382,6 @@ def g20_f43_flips_and_quadrants(get):
     return get("boxes").select("box_id", R(f["x0"]).alias("x0"), R(f["x1"]).alias("x1"), bx.touches_border(b, F.lit(512.0), F.lit(512.0)).alias("at_border"), q["x"].alias("side"), q["y"].alias("height"))
 
 
-@query()
-def g06_suppressed(get):
-    return vision.suppressed(get("boxes").dropDuplicates(["image_id", "box_id"]), "image_id", 0.5).select("image_id", "box_id", "score")
-
-
 def _counts():
     return F.array("c0", "c1", "c2", "c3", "c4")
 

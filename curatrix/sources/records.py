@@ -97,9 +97,12 @@ def read_sidecars(spark: SparkSession, images: str, texts: str) -> DataFrame:
 
 
 def frame_positions(n: Column, k: int) -> Column:
-    """k whole positions from 0 to n - 2, evenly spaced."""
-    last = F.greatest(n - 2, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * last / max(1, k - 1)).cast("int"))
+    """k whole positions from 0 to n - 2, evenly spaced; of fewer than k frames all, after -1 for each that is missing;
+    of one frame or none only such."""
+    n = n.cast("long")
+    even = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (n - 2) / max(1, k - 1)))
+    none = lambda m: F.array_repeat(F.lit(-1).cast("long"), m.cast("int"))
+    return F.when(n <= 1, none(F.lit(k))).when(n < k, F.concat(none(k - n), F.sequence(F.lit(0).cast("long"), n - 1))).otherwise(even)
 
 
 # --------------------------------------------------------------------------- sinks
