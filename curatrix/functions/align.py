@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,10 +11,15 @@ from pyspark.sql import functions as F
 def alignment(a: list[str], b: list[str], gap: int = 0, match: int = 1, mismatch: int = -1) -> list[int]:
     """For each word of a the position of its partner in b in a best global alignment, -1 for none. Of equally good
     steps back, a gap in a comes first, then a gap in b, then a pair."""
-    score = [[gap * (i + j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            score[i][j] = max(score[i][j - 1] + gap, score[i - 1][j] + gap, score[i - 1][j - 1] + (match if a[i - 1] == b[j - 1] else mismatch))
+    words = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = (np.array([words[w] for w in s], np.int64) for s in (a, b))
+    slope = gap * np.arange(len(b) + 1)
+    score = np.zeros((len(a) + 1, len(b) + 1), np.int64)
+    score[0] = slope
+    for i in range(1, len(a) + 1):  # a row at once: steps along it are a running maximum
+        best = np.append(gap * i, np.maximum(score[i - 1, 1:] + gap, score[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch)))
+        score[i] = np.maximum.accumulate(best - slope) + slope
+    score = score.tolist()
     out, i, j = [-1] * len(a), len(a), len(b)
     while i and j:
         if score[i][j] == score[i][j - 1] + gap:

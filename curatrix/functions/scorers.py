@@ -38,6 +38,30 @@ def from_model(name: str, load: Callable[[], Callable[[pd.DataFrame], pd.Series]
     return score
 
 
+def isolated(name: str, work: Callable[[pd.DataFrame], pd.Series], inputs: list[str], kind: str = "double") -> Scorer:
+    """work() on Arrow batches of `inputs`; where a batch fails, on its rows one by one, so that a row that fails costs
+    no other. Adds `name`, null where a row failed, and name_error, the kind of its error."""
+
+    def one(x: pd.DataFrame) -> tuple:
+        try:
+            return work(x).iloc[0], None
+        except Exception as e:  # whatever a model raises is that row's error
+            return None, type(e).__name__
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return pd.DataFrame({"value": work(x), "error": None})
+        except Exception:
+            return pd.DataFrame([one(x.iloc[i : i + 1]) for i in range(len(x))], columns=["value", "error"])
+
+    def score(rows: DataFrame) -> DataFrame:
+        call = F.pandas_udf(run, f"value {kind}, error string")
+        found = rows.withColumn(f"{name}_found", call(F.struct(*inputs)))
+        return found.withColumns({name: F.col(f"{name}_found.value"), f"{name}_error": F.col(f"{name}_found.error")}).drop(f"{name}_found")
+
+    return score
+
+
 def scored(rows: DataFrame, scorers: list[Scorer]) -> DataFrame:
     """Runs the scorers in turn. Put filters in front of this: Spark does not move them past a model."""
     for s in scorers:

@@ -98,6 +98,14 @@ def repair_json(s: Column) -> Column:
     return F.when(~F.contains(s, F.lit("}")), F.concat(s, F.lit("}"))).otherwise(F.concat(F.substring_index(s, "}", 1), F.lit("}")))
 
 
+def slices(items: Column, sizes: Column) -> Column:
+    """The items as arrays of the given sizes, one after the other; an error if these don't add up to all of them."""
+    ends = F.transform(sizes, lambda n, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + x))
+    parts = F.zip_with(ends, sizes, lambda e, n: F.slice(items, (e - n + 1).cast("int"), n.cast("int")))
+    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.when(total == F.size(items), parts).otherwise(F.raise_error(F.lit("the sizes don't add up to the items")))
+
+
 def shorten(s: Column, tokens: Callable[[Column], Column], limit: int = 77) -> Column:
     """A caption of more than `limit` tokens cut after its first sentence; if that is still longer, after its first
     clause; if that is, after `limit` words. tokens: counts those of a text."""

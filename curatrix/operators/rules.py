@@ -6,6 +6,8 @@ filter. A rule that is null rejects, as one that is false does; see passes().
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -293,3 +295,10 @@ def layouts(layout: Column, regions: int = 3) -> Column:
     head = F.concat(F.array_join(F.slice(F.split(layout, "\n\n#"), 1, regions), "\n\n#"), F.lit("\n```"))
     moved = [F.struct(F.lit(to).alias("relation"), F.replace(head, F.lit(CENTER), F.lit(CENTER.replace("center", to))).alias("layout")) for to in LAYOUTS]
     return F.when(F.contains(head, F.lit(CENTER)), F.array(*moved)).otherwise(F.array(F.struct(F.lit("ori").alias("relation"), head.alias("layout"))))
+
+
+def multi_turn(rows: DataFrame, turn: Callable[[int, bool], Column], turns: int) -> DataFrame:
+    """rows with `history`, an array of what each of `turns` turns gave; turn(k, is_last) is its Column, over the row as
+    it came: no turn sees what one before it changed. Rows of which a turn gave null go."""
+    made = [turn(k, k == turns) for k in range(1, turns + 1)]
+    return rows.withColumn("history", F.array(*made)).where(~F.exists("history", lambda x: x.isNull()))

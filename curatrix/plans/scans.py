@@ -72,11 +72,6 @@ def s08_split_at_first_comma(get):
     return get("part").select("p_partkey", both[0].alias("concept"), both[1].alias("caption"))
 
 
-@query("SELECT p_brand AS key, max_by(p_type, p_partkey) AS value FROM part GROUP BY 1")
-def s22_last_of_key(get):
-    return get("part").groupBy(C("p_brand").alias("key")).agg(F.max_by("p_type", "p_partkey").alias("value"))
-
-
 @query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def extension_tumbling_windows(get):
     return incremental.tumbling(get("events")).select(seconds("start"), "event_type", "n", F.round("value", 4).alias("value"))

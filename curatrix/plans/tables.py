@@ -415,11 +415,6 @@ def g12_point_grid(get):
     return vision.grid(get("region").sparkSession, 32)
 
 
-@query()
-def g13_crop_boxes(get):
-    return vision.crop_boxes(get("nation").select(C("n_nationkey").alias("image_id"), (C("n_nationkey") * 40 + 300).alias("w"), F.lit(400).alias("h")), 2)
-
-
 @query("""WITH n AS (SELECT n_nationkey AS image_id, n_nationkey * 40 + 300 AS w, 400 AS h FROM nation), x AS (SELECT image_id, h, unnest(list_distinct(list_append(range(0, w - 256, 200), w - 256))) AS x FROM n)
     SELECT image_id, CAST(x AS INT) AS x, CAST(unnest(list_distinct(list_append(range(0, h - 256, 200), h - 256))) AS INT) AS y FROM x""")
 def g23_patches(get):

@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Model number, name and number of parameters, as the binary format numbers them.
@@ -130,21 +130,108 @@ def read_points_binary(spark: SparkSession, path: str) -> DataFrame:
     return _read_binary(spark, path, POINT, _points)
 
 
-def read_model(spark: SparkSession, path: str, ext: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cameras, images and points of the model in folder `path`; ext is .bin or .txt."""
+FILES = ("cameras", "images", "points3D")
+
+
+def model_format(spark: SparkSession, path: str) -> str | None:
+    """.bin or .txt, whichever the folder has all three files of, .bin first; None if neither."""
+    name = F.regexp_extract("path", r"/((?:cameras|images|points3D)\.(?:bin|txt))(?:/|$)", 1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(name.alias("name")).where("name <> ''")
+    names = {r["name"] for r in files.distinct().collect()}  # six at most
+    return next((ext for ext in (".bin", ".txt") if all(f + ext in names for f in FILES)), None)
+
+
+def read_model(spark: SparkSession, path: str, ext: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cameras, images and points of the model in folder `path`; ext is .bin, .txt or, by what is there, empty."""
+    ext = ext or model_format(spark, path)
+    if ext is None:
+        raise FileNotFoundError(f"{path} has no whole model, as .bin or .txt")
     kinds = (read_cameras_binary, read_images_binary, read_points_binary) if ext == ".bin" else (read_cameras_text, read_images_text, read_points_text)
-    return tuple(f(spark, f"{path}/{name}{ext}") for f, name in zip(kinds, ("cameras", "images", "points3D"), strict=True))
+    return tuple(f(spark, f"{path}/{name}{ext}") for f, name in zip(kinds, FILES, strict=True))
 
 
 def camera_lines(cameras: DataFrame) -> DataFrame:
     return cameras.select(F.concat_ws(" ", F.col("camera_id").cast("string"), "model", F.col("width").cast("string"), F.col("height").cast("string"), F.col("params").cast("array<string>")).alias("value"))
 
 
+def _numbers(c: str) -> Column:
+    return F.array_join(F.col(c).cast("array<string>"), " ")
+
+
+def image_lines(images: DataFrame) -> DataFrame:
+    """Two lines an image, in one value: the pose and name, then x, y and point of what it sees."""
+    head = F.concat_ws(" ", F.col("image_id").cast("string"), _numbers("qvec"), _numbers("tvec"), F.col("camera_id").cast("string"), "name")
+    seen = F.zip_with("xys", "point3d_ids", lambda p, i: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"), i.cast("string")))
+    return images.select(F.concat(head, F.lit("\n"), F.array_join(seen, " ")).alias("value"))
+
+
+def point_lines(points: DataFrame) -> DataFrame:
+    track = F.zip_with("image_ids", "point2d_idxs", lambda i, k: F.concat_ws(" ", i.cast("string"), k.cast("string")))
+    return points.select(F.concat_ws(" ", F.col("point_id").cast("string"), _numbers("xyz"), _numbers("rgb"), F.col("error").cast("string"), F.array_join(track, " ")).alias("value"))
+
+
+def mean_size(rows: DataFrame, column: str) -> Column:
+    """How long the arrays of a column are on average, 0 without rows: an aggregate."""
+    return F.coalesce(F.avg(F.size(column)), F.lit(0.0))
+
+
+def _headed(lines: DataFrame, header: DataFrame, path: str) -> None:
+    """A model is small: its lines are one file, behind comments that tell how many there are."""
+    order = header.select(F.lit(0).alias("part"), "value").union(lines.select(F.lit(1), "value"))
+    order.coalesce(1).sortWithinPartitions("part").select("value").write.text(path)
+
+
+def write_model_text(cameras: DataFrame, images: DataFrame, points: DataFrame, path: str) -> None:
+    """The model as text in folder `path`, with the comments that tell numbers and means."""
+    n = F.count("*").cast("string")
+    _headed(camera_lines(cameras), cameras.agg(F.concat(F.lit("# Number of cameras: "), n).alias("value")), f"{path}/cameras.txt")
+    seen = mean_size(images, "point3d_ids").cast("string")
+    _headed(image_lines(images), images.agg(F.concat(F.lit("# Number of images: "), n, F.lit(", mean observations per image: "), seen).alias("value")), f"{path}/images.txt")
+    track = mean_size(points, "image_ids").cast("string")
+    _headed(point_lines(points), points.agg(F.concat(F.lit("# Number of points: "), n, F.lit(", mean track length: "), track).alias("value")), f"{path}/points3D.txt")
+
+
 def write_cameras_text(cameras: DataFrame, path: str) -> None:
     """One line a camera, as read_cameras_text takes them."""
     camera_lines(cameras).write.text(path)
 
 
+_NUMBER_OF = {name: (number, n) for number, (name, n) in MODELS.items()}
+
+
+def _camera_bytes(r: dict) -> bytes:
+    return struct.pack(f"<iiQQ{len(r['params'])}d", r["camera_id"], _NUMBER_OF[r["model"]][0], r["width"], r["height"], *r["params"])
+
+
+def _image_bytes(r: dict) -> bytes:
+    seen = b"".join(struct.pack("<ddq", p["x"], p["y"], i) for p, i in zip(r["xys"], r["point3d_ids"], strict=True))
+    return struct.pack("<i7di", r["image_id"], *r["qvec"], *r["tvec"], r["camera_id"]) + r["name"].encode() + b"\0" + struct.pack("<Q", len(r["xys"])) + seen
+
+
+def _point_bytes(r: dict) -> bytes:
+    track = [x for pair in zip(r["image_ids"], r["point2d_idxs"], strict=True) for x in pair]
+    return struct.pack("<Q3d3BdQ", r["point_id"], *r["xyz"], *r["rgb"], r["error"], len(r["image_ids"])) + struct.pack(f"<{len(track)}i", *track)
+
+
+def binary_file(rows: DataFrame, kind: str) -> DataFrame:
+    """One row (content): the binary file of cameras, images or points3D. A model is small, and its file one array."""
+    pack = dict(zip(FILES, (_camera_bytes, _image_bytes, _point_bytes), strict=True))[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for found in x.column("found").to_pylist():
+                yield pa.RecordBatch.from_pydict({"content": pa.array([struct.pack("<Q", len(found)) + b"".join(map(pack, found))], pa.binary())})
+
+    return rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("found")).mapInArrow(run, "content binary")
+
+
+def write_model_binary(cameras: DataFrame, images: DataFrame, points: DataFrame, path: str) -> None:
+    """The model as binary files in folder `path`: each a folder of one file, which ends in a line feed behind its last
+    record, where readers, who count records, don't look."""
+    for rows, kind in zip((cameras, images, points), FILES, strict=True):
+        binary_file(rows, kind).select(F.col("content").cast("string")).write.text(f"{path}/{kind}.bin")
+
+
 def observations(images: DataFrame, points: DataFrame) -> DataFrame:
     """(image_id, point_id, x, y) of the points that are seen; -1 stands for none."""
     seen = images.select("image_id", F.explode(F.arrays_zip("xys", "point3d_ids")).alias("o")).select("image_id", F.col("o.point3d_ids").alias("point_id"), "o.xys.x", "o.xys.y")

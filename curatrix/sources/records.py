@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,14 @@ RECORD = (
 )
 
 
+# How the names of images end.
+IMAGE_ENDS = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff"]
+# End of fixed values.
+# Columns of the metadata of masks.
+MASK_COLUMNS = ["id", "area", "bbox_x0", "bbox_y0", "bbox_w", "bbox_h", "point_input_x", "point_input_y", "predicted_iou", "stability_score", "crop_box_x0", "crop_box_y0", "crop_box_w", "crop_box_h"]
+# End of fixed values.
+
+
 def starts_as_array(spark: SparkSession, path: str) -> bool:
     """Whether the first character of the first file under `path` that isn't white space opens an array."""
     head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
@@ -35,6 +45,11 @@ def read_records(spark: SparkSession, path: str, array: bool | None = None) -> D
     return rows.select(*named).withColumn("visual_input", F.when(F.col("visual_input") != "None", F.col("visual_input")))
 
 
+def read_csv(spark: SparkSession, path: str, schema: str, delimiter: str = ",") -> DataFrame:
+    """Delimited text with a header line; rows that don't fit the schema are errors."""
+    return spark.read.schema(schema).option("header", True).option("delimiter", delimiter).option("mode", "FAILFAST").csv(path)
+
+
 def read_keyed_captions(spark: SparkSession, path: str, seed: str = "caption") -> DataFrame:
     """(key, image_file, caption) from one object of key to {image_file, captions}: one caption each, by draw, in
     lower case."""
@@ -77,9 +92,17 @@ def read_list(spark: SparkSession, path: str, prefix: str = "", offset: int = 0,
 
 
 def read_dict(spark: SparkSession, path: str) -> DataFrame:
-    """(key, values) of lines "key value ..."; the last line of a key counts."""
-    lines = read_list(spark, path).select("pos", F.split("item", " ").alias("w"))
-    return lines.groupBy(F.col("w")[0].alias("key")).agg(F.max_by(F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), "pos").alias("values"))
+    """dict_of() the lines of a text file."""
+    return dict_of(read_list(spark, path))
+
+
+def dict_of(lines: DataFrame) -> DataFrame:
+    """(key, value, values) of lines (pos, item) "key value ..."; the last line of a key counts. value is that of a line
+    with one; values are those of every line."""
+    words = lines.select("pos", F.split("item", " ").alias("w"))
+    rest = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
+    last = words.groupBy(F.col("w")[0].alias("key")).agg(F.max_by(rest, "pos").alias("values"))
+    return last.select("key", F.when(F.size("values") == 1, F.get("values", F.lit(0))).alias("value"), "values")
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -89,6 +112,36 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"))
 
 
+def list_images(spark: SparkSession, path: str) -> DataFrame:
+    """list_files() of which the name ends as an image's does, in whatever case."""
+    return list_files(spark, path).where(F.lower(F.regexp_extract("name", r"\.[^.]*$", 0)).isin(IMAGE_ENDS))
+
+
+def plain_path(path: Column) -> Column:
+    """A path without the scheme of the local file system."""
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def existing(rows: DataFrame, column: str, files: DataFrame) -> DataFrame:
+    """The rows whose path in `column` is one of `files` (path)."""
+    there = files.select(plain_path(F.col("path")).alias("there")).distinct()
+    return rows.join(there, plain_path(F.col(column)) == F.col("there"), "left_semi")
+
+
+def read_dataset(spark: SparkSession, images: str, annotations: str | None = None, split: str | None = None, image_end: str = ".jpg", annotation_end: str = ".png") -> DataFrame:
+    """(filename, seg_map) of a dataset of images: those that the lines of `split` name, or all files under `images`
+    that end in image_end, by their path from there. seg_map: the annotation of the same name, null without a folder
+    of such."""
+    if split is not None:
+        stem = spark.read.text(split).select(F.trim("value").alias("stem")).where("stem <> ''")
+    else:
+        folder = images.rstrip("/").rsplit("/", 1)[-1]  # file names come with a scheme, and whole
+        inner = F.element_at(F.split("path", f"/{re.escape(folder)}/", 2), -1)
+        stem = list_files(spark, images, f"*{image_end}").select(F.left(inner, F.length(inner) - len(image_end)).alias("stem"))
+    seg_map = F.lit(None).cast("string") if annotations is None else F.concat("stem", F.lit(annotation_end))
+    return stem.select(F.concat("stem", F.lit(image_end)).alias("filename"), seg_map.alias("seg_map"))
+
+
 def read_sidecars(spark: SparkSession, images: str, texts: str) -> DataFrame:
     """(path, caption): each image with the first line of the text file of the same stem, not of the same position."""
     lines = spark.read.text(texts, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split_part("value", F.lit("\n"), F.lit(1)).alias("caption"))
@@ -118,6 +171,35 @@ def write_routed(rows: DataFrame, path: str, mode: str = "append") -> None:
     checked.write.mode(mode).partitionBy("edit_type", "verdict").json(path)
 
 
+def output_paths(root: Column, edit_type: Column, name: Column) -> Column:
+    """Where the pictures of an edit go: a struct (input_img, edited_img, mask) of paths under root and type."""
+    return F.struct(*[F.concat_ws("/", root, edit_type, F.lit(kind), name).alias(kind) for kind in ("input_img", "edited_img", "mask")])
+
+
+def write_selected(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """One folder per edit type for the rows that are selected, one for those that are not; a null is not."""
+    verdict = F.when(F.coalesce("selected", F.lit(False)), "selected").otherwise("failed")
+    rows.withColumn("verdict", verdict).drop("selected").write.mode(mode).partitionBy("edit_type", "verdict").json(path)
+
+
+def mask_metadata(masks: DataFrame) -> DataFrame:
+    """(image, and MASK_COLUMNS) of masks (image, id, area, bbox, point, predicted_iou, stability_score, crop_box): boxes
+    are arrays x, y, width, height."""
+    flat = [F.col(c) for c in ("id", "area")] + [F.col("bbox")[i] for i in range(4)] + [F.col("point")[i] for i in range(2)] + [F.col("predicted_iou"), F.col("stability_score")] + [F.col("crop_box")[i] for i in range(4)]
+    return masks.select("image", *[c.alias(n) for c, n in zip(flat, MASK_COLUMNS, strict=True)])
+
+
+def write_mask_metadata(masks: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """mask_metadata() as CSV with a header, one folder per image."""
+    mask_metadata(masks).write.mode(mode).partitionBy("image").option("header", True).csv(path)
+
+
+def write_mask_runs(masks: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Masks (image, id, h, w, counts) with their run lengths as JSON lines, one folder per image."""
+    size = F.struct(F.array("h", "w").alias("size"), "counts")
+    masks.select("image", "id", size.alias("segmentation")).write.mode(mode).partitionBy("image").json(path)
+
+
 def write_csv(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).option("header", True).csv(path)
 

@@ -117,3 +117,50 @@ def test_windows_over_stretches(spark):
     for stretch in (25, 1000):
         sums = {(r.name, r.seq): (r.s, r.place) for r in rel.running_sum(rel.placed(rows, ["name"], "seq", stretch), ["name"], F.col("value"), "s").collect()}
         assert all(most[r.name, r.seq] == r.most and sums[r.name, r.seq] == (r.s, r.place) for r in want.collect())
+
+
+def test_tables_and_datasets(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,n\nx,1\ny,2\n")
+    assert [tuple(r) for r in records.read_csv(spark, str(tmp_path / "t.csv"), "a string, n int").collect()] == [("x", 1), ("y", 2)]
+    images = tmp_path / "set" / "img"
+    (images / "sub").mkdir(parents=True)
+    for name in ("a.jpg", "sub/b.jpg", "c.PNG", "d.txt"):
+        (images / name).write_bytes(b"x")
+    assert sorted(r.name for r in records.list_images(spark, str(images)).collect()) == ["a.jpg", "b.jpg", "c.PNG"]
+    rows = spark.createDataFrame([(str(images / "a.jpg"), 1), (str(images / "gone.jpg"), 2)], "file string, k int")
+    assert [r.k for r in records.existing(rows, "file", records.list_files(spark, str(images))).collect()] == [1]
+    found = {tuple(r) for r in records.read_dataset(spark, str(images), "ann").collect()}
+    assert found == {("a.jpg", "a.png"), ("sub/b.jpg", "sub/b.png")}
+    (tmp_path / "split.txt").write_text("a\n\nzz \n")
+    assert {tuple(r) for r in records.read_dataset(spark, str(images), split=str(tmp_path / "split.txt")).collect()} == {("a.jpg", None), ("zz.jpg", None)}
+
+
+def test_models_are_written_and_told_apart(spark, tmp_path):
+    cams = spark.createDataFrame([(1, "PINHOLE", 640, 480, [1.5, 2.5, 3.5, 4.5]), (2, "SIMPLE_PINHOLE", 10, 20, [1.0, 2.0, 3.0])], cameras.CAMERA)
+    images = spark.createDataFrame([(7, [1.0, 0.0, 0.0, 0.0], [0.5, 1.0, 2.0], 1, "a.jpg", [(1.0, 2.0), (3.0, 4.0)], [-1, 9]), (8, [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 0.0], 2, "b.jpg", [], [])], cameras.IMAGE)
+    points = spark.createDataFrame([(9, [1.0, 2.0, 3.0], [10, 20, 30], 0.25, [7], [1]), (10, [0.0, 0.0, 0.0], [1, 2, 3], 0.5, [], [])], cameras.POINT)
+    both = str(tmp_path / "both")
+    cameras.write_model_text(cams, images, points, both)
+    assert cameras.model_format(spark, both) == ".txt"
+    assert "mean observations per image: 1.0" in "".join(r.value for r in spark.read.text(f"{both}/images.txt").collect())
+    cameras.write_model_binary(cams, images, points, both)
+    assert cameras.model_format(spark, both) == ".bin"
+    for ext in ("", ".txt", ".bin"):
+        for got, want in zip(cameras.read_model(spark, both, ext), (cams, images, points), strict=True):
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    (tmp_path / "part").mkdir()
+    (tmp_path / "part" / "cameras.bin").write_bytes(b"")
+    with pytest.raises(FileNotFoundError):
+        cameras.read_model(spark, str(tmp_path / "part"))
+
+
+def test_routed_by_selection_and_masks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "add", True), (2, "add", None), (3, "remove", False)], "id int, edit_type string, selected boolean")
+    records.write_selected(rows, str(tmp_path / "out"))
+    assert {(r.id, r.verdict) for r in spark.read.json(str(tmp_path / "out")).collect()} == {(1, "selected"), (2, "failed"), (3, "failed")}
+    masks = spark.createDataFrame([("i", 0, 5, [1, 2, 3, 4], [0.5, 0.5], 0.9, 0.95, [0, 0, 8, 8], 8, 8, [59, 5])], "image string, id int, area int, bbox array<int>, point array<double>, predicted_iou double, stability_score double, crop_box array<int>, h int, w int, counts array<int>")
+    records.write_mask_metadata(masks, str(tmp_path / "meta"))
+    head = next((tmp_path / "meta" / "image=i").glob("*.csv")).read_text().split("\n")[0]
+    assert head.split(",") == records.MASK_COLUMNS
+    records.write_mask_runs(masks, str(tmp_path / "runs"))
+    assert spark.read.json(str(tmp_path / "runs")).first().segmentation.counts == [59, 5]
