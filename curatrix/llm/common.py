@@ -348,6 +348,14 @@ def pieces(texts: list[bytes], limit: int = 1 << 19, most: int = 1 << 16) -> Ite
         yield at, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, without a copy: what Python makes of the texts of a slice is gone before the
+    next one, so its memory does not follow the batch size."""
+    for x in batches:
+        for at in range(0, x.num_rows, rows):
+            yield x.slice(at, rows)
+
+
 def chunks(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes add up to at most `limit`, or of one row of a larger size."""
     ends, at = np.cumsum(size), 0

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.llm.common import slices
+
 SIGMA = 1.0
 MARKED = 1.5  # weight of the ratios in an article or main part
 MOST, NEARLY_ALL = 0.5, 0.9
@@ -210,7 +212,7 @@ def main_text(html: str | None) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
+    for x in slices(batches):
         texts = [main_text(h) for h in x.column("html").to_pylist()]
         yield x.drop_columns(["html"]).append_column("text", pa.array(texts, pa.string()))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import connected, joined, mixed, packs, paired, partitions, pieces, spread, windows_of, words_of, written
+from curatrix.llm.common import connected, joined, mixed, packs, paired, partitions, pieces, slices, spread, windows_of, words_of, written
 from curatrix.llm.embeddings import forest
 
 BLOCK = 512
@@ -78,7 +78,7 @@ def _sums(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 def _describe(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches):
             raw = x.column("text").cast(pa.binary()).to_pylist()
             out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
             for i, j in pieces(raw, most=4096):
@@ -154,21 +154,22 @@ def _choices(doc: np.ndarray, h: np.ndarray, band: np.ndarray, n1: np.ndarray, n
 def _sign(words: int, percent: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets sign once a task
-        for x in batches:
-            raw = x.column("text").cast(pa.binary()).to_pylist()
+        for whole in batches:
             sigs, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for i, j in pieces(raw, most=4096):
-                doc, h = shingle_sets(raw[i:j], words)
-                node = _sums(doc, mixed(h), j - i).view(np.int64)
-                fresh = np.zeros(j - i, bool)
-                for k, s in enumerate(node.tolist()):
-                    if s not in seen:
-                        seen.add(s)
-                        fresh[k] = True
-                use = fresh[doc]
-                of, sig = signatures(doc[use], h[use], j - i, percent)
-                sigs.append(sig)
-                nodes.append(node[of])
+            for x in slices([whole]):
+                raw = x.column("text").cast(pa.binary()).to_pylist()
+                for i, j in pieces(raw, most=4096):
+                    doc, h = shingle_sets(raw[i:j], words)
+                    node = _sums(doc, mixed(h), j - i).view(np.int64)
+                    fresh = np.zeros(j - i, bool)
+                    for k, s in enumerate(node.tolist()):
+                        if s not in seen:
+                            seen.add(s)
+                            fresh[k] = True
+                    use = fresh[doc]
+                    of, sig = signatures(doc[use], h[use], j - i, percent)
+                    sigs.append(sig)
+                    nodes.append(node[of])
             s, n = np.concatenate(sigs), np.concatenate(nodes)
             bucket = spread(s, parts)
             order = np.lexsort((n, bucket))

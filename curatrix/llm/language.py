@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import pieces, written
+from curatrix.llm.common import pieces, slices, written
 from curatrix.llm.mixing import unit_hash
 
 PER_LANGUAGE = 1500
@@ -55,13 +55,14 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
-        lang, raw = np.array(x.column("lang").to_pylist()), x.column("text").cast(pa.binary()).to_pylist()
+    for whole in batches:
         total: dict[str, np.ndarray] = {}
-        for i, j in pieces(raw):
-            doc, h = trigrams(raw[i:j])
-            for k in set(lang[i:j].tolist()):
-                total[k] = total.get(k, 0) + np.bincount(h[lang[i:j][doc] == k], minlength=1 << BITS)
+        for x in slices([whole]):
+            lang, raw = np.array(x.column("lang").to_pylist()), x.column("text").cast(pa.binary()).to_pylist()
+            for i, j in pieces(raw):
+                doc, h = trigrams(raw[i:j])
+                for k in set(lang[i:j].tolist()):
+                    total[k] = total.get(k, 0) + np.bincount(h[lang[i:j][doc] == k], minlength=1 << BITS)
         for k, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k] * len(at), pa.string()), "gram": pa.array(at.astype(np.int32)), "n": pa.array(n[at].astype(np.int64))})
@@ -127,7 +128,7 @@ def _likeliest(sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = sent.value
-        for x in batches:
+        for x in slices(batches):
             raw, declared = [t or b"" for t in x.column("lid_text").cast(pa.binary()).to_pylist()], x.column("lid_declared").to_pylist()
             best = [models.scores(raw[i:j], declared[i:j])[0].argmax(1) for i, j in pieces(raw)]
             l = pa.array(np.concatenate([np.zeros(0, np.int64), *best]).astype(np.int32))  # noqa: E741
@@ -143,7 +144,7 @@ def _fused(sent, names: list[str]):
         models, whole, given = sent.value
         labels = np.array([*models.langs, UNKNOWN], object)
         none = np.zeros(len(whole))
-        for x in batches:
+        for x in slices(batches):
             raw, declared, host = [t or b"" for t in x.column("lid_text").cast(pa.binary()).to_pylist()], x.column("lid_declared").to_pylist(), list(zip(x.column("lid_host").to_pylist(), x.column("lid_suffix").to_pylist(), strict=True))
             prior: dict[tuple[str, str], np.ndarray] = {}
             for i, k in enumerate(host):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import among, chunks, joined, pieces, powers, windows_of, words_of, written
+from curatrix.llm.common import among, chunks, joined, pieces, powers, slices, windows_of, words_of, written
 
 TILE = 3
 COVERAGE = 0.6
@@ -243,7 +243,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 def _look_up(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = sent.value
-        for x in batches:
+        for x in slices(batches):
             text, key = x.column("leak_text").to_pylist(), x.column("leak_key")
             for i, j in pieces(text):
                 got = [(k, *g) for k, g in enumerate(block.leaks(text[i:j]), i) if g]

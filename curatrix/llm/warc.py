@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import no_nulls, work_path
+from curatrix.llm.common import no_nulls, slices, work_path
 
 ARCHIVE_BYTES = 32 << 20
 PART = 1 << 16  # bytes that are inflated at once
@@ -62,7 +62,7 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Archives without their last byte, which is zero."""
     held, size = [], 0
     give = lambda: pa.RecordBatch.from_pydict({"value": pa.array([b"".join(held)[:-1]], pa.binary())})
-    for x in batches:
+    for x in slices(batches):
         for page, url, html, first in zip(*(x.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id")), strict=True):
             for record in _page_records(page, _clean(url), html, first):
                 data = (record + "\r\n\r\n").encode()
