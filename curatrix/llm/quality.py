@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import joined, pieces, words_of, written
+from curatrix.llm.common import joined, pieces, slices, words_of, written
 from curatrix.llm.mixing import unit_hash
 
 SAMPLE = 8000
@@ -167,21 +167,21 @@ class Machine:
                 dd, ff, xx = np.repeat(np.arange(len(rows)), count), f[at], x[at]
                 z, sums = self.raw(dd, ff, xx, len(rows))
                 err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows) * batch / 16
-                ids, back = np.unique(ff, return_inverse=True)
-                g = err[dd] * xx
-                gw = np.bincount(back, g, len(ids)) + decay * self.weight[ids]
-                gv = np.stack([np.bincount(back, g * (sums[dd, k] - self.factor[ff, k] * xx), len(ids)) for k in range(FACTORS)], 1) + decay * self.factor[ids]
-                gb = err.sum()
-                grad_w[ids] += gw**2
-                grad_v[ids] += gv**2
+                g, size = err[dd] * xx, len(self.weight)
+                gw, square = np.bincount(ff, g, size), np.bincount(ff, g * xx, size)
+                seen = gw != 0  # of the features that the batch doesn't have the gradient is none
+                gv = np.stack([np.bincount(ff, g * sums[dd, k], size) for k in range(FACTORS)], 1) - square[:, None] * self.factor
+                gw, gv, gb = gw + decay * self.weight * seen, gv + decay * self.factor * seen[:, None], err.sum()
+                grad_w += gw**2
+                grad_v += gv**2
                 grad_b += gb**2
-                self.weight[ids] -= rate * gw / np.sqrt(grad_w[ids])
-                self.factor[ids] -= rate * gv / np.sqrt(grad_v[ids])
+                self.weight -= rate * gw / np.sqrt(grad_w)
+                self.factor -= rate * gv / np.sqrt(grad_v)
                 self.bias -= rate * gb / np.sqrt(grad_b)
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
+    for x in slices(batches):
         raw = [t or b"" for t in x.column("text").cast(pa.binary()).to_pylist()]
         stats, words, weights = [], [], []
         for i, j in pieces(raw):
@@ -215,7 +215,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches):
             raw = [t or b"" for t in x.column("text").cast(pa.binary()).to_pylist()]
             got = [sent.value.scores(raw[i:j]) for i, j in pieces(raw)]
             yield x.append_column("quality_score", pa.array(np.concatenate(got) if got else np.zeros(0)))
