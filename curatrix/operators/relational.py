@@ -189,8 +189,9 @@ def lowest_tier(rows: DataFrame, group: str, tier: Column) -> DataFrame:
 
 
 def swapped_repeats(rows: DataFrame, group: list[str], order: str) -> DataFrame:
-    """rows with `swap`: whether a row of its group came before."""
-    return rows.withColumn("swap", F.row_number().over(Window.partitionBy(*group).orderBy(order)) > 1)
+    """rows with `swap`: whether a row of its group came before. Values of `order` differ within a group."""
+    first = rows.groupBy(*group).agg(F.min(order).alias("first"))
+    return rows.join(first, group).withColumn("swap", F.col(order) > F.col("first")).drop("first")
 
 
 # --------------------------------------------------------------------------- partitions

@@ -108,7 +108,7 @@ def d11_isolated_errors(get):
 # --------------------------------------------------------------------------- what sinks write
 
 
-@query("""SELECT id // 10 AS image, id % 10 AS id, c1 + c3 AS area, id % 7 AS bbox_x0, id % 5 AS bbox_y0, 8 AS bbox_w, 8 AS bbox_h, id % 3 + 0.5 AS point_input_x, 0.5 AS point_input_y, 0.9 AS predicted_iou, 0.95 AS stability_score,
+@query("""SELECT id // 10 AS image, id % 10 AS id, c1 + c3 AS area, id % 7 AS bbox_x0, id % 5 AS bbox_y0, 8 AS bbox_w, 8 AS bbox_h, (id % 3 + 0.5)::DOUBLE AS point_input_x, 0.5::DOUBLE AS point_input_y, 0.9::DOUBLE AS predicted_iou, 0.95::DOUBLE AS stability_score,
     0 AS crop_box_x0, 0 AS crop_box_y0, 512 AS crop_box_w, 512 AS crop_box_h FROM {masks}""")
 def k08_mask_metadata(get):
     numbers = lambda *x: F.array(*[F.lit(i) if isinstance(i, int) else i for i in x])

@@ -231,7 +231,9 @@ def w08_f48_phrase_tiers(get):
 
 @query("SELECT * FROM (SELECT user_id, lag(event_id) OVER w AS before, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE before IS NOT NULL")
 def extension_lag(get):
-    return get("events").select("user_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("before"), "event_id").where("before is not null")
+    rows = rel.with_carried(rel.placed(get("events").select("user_id", "event_id"), ["user_id"], "event_id"), 1)
+    rows = rows.select("user_id", "carried", F.lag("event_id").over(Window.partitionBy("user_id", "piece").orderBy("place")).alias("before"), "event_id")
+    return rows.where("not carried and before is not null").select("user_id", "before", "event_id")
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS position, (row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1) // 64 AS batch FROM customer")
@@ -273,9 +275,11 @@ def u07_repeated(get):
 
 @query("SELECT * FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('two|' || user_id || '|' || event_id)) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r <= 2 AND n >= 2")
 def d06_two_per_group(get):
-    w = Window.partitionBy("user_id")
     key = F.md5(F.concat_ws("|", F.lit("two"), C("user_id").cast("string"), C("event_id").cast("string")))
-    return get("events").select("user_id", "event_id", F.row_number().over(w.orderBy(key)).alias("r"), F.count("*").over(w).alias("n")).where("r <= 2 AND n >= 2")
+    rows = get("events").select("user_id", "event_id")
+    two = rel.last_k(rows.withColumn("key", key), "user_id", C("key").asc(), 2).select("user_id", "event_id", C("rank").alias("r"))
+    counts = rows.groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 2")
+    return two.join(counts, "user_id").select("user_id", "event_id", "r", "n")
 
 
 @query("SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1 HAVING count(*) FILTER (length(text) > 20) = count(*)")
