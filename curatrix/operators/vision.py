@@ -214,6 +214,16 @@ def grid(spark, side: int) -> DataFrame:
     return rows.select(((F.col("j") + 0.5) / side).alias("x"), ((F.col("i") + 0.5) / side).alias("y"))
 
 
+def layered_grids(spark, side: int, layers: int, scale: int) -> DataFrame:
+    """(layer, x, y): a grid for the whole image and one for the crops of each layer, of a side that is `scale` times
+    smaller from layer to layer, in whole points."""
+    sides = F.array(*[F.lit(int(side / scale**i)) for i in range(layers + 1)])
+    rows = spark.range(1).select(F.posexplode(sides).alias("layer", "n")).where("n > 0")
+    steps = F.sequence(F.lit(0), F.col("n") - 1)
+    rows = rows.select("layer", "n", F.explode(steps).alias("i")).select("layer", "n", "i", F.explode(steps).alias("j"))
+    return rows.select("layer", ((F.col("j") + 0.5) / F.col("n")).alias("x"), ((F.col("i") + 0.5) / F.col("n")).alias("y"))
+
+
 def crop_boxes(images: DataFrame, layers: int, overlap: float = 512 / 1500) -> DataFrame:
     """(image_id, layer, x0, y0, x1, y1): the whole image, then for each layer 2**layer by 2**layer crops that
     overlap by a share of the shorter side, clipped to the image."""

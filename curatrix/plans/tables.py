@@ -419,6 +419,12 @@ def g12_point_grid(get):
     return vision.grid(get("region").sparkSession, 32)
 
 
+@query("""WITH l AS (SELECT layer::INT AS layer, 32 // (2 ** layer)::BIGINT AS n FROM (SELECT unnest(range(4)) AS layer)), i AS (SELECT *, unnest(range(n)) AS i FROM l), j AS (SELECT *, unnest(range(n)) AS j FROM i)
+    SELECT layer, (j + 0.5::DOUBLE) / n AS x, (i + 0.5::DOUBLE) / n AS y FROM j""")
+def g12_layered_grids(get):
+    return vision.layered_grids(get("region").sparkSession, 32, 3, 2)
+
+
 @query("""WITH n AS (SELECT n_nationkey AS image_id, n_nationkey * 40 + 300 AS w, 400 AS h FROM nation), x AS (SELECT image_id, h, unnest(list_distinct(list_append(range(0, w - 256, 200), w - 256))) AS x FROM n)
     SELECT image_id, CAST(x AS INT) AS x, CAST(unnest(list_distinct(list_append(range(0, h - 256, 200), h - 256))) AS INT) AS y FROM x""")
 def g23_patches(get):
