@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from curatrix.llm.common import pieces, slices, written
+from curatrix.llm.common import SLICE, pieces, slices, written
 from curatrix.llm.mixing import unit_hash
 
 PER_LANGUAGE = 1500
@@ -137,31 +136,35 @@ def _likeliest(sent):
     return run
 
 
-def _fused(sent, names: list[str]):
-    """The columns of `names` and lid_lang, lid_posterior, lid_keep, by all evidence."""
+FOUND = "lid_lang string, lid_posterior double, lid_keep boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _fused(sent):
+    """FOUND of rows of text, declared language, host, suffix and the counts of host and suffix, by all evidence."""
+
+    def run(text: pa.Array, declared: pa.Array, host: pa.Array, suffix: pa.Array, on_host: pa.Array, on_suffix: pa.Array) -> pa.Array:
         models, whole, given = sent.value
-        labels = np.array([*models.langs, UNKNOWN], object)
-        none = np.zeros(len(whole))
-        for x in slices(batches):
-            raw, declared, host = [t or b"" for t in x.column("lid_text").cast(pa.binary()).to_pylist()], x.column("lid_declared").to_pylist(), list(zip(x.column("lid_host").to_pylist(), x.column("lid_suffix").to_pylist(), strict=True))
-            prior: dict[tuple[str, str], np.ndarray] = {}
-            for i, k in enumerate(host):
+        labels, none = np.array([*models.langs, UNKNOWN], object), np.zeros(len(whole))
+        prior: dict[tuple[str, str], np.ndarray] = {}
+        lang, posterior, keep = [], [], []
+        for at in range(0, len(text), SLICE):
+            raw = [t or b"" for t in text.slice(at, SLICE).cast(pa.binary()).to_pylist()]
+            said_as = declared.slice(at, SLICE).to_pylist()
+            hosts = list(zip(host.slice(at, SLICE).to_pylist(), suffix.slice(at, SLICE).to_pylist(), strict=True))
+            for i, k in enumerate(hosts, at):
                 if k not in prior:
-                    prior[k] = _level(x.column("lid_on_host")[i].as_py(), _level(x.column("lid_on_suffix")[i].as_py(), whole, BETA), ALPHA)
-            lang, posterior, keep = [], [], []
+                    prior[k] = _level(on_host[i].as_py(), _level(on_suffix[i].as_py(), whole, BETA), ALPHA)
             for i, j in pieces(raw):
-                score, said = models.scores(raw[i:j], declared[i:j])
-                score += np.log(np.array([prior[k] for k in host[i:j]])) + np.array([given.get(k, none) for k in declared[i:j]])
+                score, said = models.scores(raw[i:j], said_as[i:j])
+                score += np.log(np.array([prior[k] for k in hosts[i:j]])) + np.array([given.get(k, none) for k in said_as[i:j]])
                 best = score.argmax(1)
                 p = 1 / np.exp(score - score.max(1, keepdims=True)).sum(1)
                 lang += labels[best].tolist()
                 posterior += p.tolist()
                 keep += (said & (best < len(models.langs)) & (p >= LEAST_POSTERIOR)).tolist()
-            yield pa.RecordBatch.from_arrays([*(x.column(k) for k in names), pa.array(lang, pa.string()), pa.array(posterior, pa.float64()), pa.array(keep, pa.bool_())], [*names, "lid_lang", "lid_posterior", "lid_keep"])
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(posterior, pa.float64()), pa.array(keep, pa.bool_())], names=[c.split()[0] for c in FOUND.split(", ")])
 
-    return run
+    return F.arrow_udf(run, FOUND).asNondeterministic()  # or a filter on its result would run it once more
 
 
 def _level(counts: list[dict] | None, above: np.ndarray, weight: float) -> np.ndarray:
@@ -199,9 +202,13 @@ def identify(rows: DataFrame, text: Column, declared: Column, host: Column, suff
     an empty or null text leaves the declaration and the priors, and such a row is not kept, since its text has no
     language. Repeated rows get equal results, as do long and short texts of one make. No rows in, none out;
     without any declared language all rows are "und"."""
-    spark: SparkSession = rows.sparkSession
     rows = rows.drop("lid_lang", "lid_posterior", "lid_keep")
-    names = ["row"]
+    return identified(rows, text, declared, host, suffix, key, per_language).select("row.*", "lid.*")
+
+
+def identified(rows: DataFrame, text: Column, declared: Column, host: Column, suffix: Column, key: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """identify() as two structs: row, all columns of `rows`, and lid, what was found."""
+    spark: SparkSession = rows.sparkSession
     made = rows.select(F.struct("*").alias("row"), text.alias("lid_text"), key.alias("lid_key"), primary(declared).alias("lid_declared"), F.coalesce(host, F.lit("")).alias("lid_host"), F.coalesce(suffix, F.lit("")).alias("lid_suffix"))
     models = fit(made.select(F.col("lid_text").alias("text"), F.col("lid_declared").alias("lang"), F.col("lid_key").alias("k")), F.col("k"), per_language)
     # on texts alone: the languages each level's prior is made of
@@ -219,10 +226,9 @@ def identify(rows: DataFrame, text: Column, declared: Column, host: Column, suff
     hosts = level("lid_on_host", "lid_host", "lid_suffix").join(level("lid_on_suffix", "lid_suffix"), "lid_suffix")
     # its size is known from now on, so Spark broadcasts it only if it is small
     hosts = written(hosts.select(F.col("lid_host").alias("lid_h"), F.col("lid_suffix").alias("lid_s"), "lid_on_host", "lid_on_suffix"), "hosts")
-    rows = made.join(hosts, (made["lid_host"] == hosts["lid_h"]) & (made["lid_suffix"] == hosts["lid_s"]), "left").drop("lid_h", "lid_s", "lid_key")
-    schema = T.StructType([*made.select("row").schema.fields, T.StructField("lid_lang", T.StringType()), T.StructField("lid_posterior", T.DoubleType()), T.StructField("lid_keep", T.BooleanType())])
-    out = rows.mapInArrow(_fused(spark.sparkContext.broadcast((models, whole / whole.sum(), given)), names), schema)
-    return out.select("row.*", "lid_lang", "lid_posterior", "lid_keep")
+    rows = made.join(hosts, (made["lid_host"] == hosts["lid_h"]) & (made["lid_suffix"] == hosts["lid_s"]), "left")
+    fused = _fused(spark.sparkContext.broadcast((models, whole / whole.sum(), given)))
+    return rows.select("row", fused("lid_text", "lid_declared", "lid_host", "lid_suffix", "lid_on_host", "lid_on_suffix").alias("lid"))
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
@@ -230,6 +236,12 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return identify(docs, F.col("text"), F.col("lang"), F.col("source"), F.lit(None).cast("string"), F.col("doc_id"))
 
 
+def known_documents(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` of which identify_documents() keeps the language, with all their columns."""
+    found = identified(docs, F.col("text"), F.col("lang"), F.col("source"), F.lit(None).cast("string"), F.col("doc_id"))
+    return found.where("lid.lid_keep").select("row.*")
+
+
 def identify_pages(pages: DataFrame) -> DataFrame:
     """identify over pages: language of the markup, host and suffix of the address, text without tags."""
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")

@@ -16,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from curatrix.llm.common import joined, pieces, slices, words_of, written
+from curatrix.llm.common import SLICE, joined, pieces, slices, words_of, written
 from curatrix.llm.mixing import unit_hash
 
 SAMPLE = 8000
@@ -211,16 +210,17 @@ def train(labelled: DataFrame) -> Machine:
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """`docs` with quality_score, 0 to 1, from `text` alone; a column of this name is replaced, the others stay.
     Null texts score as empty ones; equal texts score alike. No rows in, none out."""
-    docs = docs.drop("quality_score")
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in slices(batches):
-            raw = [t or b"" for t in x.column("text").cast(pa.binary()).to_pylist()]
-            got = [sent.value.scores(raw[i:j]) for i, j in pieces(raw)]
-            yield x.append_column("quality_score", pa.array(np.concatenate(got) if got else np.zeros(0)))
+    def run(text: pa.Array) -> pa.Array:
+        got = [np.zeros(0)]
+        for at in range(0, len(text), SLICE):
+            raw = [t or b"" for t in text.slice(at, SLICE).cast(pa.binary()).to_pylist()]
+            got += [sent.value.scores(raw[i:j]) for i, j in pieces(raw)]
+        return pa.array(np.concatenate(got))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    scores = F.arrow_udf(run, "double").asNondeterministic()  # or a filter on its result would run it once more
+    return docs.drop("quality_score").withColumn("quality_score", scores("text"))
 
 
 def held_out(doc_id) -> F.Column:
