@@ -23,7 +23,7 @@ SIMILARITY = 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the declared languages. Null and empty texts go."""
-    return language.identify_documents(docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang", "source")).where("lid_keep").select("row.*")
+    return language.known_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
