@@ -1,8 +1,10 @@
 """Suffix-array dedup: a logarithmic family of suffix arrays over byte windows, in shards.
 
 A window of `length` bytes belongs to the shard of its anchor, the gram of GRAM bytes in it with the smallest
-hash, so equal windows meet. Anchors are looked up first: only runs of windows whose anchor two places hold go on.
-Windows that follow each other share an anchor, so a run travels as one segment of text with its place.
+hash, so equal windows meet. Anchors are looked up first, then the cores of the windows whose anchor two places hold:
+what STEP windows around one anchor have in common. Only windows whose core two places hold go on. So a phrase that a
+third of all documents hold between different neighbours sends its shard no more than the few bytes beside it that
+are alike. Windows that follow each other share an anchor, so a run travels as one segment of text with its place.
 
 In a shard, segments come in batches. Each batch gets a suffix array (ranks by prefix doubling, up to `length`
 bytes) and is merge-scanned against the levels there are: the sorted windows of both meet by columns of eight bytes.
@@ -22,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import INFO, among, bucketed, first_copies, mixed, once_or_twice, packs, partitions, pieces, shared_by_two, spread, table_of
+from curatrix.llm.common import INFO, among, bucketed, first_copies, mixed, once_or_twice, packs, partitions, pieces, powers, shared_by_two, spread, table_of
 
 LENGTH = 100
 GRAM = 20
+STEP = 8
 BATCH_BYTES = 1 << 18
 _SPACE_BIT = np.uint64(1 << 63)
-RUNS = 2  # kind of the INFO rows that carry marked runs
+ANCHORS, RUNS, CORES = 1, 2, 3  # kinds of INFO rows: shared anchors, marked runs, shared cores
 
 
 _BYTE = mixed(np.arange(99, 355, dtype=np.uint64))
@@ -70,12 +73,36 @@ class _Segments:
         count = np.diff(np.append(start, n))
         use = ok[start] if n else np.zeros(0, bool)
         self.start, self.count = start[use], count[use]
-        self.doc, self.anchor = doc[self.start], h[low[self.start]]
+        self.place = low[self.start]
+        self.doc, self.anchor = doc[self.start], h[self.place]
         self.length = length
 
-    def bytes_of(self, i: int) -> bytes:
-        s = int(self.start[i])
-        return self.data[s : s + int(self.count[i]) + self.length - 1].tobytes()
+    def cores(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(run, first window, number of windows, hash) of the cores of some runs, in order of their windows. The
+        windows that start from k * STEP to k * STEP + STEP - 1 bytes before the anchor are one core's."""
+        step = min(STEP, self.length)
+        place, most = self.place[runs], self.place[runs] - self.start[runs]
+        least = most - self.count[runs] + 1
+        n = most // step - least // step + 1
+        of = np.repeat(np.arange(len(runs)), n)
+        k = np.repeat(most // step, n) - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+        first = place[of] - np.minimum(most[of], k * step + step - 1)
+        last = place[of] - np.maximum(least[of], k * step)
+        power, inverse = powers(len(self.data) + 1)
+        total = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_BYTE[self.data] * power[:-1], out=total[1:])
+        at = place[of] - k * step
+        h = mixed((total[at + self.length - step + 1] - total[at]) * inverse[at])
+        return runs[of], first, last - first + 1, mixed(h + k.astype(np.uint64))
+
+    def repeated(self, anchors: np.ndarray, cores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(run, first window, number of windows) of the stretches of windows whose anchor and core are known."""
+        run, first, count, h = self.cores(np.flatnonzero(among(self.anchor, anchors)))
+        use = np.flatnonzero(among(h, cores))
+        new = np.ones(len(use), bool)
+        new[1:] = (np.diff(use) > 1) | (np.diff(run[use]) > 0)
+        at = np.flatnonzero(new)
+        return run[use][at], first[use][at], np.add.reduceat(count[use], at) if len(at) else count[:0]
 
 
 def _documents(texts: pa.Table, info: pa.Table) -> tuple[list[int], list[bytes], dict[int, np.ndarray]]:
@@ -93,14 +120,33 @@ def _find_anchors(length: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.
             s = _Segments(raw[i:j], length)
             hs.append(s.anchor)
             place.append(s.start + i * (1 << 32))
-        h = once_or_twice(np.concatenate(hs), np.concatenate(place))
-        out = packs(spread(h, parts), {"h": h})
-        b = int(texts.column("b")[0].as_py()) if texts.num_rows else 0
-        return pa.table({"bucket": out["bucket"], "b": pa.array(np.full(len(out["bucket"]), b, np.int32)), "h": out["h"]})
+        return _lookup(texts, np.concatenate(hs), np.concatenate(place), parts)
+
+    return find
+
+
+def _find_cores(length: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def find(texts: pa.Table, info: pa.Table) -> pa.Table:
+        _, raw, sets = _documents(texts, info)
+        hs, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, j in pieces(raw):
+            s = _Segments(raw[i:j], length)
+            _, first, _, h = s.cores(np.flatnonzero(among(s.anchor, sets.get(ANCHORS, np.zeros(0, np.uint64)))))
+            hs.append(h)
+            place.append(first + i * (1 << 32))
+        return _lookup(texts, np.concatenate(hs), np.concatenate(place), parts)
 
     return find
 
 
+def _lookup(texts: pa.Table, h: np.ndarray, holder: np.ndarray, parts: int) -> pa.Table:
+    """Rows (bucket, b, h) of the hashes of a document bucket."""
+    h = once_or_twice(h, holder)
+    out = packs(spread(h, parts), {"h": h})
+    b = int(texts.column("b")[0].as_py()) if texts.num_rows else 0
+    return pa.table({"bucket": out["bucket"], "b": pa.array(np.full(len(out["bucket"]), b, np.int32)), "h": out["h"]})
+
+
 SENT = "bucket int, b int, whole boolean, anchor binary, doc binary, start binary, count binary, text binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("b", pa.int32()), ("whole", pa.bool_()), *((c, pa.binary()) for c in ("anchor", "doc", "start", "count", "text"))])
 
@@ -111,17 +157,17 @@ def _send(length: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
     def find(texts: pa.Table, info: pa.Table) -> pa.Table:
         ids, raw, sets = _documents(texts, info)
-        known = sets.get(1, np.zeros(0, np.uint64))
+        anchors, cores = (sets.get(k, np.zeros(0, np.uint64)) for k in (ANCHORS, CORES))
         seen: set[bytes] = set()
         got: dict[int, list[tuple]] = {}
         copies: list[tuple[int, int, int]] = []
         for i, j in pieces(raw):
             s = _Segments(raw[i:j], length)
             buckets = spread(s.anchor, shards)
-            for k in np.flatnonzero(among(s.anchor, known)).tolist():
-                text = s.bytes_of(k)
+            for k, start, count in zip(*(x.tolist() for x in s.repeated(anchors, cores)), strict=True):
+                text = s.data[start : start + count + length - 1].tobytes()
                 doc = int(s.doc[k])
-                place = (ids[i + doc], int(s.start[k] - s.at[doc]), int(s.count[k]))
+                place = (ids[i + doc], int(start - s.at[doc]), count)
                 if text in seen:  # texts come by doc_id and place, so the one seen before is the earlier
                     copies.append(place)
                 else:
@@ -368,7 +414,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False, ba
     groups = rows.groupBy("b")
     info = first_copies(rows)
     sent = groups.cogroup(info.groupBy("b")).applyInArrow(_find_anchors(length, n), "bucket int, b int, h binary")
-    known = info.union(shared_by_two(sent, n, 1))
+    known = info.union(shared_by_two(sent, n, ANCHORS))
+    sent = groups.cogroup(known.groupBy("b")).applyInArrow(_find_cores(length, n), "bucket int, b int, h binary")
+    known = known.union(shared_by_two(sent, n, CORES))
     sent = groups.cogroup(known.groupBy("b")).applyInArrow(_send(length, shards), SENT)
     runs = sent.repartition(n, "bucket").mapInArrow(_scan_shards(length, batch_bytes), INFO)
     return groups.cogroup(info.union(runs).groupBy("b")).applyInArrow(_kept(length, digest), RESULT)
