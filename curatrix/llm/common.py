@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 TARGET_BYTES = 16 << 20
@@ -99,16 +99,16 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         ).where("a <> b").distinct()
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        before, path = path, work_path(spark, "edges")
-        _put(e, path)
+        before, path, seen = path, work_path(spark, "edges"), Observation()
+        _put(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), path)
         removed(before)
-        e = spark.read.schema(schema).parquet(path)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = seen.get
         if now == last:
             break
-        last = now
+        last = now  # a task that ran twice may count twice: that costs a round
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    e = spark.read.schema(schema).parquet(path)
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         e.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
     )
@@ -348,7 +348,10 @@ def pieces(texts: list[bytes], limit: int = 1 << 19, most: int = 1 << 16) -> Ite
         yield at, len(texts)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+SLICE = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, without a copy: what Python makes of the texts of a slice is gone before the
     next one, so its memory does not follow the batch size."""
     for x in batches:
