@@ -5,8 +5,11 @@ import random
 import re
 import time
 
-from curatrix.llm import html_text, language, leaks
+from pyspark.sql import functions as F
+
+from curatrix.llm import html_text, jaccard, language, leaks, quality, substring, suffix
 from tests.llm.conftest import LETTERS, sentence
+from tests.llm.test_dedup import brute_bytes, brute_sets, brute_words
 
 
 def test_leaks_without_a_run_of_five():
@@ -109,3 +112,64 @@ def test_html_depth_is_linear():
         assert html_text.main_text(page + f"<p>{PROSE[0]}</p>").endswith(PROSE[0])
         took.append(time.process_time() - begun)
     assert took[1] < 24 * took[0]
+
+
+def long_rows():
+    """Texts longer than the pieces that operators work through, with what matters near their ends."""
+    rng = random.Random(15)
+    base = sentence(rng, 110_000)
+    near = base.split()
+    near[50_000], near[109_000] = "changed", "again"
+    tail = base[-300_000:]
+    return [(4, base), (2, " ".join(near)), (9, sentence(rng, 100) + " " + tail), (7, sentence(rng, 90_000)), (5, base), (1, tail[-400:])], rng
+
+
+def test_long_texts(spark):
+    rows, rng = long_rows()
+    assert len(rows[0][1].encode()) > 1 << 19
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in substring.substring_dedup(frame, 13, digest=True).collect()), key=str)
+    assert got == brute_words(rows, 13)
+    got = [tuple(r)[:4] + (bytes(r.kept),) for r in suffix.suffix_dedup(frame, 100).collect()]
+    assert sorted(got, key=str) == brute_bytes(rows, 100)
+    for words, percent in ((3, 90), (5, 80)):
+        assert sorted(map(tuple, jaccard.jaccard_join(frame, words, percent).collect()), key=str) == brute_sets(rows, words, percent)
+
+
+def test_long_texts_are_looked_at_to_their_end(spark):
+    rows, rng = long_rows()
+    item = sentence(rng, 20)
+    frame = spark.createDataFrame([(i, t + " " + item) for i, t in rows], "doc_id long, text string")
+    found = leaks.find_leaks(frame, spark.createDataFrame([(3, item)], "item_id long, text string")).collect()
+    assert len(found) == len(rows) and all(r.leak_item == 3 and r.leak_coverage == 1.0 for r in found)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    long = docs.where("length(text) > 200").groupBy("lang").agg(F.max("doc_id").alias("doc_id"), F.repeat(F.max("text"), F.lit(4000)).alias("text"), F.max("source").alias("source"))
+    got = language.identify_documents(docs.unionByName(long.withColumn("doc_id", -F.col("doc_id")))).where("doc_id < 0").collect()
+    assert len(got) == long.count() and all(r.lid_lang == r.lang for r in got)
+    labelled = docs.select("text", (F.length("text") % 2).cast("int").alias("quality"))
+    machine = quality.train(labelled)
+    raw = {r.doc_id: r.quality_score for r in quality.score(frame, machine).collect()}
+    assert all(math.isclose(raw[i], machine.scores([(t + " " + item).encode()])[0]) for i, t in rows)
+
+
+def test_leaks_by_brute_force(spark):
+    """Every item tiled against every text, with a phrase that all items share, in one block and in several."""
+    rng = random.Random(16)
+    words = [chr(97 + i) * 2 for i in range(14)]
+    phrase = "which of these is right"
+    items = [(i, phrase + " " + " ".join(rng.choice(words) for _ in range(rng.randint(3, 16)))) for i in range(60)]
+    texts = []
+    for d in range(120):
+        parts = [rng.choice(items)[1].split() for _ in range(rng.randint(0, 3))]
+        parts = [p[k:] + p[:k] for p in parts for k in [rng.randint(0, len(p) - 1)]]
+        texts.append((d, " ".join(w for p in parts for w in (*p, *(rng.choice(words) for _ in range(rng.randint(0, 9)))))))
+    want = {}
+    for d, text in texts:
+        got = [(-sum(k for _, _, k in leaks.tile(leaks.tokens(t), leaks.tokens(text))) / len(t.split()), i) for i, t in items]
+        best = min(got)
+        want[d] = (best[1], -best[0]) if -best[0] >= 0.6 else (None, 0.0)
+    assert 20 < sum(w[0] is not None for w in want.values()) < 115
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 900):
+        found = {r.doc_id: (r.leak_item, r.leak_coverage) for r in leaks.find_leaks(docs, bench, 0.6, size).collect()}
+        assert all(found[d][0] == w[0] and math.isclose(found[d][1], w[1]) for d, w in want.items())
