@@ -409,14 +409,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False, ba
     one document and get the same result. Rows without doc_id stay whole and take nothing from others. doc_id names one
     text; where two texts share one, both count as that document. Other columns are ignored. No rows, none out."""
     n = partitions(docs)
-    buckets, shards = 4 * n, 4 * n
+    buckets, shards, parts = 4 * n, 4 * n, max(1, n // 2)  # each document bucket sends a row to each part that has one of its hashes
     rows = bucketed(docs, buckets)
     groups = rows.groupBy("b")
     info = first_copies(rows)
-    sent = groups.cogroup(info.groupBy("b")).applyInArrow(_find_anchors(length, n), "bucket int, b int, h binary")
-    known = info.union(shared_by_two(sent, n, ANCHORS))
-    sent = groups.cogroup(known.groupBy("b")).applyInArrow(_find_cores(length, n), "bucket int, b int, h binary")
-    known = known.union(shared_by_two(sent, n, CORES))
+    sent = groups.cogroup(info.groupBy("b")).applyInArrow(_find_anchors(length, parts), "bucket int, b int, h binary")
+    known = info.union(shared_by_two(sent, parts, ANCHORS))
+    sent = groups.cogroup(known.groupBy("b")).applyInArrow(_find_cores(length, parts), "bucket int, b int, h binary")
+    known = known.union(shared_by_two(sent, parts, CORES))
     sent = groups.cogroup(known.groupBy("b")).applyInArrow(_send(length, shards), SENT)
     runs = sent.repartition(n, "bucket").mapInArrow(_scan_shards(length, batch_bytes), INFO)
     return groups.cogroup(info.union(runs).groupBy("b")).applyInArrow(_kept(length, digest), RESULT)
