@@ -39,8 +39,13 @@ def points_of(lines: DataFrame) -> DataFrame:
 
 
 def read_images_text(spark: SparkSession, path: str) -> DataFrame:
-    """A record is two lines, so the lines of a file are numbered and meet in pairs."""
-    lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\r?\n"), lambda x: ~F.startswith(x, F.lit("#"))).alias("l"))
+    return images_of(spark.read.text(path, wholetext=True))
+
+
+def images_of(files: DataFrame) -> DataFrame:
+    """Images from the text of files (value). A record is two lines, so the lines of a file are numbered and meet in
+    pairs."""
+    lines = files.select(F.filter(F.split("value", "\r?\n"), lambda x: ~F.startswith(x, F.lit("#"))).alias("l"))
     pairs = lines.select(F.explode(F.filter(F.transform("l", lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("head"), F.coalesce(F.get("l", i + 1), F.lit("")).alias("rest")))), lambda p: p.isNotNull() & (F.trim(p["head"]) != ""))).alias("p"))
     h = F.split(F.trim("p.head"), r"\s+")
     r = F.filter(F.split(F.trim("p.rest"), r"\s+"), lambda x: x != "")
@@ -97,8 +102,13 @@ def _points(data: bytes) -> Iterator[tuple]:
         at += 51 + 8 * n
 
 
-def _read_binary(spark: SparkSession, path: str, schema: str, parse) -> DataFrame:
-    names = [f.name for f in spark.createDataFrame([], schema).schema]
+PARSERS = {"cameras": (CAMERA, _cameras), "images": (IMAGE, _images), "points3D": (POINT, _points)}
+
+
+def records_of(files: DataFrame, kind: str) -> DataFrame:
+    """Cameras, images or points3D from binary files (content)."""
+    schema, parse = PARSERS[kind]
+    names = KINDS[schema].names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -107,7 +117,11 @@ def _read_binary(spark: SparkSession, path: str, schema: str, parse) -> DataFram
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], KINDS[schema])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return files.select("content").mapInArrow(run, schema)
+
+
+def _read_binary(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return records_of(spark.read.format("binaryFile").load(path), kind)
 
 
 _D, _I, _L = pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int64())
@@ -119,15 +133,15 @@ KINDS = {
 
 
 def read_cameras_binary(spark: SparkSession, path: str) -> DataFrame:
-    return _read_binary(spark, path, CAMERA, _cameras)
+    return _read_binary(spark, path, "cameras")
 
 
 def read_images_binary(spark: SparkSession, path: str) -> DataFrame:
-    return _read_binary(spark, path, IMAGE, _images)
+    return _read_binary(spark, path, "images")
 
 
 def read_points_binary(spark: SparkSession, path: str) -> DataFrame:
-    return _read_binary(spark, path, POINT, _points)
+    return _read_binary(spark, path, "points3D")
 
 
 FILES = ("cameras", "images", "points3D")
@@ -158,11 +172,15 @@ def _numbers(c: str) -> Column:
     return F.array_join(F.col(c).cast("array<string>"), " ")
 
 
-def image_lines(images: DataFrame) -> DataFrame:
-    """Two lines an image, in one value: the pose and name, then x, y and point of what it sees."""
+def image_line() -> Column:
+    """Two lines of an image, in one value: the pose and name, then x, y and point of what it sees."""
     head = F.concat_ws(" ", F.col("image_id").cast("string"), _numbers("qvec"), _numbers("tvec"), F.col("camera_id").cast("string"), "name")
     seen = F.zip_with("xys", "point3d_ids", lambda p, i: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"), i.cast("string")))
-    return images.select(F.concat(head, F.lit("\n"), F.array_join(seen, " ")).alias("value"))
+    return F.concat(head, F.lit("\n"), F.array_join(seen, " "))
+
+
+def image_lines(images: DataFrame) -> DataFrame:
+    return images.select(image_line().alias("value"))
 
 
 def point_lines(points: DataFrame) -> DataFrame:
@@ -213,8 +231,9 @@ def _point_bytes(r: dict) -> bytes:
     return struct.pack("<Q3d3BdQ", r["point_id"], *r["xyz"], *r["rgb"], r["error"], len(r["image_ids"])) + struct.pack(f"<{len(track)}i", *track)
 
 
-def binary_file(rows: DataFrame, kind: str) -> DataFrame:
-    """One row (content): the binary file of cameras, images or points3D. A model is small, and its file one array."""
+def binary_files(rows: DataFrame, kind: str, model: str | None = None) -> DataFrame:
+    """(content): a binary file of cameras, images or points3D for each value of the column `model`, or one. A model is
+    small, and its file one array."""
     pack = dict(zip(FILES, (_camera_bytes, _image_bytes, _point_bytes), strict=True))[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,14 +241,15 @@ def binary_file(rows: DataFrame, kind: str) -> DataFrame:
             for found in x.column("found").to_pylist():
                 yield pa.RecordBatch.from_pydict({"content": pa.array([struct.pack("<Q", len(found)) + b"".join(map(pack, found))], pa.binary())})
 
-    return rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("found")).mapInArrow(run, "content binary")
+    item = F.struct(*[c for c in rows.columns if c != model])
+    return rows.groupBy(*[model] if model else []).agg(F.array_sort(F.collect_list(item)).alias("found")).mapInArrow(run, "content binary")
 
 
 def write_model_binary(cameras: DataFrame, images: DataFrame, points: DataFrame, path: str) -> None:
     """The model as binary files in folder `path`: each a folder of one file, which ends in a line feed behind its last
     record, where readers, who count records, don't look."""
     for rows, kind in zip((cameras, images, points), FILES, strict=True):
-        binary_file(rows, kind).select(F.col("content").cast("string")).write.text(f"{path}/{kind}.bin")
+        binary_files(rows, kind).select(F.col("content").cast("string")).write.text(f"{path}/{kind}.bin")
 
 
 def observations(images: DataFrame, points: DataFrame) -> DataFrame:

@@ -37,10 +37,22 @@ def read_json(spark: SparkSession, path: str, schema: str, array: bool | None =
     return spark.read.schema(schema).option("multiLine", array).json(path)
 
 
+def parsed(texts: DataFrame, schema: str) -> DataFrame:
+    """The records in texts (value), each a JSON array of them or one alone. What is neither gives
+    no record."""
+    many = F.when(F.json_array_length("value").isNotNull(), F.from_json("value", f"array<struct<{schema}>>"))
+    many = many.when(F.json_object_keys("value").isNotNull(), F.array(F.from_json("value", f"struct<{schema}>")))
+    return texts.select(F.explode(many).alias("r")).where("r is not null").select("r.*")
+
+
 def read_records(spark: SparkSession, path: str, array: bool | None = None) -> DataFrame:
     """Instruction records with names in snake case. The two names of the edited object are one column, and the text
     "None" in visual_input is null."""
-    rows = read_json(spark, path, RECORD, array)
+    return named_records(read_json(spark, path, RECORD, array))
+
+
+def named_records(rows: DataFrame) -> DataFrame:
+    """Records as they are written, under the names of read_records()."""
     named = [F.coalesce("edited object", "edit object").alias("edited_object") if c == "edited object" else F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in rows.columns if c != "edit object"]
     return rows.select(*named).withColumn("visual_input", F.when(F.col("visual_input") != "None", F.col("visual_input")))
 
@@ -84,8 +96,13 @@ def read_split_column(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_list(spark: SparkSession, path: str, prefix: str = "", offset: int = 0, most: int | None = None) -> DataFrame:
-    """(pos, item) of a text file of one item a line, from `offset` on."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("pos", "line"))
+    """list_of() a text file."""
+    return list_of(spark.read.text(path, wholetext=True), prefix, offset, most)
+
+
+def list_of(files: DataFrame, prefix: str = "", offset: int = 0, most: int | None = None) -> DataFrame:
+    """(pos, item) of the texts of files (value) of one item a line, from `offset` on."""
+    lines = files.select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("pos", "line"))
     rows = lines.where(F.col("pos") >= offset)
     rows = rows if most is None else rows.where(F.col("pos") < offset + most)
     return rows.select("pos", F.concat(F.lit(prefix), F.rtrim("line", F.lit("\r"))).alias("item"))
