@@ -154,7 +154,7 @@ def _choices(doc: np.ndarray, h: np.ndarray, band: np.ndarray, n1: np.ndarray, n
 def _sign(words: int, percent: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets sign once a task
-        for whole in batches:
+        for whole in slices(batches, 2048):
             sigs, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for x in slices([whole]):
                 raw = x.column("text").cast(pa.binary()).to_pylist()
