@@ -114,6 +114,23 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
 
 
+HOT = 4096
+
+
+def grouped_join(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """`rows` left-joined with `groups`, one row per `key` with its count n of rows. Fewer than HOT groups hold more than
+    a part in HOT of the rows: these are broadcast, so no key of a hot group is shuffled, nor a null one. Both sides
+    should be written tables, as they are read twice."""
+    total = rows.count()
+    is_hot = F.col("n") * HOT > total
+    out = [c for c in groups.columns if c != key]
+    hot = F.broadcast(groups.where(is_hot).withColumnRenamed(key, "hot_key"))
+    near = rows.join(hot, rows[key] == hot["hot_key"], "left")
+    done = near.where(F.col("hot_key").isNotNull() | F.col(key).isNull()).drop("hot_key")
+    rest = near.where(F.col("hot_key").isNull() & F.col(key).isNotNull()).select(*rows.columns)
+    return done.unionByName(rest.join(groups.where(~is_hot), key, "left").select(*rows.columns, *out))
+
+
 # --------------------------------------------------------------------------- documents in buckets
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from curatrix.llm import embeddings, html_text, jaccard, language, leaks, mixing, quality, substring, suffix, warc
+from curatrix.llm import embeddings, exact, html_text, jaccard, language, leaks, mixing, quality, substring, suffix, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_html": html_text.op8_html,
         "op9_warc": warc.op9_warc,
         "op10_suffix": suffix.op10_suffix,
+        "op12_exact": exact.op12_exact,
         "language_of_pages": language.language_of_pages,
         "pipeline": corpus_pipeline.run,
     }
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_jaccard": jaccard.OP6_SQL,
         "op9_warc": warc.OP9_SQL,
         "op10_suffix": suffix.OP10_SQL,
+        "op12_exact": exact.OP12_SQL,
     }
