@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from curatrix.llm import embeddings, exact, html_text, jaccard, language, leaks, mixing, quality, substring, suffix, warc
+from curatrix.llm import audit, embeddings, exact, html_text, jaccard, language, leaks, mixing, quality, substring, suffix, warc, whitening
 
 
 def queries() -> dict:
@@ -18,7 +18,9 @@ def queries() -> dict:
         "op8_html": html_text.op8_html,
         "op9_warc": warc.op9_warc,
         "op10_suffix": suffix.op10_suffix,
+        "op11_whitening": whitening.op11_whitening,
         "op12_exact": exact.op12_exact,
+        "op13_audit": audit.op13_audit,
         "language_of_pages": language.language_of_pages,
         "pipeline": corpus_pipeline.run,
     }
@@ -33,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_warc": warc.OP9_SQL,
         "op10_suffix": suffix.OP10_SQL,
         "op12_exact": exact.OP12_SQL,
+        "op13_audit": audit.OP13_SQL,
     }
