@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import connected, paired, partitions, written
+from curatrix.llm.common import connected, grouped_join, paired, partitions, written
 
 COSINE = 0.95
 RECALL = 0.97
@@ -97,17 +97,23 @@ def _valid(kind: str):
             size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = col.flatten()
             value = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(kind) + np.zeros(1, kind)  # -0.0 becomes 0.0, so that equal vectors have equal bytes
-            norm = np.zeros(len(size))
+            most = np.zeros(len(size))
             full = np.flatnonzero(size)
             if len(full):
-                norm[full] = np.add.reduceat(value.astype(np.float64) ** 2, (np.cumsum(size) - size)[full])
-            valid = (norm > 0) & (norm < math.inf)
+                most[full] = np.maximum.reduceat(np.abs(value.astype(np.float64)), (np.cumsum(size) - size)[full])
+            valid = (most > 0) & (most < math.inf)
             kept = value[np.repeat(valid, size)]
             yield pa.RecordBatch.from_pydict({"vec_id": x.column("vec_id"), "v": _binary(kept.view(np.uint8), np.where(valid, size * kept.itemsize, 0), valid)})
 
     return check
 
 
+def _moderate(x: np.ndarray) -> np.ndarray:
+    """The rows, each times the power of two that brings its largest component near 1: squares then neither overflow nor
+    vanish, and no other bit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def _cells(kind: str, t: int, tables: int, width: float):
     """Adds `codes`, the cell of each table, and `packed`, four bytes of each."""
     shift = np.random.Generator(np.random.PCG64(5)).random(t * tables) * width
@@ -117,7 +123,7 @@ def _cells(kind: str, t: int, tables: int, width: float):
             v = x.column("v")
             codes = np.zeros((len(v), tables), np.uint64)
             for size, at in _by_length(v):
-                u = _packed(v.take(pa.array(at)), kind).reshape(len(at), -1).astype(np.float64)
+                u = _moderate(_packed(v.take(pa.array(at)), kind).reshape(len(at), -1).astype(np.float64))
                 u /= np.sqrt((u * u).sum(1))[:, None]
                 cell = np.floor((u @ _directions(u.shape[1], t * tables, 1) + shift) / width).astype(np.int64).view(np.uint64)
                 h = np.full((len(at), tables), size, np.uint64)
@@ -173,7 +179,7 @@ def _count_and_verify(kind: str, cosine: float, need: int):
         col = lambda c: rows.column(c).combine_chunks()
         key = np.stack([col(c).to_numpy() for c in ("tab", "code", "bi", "bj")]).astype(np.int64)
         v = col("v")
-        x = _packed(v, kind).reshape(len(v), -1).astype(np.float64)
+        x = _moderate(_packed(v, kind).reshape(len(v), -1).astype(np.float64))
         square = np.einsum("ij,ij->i", x, x)
         p = (x / np.sqrt(square)[:, None] @ _directions(x.shape[1], COUNTED, 2)).astype(np.float32)
         order = np.lexsort((p[:, 0], *key[::-1]))
@@ -227,15 +233,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     have a cosine, in double precision, of at least `cosine` with it; the smallest vec_id reachable by such links;
     and whether that is its own. No link below the threshold is returned; one at it is found with probability
     `recall`, nearer ones with a higher one. Vectors that are null, empty, zero or hold null or non-finite
-    components link with nothing, nor do vectors of different lengths or rows without vec_id. Rows with equal
-    vectors link with each other. Other columns are ignored. No rows in, none out."""
+    components link with nothing, nor do vectors of different lengths or rows without vec_id; finite components may be
+    of any size. Rows with equal vectors link with each other. Rows that share a vec_id are vectors of their own: they
+    link by cosine alone, each counts as a link, and a component is named by the smallest vec_id in it. Other columns are
+    ignored. No rows in, none out."""
     kind = "<f4" if "float" in dict(vectors.dtypes)["embedding"] else "<f8"
     n_part = partitions(vectors)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     rows = written(rows.mapInArrow(_valid(kind), "vec_id long, v binary").withColumn("k", F.md5("v")), "vectors")
     known = rows.where("v is not null and vec_id is not null")
-    classes = known.groupBy("k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    reps = known.join(classes, (known["vec_id"] == classes["rep"]) & (known["k"] == classes["k"])).select("rep", "n", "v").dropDuplicates(["rep"])
+    classes = known.groupBy("k").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # rep: the number of a class of equal vectors
+    reps = known.join(classes, (known["vec_id"] == classes["least"]) & (known["k"] == classes["k"])).select("rep", "n", "v").dropDuplicates(["rep"])
     t, tables, width = tables_for(classes.count(), cosine, recall)
     coded = written(reps.mapInArrow(_cells(kind, t, tables, width), "rep long, n long, v binary, codes array<long>, packed binary"), "codes")
     cells = coded.select("rep", "n", "v", "packed", F.posexplode("codes").alias("tab", "code"))
@@ -249,10 +258,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     found = cells.repartition(n_part * 2, "tab", "code", "bi", "bj").mapInArrow(_count_and_verify(kind, cosine, least_count()), LINKED)
     found = written(found, "links")
     links = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    part = connected(found.where("links = 0").select("a", "b")).withColumnRenamed("id", "rep")
-    classes = classes.join(links, "rep", "left").join(part, "rep", "left").withColumnRenamed("k", "k2")
-    rows = rows.join(classes, (rows["k"] == classes["k2"]) & rows["vec_id"].isNotNull(), "left")
-    component = F.coalesce("component", "rep", "vec_id")
+    part = written(connected(found.where("links = 0").select("a", "b")), "parts").withColumnRenamed("id", "rep")
+    names = part.join(classes, "rep").groupBy("component").agg(F.min("least").alias("name"))
+    groups = classes.join(links, "rep", "left").join(part, "rep", "left").join(names, "component", "left")
+    groups = written(groups.select("k", "n", "links", F.coalesce("name", "least").alias("component")), "groups")
+    rows = grouped_join(rows.select("vec_id", F.when(F.col("vec_id").isNotNull() & F.col("v").isNotNull(), F.col("k")).alias("k")), groups, "k")
+    component = F.coalesce("component", "vec_id")
     linked = F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))
     return rows.select("vec_id", linked.cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
