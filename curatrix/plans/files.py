@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatrix.plans.base import query
-from curatrix.sources import cameras, records
+from curatrix.sources import cameras, record_files, records
+from curatrix.sources.shared import shared_path
 
 C = F.col
 PART = "p_partkey int, p_name string, p_size int"
@@ -85,25 +86,32 @@ def s15_image_texts(get):
     return _seen(cameras.images_of(_files(lines, "model", "line", head="# images\n", tail="\n")))
 
 
+def _written_and_read(rows, kind: str):
+    """Records by way of binary files, read in ranges of 8 KB."""
+    path = shared_path(rows.sparkSession, kind)
+    record_files.write_records(rows, path, kind)
+    return record_files.read_records(rows.sparkSession, path, kind, range_bytes=1 << 13)
+
+
 @query(_IMAGES)
 def s16_image_bytes(get):
-    return _seen(cameras.records_of(cameras.binary_files(_images(get).drop("p_partkey"), "images", "model"), "images"))
+    return _seen(_written_and_read(_images(get).drop("p_partkey"), "images"))
 
 
 @query("SELECT p_partkey::INT AS camera_id, CASE WHEN p_size % 2 = 0 THEN 'PINHOLE' ELSE 'SIMPLE_PINHOLE' END AS model, (p_size * 10)::BIGINT AS width, (CASE WHEN p_size % 2 = 0 THEN 4 ELSE 3 END * p_size)::DOUBLE AS params FROM part")
 def s14_camera_bytes(get):
     even = C("p_size") % 2 == 0
     params = F.array_repeat(_number("p_size"), F.when(even, 4).otherwise(3))
-    rows = get("part").select(F.floor(C("p_partkey") / 100).alias("file"), C("p_partkey").cast("int").alias("camera_id"), F.when(even, "PINHOLE").otherwise("SIMPLE_PINHOLE").alias("model"), (C("p_size") * 10).cast("long").alias("width"), F.lit(480).cast("long").alias("height"), params.alias("params"))
-    back = cameras.records_of(cameras.binary_files(rows, "cameras", "file"), "cameras")
+    rows = get("part").select(C("p_partkey").cast("int").alias("camera_id"), F.when(even, "PINHOLE").otherwise("SIMPLE_PINHOLE").alias("model"), (C("p_size") * 10).cast("long").alias("width"), F.lit(480).cast("long").alias("height"), params.alias("params"))
+    back = _written_and_read(rows, "cameras")
     return back.select("camera_id", "model", "width", F.aggregate("params", F.lit(0.0), lambda s, x: s + x).alias("params"))
 
 
 @query("SELECT p_partkey AS point_id, p_size::DOUBLE AS x, p_size AS red, p_size % 3 AS seen, CASE WHEN p_size % 3 = 0 THEN 0 ELSE (p_size % 3) * p_size END::BIGINT AS images FROM part")
 def s18_point_bytes(get):
     track = F.array_repeat(C("p_size"), C("p_size") % 3)
-    rows = get("part").select(model(), C("p_partkey").alias("point_id"), F.array(_number("p_size"), F.lit(2.0), F.lit(3.0)).alias("xyz"), F.array("p_size", F.lit(20), F.lit(30)).alias("rgb"), F.lit(0.5).alias("error"), track.alias("image_ids"), track.alias("point2d_idxs"))
-    back = cameras.records_of(cameras.binary_files(rows, "points3D", "model"), "points3D")
+    rows = get("part").select(C("p_partkey").alias("point_id"), F.array(_number("p_size"), F.lit(2.0), F.lit(3.0)).alias("xyz"), F.array("p_size", F.lit(20), F.lit(30)).alias("rgb"), F.lit(0.5).alias("error"), track.alias("image_ids"), track.alias("point2d_idxs"))
+    back = _written_and_read(rows, "points3D")
     return back.select("point_id", C("xyz")[0].alias("x"), C("rgb")[0].alias("red"), F.size("image_ids").alias("seen"), F.aggregate("image_ids", F.lit(0).cast("long"), lambda s, i: s + i).alias("images"))
 
 

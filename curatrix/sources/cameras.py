@@ -1,22 +1,12 @@
-"""Camera models: cameras, posed images and points, as text or binary files. A file is a row of the scan and is
-parsed in a task; a model's files are small, and many models parse side by side."""
+"""Camera models: cameras, posed images and points, as text or binary files. Binary ones are read and written by
+record_files, in ranges of records."""
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Model number, name and number of parameters, as the binary format numbers them.
-MODELS = {0: ("SIMPLE_PINHOLE", 3), 1: ("PINHOLE", 4), 2: ("SIMPLE_RADIAL", 4), 3: ("RADIAL", 5), 4: ("OPENCV", 8), 5: ("OPENCV_FISHEYE", 8), 6: ("FULL_OPENCV", 12), 7: ("FOV", 5), 8: ("SIMPLE_RADIAL_FISHEYE", 4), 9: ("RADIAL_FISHEYE", 5), 10: ("THIN_PRISM_FISHEYE", 12)}
-# End of fixed values.
-
-CAMERA = "camera_id int, model string, width long, height long, params array<double>"
-IMAGE = "image_id int, qvec array<double>, tvec array<double>, camera_id int, name string, xys array<struct<x: double, y: double>>, point3d_ids array<long>"
-POINT = "point_id long, xyz array<double>, rgb array<int>, error double, image_ids array<int>, point2d_idxs array<int>"
+from curatrix.sources.record_files import CAMERA, IMAGE, POINT, read_records, write_records  # noqa: F401  the schemas are for callers
 
 
 def _words(lines: DataFrame) -> DataFrame:
@@ -73,75 +63,16 @@ def read_poses(spark: SparkSession, path: str) -> DataFrame:
     return poses_of(spark.read.text(path))
 
 
-def _cameras(data: bytes) -> Iterator[tuple]:
-    at = 8
-    for _ in range(struct.unpack_from("<Q", data)[0]):
-        number, model, width, height = struct.unpack_from("<iiQQ", data, at)
-        name, n = MODELS[model]
-        yield number, name, width, height, list(struct.unpack_from(f"<{n}d", data, at + 24))
-        at += 24 + 8 * n
-
-
-def _images(data: bytes) -> Iterator[tuple]:
-    at = 8
-    for _ in range(struct.unpack_from("<Q", data)[0]):
-        number, *pose, camera = struct.unpack_from("<i7di", data, at)
-        end = data.index(b"\0", at + 64)
-        (n,) = struct.unpack_from("<Q", data, end + 1)
-        seen = list(struct.iter_unpack("<ddq", data[end + 9 : end + 9 + 24 * n]))
-        yield number, pose[:4], pose[4:], camera, data[at + 64 : end].decode(), [{"x": x, "y": y} for x, y, _ in seen], [p for _, _, p in seen]
-        at = end + 9 + 24 * n
-
-
-def _points(data: bytes) -> Iterator[tuple]:
-    at = 8
-    for _ in range(struct.unpack_from("<Q", data)[0]):
-        number, x, y, z, r, g, b, error, n = struct.unpack_from("<Q3d3BdQ", data, at)
-        track = struct.unpack_from(f"<{2 * n}i", data, at + 51)
-        yield number, [x, y, z], [r, g, b], error, list(track[::2]), list(track[1::2])
-        at += 51 + 8 * n
-
-
-PARSERS = {"cameras": (CAMERA, _cameras), "images": (IMAGE, _images), "points3D": (POINT, _points)}
-
-
-def records_of(files: DataFrame, kind: str) -> DataFrame:
-    """Cameras, images or points3D from binary files (content)."""
-    schema, parse = PARSERS[kind]
-    names = KINDS[schema].names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for data in x.column("content").to_pylist():
-                rows = list(parse(data))
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], KINDS[schema])
-
-    return files.select("content").mapInArrow(run, schema)
-
-
-def _read_binary(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return records_of(spark.read.format("binaryFile").load(path), kind)
-
-
-_D, _I, _L = pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int64())
-KINDS = {
-    CAMERA: pa.schema([("camera_id", pa.int32()), ("model", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("params", _D)]),
-    IMAGE: pa.schema([("image_id", pa.int32()), ("qvec", _D), ("tvec", _D), ("camera_id", pa.int32()), ("name", pa.string()), ("xys", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), ("point3d_ids", _L)]),
-    POINT: pa.schema([("point_id", pa.int64()), ("xyz", _D), ("rgb", _I), ("error", pa.float64()), ("image_ids", _I), ("point2d_idxs", _I)]),
-}
-
-
 def read_cameras_binary(spark: SparkSession, path: str) -> DataFrame:
-    return _read_binary(spark, path, "cameras")
+    return read_records(spark, path, "cameras")
 
 
 def read_images_binary(spark: SparkSession, path: str) -> DataFrame:
-    return _read_binary(spark, path, "images")
+    return read_records(spark, path, "images")
 
 
 def read_points_binary(spark: SparkSession, path: str) -> DataFrame:
-    return _read_binary(spark, path, "points3D")
+    return read_records(spark, path, "points3D")
 
 
 FILES = ("cameras", "images", "points3D")
@@ -214,42 +145,10 @@ def write_cameras_text(cameras: DataFrame, path: str) -> None:
     camera_lines(cameras).write.text(path)
 
 
-_NUMBER_OF = {name: (number, n) for number, (name, n) in MODELS.items()}
-
-
-def _camera_bytes(r: dict) -> bytes:
-    return struct.pack(f"<iiQQ{len(r['params'])}d", r["camera_id"], _NUMBER_OF[r["model"]][0], r["width"], r["height"], *r["params"])
-
-
-def _image_bytes(r: dict) -> bytes:
-    seen = b"".join(struct.pack("<ddq", p["x"], p["y"], i) for p, i in zip(r["xys"], r["point3d_ids"], strict=True))
-    return struct.pack("<i7di", r["image_id"], *r["qvec"], *r["tvec"], r["camera_id"]) + r["name"].encode() + b"\0" + struct.pack("<Q", len(r["xys"])) + seen
-
-
-def _point_bytes(r: dict) -> bytes:
-    track = [x for pair in zip(r["image_ids"], r["point2d_idxs"], strict=True) for x in pair]
-    return struct.pack("<Q3d3BdQ", r["point_id"], *r["xyz"], *r["rgb"], r["error"], len(r["image_ids"])) + struct.pack(f"<{len(track)}i", *track)
-
-
-def binary_files(rows: DataFrame, kind: str, model: str | None = None) -> DataFrame:
-    """(content): a binary file of cameras, images or points3D for each value of the column `model`, or one. A model is
-    small, and its file one array."""
-    pack = dict(zip(FILES, (_camera_bytes, _image_bytes, _point_bytes), strict=True))[kind]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for found in x.column("found").to_pylist():
-                yield pa.RecordBatch.from_pydict({"content": pa.array([struct.pack("<Q", len(found)) + b"".join(map(pack, found))], pa.binary())})
-
-    item = F.struct(*[c for c in rows.columns if c != model])
-    return rows.groupBy(*[model] if model else []).agg(F.array_sort(F.collect_list(item)).alias("found")).mapInArrow(run, "content binary")
-
-
 def write_model_binary(cameras: DataFrame, images: DataFrame, points: DataFrame, path: str) -> None:
-    """The model as binary files in folder `path`: each a folder of one file, which ends in a line feed behind its last
-    record, where readers, who count records, don't look."""
+    """The model as binary files in folder `path`: each a folder of files of whole records."""
     for rows, kind in zip((cameras, images, points), FILES, strict=True):
-        binary_files(rows, kind).select(F.col("content").cast("string")).write.text(f"{path}/{kind}.bin")
+        write_records(rows, f"{path}/{kind}.bin", kind)
 
 
 def observations(images: DataFrame, points: DataFrame) -> DataFrame:
