@@ -4,6 +4,7 @@ DuckDB both read, so that a query and its oracle start from equal rows."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,12 +67,22 @@ def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@dataclass
+class Tables:
+    spark: SparkSession
+    sf_dir: str
+
+    def __call__(self, name: str) -> DataFrame:
+        return (shape if name in SHAPES else table_of)(self.spark, self.sf_dir, name)
+
+
 def query(sql: str | None = None, name: str | None = None):
-    """Registers f(get), where get(name) gives a table or shape, and its SQL, in which {name} stands for a shape."""
+    """Registers f(get), where get(name) gives a table or shape and get.spark the session, and its SQL, in which {name}
+    stands for a shape."""
 
     def add(f):
         key = name or f.__name__
-        QUERIES[key] = lambda spark, sf_dir: f(lambda t: shape(spark, sf_dir, t) if t in SHAPES else table_of(spark, sf_dir, t))
+        QUERIES[key] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
             text = sql
             for k, v in SHAPES.items():

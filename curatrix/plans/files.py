@@ -1,5 +1,5 @@
-"""Queries of what scans make of the contents of files, and of the lines that sinks write: files of a hundred records
-each, made from the driver's tables, so that no path is needed."""
+"""Queries of scans over files, and of the lines that sinks write: files of a hundred records each, made from the
+driver's tables in a shared folder."""
 
 from __future__ import annotations
 
@@ -20,13 +20,21 @@ def _files(rows, key: str, line: str, sep: str = "\n", head: str = "", tail: str
     return rows.groupBy(key).agg(F.concat(F.lit(head), said, F.lit(tail)).alias("value"))
 
 
+def _text_files(files) -> str:
+    """A folder with a file for each key of files (key, value)."""
+    path = shared_path(files.sparkSession, "texts")
+    files.write.partitionBy(files.columns[0]).text(path)
+    return path
+
+
 def _json(get):
     return get("part").select(model(), "p_partkey", F.to_json(F.struct("p_partkey", "p_name", "p_size")).alias("line"))
 
 
 @query("SELECT p_partkey::INT AS p_partkey, p_name, p_size FROM part")
 def s01_json_arrays(get):
-    return records.parsed(_files(_json(get), "model", "line", ",", "\n [", "]"), PART)
+    """Arrays of a hundred records, each file one line."""
+    return records.read_json(get.spark, _text_files(_files(_json(get), "model", "line", ",", "\n [", "]")), PART)
 
 
 @query("SELECT p_partkey::INT AS p_partkey, p_name, p_size FROM part")
@@ -36,10 +44,12 @@ def s02_json_lines(get):
 
 @query("SELECT p_partkey::INT AS p_partkey, p_name, p_size FROM part WHERE (p_partkey // 100) % 3 <> 2")
 def s03_sniffed_json(get):
-    """Arrays, lines, and what is neither, side by side."""
+    """Files of arrays, of lines, and of what is neither, side by side."""
     rows = _json(get)
-    arrays = _files(rows.where("model % 3 = 0"), "model", "line", ",", "[", "]").select("value")
-    return records.parsed(arrays.union(rows.where("model % 3 = 1").select("line")).union(rows.where("model % 3 = 2").select(F.lit("no record"))), PART)
+    arrays = _files(rows.where("model % 3 = 0"), "model", "line", ",", "[", "]")
+    lines = _files(rows.where("model % 3 = 1"), "model", "line")
+    path = _text_files(arrays.union(lines).union(rows.where("model % 3 = 2").select("model", F.lit("no record")).distinct()))
+    return records.read_json(get.spark, path, PART, mode="DROPMALFORMED")
 
 
 @query("SELECT row_id::VARCHAR AS image_file, edited_object, CASE WHEN row_id % 3 = 0 THEN NULL ELSE 'v' || row_id END AS visual_input FROM {instr}")
@@ -83,7 +93,7 @@ def s15_image_texts(get):
     """Images from texts of two lines a record, written as the text sink writes them."""
     rows = _images(get)
     lines = rows.select("model", "p_partkey", cameras.image_line().alias("line"))
-    return _seen(cameras.images_of(_files(lines, "model", "line", head="# images\n", tail="\n")))
+    return _seen(cameras.read_images_text(get.spark, _text_files(_files(lines, "model", "line", head="# images\n"))))
 
 
 def _written_and_read(rows, kind: str):

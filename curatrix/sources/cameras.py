@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curatrix.sources.chunks import line_pairs
 from curatrix.sources.record_files import CAMERA, IMAGE, POINT, read_records, write_records  # noqa: F401  the schemas are for callers
 
 
@@ -29,14 +30,14 @@ def points_of(lines: DataFrame) -> DataFrame:
 
 
 def read_images_text(spark: SparkSession, path: str) -> DataFrame:
-    return images_of(spark.read.text(path, wholetext=True))
+    return images_of(line_pairs(spark, path, F.startswith("value", F.lit("#"))))
 
 
-def images_of(files: DataFrame) -> DataFrame:
-    """Images from the text of files (value). A record is two lines, so the lines of a file are numbered and meet in
-    pairs."""
-    lines = files.select(F.filter(F.split("value", "\r?\n"), lambda x: ~F.startswith(x, F.lit("#"))).alias("l"))
-    pairs = lines.select(F.explode(F.filter(F.transform("l", lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("head"), F.coalesce(F.get("l", i + 1), F.lit("")).alias("rest")))), lambda p: p.isNotNull() & (F.trim(p["head"]) != ""))).alias("p"))
+def images_of(pairs: DataFrame) -> DataFrame:
+    """Images from texts of two lines: the pose and name, then x, y and point of what it sees. A blank first line is no
+    record."""
+    both = F.split("text", "\n", 2)
+    pairs = pairs.select(F.struct(both[0].alias("head"), F.coalesce(F.get(both, F.lit(1)), F.lit("")).alias("rest")).alias("p")).where(F.trim("p.head") != "")
     h = F.split(F.trim("p.head"), r"\s+")
     r = F.filter(F.split(F.trim("p.rest"), r"\s+"), lambda x: x != "")
     every = lambda at: F.filter(r, lambda x, i: i % 3 == at)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.functions.sampling import pick
+from curatrix.sources.chunks import read_json
 
 #: The superset of the fields that producers write; a field that a row lacks reads as null.
 RECORD = (
@@ -25,18 +26,6 @@ MASK_COLUMNS = ["id", "area", "bbox_x0", "bbox_y0", "bbox_w", "bbox_h", "point_i
 # End of fixed values.
 
 
-def starts_as_array(spark: SparkSession, path: str) -> bool:
-    """Whether the first character of the first file under `path` that isn't white space opens an array."""
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    return bool(head) and head[0].value.lstrip().startswith("[")
-
-
-def read_json(spark: SparkSession, path: str, schema: str, array: bool | None = None) -> DataFrame:
-    """A JSON array or JSON lines, by what the data start with unless `array` says."""
-    array = starts_as_array(spark, path) if array is None else array
-    return spark.read.schema(schema).option("multiLine", array).json(path)
-
-
 def parsed(texts: DataFrame, schema: str) -> DataFrame:
     """The records in texts (value), each a JSON array of them or one alone. What is neither gives
     no record."""
