@@ -157,10 +157,3 @@ def rle_pixels(counts: Column) -> Column:
     ends = F.aggregate(counts, F.array().cast("array<long>"), lambda s, c: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0).cast("long")) + c)))
     run = lambda e, i: F.when((i % 2 == 1) & (F.get(counts, i) > 0), F.sequence(e - F.get(counts, i), e - 1)).otherwise(F.array().cast("array<long>"))
     return F.flatten(F.transform(ends, run))
-
-
-def rle_of(bits: Column) -> Column:
-    """Runs of an array of 0 and 1, the first of them off and maybe empty."""
-    cuts = F.filter(F.sequence(F.lit(1), F.size(bits) - 1), lambda i: F.get(bits, i) != F.get(bits, i - 1))
-    marks = F.concat(F.when(F.get(bits, F.lit(0)) == 1, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0))), cuts, F.array(F.size(bits)))
-    return F.transform(F.sequence(F.lit(1), F.size(marks) - 1), lambda i: (F.get(marks, i) - F.get(marks, i - 1)).cast("long"))

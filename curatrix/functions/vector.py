@@ -141,3 +141,9 @@ def ssim(a: Column, b: Column, w: int, size: int = 11, sigma: float = 1.5) -> Co
         return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     return run(a, b)
+
+
+def stability(logits: Column, threshold: Column, offset: Column) -> Column:
+    """Pixels over threshold + offset as a share of those over threshold - offset; null if there are none of these."""
+    over = lambda t: F.size(F.filter(logits, lambda x: x > t))
+    return F.try_divide(over(threshold + offset), over(threshold - offset))

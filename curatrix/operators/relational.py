@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.sampling import draw, unit
+from curatrix.operators.similarity import grid_pairs
 
 
 # --------------------------------------------------------------------------- joins
@@ -33,8 +34,8 @@ def value_pairs(rows: DataFrame, value: str, position: str) -> DataFrame:
     """(first, second) for each unordered pair of distinct values, the one that was seen first in front. Pairs are
     what is asked for, so their number is the square of that of the distinct values."""
     one = rows.groupBy(value).agg(F.min(position).alias("pos"))
-    a, b = one.select(F.col(value).alias("first"), F.col("pos").alias("p")), one.select(F.col(value).alias("second"), F.col("pos").alias("q"))
-    return a.join(b, F.col("p") < F.col("q")).select("first", "second")
+    pairs = grid_pairs(one, value, F.col("a.pos") < F.col("b.pos"))
+    return pairs.select(F.col("a")[value].alias("first"), F.col("b")[value].alias("second"))
 
 
 def pairs_within(rows: DataFrame, group: str, key: str) -> DataFrame:

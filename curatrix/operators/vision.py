@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import boxes as bx
+from curatrix.functions import runs
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -84,24 +85,49 @@ def phrase_matches(detections: DataFrame, target: str = "target") -> DataFrame:
 
 def pixel_overlap(masks: DataFrame, others: DataFrame) -> DataFrame:
     """(id, share): of each run-length mask (id, counts) the share of its pixels that the other mask of its id has."""
-    a = masks.select("id", F.explode(bx.rle_pixels(F.col("counts"))).alias("pixel"))
-    b = others.select("id", F.explode(bx.rle_pixels(F.col("counts"))).alias("pixel"))
-    both = a.join(b, ["id", "pixel"]).groupBy("id").agg(F.count("*").alias("both"))
-    size = masks.select("id", bx.rle_area(F.col("counts")).alias("size"))
-    return size.join(both, "id", "left").select("id", F.try_divide(F.coalesce("both", F.lit(0)), F.col("size")).alias("share"))
+    both = masks.join(others.select("id", F.col("counts").alias("o_counts")), "id", "left")
+    shared = F.coalesce(bx.rle_area(runs.intersection(F.col("counts"), F.col("o_counts"))), F.lit(0))
+    return both.select("id", F.try_divide(shared, bx.rle_area(F.col("counts"))).alias("share"))
 
 
 def mask_boxes(masks: DataFrame) -> DataFrame:
     """(id, x0, y0, x1, y1) of column-major run-length masks (id, h, counts); zeros for empty ones."""
-    pixels = masks.select("id", "h", F.explode_outer(bx.rle_pixels(F.col("counts"))).alias("p"))
-    at = pixels.select("id", F.floor(F.col("p") / F.col("h")).alias("x"), (F.col("p") % F.col("h")).alias("y"))
-    zero = F.lit(0)
-    return at.groupBy("id").agg(*[F.coalesce(f(c), zero).alias(f"{c}{n}") for n, f in ((0, F.min), (1, F.max)) for c in ("x", "y")])
+    rows = masks.select("id", runs.mask_box(F.col("counts"), F.col("h")).alias("b"))
+    return rows.select("id", *[F.col("b")[i].alias(c) for i, c in enumerate(BOX)])
+
+
+HELD = 1024  # groups whose unions a task holds at once
 
 
 def merged_masks(masks: DataFrame, group: str) -> DataFrame:
-    """(group, pixel) of the pixels that any mask of the group has: masks (group, counts)."""
-    return masks.select(group, F.explode(bx.rle_pixels(F.col("counts"))).alias("pixel")).distinct()
+    """(group, counts) of the pixels that any mask of the group has: masks (group, counts). Tasks unite what they hold of
+    a group before it travels, so a group of any size meets as one mask a task."""
+    kind = masks.schema[group].dataType.simpleString()
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> pa.RecordBatch:
+            lists = pa.array([runs.counts_of(s, n).tolist() for s, n in held.values()], pa.list_(pa.int64()))
+            batch = pa.RecordBatch.from_arrays([pa.array(list(held), keys), lists], [group, "counts"])
+            held.clear()
+            return batch
+
+        for x in batches:
+            keys = x.column(0).type
+            for key, counts in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                c = np.array(counts or [], np.int64)
+                start, end = runs.spans_of(c)
+                (s, e), n = held.get(key, ((start[:0], end[:0]), 0))
+                if key not in held and len(held) == HELD:
+                    yield out()
+                held[key] = runs.united(np.concatenate((s, start)), np.concatenate((e, end))), max(n, int(c.sum()))
+        if held:
+            yield out()
+
+    schema = f"`{group}` {kind}, counts array<long>"
+    part = masks.select(group, "counts").mapInArrow(unite, schema)
+    return part.repartition(group).sortWithinPartitions(group).mapInArrow(unite, schema)
 
 
 def _runs(counts: np.ndarray, h: int, on: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

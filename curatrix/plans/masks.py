@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatrix.functions import boxes as bx
+from curatrix.functions import runs
 from curatrix.functions import vector as v
 from curatrix.operators import vision
 from curatrix.plans.base import query
@@ -111,21 +112,93 @@ def g15_holes_filled(get):
     return vision.without_small(masks(get), 12, holes=True).select("id", bx.rle_area(C("counts")).alias("area"), "changed")
 
 
-@query(f"SELECT id // 4 AS object, count(DISTINCT p) AS pixels, min(p)::BIGINT AS first, max(p)::BIGINT AS last FROM (SELECT id, unnest({_ON}) AS p FROM {{masks}}) GROUP BY 1")
+_GRID = "(SELECT unnest(range(64)) AS p)"
+
+
+def _as_runs(pixels: str, key: str = "id", size: str = "64") -> str:
+    """(key, runs) of `pixels` (key, i) for each key of the masks: a mask of `size` pixels as text."""
+    return f"""px AS ({pixels}), b AS (SELECT {key}, i, has IS NOT NULL AS b FROM (SELECT DISTINCT {key} FROM m) CROSS JOIN (SELECT unnest(range({size})) AS i) LEFT JOIN (SELECT DISTINCT {key}, i, 1 AS has FROM px) px USING ({key}, i)),
+    r AS (SELECT {key}, i, b, coalesce(b <> lag(b) OVER (PARTITION BY {key} ORDER BY i), true) AS new FROM b), g AS (SELECT {key}, b, sum(new::INT) OVER (PARTITION BY {key} ORDER BY i) AS run FROM r),
+    n AS (SELECT {key}, run, any_value(b) AS b, count(*) AS n FROM g GROUP BY 1, 2)
+    SELECT {key}, CASE WHEN bool_or(b AND run = 1) THEN '0,' ELSE '' END || string_agg(n::VARCHAR, ',' ORDER BY run) AS runs FROM n GROUP BY 1"""
+
+
+_M = f"m AS (SELECT id, {_ON} AS a FROM {{masks}})"
+_TWO = f"m AS (SELECT l.id, l.a AS a, r.a AS o FROM (SELECT id, {_ON} AS a FROM {{masks}}) l JOIN (SELECT id - 1 AS id, {_ON} AS a FROM {{masks}}) r USING (id))"
+said = lambda c: F.array_join(c.cast("array<string>"), ",").alias("runs")
+side = lambda n=8: F.lit(n)
+
+
+def _neighbours(get):
+    """Each mask with that of the next id."""
+    rows = get("masks").select("id", counts().alias("a"))
+    return rows.join(get("masks").select((C("id") - 1).alias("id"), counts().alias("b")), "id")
+
+
+@query(f"WITH m AS (SELECT id // 4 AS object, {_ON} AS a FROM {{masks}}), {_as_runs('SELECT object, unnest(a) AS i FROM m', 'object')}")
 def g10_merged_masks(get):
     """The masks of one object as one: any pixel that one of them has."""
     rows = get("masks").select(F.floor(C("id") / 4).alias("object"), counts().alias("counts"))
-    return vision.merged_masks(rows, "object").groupBy("object").agg(F.count("*").alias("pixels"), F.min("pixel").alias("first"), F.max("pixel").alias("last"))
+    return vision.merged_masks(rows, "object").select("object", said(C("counts")))
+
+
+@query(f"WITH {_TWO}, {_as_runs('SELECT id, unnest(list_distinct(list_concat(a, o))) AS i FROM m')}")
+def g10_united(get):
+    return _neighbours(get).select("id", said(runs.union(C("a"), C("b"))))
+
+
+@query(f"WITH {_TWO}, {_as_runs('SELECT id, unnest(list_filter(a, lambda x: list_contains(o, x))) AS i FROM m')}")
+def g09_intersected(get):
+    return _neighbours(get).select("id", said(runs.intersection(C("a"), C("b"))))
+
+
+@query(f"WITH {_TWO}, {_as_runs('SELECT id, unnest(list_filter(a, lambda x: NOT list_contains(o, x))) AS i FROM m')}")
+def g10_subtracted(get):
+    return _neighbours(get).select("id", said(runs.difference(C("a"), C("b"))))
 
 
-@query(f"""WITH b AS (SELECT id, i, list_contains({_ON}, i) AS b FROM {{masks}}, (SELECT unnest(range(64)) AS i)), r AS (SELECT id, i, b, coalesce(b <> lag(b) OVER (PARTITION BY id ORDER BY i), true) AS new FROM b),
-    g AS (SELECT id, i, b, sum(new::INT) OVER (PARTITION BY id ORDER BY i) AS run FROM r), n AS (SELECT id, run, any_value(b) AS b, count(*) AS n FROM g GROUP BY 1, 2)
-    SELECT id, CASE WHEN bool_or(b AND run = 1) THEN '0,' ELSE '' END || string_agg(n::VARCHAR, ',' ORDER BY run) AS runs FROM n GROUP BY 1""")
+@query(f"WITH {_M}, {_as_runs('SELECT id, unnest(a) AS i FROM m')}")
 def g07_rle_encoded(get):
     """Runs of the pixels of a mask, made anew: without the empty runs that the mask's own may hold."""
-    pixels = get("masks").select("id", bx.rle_pixels(counts()).alias("on"))
-    bits = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda i: F.array_contains("on", i).cast("int"))
-    return pixels.select("id", bits.alias("bits")).select("id", F.array_join(bx.rle_of(C("bits")).cast("array<string>"), ",").alias("runs"))
+    return get("masks").select("id", said(runs.encoded(runs.decoded(counts()))))
+
+
+@query(f"WITH {_M}, {_as_runs('SELECT id, (p // 8 - 2) * 5 + p % 8 - 1 AS i FROM (SELECT id, unnest(a) AS p FROM m) WHERE p // 8 BETWEEN 2 AND 6 AND p % 8 BETWEEN 1 AND 5', size='25')}")
+def g24_cropped_masks(get):
+    """The part of each mask in a box, of the box's size."""
+    return get("masks").select("id", said(runs.crop(counts(), side(), F.lit(2), F.lit(1), F.lit(7), F.lit(6))))
+
+
+@query(f"WITH {_M}, {_as_runs('SELECT id, (p // 8 + 3) * 10 + p % 8 - 2 AS i FROM (SELECT id, unnest(a) AS p FROM m) WHERE p // 8 + 3 < 9 AND p % 8 >= 2', size='90')}")
+def g24_pasted_masks(get):
+    """Each mask in a larger image, three columns to the right and two rows up; what leaves the image is lost."""
+    return get("masks").select("id", said(runs.paste(counts(), side(), side(10), side(9), F.lit(3), F.lit(-2))))
+
+
+_NEAR = "abs(a.p // 8 - b.p // 8) <= 1 AND abs(a.p % 8 - b.p % 8) <= 1"
+_CROSS = "abs(a.p // 8 - b.p // 8) + abs(a.p % 8 - b.p % 8) <= 1"
+_P = "p AS (SELECT id, unnest(a) AS p FROM m)"
+
+
+@query(f"WITH {_M}, {_P}, {_as_runs(f'SELECT DISTINCT id, b.p AS i FROM p a JOIN {_GRID} b ON {_NEAR}')}")
+def g25_dilated(get):
+    return get("masks").select("id", said(runs.dilation(counts(), side(), side(), F.lit(1))))
+
+
+@query(f"WITH {_M}, {_P}, {_as_runs(f'SELECT DISTINCT id, b.p AS i FROM p a JOIN {_GRID} b ON {_CROSS}')}")
+def g25_dilated_by_a_cross(get):
+    return get("masks").select("id", said(runs.dilation(counts(), side(), side(), F.lit(1), cross=True)))
+
+
+@query(f"WITH {_M}, {_P}, q AS (SELECT id, b.p FROM m, {_GRID} b WHERE NOT list_contains(a, b.p)), {_as_runs(f'SELECT id, p AS i FROM p EXCEPT SELECT DISTINCT id, b.p AS i FROM q a JOIN {_GRID} b ON {_NEAR}')}")
+def g25_eroded(get):
+    return get("masks").select("id", said(runs.erosion(counts(), side(), side(), F.lit(1))))
+
+
+@query(f"WITH {_M}, {_P}, q AS (SELECT id, b.p FROM m, {_GRID} b WHERE NOT list_contains(a, b.p)), {_as_runs(f'SELECT DISTINCT id, a.p AS i FROM p a JOIN q b USING (id) WHERE {_NEAR}')}")
+def g25_edges(get):
+    """What an erosion takes from a mask: its inner border."""
+    return get("masks").select("id", said(runs.difference(counts(), runs.erosion(counts(), side(), side(), F.lit(1)))))
 
 
 # --------------------------------------------------------------------------- numbers

@@ -213,9 +213,12 @@ def a24_mean(get):
     return get("events").groupBy("user_id").agg(F.max("value").alias("most"), R(F.avg("value")).alias("mean"))
 
 
-@query("SELECT user_id, round(count(*) FILTER (value > 60) / nullif(count(*) FILTER (value > 40), 0), 6) AS stability FROM events GROUP BY 1")
+@query("""SELECT vec_id, round(len(list_filter(embedding, lambda x: x > 0.05::FLOAT)) / nullif(len(list_filter(embedding, lambda x: x > -0.05::FLOAT)), 0), 6) AS stability,
+    len(list_filter(embedding, lambda x: x > 0::FLOAT))::BIGINT AS area FROM embeddings""")
 def g11_stability(get):
-    return get("events").groupBy("user_id").agg(R(F.try_divide(F.count_if(C("value") > 60), F.count_if(C("value") > 40))).alias("stability"))
+    """Of masks as logits, an array of them each: how much the area shrinks from a lower to a higher threshold."""
+    x = C("embedding")
+    return get("embeddings").select("vec_id", R(v.stability(x, F.lit(0.0).cast("float"), F.lit(0.05).cast("float"))).alias("stability"), F.size(F.filter(x, lambda e: e > 0)).cast("long").alias("area"))
 
 
 @query("SELECT box_id, round(x0 + 64, 6) AS x0, round(y0 + 32, 6) AS y0, round(x0 * 0.5, 6) AS sx, round(y1 * 2, 6) AS sy FROM {boxes}")

@@ -9,7 +9,7 @@ from curatrix.functions import boxes as bx
 from curatrix.functions import sampling as sm
 from curatrix.functions import vector as v
 from curatrix.operators import relational as rel
-from curatrix.operators import vision
+from curatrix.operators import similarity, vision
 from curatrix.plans.base import query
 
 C = F.col
@@ -72,9 +72,19 @@ _V = "SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings"
 def j08_probes_over_threshold(get):
     """A stated set of probes, every hundredth vector, against all vectors, in whatever partitions these are read."""
     x = get("embeddings").select("vec_id", "embedding")
-    probes = x.where("vec_id % 100 = 0").select(C("vec_id").alias("probe"), C("embedding").alias("p"))
-    both = x.join(probes, C("probe") != C("vec_id")).select("probe", "vec_id", v.cosine(C("p"), C("embedding")).alias("similarity"))
-    return both.where("similarity > 0.3").withColumn("similarity", R("similarity"))
+    both = similarity.over_threshold(x.where("vec_id % 100 = 0"), x, 0.3)
+    return both.withColumn("similarity", R("similarity"))
+
+
+_SIMILAR_EDGES = [-1.0, 0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+
+
+@query(f"""WITH v AS ({_V}), s AS (SELECT round(list_cosine_similarity(a.e, b.e), 9) AS s FROM v a JOIN v b ON a.vec_id < b.vec_id),
+    h AS (SELECT len(list_filter({_SIMILAR_EDGES}, lambda e: e <= s)) - 1 AS bin, 2 * count(*) AS n FROM s WHERE s >= -1 AND s < 1 GROUP BY 1)
+    SELECT bin::INT AS bin, {_SIMILAR_EDGES}[bin + 1]::DOUBLE AS low, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(7)) AS bin) LEFT JOIN h USING (bin)""")
+def j06_a06_similarity_histogram(get):
+    """Similarities of all ordered pairs of vectors, counted by bins from an edge up to the next."""
+    return similarity.pair_counts(get("embeddings"), _SIMILAR_EDGES, ordered=True)
 
 
 @query("""SELECT a.image_id, a.box_id AS box_a, b.box_id AS box_b, round(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))

@@ -137,10 +137,3 @@ def test_isolated_rows(spark):
     rows = spark.range(20).select(F.col("id").alias("k"))
     got = scorers.scored(rows, [scorers.isolated("inverse", lambda x: 10 / x["k"].where(x["k"] != 7).astype("Int64").map(lambda v: v if v else 1 / 0), ["k"])]).collect()
     assert len(got) == 20 and {r.k for r in got if r.inverse_error} == {0} and got[5].inverse == 2.0
-
-
-def test_run_lengths_round_trip(spark):
-    rng = np.random.default_rng(4)
-    bits = [(rng.random(12) < p).astype(int).tolist() for p in (0.0, 0.3, 0.7, 1.0) for _ in range(5)]
-    for r in spark.createDataFrame([(b,) for b in bits], "b array<int>").select("b", bx.rle_of(F.col("b")).alias("r")).collect():
-        assert sum(r.r) == len(r.b) and [x for i, n in enumerate(r.r) for x in [i % 2] * n] == r.b
