@@ -11,6 +11,8 @@ from curatrix.functions import vector as v
 from curatrix.operators import relational as rel
 from curatrix.operators import similarity, vision
 from curatrix.plans.base import query
+from curatrix.sources.shared import shared_path
+from curatrix.streaming import meters
 
 C = F.col
 R = lambda c, n=6: F.round(c, n)
@@ -200,13 +202,25 @@ def extension_cube(get):
 # --------------------------------------------------------------------------- windows, sorts, sets
 
 
-@query("""SELECT name, seq, value, list_sort(list(value) OVER w)[CAST((count(*) OVER w + 1) // 2 AS INT)] AS median, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS most FROM {meter}
-    WINDOW w AS (PARTITION BY name ORDER BY seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+_MOVING = """SELECT name, seq, value, list_sort(list(value) OVER w)[CAST((count(*) OVER w + 1) // 2 AS INT)] AS median, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS most FROM {meter}
+    WINDOW w AS (PARTITION BY name ORDER BY seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"""
+
+
+@query(_MOVING)
 def w01_w02_moving_meter(get):
     rows = rel.moving_meter(get("meter"), "name", "seq", "value")
     return rows.select("name", "seq", "value", "median", R("mean").alias("mean"), "most")
 
 
+@query(_MOVING)
+def w01_streamed_meter(get):
+    """The same from a stream of the table, with state by name."""
+    sink, mark = (shared_path(get.spark, x) for x in ("meters", "meters-mark"))
+    named = lambda d: d.select(C("event_type").alias("name"), C("event_id").alias("seq"), "ts", "value")
+    meters.run_keyed(get.spark, get.sf_dir, get("events").schema, lambda d: meters.moving_meters(named(d), idle_ms=1 << 40, late="36500 days"), sink, mark, glob="events.parquet")
+    return get.spark.read.parquet(sink).where("not ended").select("name", "seq", "value", "median", R("mean").alias("mean"), "most")
+
+
 @query("""SELECT name, seq, (sum(CAST(round(value * 100) AS BIGINT)) OVER w * (count(*) OVER (PARTITION BY name) - row_number() OVER w) // row_number() OVER w)::BIGINT AS eta_cents FROM {meter}
     WINDOW w AS (PARTITION BY name ORDER BY seq)""")
 def w03_eta(get):
