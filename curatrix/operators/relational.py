@@ -67,17 +67,6 @@ def word_groups(rows: DataFrame, name: str) -> DataFrame:
     return ends.join(own, "word", "left").select("word", (F.col("n") + F.coalesce("own", F.lit(0))).alias("n"))
 
 
-def roll_up(rows: DataFrame, name: str, keywords: DataFrame) -> DataFrame:
-    """rows with `keyword`: the first of `keywords` (keyword, ord) that is the name, ends it or stands in it as a
-    word, with a capital letter; null if none does. Words of the name meet keywords by equality, not by trying all."""
-    low = F.lower(F.col(name))
-    w = F.split(low, " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.size(w) - i + 1), lambda n: F.array_join(F.slice(w, i, n), " "))))
-    words = rows.select(F.col(name).alias("n"), F.explode(F.array_distinct(runs)).alias("keyword")).distinct()
-    best = words.join(keywords.select(F.lower("keyword").alias("keyword"), "ord"), "keyword").groupBy("n").agg(F.min_by("keyword", "ord").alias("keyword"))
-    return rows.join(best, rows[name] == best["n"], "left").drop("n").withColumn("keyword", F.initcap("keyword"))
-
-
 def histogram(rows: DataFrame, value: str, edges: list[float], close_top: bool = False) -> DataFrame:
     """(bin, low, n) for each interval from an edge up to the next, empty ones too; values outside count nowhere.
     close_top: the last one holds its upper edge."""

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from curatrix.functions import text as t
 from curatrix.functions.sampling import draw, pick, sample
 
+# The object that stands for all that have it in their name, and the directions.
+BALL = "ball"
+DIRECTIONS = ["left", "right", "upper", "down"]
+# End of fixed values.
 # Lists that decide results.
 BASIC_COLORS = ["red", "blue", "green", "yellow", "black", "purple", "white", "pink", "orange", "gray", "brown", "gold", "silver"]
 RARE_COLORS = ["violet", "indigo", "magenta", "cyan", "teal", "lime", "olive", "navy", "maroon", "coral", "turquoise", "tan", "salmon", "beige", "lavender", "mint", "aqua"]
@@ -281,12 +285,22 @@ def rotation_edit(key: Column, obj: Column, direction: Column, swapped: Column)
     return F.concat(verb, F.lit(" the "), obj, F.when((direction == "right") == ~swapped, " clockwise").otherwise(" counterclockwise"))
 
 
-def located(caption: Column, backgrounds: Column, key: Column, k: int = 10) -> Column:
-    """Captions as an array: the one that there is, if its last 20 characters name a place; else k with a background
-    each, drawn without replacement."""
-    bare = t.strip(caption, ".")
-    made = F.transform(sample(backgrounds, k, key, "place"), lambda b: F.concat(bare, F.lit(" "), b, F.lit(".")))
-    return F.when(t.has_any(F.right(caption, F.lit(20)), PLACES), F.array(caption)).otherwise(made)
+def located(rows: DataFrame, caption: str, key: str, backgrounds: DataFrame, k: int = 10) -> DataFrame:
+    """rows with one caption for each way to say where: the one that there is, if its last 20 characters name a place; else
+    k with a background each, of the table `backgrounds` (background, pos from 0 on, as many as rows), of as many of them
+    as there are if fewer: neighbours in that order from a drawn one on, so none comes twice. Null captions stay as one
+    row. Drawn places and backgrounds meet in a join, so neither has to be small."""
+    placed = F.coalesce(t.has_any(F.right(F.col(caption), F.lit(20)), PLACES), F.lit(True))
+    whole = rows.withColumns({"placed": placed, "n": backgrounds.agg(F.count("*").alias("n")).scalar()})
+    at = F.transform(F.sequence(F.lit(0), F.least(F.lit(k), F.col("n")) - 1), lambda i: (draw(F.col(key), "place") + i) % F.col("n"))
+    made = whole.where("not placed and n > 0").withColumn("at", F.explode(at)).join(backgrounds.withColumnRenamed("pos", "at"), "at")
+    made = made.withColumn(caption, F.concat(t.strip(F.col(caption), "."), F.lit(" "), "background", F.lit(".")))
+    return whole.where("placed or n = 0").select(*rows.columns).union(made.select(*rows.columns))
+
+
+def canonical(found: Column, target: Column) -> tuple[Column, Column]:
+    """Names as the detector knows them: what has a ball in it is one, and a direction is no target."""
+    return F.when(F.contains(found, F.lit(BALL)), BALL).otherwise(found), F.when(~target.isin(DIRECTIONS), target)
 
 
 def layouts(layout: Column, regions: int = 3) -> Column:
@@ -297,8 +311,19 @@ def layouts(layout: Column, regions: int = 3) -> Column:
     return F.when(F.contains(head, F.lit(CENTER)), F.array(*moved)).otherwise(F.array(F.struct(F.lit("ori").alias("relation"), head.alias("layout"))))
 
 
-def multi_turn(rows: DataFrame, turn: Callable[[int, bool], Column], turns: int) -> DataFrame:
-    """rows with `history`, an array of what each of `turns` turns gave; turn(k, is_last) is its Column, over the row as
-    it came: no turn sees what one before it changed. Rows of which a turn gave null go."""
-    made = [turn(k, k == turns) for k in range(1, turns + 1)]
-    return rows.withColumn("history", F.array(*made)).where(~F.exists("history", lambda x: x.isNull()))
+def sessions(turns: DataFrame, session: str, order: str, start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
+    """(session, turns, history, done) of rows of turns: a fold over the turns of each session, in order and however many.
+    step(state, turn) gives, from what the turn before gave (start for the first) and the turn, a struct of its columns,
+    what this one gives; a null ends the session, and is not done. history: what the turns gave up to there. A session is
+    one row, as a conversation must be; repeated values of order count in any order."""
+    turn = F.struct(order, *[c for c in turns.columns if c not in (session, order)])
+    rows = turns.groupBy(session).agg(F.array_sort(F.collect_list(turn)).alias("all"))
+    begin = F.struct(F.lit(True).alias("on"), start.cast("string").alias("last"), F.array().cast("array<string>").alias("history"))
+
+    def fold(state: Column, turn: Column) -> Column:
+        new = step(state["last"], turn)
+        on = state["on"] & new.isNotNull()
+        return F.struct(on.alias("on"), F.when(on, new).otherwise(state["last"]).alias("last"), F.when(on, F.array_append(state["history"], new)).otherwise(state["history"]).alias("history"))
+
+    rows = rows.select(session, F.size("all").alias("turns"), F.aggregate("all", begin, fold).alias("end"))
+    return rows.select(session, "turns", "end.history", F.col("end.on").alias("done"))

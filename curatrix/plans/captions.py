@@ -6,16 +6,29 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import chat
 from curatrix.functions import text as t
+from curatrix.operators import keywords
 from curatrix.operators import relational as rel
 from curatrix.operators import rules as r
 from curatrix.plans.base import query
 
 C = F.col
 
-VERBS = {"run": "run", "runs": "run", "running": "run", "jump": "jump", "jumps": "jump", "jumping": "jump", "sit": "sit", "sits": "sit", "sitting": "sit", "eat": "eat", "eats": "eat", "eating": "eat"}
-LEMMAS = {"women": "woman", "cats": "cat", "painters": "painter", "teachers": "teacher"}
-TAGS = {"runs": "VERB", "stands": "VERB", "jumps": "VERB", "bolt": "NOUN", "gear": "NOUN", "ring": "NOUN"}
-BACKGROUNDS = ["on a beach", "by a lake", "in a forest", "near a wall", "under a bridge", "on a roof", "at a market", "in a garden", "on a hill", "by the sea", "in a barn", "at night"]
+#: The lexicon of the captions: a table of their words, with a lemma and a part of speech by rule.
+_SAID_WORDS = "concat_ws(' ', input, output, edit, new_object)"
+_LEXICON = f"""(SELECT word, regexp_replace(word, '(ning|ping|ting|ing|s)$', '') AS lemma, CASE ('0x' || substr(md5(word), 1, 8))::BIGINT % 5 WHEN 0 THEN 'ADJ' WHEN 1 THEN 'NOUN' WHEN 2 THEN 'NOUN' ELSE 'VERB' END AS pos
+    FROM (SELECT DISTINCT unnest(string_split(regexp_replace({_SAID_WORDS}, '[.,]', '', 'g'), ' ')) AS word FROM {{acts}}))"""
+
+
+def _lexicon(get):
+    word = get("acts").select(F.explode(F.split(F.regexp_replace(F.concat_ws(" ", "input", "output", "edit", "new_object"), "[.,]", ""), " ")).alias("word")).distinct()
+    h = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % 5
+    return word.select("word", F.regexp_replace("word", "(ning|ping|ting|ing|s)$", "").alias("lemma"), F.when(h == 0, "ADJ").when(h <= 2, "NOUN").otherwise("VERB").alias("pos"))
+
+
+def _entries(value: str, where: str = "true") -> str:
+    return f"(SELECT map_from_entries(list({{'k': word, 'v': {value}}})) FROM {_LEXICON} WHERE {where})"
+
+
 TEMPLATES = {"add": "Add a thing", "remove": "Remove a thing", "replace": "Replace a thing"}
 
 
@@ -58,29 +71,33 @@ def f17_number_words(get):
     return get("part").select("p_partkey", F.coalesce(F.get(names, C("p_size")), C("p_size").cast("string")).alias("said"), (F.array_position(names, F.get(names, C("p_size") % 10)) - 1).cast("int").alias("again"))
 
 
-@query(f"""WITH t AS (SELECT row_id, {_sql_map(VERBS)} AS m, string_split(input, ', ') AS i, string_split(output, ', ') AS o, string_split(split_part(edit, 'to ', -1), ' ')[1] AS new FROM {{acts}}),
+@query(f"""WITH t AS (SELECT row_id, {_entries('lemma', "pos = 'VERB'")} AS m, string_split(input, ', ') AS i, string_split(output, ', ') AS o, string_split(split_part(edit, 'to ', -1), ' ')[1] AS new FROM {{acts}}),
     n AS (SELECT *, least(len(i), len(o)) AS k, coalesce(m[new], new) AS lem FROM t),
     h AS (SELECT *, coalesce(list_position(list_transform(o[1:k], lambda c: len(list_filter(string_split(trim(c, '.'), ' '), lambda w: coalesce(m[w], w) = lem)) > 0), true), 0) AS hit FROM n),
     v AS (SELECT *, CASE WHEN hit > 0 THEN list_transform(list_filter(string_split(trim(i[hit], '.'), ' '), lambda w: m[w] IS NOT NULL), lambda w: m[w]) ELSE [] END AS verbs, CASE WHEN hit > 0 THEN hit ELSE k END AS z FROM h)
     SELECT row_id, new NOT IN ('be', 'being', 'have', 'having') AND NOT (hit > 0 AND (len(verbs) = 0 OR list_contains(verbs, lem) OR list_contains(verbs, new))) AS kept,
         array_to_string(i[1:z], ', ') AS input, array_to_string(o[1:z], ', ') AS output FROM v""")
 def f10_p21_action_cut(get):
-    kept, said, output = r.action_cut(C("edit"), C("input"), C("output"), _map(VERBS))
-    return get("acts").select("row_id", kept.alias("kept"), said.alias("input"), output.alias("output"))
+    """Verbs by a lexicon, of which each row gets its own words."""
+    kept, said, output = r.action_cut(C("edit"), C("input"), C("output"), C("verbs"))
+    words = F.split(F.regexp_replace(F.concat_ws(" ", "input", "output", "edit"), "[.,]", ""), " ")
+    return keywords.with_lexicon(get("acts"), "row_id", words, _lexicon(get).where("pos = 'VERB'"), "lemma", "verbs").select("row_id", kept.alias("kept"), said.alias("input"), output.alias("output"))
 
 
-@query(f"""WITH w AS (SELECT row_id, {_sql_map(LEMMAS)} AS m, string_split(new_object, ' ')[-1] AS w FROM {{acts}}), l AS (SELECT row_id, unnest([w, coalesce(m[w], w)]) AS w FROM w)
+@query(f"""WITH w AS (SELECT row_id, {_entries('lemma')} AS m, string_split(new_object, ' ')[-1] AS w FROM {{acts}}), l AS (SELECT row_id, unnest([w, coalesce(m[w], w)]) AS w FROM w)
     SELECT row_id FROM l GROUP BY 1 HAVING count(*) FILTER (w IN ({_sql_list(r.PEOPLE_REPLACED)[1:-1]}) OR regexp_matches(w, '(er|or|ist|ian|ee)$')) = 0""")
 def f09_replace_words(get):
     """Objects whose last word, and its lemma, name no human."""
-    lemma = _map(LEMMAS)[t.last_word(C("new_object"))]
-    return get("acts").where(r.passes(r.replace_words(lemma))).select("row_id")
+    last = t.last_word(C("new_object"))
+    rows = keywords.with_lexicon(get("acts"), "row_id", F.array(last), _lexicon(get), "lemma", "lemmas")
+    return rows.where(r.passes(r.replace_words(C("lemmas")[last]))).select("row_id")
 
 
-@query(f"""SELECT row_id FROM (SELECT row_id, edit_type, {_sql_map(TAGS)} AS m, string_split(trim(input, '.'), ' ') AS w FROM {{acts}})
+@query(f"""SELECT row_id FROM (SELECT row_id, edit_type, {_entries('pos')} AS m, string_split(trim(input, '.'), ' ') AS w FROM {{acts}})
     WHERE len(list_filter(w, lambda x: coalesce(m[x], '') = CASE WHEN edit_type = 'action_change' THEN 'VERB' ELSE 'NOUN' END)) > 0""")
 def f13_nouns_and_verbs(get):
-    return get("acts").where(r.named_parts(C("edit_type"), C("input"), _map(TAGS))).select("row_id")
+    rows = keywords.with_lexicon(get("acts"), "row_id", t.words(t.strip(C("input"), ".")), _lexicon(get), "pos", "tags")
+    return rows.where(r.named_parts(C("edit_type"), C("input"), C("tags"))).select("row_id")
 
 
 _TAGGED = """(SELECT word, CASE h % 4 WHEN 0 THEN 'VERB' WHEN 1 THEN 'PROPN' ELSE 'NOUN' END AS pos, CASE WHEN h % 5 = 0 THEN 'PERSON' END AS entity, regexp_replace(word, 's$', '') AS lemma
@@ -112,11 +129,12 @@ def f22_usable_sets(get):
     return rows.select("concept", F.explode("ws").alias("w")).distinct().groupBy("concept").agg(F.count("*").alias("n")).where("n >= 5")
 
 
-@query(f"""WITH s AS (SELECT row_id, edit, list_transform(list_sort(list_transform({_sql_list(BACKGROUNDS)}, lambda b: md5('place|' || row_id || '|' || b) || b))[1:10], lambda x: substr(x, 33)) AS b FROM {{instr}})
-    SELECT row_id, unnest(CASE WHEN contains(right(edit, 20), 'on the') OR contains(right(edit, 20), 'in the') OR contains(right(edit, 20), 'at the') THEN [edit] ELSE list_transform(b, lambda x: concat(trim(edit, '.'), ' ', x, '.')) END) AS edit FROM s""")
+@query("""WITH s AS (SELECT row_id, edit, contains(right(edit, 20), 'on the') OR contains(right(edit, 20), 'in the') OR contains(right(edit, 20), 'at the') AS placed, ('0x' || substr(md5('place|' || row_id), 1, 8))::BIGINT AS h FROM {instr}),
+    b AS (SELECT row_id, edit, unnest(range(10)) AS i, h FROM s WHERE NOT placed)
+    SELECT row_id, edit FROM s WHERE placed UNION ALL SELECT row_id, concat(trim(edit, '.'), ' near ', lower(n_name), '.') FROM b JOIN nation ON n_nationkey = (h + i) % (SELECT count(*) FROM nation)""")
 def p19_location_fallback(get):
-    rows = get("instr").select("row_id", F.explode(r.located(C("edit"), F.array(*map(F.lit, BACKGROUNDS)), C("row_id"))).alias("edit"))
-    return rows
+    backgrounds = get("nation").select(C("n_nationkey").cast("long").alias("pos"), F.concat(F.lit("near "), F.lower("n_name")).alias("background"))
+    return r.located(get("instr").select("row_id", "edit"), "edit", "row_id", backgrounds)
 
 
 @query("""WITH a AS (SELECT doc_id, text, len(string_split(text, ' ')) AS n FROM documents), b AS (SELECT doc_id, CASE WHEN n > 77 THEN concat(split_part(text, '. ', 1), '.') ELSE text END AS s FROM a),

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from curatrix.functions import align, scorers
+from curatrix.functions import align, raster, scorers
 from curatrix.functions import boxes as bx
 from curatrix.functions import text as t
 from curatrix.functions import vector as v
@@ -16,6 +16,7 @@ from curatrix.plans.base import query
 from curatrix.sources.records import frame_positions
 
 C = F.col
+draw_of = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
 R = lambda c, n=6: F.round(c, n)
 
 
@@ -91,11 +92,11 @@ def p17_keywords(get):
     return get("instr").where("edited_object is not null").select("row_id", F.array_join(F.transform(words, short), ", ").alias("keywords"))
 
 
-@query("SELECT row_id, CASE WHEN contains(edited_object, 'ring') THEN 'ring' ELSE edited_object END AS obj, CASE WHEN string_split(edit, ' ')[-1] IN ('red', 'left') THEN NULL ELSE string_split(edit, ' ')[-1] END AS target FROM {instr}")
+@query("""WITH o AS (SELECT row_id, replace(edited_object, 'ring', 'balloon') AS o, replace(string_split(edit, ' ')[-1], 'red', 'left') AS w FROM {instr})
+    SELECT row_id, CASE WHEN contains(o, 'ball') THEN 'ball' ELSE o END AS obj, CASE WHEN w NOT IN ('left', 'right', 'upper', 'down') THEN w END AS target FROM o""")
 def p22_canonical(get):
-    last = t.last_word(C("edit"))
-    obj = F.when(F.contains("edited_object", F.lit("ring")), "ring").otherwise(C("edited_object"))
-    return get("instr").select("row_id", obj.alias("obj"), F.when(~last.isin("red", "left"), last).alias("target"))
+    obj, target = r.canonical(F.replace("edited_object", F.lit("ring"), F.lit("balloon")), F.replace(t.last_word(C("edit")), F.lit("red"), F.lit("left")))
+    return get("instr").select("row_id", obj.alias("obj"), target.alias("target"))
 
 
 @query("SELECT row_id, replace(image_file, 'imgs/', 'edited/') AS edited_file FROM {instr}")
@@ -228,6 +229,23 @@ def g14_g17_moved_and_scaled(get):
     return get("boxes").select("box_id", R(m["x0"]).alias("x0"), R(m["y0"]).alias("y0"), R(s["x0"]).alias("sx"), R(s["y1"]).alias("sy"))
 
 
+@query("""WITH i AS (SELECT unnest(range(6)) AS y), k AS (SELECT unnest(range(5)) AS x), p AS (SELECT p_partkey AS p, 3 + p_size % 7 AS h, 2 + p_partkey % 6 AS w FROM part),
+    s AS (SELECT p, y, x, h, w, least(greatest((y + 0.5::DOUBLE) * h / 6 - 0.5, 0), h - 1) AS sy, least(greatest((x + 0.5::DOUBLE) * w / 5 - 0.5, 0), w - 1) AS sx FROM p, i, k),
+    f AS (SELECT p, y, x, least(floor(sy), h - 2)::BIGINT AS y0, least(floor(sx), w - 2)::BIGINT AS x0, sy - least(floor(sy), h - 2) AS fy, sx - least(floor(sx), w - 2) AS fx FROM s),
+    v AS (SELECT p, ((p * 7 + y * 13 + x * 29) % 256)::DOUBLE AS a, (1 - fy) * (1 - fx) * ((p * 5 + y0 * 17 + x0 * 31) % 256) + (1 - fy) * fx * ((p * 5 + y0 * 17 + (x0 + 1) * 31) % 256) + fy * (1 - fx) * ((p * 5 + (y0 + 1) * 17 + x0 * 31) % 256)
+        + fy * fx * ((p * 5 + (y0 + 1) * 17 + (x0 + 1) * 31) % 256) AS b FROM f)
+    SELECT p AS p_partkey, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) AS similarity FROM v GROUP BY 1""")
+def f42_picture_similarity(get):
+    """Cosine of two pictures, the second brought to the size of the first."""
+    def picture(h, w, a, b, c):
+        i = F.sequence(F.lit(0).cast("long"), (h * w - 1).cast("long"))
+        return F.transform(i, lambda k: ((C("p_partkey") * a + F.floor(k / w) * b + k % w * c) % 256).cast("double"))
+
+    h, w = (C("p_size") % 7 + 3).cast("int"), (C("p_partkey") % 6 + 2).cast("int")
+    rows = get("part").select("p_partkey", picture(F.lit(6), F.lit(5), 7, 13, 29).alias("a"), raster.resized(picture(h, w, 5, 17, 31), h, w, F.lit(6), F.lit(5)).alias("b"))
+    return rows.select("p_partkey", R(v.cosine(C("a"), C("b"))).alias("similarity"))
+
+
 @query("SELECT row_id, round(('0x' || substr(md5('clip|' || row_id), 1, 8))::BIGINT / 4294967296.0, 9) AS clip, size * 2.0 + price AS model FROM {instr}")
 def m01_scorers(get):
     """A stand-in and a model loaded once a worker."""
@@ -317,12 +335,14 @@ def j15_label_lookup(get):
     return get("documents").select("doc_id").join(get("labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
-@query("SELECT p_partkey, CASE p_name WHEN 'old bolt' THEN 'bolt' WHEN 'red ring' THEN 'ring' ELSE p_name END AS lemma FROM part")
+@query("""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents), l AS (SELECT word, regexp_replace(word, '(ing|ed|s)$', '') AS lemma FROM w WHERE ('0x' || substr(md5(word), 1, 8))::BIGINT % 3 = 0)
+    SELECT conv_id, turn, coalesce(lemma, string_split(text, ' ')[1]) AS lemma FROM conversations LEFT JOIN l ON word = string_split(text, ' ')[1]""")
 def f51_lemma_lookup(get):
-    """A lexicon is a table; words that it lacks stay."""
-    rows = get("part").select("p_partkey", "p_name")
-    lexicon = rows.sparkSession.createDataFrame([("old bolt", "bolt"), ("red ring", "ring")], "p_name string, lemma string")
-    return rows.join(lexicon, "p_name", "left").select("p_partkey", F.coalesce("lemma", "p_name").alias("lemma"))
+    """First words by a lexicon, a table of the words of documents; words that it lacks stay."""
+    word = get("documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    lexicon = word.where(draw_of("word") % 3 == 0).withColumn("lemma", F.regexp_replace("word", "(ing|ed|s)$", ""))
+    rows = get("conversations").select("conv_id", "turn", t.first_word(C("text")).alias("word"))
+    return rows.join(lexicon, "word", "left").select("conv_id", "turn", F.coalesce("lemma", "word").alias("lemma"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS seen, quantile_disc(value, 0.5) AS middle FROM events GROUP BY 1")

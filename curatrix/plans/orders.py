@@ -87,14 +87,28 @@ _TURNS = [_TURN.format(h=_h(k), kind=f"{_KINDS}[1 + {_h(k)} % 4]" if k < 3 else
 @query(f"SELECT row_id, array_to_string([a, b, c], ' / ') AS history FROM (SELECT row_id, {_TURNS[0]} AS a, {_TURNS[1]} AS b, {_TURNS[2]} AS c FROM {{instr}}) WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL")
 def d10_turns(get):
     """Sessions of three turns of which none failed; only the last may change the tone."""
-    kinds = ["add", "remove", "replace", "color_alter"]
-
-    def turn(k: int, last: bool):
-        h = draw(C("row_id"), f"turn{k}")
-        kind = F.get(F.array(*map(F.lit, [*kinds, "tone_transfer"] if last else kinds)), (h % (5 if last else 4)).cast("int"))
-        return F.when(h % 7 != 0, F.concat(kind, F.lit(": "), "edit"))
-
-    return r.multi_turn(get("instr").select("row_id", "edit"), turn, 3).select("row_id", F.array_join("history", " / ").alias("history"))
+    turns = get("instr").select("row_id", "edit", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"))
+    h = C("k").cast("string")
+    h = F.conv(F.substring(F.md5(F.concat(F.lit("turn"), h, F.lit("|"), C("row_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    many = F.when(C("k") == 3, 5).otherwise(4)
+    kinds = F.array(*map(F.lit, ("add", "remove", "replace", "color_alter", "tone_transfer")))
+    turns = turns.withColumn("made", F.when(h % 7 != 0, F.concat(F.get(kinds, (h % many).cast("int")), F.lit(": "), "edit")))
+    done = r.sessions(turns.select("row_id", "k", "made"), "row_id", "k", F.lit(""), lambda state, turn: turn["made"]).where("done")
+    return done.select("row_id", F.array_join("history", " / ").alias("history"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, text, ('0x' || substr(md5('fails|' || conv_id || '|' || turn), 1, 8))::BIGINT % 9 = 0 AS fails FROM conversations),
+    s AS (SELECT conv_id, 0::BIGINT AS k, '' AS said, '' AS history, true AS ok FROM (SELECT DISTINCT conv_id FROM t)
+        UNION ALL SELECT t.conv_id, t.k, left(md5(said || text), 8), history || CASE WHEN t.k > 1 THEN ' / ' ELSE '' END || left(md5(said || text), 8), NOT fails FROM s JOIN t ON t.conv_id = s.conv_id AND t.k = s.k + 1 WHERE ok)
+    SELECT conv_id, count(*) FILTER (ok AND k > 0) AS turns, max_by(history, k) FILTER (ok) AS history, bool_and(ok) AS done FROM s GROUP BY 1""")
+def d10_sessions(get):
+    """Sessions of as many turns as the conversation has: each turn goes on from what the one before gave, and a failed one
+    ends the session."""
+    fails = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("fails"), C("conv_id").cast("string"), C("turn").cast("string"))), 1, 8), 16, 10).cast("long") % 9 == 0
+    turns = get("conversations").select("conv_id", "turn", "text", fails.alias("fails"))
+    step = lambda state, turn: F.when(~turn["fails"], F.left(F.md5(F.concat(state, turn["text"])), F.lit(8)))
+    rows = r.sessions(turns, "conv_id", "turn", F.lit(""), step)
+    return rows.select("conv_id", F.size("history").cast("long").alias("turns"), F.array_join("history", " / ").alias("history"), "done")
 
 
 @query("SELECT event_id, CASE WHEN user_id % 5 > 0 THEN floor(1000 / (user_id % 5)) END::DOUBLE AS share, CASE WHEN user_id % 5 = 0 THEN 'ZeroDivisionError' END AS share_error FROM events")

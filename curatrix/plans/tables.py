@@ -9,7 +9,7 @@ from curatrix.functions import boxes as bx
 from curatrix.functions import sampling as sm
 from curatrix.functions import vector as v
 from curatrix.operators import relational as rel
-from curatrix.operators import similarity, vision
+from curatrix.operators import keywords, similarity, vision
 from curatrix.plans.base import query
 from curatrix.sources.shared import shared_path
 from curatrix.streaming import meters
@@ -123,12 +123,26 @@ def a04_merged_lists(get):
     return rel.merged_lists(lists, "k", "names").withColumn("names", F.array_join("names", "|"))
 
 
-@query("""WITH k AS (SELECT unnest(['ring', 'hot', 'bolt', 'old']) AS keyword, unnest([0, 1, 2, 3]) AS ord)
+@query("""WITH k AS (SELECT lower(split_part(p_name, ' ', 2)) AS keyword, min(p_partkey) AS ord FROM part WHERE p_size > 30 GROUP BY 1)
     SELECT p_partkey, (SELECT upper(left(min_by(keyword, ord), 1)) || substr(min_by(keyword, ord), 2) FROM k WHERE concat(' ', lower(p_name), ' ') LIKE concat('% ', keyword, ' %')) AS keyword FROM part""")
 def a05_keyword_roll_up(get):
-    rows = get("part")
-    keys = rows.sparkSession.createDataFrame([(w, i) for i, w in enumerate(("ring", "hot", "bolt", "old"))], "keyword string, ord int")
-    return rel.roll_up(rows.select("p_partkey", "p_name"), "p_name", keys).select("p_partkey", "keyword")
+    """Names by the first of the keywords that they have; the keywords are second words of other names."""
+    rows = get("part").select("p_partkey", "p_name")
+    keys = get("part").where("p_size > 30").groupBy(F.lower(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("keyword")).agg(F.min("p_partkey").alias("ord"))
+    return keywords.first_keyword(rows, "p_name", keys).select("p_partkey", "keyword")
+
+
+@query(r"""WITH w AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark), g AS (SELECT item_id * 1000 + i AS ord, w[i] || CASE WHEN i % 3 = 0 THEN '' ELSE ' ' || w[i + 1] END AS keyword FROM (SELECT *, unnest(range(1, least(len(w), 500))) AS i FROM w)),
+    k AS (SELECT keyword, min(ord) AS ord FROM g GROUP BY 1), d AS (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+    t AS (SELECT DISTINCT doc_id, unnest([w[i], w[i] || ' ' || w[i + 1]]) AS keyword FROM s) SELECT doc_id, ord FROM documents LEFT JOIN (SELECT doc_id, min(ord) AS ord FROM t JOIN k USING (keyword) GROUP BY 1) USING (doc_id)""")
+def a05_first_keyword_of_documents(get):
+    """Which of the words and pairs of words of the benchmark, in its order, is the first that a document has."""
+    w = F.split(F.lower("text"), " ")
+    some = get("benchmark").select("item_id", w.alias("w"), F.explode(F.sequence(F.lit(1), F.least(F.size(w), F.lit(500)) - 1)).alias("i")).where("size(w) > 1")
+    pair = F.concat(F.get("w", C("i") - 1), F.when(C("i") % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.get("w", C("i")))))
+    keys = some.groupBy(pair.alias("keyword")).agg(F.min(C("item_id") * 1000 + C("i")).alias("ord"))
+    found = keywords.first_keyword(get("documents").select("doc_id", "text"), "text", keys)
+    return found.join(keys.select(F.initcap("keyword").alias("keyword"), "ord").groupBy("keyword").agg(F.min("ord").alias("ord")), "keyword", "left").select("doc_id", "ord")
 
 
 _EDGES = [0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
