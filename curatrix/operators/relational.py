@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.functions.sampling import draw, unit
+from curatrix.functions.sampling import draw
 from curatrix.operators.similarity import grid_pairs
 
 
@@ -124,11 +124,15 @@ STRETCH = 50_000
 
 def placed(rows: DataFrame, group: list[str], order: str, stretch: int = STRETCH) -> DataFrame:
     """rows with `place`, from 0 on within the group, and `piece`, the number of its stretch of `stretch` rows: a
-    window partitioned by group and piece holds no more rows than that, however large the group. Columns of group and
+    window partitioned by group and piece holds no more rows than that, however large the group. Rows are numbered within
+    group and range of `order`, and the counts of these, few rows a group, give each its first place. Columns of group and
     order are not null, and unique together."""
-    at = numbered(rows, [*group, order], 1).drop("batch")
-    first = at.groupBy(*group).agg(F.min("position").alias("first"))
-    out = at.join(first, group).withColumn("place", F.col("position") - F.col("first"))
+    ranged = in_ranges(rows, [order])
+    counts = ranged.groupBy(*group, "range").agg(F.count("*").alias("rows_in"))
+    earlier = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*group, "range", F.coalesce(F.sum("rows_in").over(earlier), F.lit(0)).alias("first"))
+    inner = F.row_number().over(Window.partitionBy(*group, "range").orderBy(order)) - 1
+    out = ranged.withColumn("inner", inner).join(starts, [*group, "range"]).withColumn("place", (F.col("inner") + F.col("first")).cast("long"))
     return out.select(*rows.columns, "place", F.floor(F.col("place") / stretch).alias("piece"))
 
 
@@ -154,7 +158,7 @@ def running_sum(rows: DataFrame, group: list[str], value: Column, name: str) ->
 def moving_meter(series: DataFrame, name: str, order: str, value: str, size: int = 20, stretch: int = STRETCH) -> DataFrame:
     """By row, over the last `size` rows of its name: lower median, mean and maximum."""
     w = Window.partitionBy(name, "piece").orderBy("place").rowsBetween(-(size - 1), 0)
-    held = F.array_sort(F.collect_list(value).over(w))
+    held = F.sort_array(F.collect_list(value).over(w))
     rows = with_carried(placed(series, [name], order, stretch), size - 1, stretch)
     rows = rows.withColumns({"median": F.element_at(held, ((F.size(held) + 1) / 2).cast("int")), "mean": F.avg(value).over(w), "most": F.max(value).over(w)})
     return rows.where("not carried").select(*series.columns, "median", "mean", "most")
@@ -192,19 +196,30 @@ def shard(rows: DataFrame, key: str, shards: int, seed: str = "shard") -> DataFr
     return rows.withColumn("shard", (draw(F.col(key), seed) % shards).cast("int"))
 
 
-def numbered(rows: DataFrame, order: list[str], size: int, ranges: int | None = None) -> DataFrame:
-    """rows with position (from 0) and batch of `size` rows in a total order, without one task for all of them: cuts
-    from a hashed sample of keys deal the rows over `ranges` ranges, and the row counts of these, a row each, give
-    each range its first position. Columns of `order` are unique together, and not null."""
+SAMPLED = 50  # keys a range that decide where it begins
+
+
+def in_ranges(rows: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """rows with `range`: which of `ranges` (by default as many as shuffle partitions) parts of about equal numbers of rows
+    they are in by their order. The cuts are those of a sample by hash, one array that the plan itself computes; each row
+    finds its range by bisection."""
     ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    share = min(1.0, 50.0 * ranges / max(1, rows.count()))
-    keys = rows.select(*order).where(unit(F.concat_ws("|", *[F.col(c).cast("string") for c in order]), "cut") < share)
-    found = sorted(tuple(r) for r in keys.collect())  # about 50 keys a range
-    cuts = [found[len(found) * i // ranges] for i in range(1, ranges)] if found else []
-    key = F.struct(*order)
-    cut_rows = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cut, strict=True)]) for cut in cuts]) if cuts else None
-    ranged = rows.withColumn("range", F.size(F.filter(cut_rows, lambda c: c <= key)) if cuts else F.lit(0))
+    keys = rows.select(F.struct(*order).alias("key"), F.xxhash64(*order).alias("h")).orderBy("h").limit(SAMPLED * ranges)
+    found = keys.agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    at = F.sequence(F.lit(1), F.lit(max(1, ranges - 1)))
+    cuts = F.transform(at, lambda i: F.get("keys", F.floor(F.size("keys") * i / F.lit(ranges)).cast("int")))
+    cuts = found.select(F.filter(cuts, lambda c: c.isNotNull()).alias("cuts")).scalar()
+    rows = rows.withColumns({"cuts": cuts, "key": F.struct(*order)})
+    steps = F.array(*[F.lit(1 << k) for k in range(ranges.bit_length() - 1, -1, -1)])
+    beyond = lambda at: (at <= F.size("cuts")) & (F.get("cuts", at - 1) <= F.col("key"))
+    return rows.withColumn("range", F.aggregate(steps, F.lit(0), lambda at, step: F.when(beyond(at + step), at + step).otherwise(at))).drop("cuts", "key")
+
+
+def numbered(rows: DataFrame, order: list[str], size: int, ranges: int | None = None) -> DataFrame:
+    """rows with position (from 0) and batch of `size` rows in a total order, without one task for all of them: rows are
+    numbered within their range, and the counts of the ranges, a row each, give each its first position. Columns of `order`
+    are unique together, and not null."""
+    ranged = in_ranges(rows, order, ranges)
     counts = ranged.groupBy("range").agg(F.count("*").alias("rows_in"))
     before = F.coalesce(F.sum("rows_in").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("range", before.alias("before"))

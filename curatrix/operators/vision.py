@@ -233,21 +233,21 @@ def connectivity(parts: DataFrame, least: int = 10) -> DataFrame:
     return parts.groupBy("id").agg(F.when(whole < least, 0.0).otherwise(F.max("area") / whole).alias("score"))
 
 
-def grid(spark, side: int) -> DataFrame:
-    """(x, y) of side x side points, each in the middle of its cell of the unit square."""
-    n = F.sequence(F.lit(0), F.lit(side - 1))
-    rows = spark.range(1).select(F.explode(n).alias("i")).select("i", F.explode(n).alias("j"))
-    return rows.select(((F.col("j") + 0.5) / side).alias("x"), ((F.col("i") + 0.5) / side).alias("y"))
+def grid(images: DataFrame, side: int) -> DataFrame:
+    """(image_id, x, y) of side x side points of each image (image_id, w, h), each in the middle of its cell."""
+    return layered_grids(images, side, 0, 1).drop("layer")
 
 
-def layered_grids(spark, side: int, layers: int, scale: int) -> DataFrame:
-    """(layer, x, y): a grid for the whole image and one for the crops of each layer, of a side that is `scale` times
-    smaller from layer to layer, in whole points."""
+def layered_grids(images: DataFrame, side: int, layers: int, scale: int) -> DataFrame:
+    """(image_id, layer, x, y): a grid for each image (image_id, w, h) as a whole, and for each layer one for every crop of
+    crop_boxes(), of a side that is `scale` times smaller from layer to layer, in whole points: in pixels of the image.
+    Layers whose side comes to nothing have none."""
     sides = F.array(*[F.lit(int(side / scale**i)) for i in range(layers + 1)])
-    rows = spark.range(1).select(F.posexplode(sides).alias("layer", "n")).where("n > 0")
+    rows = crop_boxes(images, layers).withColumn("n", F.get(sides, F.col("layer"))).where("n > 0")
     steps = F.sequence(F.lit(0), F.col("n") - 1)
-    rows = rows.select("layer", "n", F.explode(steps).alias("i")).select("layer", "n", "i", F.explode(steps).alias("j"))
-    return rows.select("layer", ((F.col("j") + 0.5) / F.col("n")).alias("x"), ((F.col("i") + 0.5) / F.col("n")).alias("y"))
+    rows = rows.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+    along = lambda low, high, k: F.col(low) + (F.col(k) + 0.5) / F.col("n") * (F.col(high) - F.col(low))
+    return rows.select("image_id", "layer", along("x0", "x1", "j").alias("x"), along("y0", "y1", "i").alias("y"))
 
 
 def crop_boxes(images: DataFrame, layers: int, overlap: float = 512 / 1500) -> DataFrame:

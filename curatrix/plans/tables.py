@@ -452,15 +452,25 @@ def g09_f39_mask_overlap(get):
     return out.select("id", R("share").alias("share"))
 
 
-@query("SELECT (j + 0.5) / 32 AS x, (i + 0.5) / 32 AS y FROM (SELECT unnest(range(32)) AS i), (SELECT unnest(range(32)) AS j)")
+_SIZED = "SELECT n_nationkey AS image_id, n_nationkey * 40 + 300 AS w, n_nationkey * 10 + 400 AS h FROM nation"
+
+
+def _sized(get):
+    return get("nation").select(C("n_nationkey").alias("image_id"), (C("n_nationkey") * 40 + 300).alias("w"), (C("n_nationkey") * 10 + 400).alias("h"))
+
+
+@query(f"SELECT image_id, round((j + 0.5) / 32 * w, 6)::DOUBLE AS x, round((i + 0.5) / 32 * h, 6)::DOUBLE AS y FROM ({_SIZED}), (SELECT unnest(range(32)) AS i), (SELECT unnest(range(32)) AS j)")
 def g12_point_grid(get):
-    return vision.grid(get("region").sparkSession, 32)
+    return vision.grid(_sized(get), 32).select("image_id", R("x").alias("x"), R("y").alias("y"))
 
 
-@query("""WITH l AS (SELECT layer::INT AS layer, 32 // (2 ** layer)::BIGINT AS n FROM (SELECT unnest(range(4)) AS layer)), i AS (SELECT *, unnest(range(n)) AS i FROM l), j AS (SELECT *, unnest(range(n)) AS j FROM i)
-    SELECT layer, (j + 0.5::DOUBLE) / n AS x, (i + 0.5::DOUBLE) / n AS y FROM j""")
+@query(f"""WITH l AS (SELECT image_id, w, h, layer::INT AS layer, (2 ** layer)::BIGINT AS per, CASE WHEN layer = 0 THEN 0 ELSE floor(least(w, h) * (512 / 1500.0::DOUBLE) * 2 / (2 ** layer))::BIGINT END AS o, 32 // (2 ** layer)::BIGINT AS n FROM ({_SIZED}), (SELECT unnest(range(3)) AS layer)),
+    c AS (SELECT *, ceil((o * (per - 1) + w) / per::DOUBLE)::BIGINT AS cw, ceil((o * (per - 1) + h) / per::DOUBLE)::BIGINT AS ch FROM l),
+    b AS (SELECT image_id, layer, n, (cw - o) * a AS x0, (ch - o) * b AS y0, least((cw - o) * a + cw, w) AS x1, least((ch - o) * b + ch, h) AS y1 FROM (SELECT *, unnest(range(per)) AS a FROM c), unnest(range(per)) u(b))
+    SELECT image_id, layer, round(x0 + (j + 0.5::DOUBLE) / n * (x1 - x0), 6) AS x, round(y0 + (i + 0.5::DOUBLE) / n * (y1 - y0), 6) AS y FROM (SELECT *, unnest(range(n)) AS i FROM b), unnest(range(n)) v(j)""")
 def g12_layered_grids(get):
-    return vision.layered_grids(get("region").sparkSession, 32, 3, 2)
+    """Points of each image as a whole and of the crops of two layers."""
+    return vision.layered_grids(_sized(get), 32, 2, 2).select("image_id", "layer", R("x").alias("x"), R("y").alias("y"))
 
 
 @query("""WITH n AS (SELECT n_nationkey AS image_id, n_nationkey * 40 + 300 AS w, 400 AS h FROM nation), x AS (SELECT image_id, h, unnest(list_distinct(list_append(range(0, w - 256, 200), w - 256))) AS x FROM n)

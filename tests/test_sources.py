@@ -103,6 +103,12 @@ def test_positions(spark):
     rows = spark.range(1000).selectExpr("id * 7919 % 1009 as k", "id")
     got = rel.numbered(rows, ["k", "id"], 10).orderBy("position").collect()
     assert [r.position for r in got] == list(range(1000)) and [(r.k, r.id) for r in got] == sorted((r.k, r.id) for r in got)
+    for ranges in (1, 2, 7, 64):
+        some = rel.in_ranges(rows, ["k", "id"], ranges).orderBy("k", "id").collect()
+        parts = [r.range for r in some]
+        assert parts == sorted(parts) and len(set(parts)) == ranges and max(parts) < ranges
+        assert max(map(parts.count, set(parts))) <= max(40, 3 * 1000 / ranges)
+    assert rel.numbered(rows.limit(0), ["k", "id"], 10).isEmpty() and rel.numbered(rows.limit(1), ["k", "id"], 10).first().position == 0
 
 
 def test_windows_over_stretches(spark):
