@@ -5,10 +5,12 @@ markup declares; the suffix of the address; and the host. Priors are smoothed in
 rows, address suffix, host. They are counts, by grouped aggregation over all rows, of the languages that the text
 alone points to; so is the table of how often which language is declared for which.
 
-The trigram models are fitted to a sample of rows by declared language, of about PER_LANGUAGE rows each. Every
-declared language has one, region and script subtags aside, if any of its rows has text with letters; a model takes
-128 KB. A row that declares a language of fewer than RARE rows is scored by what the other rows say of it, so that one
-mistaken declaration makes no language; if there are none, its text counts as one of no language does, and the
+The trigram models are fitted to a sample of rows by declared language, of about PER_LANGUAGE rows each. A declared code,
+region and script subtags aside, is a language if RARE rows and one row in MOST_LANGUAGES declare it, or one in a hundred,
+and any of its rows has text with letters. Codes of fewer rows are page data of any number: they are no evidence and no
+language, and their rows are judged by all else. So there are at most MOST_LANGUAGES models of 128 KB, however many codes
+are declared. A row that declares a language of fewer than RARE rows is scored by what the other rows say of it, so that
+one mistaken declaration makes no language; if there are none, its text counts as one of no language does, and the
 declaration decides.
 """
 
@@ -26,6 +28,7 @@ from curatrix.llm.mixing import unit_hash
 
 PER_LANGUAGE = 1500
 RARE = 50
+MOST_LANGUAGES = 4096
 BITS = 15
 EFFECTIVE = 120.0  # a text counts as this many independent trigrams at most
 SMOOTH = 0.05
@@ -105,15 +108,23 @@ class Models:
         return out, n > 0
 
 
+def languages(rows: DataFrame) -> dict[str, int]:
+    """The declared codes of rows (lang) that count as languages, with their numbers of rows: at most MOST_LANGUAGES."""
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    enough = ((F.col("n") >= RARE) & (F.col("n") * MOST_LANGUAGES >= total)) | (F.col("n") * 100 >= total)
+    return {r.lang: r.n for r in sizes.where(enough).collect()}
+
+
 def fit(rows: DataFrame, key: Column, per_language: int = PER_LANGUAGE) -> Models:
     """rows: (text, lang) with lang the declared one; key: what decides the sample."""
     rows = rows.where("lang is not null and text is not null").select("text", "lang", key.alias("key"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = languages(rows)
     large = {k: n for k, n in sizes.items() if n > per_language}
-    some = rows
+    some = rows.where(F.col("lang").isin(list(sizes)))
     if large:
         share = F.create_map(*[F.lit(v) for k, n in sorted(large.items()) for v in (k, per_language / n)])
-        some = rows.where(unit_hash(F.col("key"), "fit") < F.coalesce(share[F.col("lang")], F.lit(1.0)))
+        some = some.where(unit_hash(F.col("key"), "fit") < F.coalesce(share[F.col("lang")], F.lit(1.0)))
     counts = some.select("text", "lang").mapInArrow(_tally, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counts["lang"]))
     at = {k: i for i, k in enumerate(langs)}
@@ -123,15 +134,18 @@ def fit(rows: DataFrame, key: Column, per_language: int = PER_LANGUAGE) -> Model
 
 
 def _likeliest(sent):
-    """By text alone: lid_host, lid_suffix, lid_declared and l, the number of the likeliest language."""
+    """By text alone: lid_host, lid_suffix, lid_declared and l, the number of the likeliest language. Declared codes that
+    are no language are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = sent.value
+        known = set(models.langs)
         for x in slices(batches):
             raw, declared = [t or b"" for t in x.column("lid_text").cast(pa.binary()).to_pylist()], x.column("lid_declared").to_pylist()
             best = [models.scores(raw[i:j], declared[i:j])[0].argmax(1) for i, j in pieces(raw)]
             l = pa.array(np.concatenate([np.zeros(0, np.int64), *best]).astype(np.int32))  # noqa: E741
-            yield pa.RecordBatch.from_arrays([*(x.column(k) for k in LEVELS), l], [*LEVELS, "l"])
+            said = pa.array([d if d in known else None for d in declared], pa.string())
+            yield pa.RecordBatch.from_arrays([x.column("lid_host"), x.column("lid_suffix"), said, l], [*LEVELS, "l"])
 
     return run
 
@@ -199,7 +213,7 @@ def identify(rows: DataFrame, text: Column, declared: Column, host: Column, suff
     """`rows` with lid_lang, the likeliest language ("und" if text of no language is likelier), lid_posterior and
     lid_keep: whether a language was found with a posterior of at least LEAST_POSTERIOR. Columns of these names are
     replaced; all others stay. text, declared, host and suffix are columns over `rows`; a null one is no evidence:
-    an empty or null text leaves the declaration and the priors, and such a row is not kept, since its text has no
+    so is a declared code of too few rows; an empty or null text leaves the declaration and the priors, and such a row is not kept, since its text has no
     language. Repeated rows get equal results, as do long and short texts of one make. No rows in, none out;
     without any declared language all rows are "und"."""
     rows = rows.drop("lid_lang", "lid_posterior", "lid_keep")
@@ -244,7 +258,7 @@ def known_documents(docs: DataFrame) -> DataFrame:
 
 def identify_pages(pages: DataFrame) -> DataFrame:
     """identify over pages: language of the markup, host and suffix of the address, text without tags."""
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)", " "), r"<[^>]*(?:>|\z)", " ")  # what has no end goes to that of the page: linear
     host = host_of(F.col("url"))
     return identify(pages, text, markup_language(F.col("html")), host, suffix_of(host), F.col("page_id"))
 
