@@ -15,8 +15,9 @@ at most one in a billion (with 31 differences two in a hundred thousand by each
 ever less beyond). At 0.9 or more, and under 0.75, no signature is left out.
 
 Sets that share signatures form clusters, usually of a few documents. Within a cluster all intersections are
-counted as products of 0/1 matrices. A cluster of more than BLOCK sets is dealt to a task per pair of blocks, of one
-size band or of neighbouring ones: other sizes can't be similar. Equal sets are one node throughout.
+counted as products of 0/1 matrices. A cluster of more than BLOCK sets or ELEMENTS elements is dealt to a task per pair
+of blocks, of one size band or of neighbouring ones: other sizes can't be similar. A block has about so many sets and
+elements at most, or a single larger set, so long texts don't fill a task. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from curatrix.llm.common import connected, joined, mixed, packs, paired, partiti
 from curatrix.llm.embeddings import forest
 
 BLOCK = 512
+ELEMENTS = 2 << 20
 FULL, MIDDLE, LARGE = 10, 30, 60
 _OTHER = np.uint64(0x5851F42D4C957F2D)  # makes the second family
 LEAST = 3
@@ -294,9 +296,10 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     shared = sent.repartitionById(n_part, "bucket").mapInArrow(_candidates, "a long, b long")
     clusters = connected(shared).withColumnRenamed("id", "s1").withColumnRenamed("component", "cluster")
     members = classes.join(clusters, "s1").withColumn("band", F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).cast("long"))
-    bands = members.groupBy("cluster", "band").agg(F.count("*").alias("m"))
-    whole = bands.groupBy("cluster").agg(F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("m") / BLOCK).alias("blocks")))).alias("blocks"))  # bands are as many as a set's size has places
-    whole = whole.select("cluster", F.when(F.col("m") > BLOCK, F.col("blocks")).alias("blocks"))
+    bands = members.groupBy("cluster", "band").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.least(F.col("size") / ELEMENTS, F.col("m"))))
+    whole = bands.groupBy("cluster").agg(F.sum("m").alias("m"), F.sum("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("band", blocks.alias("blocks")))).alias("blocks"))  # bands are as many as a set's size has places
+    whole = whole.select("cluster", F.when((F.col("m") > BLOCK) | (F.col("size") > ELEMENTS), F.col("blocks")).alias("blocks"))
     members = members.join(whole, "cluster").select(F.col("rep").alias("doc_id"), "cluster", "n_rows", "band", "blocks")
     placed = rows.join(members, "doc_id").withColumn("x", _block(F.col("band"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")[F.col("band")])))
     placed = placed.withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(_pair(F.lit(0), F.lit(0)))).otherwise(_partners(F.col("x"), F.col("band"), F.col("blocks")))))

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from curatrix.llm import embeddings, jaccard, substring, suffix
 from tests.llm.conftest import texts
@@ -109,9 +110,18 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     rows += [(100 + i, " ".join(base[: 40 + i % 20] + [f"y{i % 7}"])) for i in range(40)]  # sets of several size bands
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
-    for words, percent in ((3, 90), (5, 80)):
-        assert sorted(map(tuple, jaccard.jaccard_join(frame, words, percent).collect())) == sorted(brute_sets(rows, words, percent))
+    for name, limit in (("BLOCK", 16), ("ELEMENTS", 900)):
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, name, limit)
+            for words, percent in ((3, 90), (5, 80)):
+                assert sorted(map(tuple, jaccard.jaccard_join(frame, words, percent).collect())) == sorted(brute_sets(rows, words, percent))
+
+
+def test_jaccard_of_long_texts_in_one_cluster(spark):
+    """Texts of which few fill a block: near copies of several hundred thousand words each."""
+    rows = spark.range(8).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 300000), i -> concat('w', if(i % 50000 = id + 1, 'x', ''), i)))").alias("text"))
+    got = {r.doc_id: r for r in jaccard.jaccard_join(rows, 3, 90).collect()}
+    assert {r.component_id for r in got.values()} == {0} and {r.n_links for r in got.values()} == {7} and {r.n_shingles for r in got.values()} == {299998}
 
 
 def test_signatures_lose_no_pair():
