@@ -212,12 +212,12 @@ def a22_elementwise_max(get):
 
 
 @query("""WITH q AS (SELECT row_id, clip / n AS w, l1 / n AS x, clip_dir / n AS y, -0.5 / n AS z FROM (SELECT *, sqrt(clip * clip + l1 * l1 + clip_dir * clip_dir + 0.25) AS n FROM {scores}))
-    SELECT row_id, round(w, 6) AS w, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM q WHERE w > 0""")
+    SELECT row_id, round(-w, 6) + 0.0 AS w, round(-x, 6) + 0.0 AS x, round(-y, 6) + 0.0 AS y, round(-z, 6) + 0.0 AS z FROM q""")
 def f51_quaternions(get):
-    """Quaternions back from the matrices made of them."""
+    """Quaternions back from the matrices made of them; of the two of a matrix that whose z, never 0 here, is positive."""
     q = v.unit(F.array(C("clip"), C("l1"), C("clip_dir"), F.lit(-0.5)))
-    rows = get("scores").where("clip > 0").select("row_id", v.rotation(q).alias("m")).select("row_id", v.quaternion(C("m")).alias("q"))
-    return rows.select("row_id", *[R(C("q")[i]).alias(c) for i, c in enumerate("wxyz")])
+    rows = get("scores").select("row_id", v.rotation(q).alias("m")).select("row_id", v.quaternion(C("m")).alias("q"))
+    return rows.select("row_id", *[(R(C("q")[i] * F.signum(C("q")[3])) + 0.0).alias(c) for i, c in enumerate("wxyz")])
 
 
 @query("""WITH g AS (SELECT u, exp(-((u - 5) ** 2) / 4.5) AS w FROM (SELECT unnest(range(11)) AS u)), k AS (SELECT a.u AS u, b.u AS t, a.w * b.w / (SELECT sum(w) ** 2 FROM g) AS w FROM g a, g b),

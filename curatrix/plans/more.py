@@ -316,11 +316,11 @@ def j09_drawn_reference(get):
     return rows.join(get("nation"), C("key") == C("n_nationkey")).select("row_id", C("n_name").alias("reference"))
 
 
-@query("SELECT l_orderkey AS image_id, p_partkey AS point_id, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 20 GROUP BY 1, 2")
+@query("SELECT l_orderkey AS image_id, p_partkey AS point_id, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
 def j10_observations(get):
     """Images joined to the points that they see."""
     seen = get("lineitem").select(C("l_orderkey").alias("image_id"), C("l_partkey").alias("point_id"))
-    points = get("part").where("p_size < 20").select(C("p_partkey").alias("point_id"))
+    points = get("part").select(C("p_partkey").alias("point_id"))
     return seen.join(points, "point_id").groupBy("image_id", "point_id").agg(F.count("*").alias("n"))
 
 

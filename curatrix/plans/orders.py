@@ -61,10 +61,10 @@ def u09_sliced_by_sizes(get):
     return rows.select("row_id", F.array_join(F.transform("s", lambda x: F.array_join(x, " ")), " | ").alias("parts"), F.array_join(F.flatten("s"), " ").alias("whole"))
 
 
-@query("SELECT row_id, CASE WHEN edit_type = 'replace' THEN 'visual_reference' ELSE edit_type END AS edit_type, new_object IS NOT NULL AS had_object, concat('{\"name\":\"', edit_type, '\",\"text\":\"', edit, '\"}') AS j FROM {instr} WHERE edit NOT LIKE '%\"%'")
+@query("SELECT row_id, CASE WHEN edit_type = 'replace' THEN 'visual_reference' ELSE edit_type END AS edit_type, new_object IS NOT NULL AS had_object, to_json({'name': edit_type, 'text': edit})::VARCHAR AS j FROM {instr}")
 def f37_renamed_and_dropped(get):
     """Fields of nested records renamed and dropped."""
-    rows = get("instr").where("edit not like '%\"%'").select("row_id", F.struct("edit_type", "edit", "new_object").alias("r"))
+    rows = get("instr").select("row_id", F.struct("edit_type", "edit", "new_object").alias("r"))
     kind = F.when(C("r.edit_type") == "replace", "visual_reference").otherwise(C("r.edit_type"))
     rows = rows.withColumns({"edit_type": kind, "had_object": C("r.new_object").isNotNull()})
     bare = C("r").withField("name", C("r.edit_type")).withField("text", C("r.edit")).dropFields("edit_type", "edit", "new_object")
