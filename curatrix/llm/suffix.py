@@ -6,7 +6,7 @@ what STEP windows around one anchor have in common. Only windows whose core two
 third of all documents hold between different neighbours sends its shard no more than the few bytes beside it that
 are alike. Windows that follow each other share an anchor, so a run travels as one segment of text with its place.
 
-In a shard, segments come in batches. Each batch gets a suffix array (ranks by prefix doubling, up to `length`
+In a shard, segments come in batches, of a BATCHES-th of the shard or of batch_bytes if that is more. Each batch gets a suffix array (ranks by prefix doubling, up to `length`
 bytes) and is merge-scanned against the levels there are: the sorted windows of both meet by columns of eight bytes.
 Of equal windows the earliest place stays in the level, the other is marked and leaves the batch, so no window is in
 two levels; levels of about equal size merge. A segment that is there already needs no sorting: all its windows are
@@ -29,7 +29,8 @@ from curatrix.llm.common import INFO, among, bucketed, first_copies, mixed, once
 LENGTH = 100
 GRAM = 20
 STEP = 8
-BATCH_BYTES = 1 << 18
+BATCH_BYTES = 1 << 15
+BATCHES = 16
 _SPACE_BIT = np.uint64(1 << 63)
 ANCHORS, RUNS, CORES = 1, 2, 3  # kinds of INFO rows: shared anchors, marked runs, shared cores
 
@@ -322,6 +323,7 @@ def _shard(rows: list[tuple], length: int, batch_bytes: int) -> Iterator[tuple[n
     if runs:
         yield tuple(np.array(c, np.int64) for c in zip(*runs, strict=True))
     todo = [(t, whole[t][0]) for ts in anchors.values() if len(ts) > 1 for t in ts]
+    batch_bytes = max(batch_bytes, -(-sum(len(t) for t, _ in todo) // BATCHES))
     levels: list[_Level] = []
     marks: list[tuple[np.ndarray, np.ndarray]] = []
     again: list[tuple[bytes, tuple[int, int, int]]] = []

@@ -41,6 +41,28 @@ def test_substring(docs, n):
     assert sorted(got, key=str) == brute_words(texts(), n)
 
 
+def test_levels_are_scanned_and_merged(monkeypatch):
+    """A shard of usual size makes several batches; their levels are scanned and merge, and mark what brute force marks."""
+    rng, done = np.random.default_rng(4), {"scan": 0, "merged": 0}
+    for name in done:
+        def counted(self, other, name=name, work=getattr(suffix._Level, name)):
+            done[name] += 1
+            return work(self, other)
+
+        monkeypatch.setattr(suffix._Level, name, counted)
+    parts = [bytes(rng.integers(97, 101, 400, np.uint8)) for _ in range(60)]
+    texts = [b"".join(parts[k] for k in rng.integers(0, 60, 5)) + bytes(rng.integers(97, 123, 300, np.uint8)) for _ in range(150)]
+    order = rng.permutation(len(texts)).tolist()
+    number = lambda x, kind: np.array(x, kind).tobytes()
+    rows = [(number([k % 40 for k in some], np.uint64), number(some, np.int64), number([0] * len(some), np.int64), number([len(texts[k]) - 99 for k in some], np.int32), b"".join(texts[k] for k in some)) for some in (order[:70], order[70:])]
+    got = {(d, s + i) for runs in suffix._shard(rows, 100, suffix.BATCH_BYTES) for d, s, n in zip(*(x.tolist() for x in runs), strict=True) for i in range(n)}
+    seen, want = set(), set()
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 99):
+            (want.add((d, i)) if t[i : i + 100] in seen else seen.add(t[i : i + 100]))
+    assert got == want and done["merged"] >= 5 and done["scan"] >= 10
+
+
 def test_levels():
     assert substring.levels_for(13) == [7, 13] and substring.levels_for(1) == [1] and substring.levels_for(50) == [7, 13, 25, 50]
 
