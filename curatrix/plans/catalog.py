@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from curatrix.plans import base, captions, files, masks, more, orders, records, scans, tables  # noqa: F401  they register their queries
+from curatrix.plans import base, captions, files, masks, more, orders, records, scans, sinks, tables  # noqa: F401  they register their queries
 
 FLAGSHIP = "f29_f37_post_thresholds"
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.functions.sampling import pick
 from curatrix.sources.chunks import read_json
+from curatrix.sources.record_files import file_system
 
 #: The superset of the fields that producers write; a field that a row lacks reads as null.
 RECORD = (
@@ -206,6 +209,22 @@ def write_mask_runs(masks: DataFrame, path: str, mode: str = "errorifexists") ->
     masks.select("image", "id", size.alias("segmentation")).write.mode(mode).partitionBy("image").json(path)
 
 
+def write_named(files: DataFrame, path: str) -> int:
+    """Each row of files (name, text) as a file of that name in the folder `path`; how many there are. A task that runs
+    again writes the same."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(path)
+        fs.create_dir(root, recursive=True)
+        for x in batches:
+            for name, text in zip(x.column("name").to_pylist(), x.column("text").to_pylist(), strict=True):
+                with fs.open_output_stream(f"{root}/{name}") as out:
+                    out.write((text or "").encode())
+            yield x.select(["name"])
+
+    return files.select("name", "text").mapInArrow(put, "name string").count()
+
+
 def write_csv(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).option("header", True).csv(path)
 
