@@ -64,7 +64,7 @@ def s06_named_records(get):
 @query("SELECT 'p/' || p_name AS item, (p_partkey - 1) % 100 AS pos FROM part WHERE (p_partkey - 1) % 100 >= 5 AND (p_partkey - 1) % 100 < 45")
 def s21_list_slices(get):
     rows = get("part").select(F.floor((C("p_partkey") - 1) / 100).alias("model"), "p_partkey", "p_name")
-    return records.list_of(_files(rows, "model", "p_name", tail="\n"), "p/", 5, 40).select("item", C("pos").cast("long").alias("pos"))
+    return records.read_list(get.spark, _text_files(_files(rows, "model", "p_name")), "p/", 5, 40).select("item", "pos")
 
 
 _number = lambda c: C(c).cast("double")

@@ -198,7 +198,28 @@ def read_json(spark: SparkSession, path: str, schema: str, array: bool | None =
     return spark.createDataFrame([], schema) if out is None else out
 
 
-# --------------------------------------------------------------------------- records of two lines
+# --------------------------------------------------------------------------- lines and records of two lines
+
+
+def _with_lines_before(rows: DataFrame) -> DataFrame:
+    """pieces() that are lines with `before`: how many the splits of their file before theirs have."""
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over the splits of a file
+    counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    return _starts(rows, counts.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), ["file", "block"])
+
+
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now = None
+    for (file, _, before), values, last in _runs(batches, "before"):
+        now = before if now is None else now
+        yield pa.RecordBatch.from_arrays([pa.array([file] * len(values), pa.string()), pa.array(range(now, now + len(values)), pa.int64()), pa.array(values, pa.string())], ["file", "pos", "line"])
+        now = None if last else now + len(values)
+
+
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, pos, line): the lines of files, without their ends, by their number from 0 on."""
+    rows = pieces(spark, paths, "\n").withColumn("value", F.rtrim("value", F.lit("\r")))
+    return _with_lines_before(rows).mapInArrow(_positions, "file string, pos long, line string")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +248,4 @@ def line_pairs(spark: SparkSession, paths: str | list[str], comment: Column) ->
     """(text): two lines of a file at a time, with a line feed between them, after those that `comment` holds for (over
     value) are left out. A last line alone is a text without line feed."""
     rows = pieces(spark, paths, "\n").withColumn("value", F.rtrim("value", F.lit("\r"))).where(~comment)
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over the splits of a file
-    counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
-    before = counts.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return _joined(_starts(rows, before, ["file", "block"]).mapInArrow(_pairs, FOUND))
+    return _joined(_with_lines_before(rows).mapInArrow(_pairs, FOUND))

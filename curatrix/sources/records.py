@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.functions.sampling import pick
-from curatrix.sources.chunks import read_json
+from curatrix.sources.chunks import numbered_lines, read_json
 from curatrix.sources.record_files import file_system
 
 #: The superset of the fields that producers write; a field that a row lacks reads as null.
@@ -88,16 +88,10 @@ def read_split_column(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_list(spark: SparkSession, path: str, prefix: str = "", offset: int = 0, most: int | None = None) -> DataFrame:
-    """list_of() a text file."""
-    return list_of(spark.read.text(path, wholetext=True), prefix, offset, most)
-
-
-def list_of(files: DataFrame, prefix: str = "", offset: int = 0, most: int | None = None) -> DataFrame:
-    """(pos, item) of the texts of files (value) of one item a line, from `offset` on."""
-    lines = files.select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("pos", "line"))
-    rows = lines.where(F.col("pos") >= offset)
+    """(pos, item) of text files of one item a line, from line `offset` of each on, and at most so many."""
+    rows = numbered_lines(spark, path).where(F.col("pos") >= offset)
     rows = rows if most is None else rows.where(F.col("pos") < offset + most)
-    return rows.select("pos", F.concat(F.lit(prefix), F.rtrim("line", F.lit("\r"))).alias("item"))
+    return rows.select("pos", F.concat(F.lit(prefix), "line").alias("item"))
 
 
 def read_dict(spark: SparkSession, path: str) -> DataFrame:

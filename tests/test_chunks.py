@@ -97,3 +97,13 @@ def test_two_line_records_in_splits(spark, tmp_path, splits):
     assert {r.image_id: len(r.xys) for r in got} == {k: k % 4 for k in range(60)}
     splits(30)
     assert chunks.line_pairs(spark, str(tmp_path / "images.txt"), F.startswith("value", F.lit("#"))).count() >= 60
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path, splits):
+    for name, n in (("a.txt", 50), ("b.txt", 3)):
+        (tmp_path / name).write_bytes("".join(f"{name} é{i}" + "\r\n" * (i % 3) + "\n" for i in range(n)).encode())
+    splits(60)
+    got = {(r.file.rsplit("/", 1)[1], r.pos): r.line for r in chunks.numbered_lines(spark, str(tmp_path)).collect()}
+    want = {(name, k): line for name in ("a.txt", "b.txt") for k, line in enumerate((tmp_path / name).read_bytes().decode().replace("\r\n", "\n").split("\n")[:-1])}
+    assert got == want
+    assert [r.item for r in records.read_list(spark, str(tmp_path / "b.txt"), "p/", 1, 2).orderBy("pos").collect()] == ["p/" + want["b.txt", 1], "p/" + want["b.txt", 2]]
