@@ -5,13 +5,13 @@ markup declares; the suffix of the address; and the host. Priors are smoothed in
 rows, address suffix, host. They are counts, by grouped aggregation over all rows, of the languages that the text
 alone points to; so is the table of how often which language is declared for which.
 
-The trigram models are fitted to a sample of rows by declared language, of about PER_LANGUAGE rows each. A declared code,
-region and script subtags aside, is a language if RARE rows and one row in MOST_LANGUAGES declare it, or one in a hundred,
-and any of its rows has text with letters. Codes of fewer rows are page data of any number: they are no evidence and no
-language, and their rows are judged by all else. So there are at most MOST_LANGUAGES models of 128 KB, however many codes
-are declared. A row that declares a language of fewer than RARE rows is scored by what the other rows say of it, so that
-one mistaken declaration makes no language; if there are none, its text counts as one of no language does, and the
-declaration decides.
+The trigram models are fitted to a sample of rows by declared language, of about PER_LANGUAGE rows each. Declared codes,
+region and script subtags aside, are languages if any of their rows has text with letters; but where there are more than
+MOST_LANGUAGES, only those of at least as many rows as keeps them to that number. Codes of fewer rows are page data of any
+number then: no evidence and no language, and their rows are judged by all else. So models take at most 128 KB times
+MOST_LANGUAGES, however many codes are declared. A row that declares a language of fewer than RARE rows is scored by what
+the other rows say of it, so that one mistaken declaration makes no language; if there are none, its text counts as one of
+no language does, and the declaration decides.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import SLICE, pieces, slices, written
@@ -28,7 +28,7 @@ from curatrix.llm.mixing import unit_hash
 
 PER_LANGUAGE = 1500
 RARE = 50
-MOST_LANGUAGES = 4096
+MOST_LANGUAGES = 1024
 BITS = 15
 EFFECTIVE = 120.0  # a text counts as this many independent trigrams at most
 SMOOTH = 0.05
@@ -109,11 +109,13 @@ class Models:
 
 
 def languages(rows: DataFrame) -> dict[str, int]:
-    """The declared codes of rows (lang) that count as languages, with their numbers of rows: at most MOST_LANGUAGES."""
+    """The declared codes of rows (lang) that count as languages, with their numbers of rows: all, or those of the least
+    number of rows that no more than MOST_LANGUAGES codes have or exceed."""
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    enough = ((F.col("n") >= RARE) & (F.col("n") * MOST_LANGUAGES >= total)) | (F.col("n") * 100 >= total)
-    return {r.lang: r.n for r in sizes.where(enough).collect()}
+    so_far = F.sum("codes").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
+    steps = sizes.groupBy("n").agg(F.count("*").alias("codes")).withColumn("so_far", so_far)  # a row for each number of rows that codes have
+    least = steps.where(F.col("so_far") <= MOST_LANGUAGES).agg(F.min("n")).first()[0]
+    return {} if least is None else {r.lang: r.n for r in sizes.where(F.col("n") >= least).collect()}
 
 
 def fit(rows: DataFrame, key: Column, per_language: int = PER_LANGUAGE) -> Models:

@@ -33,8 +33,7 @@ def grams(text):
 def brute(rows):
     declared = [d.split("-")[0].split("_")[0].lower() if d else None for _, d, _, _ in rows]
     said = [d for d, (t, *_) in zip(declared, rows, strict=True) if d is not None and t is not None]
-    langs = sorted({d for d in said if (said.count(d) >= 50 and said.count(d) * 4096 >= len(said)) or said.count(d) * 100 >= len(said)})
-    langs = [k for k in langs if any(d == k and grams(t) for d, (t, *_) in zip(declared, rows, strict=True) if t)]
+    langs = [k for k in sorted(set(said)) if any(d == k and grams(t) for d, (t, *_) in zip(declared, rows, strict=True) if t)]
     counts = {k: np.zeros(1 << lid.BITS) for k in [*langs, "und"]}
     for d, (t, *_) in zip(declared, rows, strict=True):
         if d in langs and t is not None:
@@ -89,6 +88,14 @@ def found(df):
     return {r.i: r for r in lid.identify(df, *(F.col(c) for c in "tdhsi")).collect()}
 
 
+def test_languages_of_enough_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"c{k}",) for k in range(10) for _ in range(1 + k // 3)], "lang string")
+    for most, least in ((10, 1), (9, 2), (7, 2), (6, 3), (3, 4), (1, 4)):
+        monkeypatch.setattr(lid, "MOST_LANGUAGES", most)
+        assert lid.languages(rows) == {f"c{k}": 1 + k // 3 for k in range(10) if 1 + k // 3 >= least}
+    assert lid.languages(rows.limit(0)) == {}
+
+
 def test_priors_and_fusion(spark):
     rows = rows_of()
     got = found(frame(spark, rows))
