@@ -6,7 +6,7 @@ characters to tags, smoothed by a Gaussian over the lines of a region, fall into
 within them is least. Menus, footers and the like have lines too: they are never content, but show the clusters what
 boilerplate looks like on this page. A region is content if lines of the upper cluster hold most of its characters, and
 is returned with all its lines, so that short paragraphs and headings stay; lines of an article or main part count as a
-little denser. What is a menu, header, footer, sidebar, notice, advert, form, script or style by its tag or role is never
+little denser, and such a part that holds most of the text is content though it be a list of short lines. What is a menu, header, footer, sidebar, notice, advert, form, script or style by its tag or role is never
 content. What is one, or comments, by its class or id only is none either, unless it wraps the page: it holds most of the
 text, and with it a main part or first heading, or nearly all of the text. Names that content bears too (WEAK) leave it
 to the ratios: such an element of an article is a region of its own.
@@ -315,10 +315,10 @@ def densities(lines: list[tuple[str, int, int]]) -> list[float]:
     return out
 
 
-def content_regions(lines: list[tuple[str, int, int]], shown: list[bool], marked: set[int]) -> set[int]:
-    """The regions most of whose shown characters stand in lines of the upper cluster of all lines' densities; if there
-    is none, that with the most of them, then the largest, then the first. Lines of `marked` regions count as MARKED
-    times as dense."""
+def content_regions(lines: list[tuple[str, int, int]], shown: list[bool], marked: set[int], whole: set[int]) -> set[int]:
+    """The regions most of whose shown characters stand in lines of the upper cluster of all lines' densities, and one of
+    `whole` with most of the shown characters; if there is none, that with the most dense ones, then the largest, then the
+    first. Lines of `marked` regions count as MARKED times as dense."""
     density = densities(lines)
     cut = threshold(density)
     size: dict[int, int] = {}
@@ -327,7 +327,8 @@ def content_regions(lines: list[tuple[str, int, int]], shown: list[bool], marked
         if use:
             size[r] = size.get(r, 0) + len(t)
             dense[r] = dense.get(r, 0) + len(t) * (v + (math.log(MARKED) if r in marked else 0) >= cut)
-    return {r for r in size if 2 * dense[r] >= size[r]} or {max(size, key=lambda r: (dense[r], size[r], -r))}
+    total = sum(size.values())
+    return {r for r in size if 2 * dense[r] >= size[r] or (r in whole and size[r] > MOST * total)} or {max(size, key=lambda r: (dense[r], size[r], -r))}
 
 
 def main_text(html: str | None) -> str:
@@ -338,8 +339,9 @@ def main_text(html: str | None) -> str:
     shown = _shown(lines, events)
     if not any(shown):
         return ""
-    marked = {i for i, x in enumerate(events.regions) if x in ("article", "main", "named")}
-    keep = content_regions(lines, shown, marked)
+    whole = {i for i, x in enumerate(events.regions) if x in ("article", "main")}
+    marked = whole | {i for i, x in enumerate(events.regions) if x == "named"}
+    keep = content_regions(lines, shown, marked, whole)
     return "\n".join(t for (t, _, r), use in zip(lines, shown, strict=True) if use and r in keep)
 
 
