@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.sources.shared import shared_path
+
 MOST_BYTES = 16 << 20  # of keywords that a broadcast automaton may hold
 
 Trie = dict
@@ -72,12 +76,38 @@ def first_keyword(rows: DataFrame, text: str, keywords: DataFrame, most_bytes: i
     return out.drop("keyword").join(names, out["first_ord"] == names["of_ord"], "left").drop("first_ord", "of_ord").withColumn("keyword", F.initcap("keyword"))
 
 
-def with_lexicon(rows: DataFrame, key: str, words: Column, lexicon: DataFrame, value: str, name: str) -> DataFrame:
+def _maps_by_lookup(rows: DataFrame, words: Column, known: DataFrame, value: str, name: str, kind: str) -> DataFrame:
+    table = known.toArrow()
+    sent = rows.sparkSession.sparkContext.broadcast((table["word"].combine_chunks(), table[value].combine_chunks()))
+
+    def run(lists: pa.Array) -> pa.Array:
+        keys, values = sent.value
+        at = pc.index_in(lists.flatten(), value_set=keys.cast(pa.string()))
+        ends = np.concatenate(([0], np.cumsum(pc.coalesce(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+        kept = np.concatenate(([0], np.cumsum(at.is_valid().to_numpy(zero_copy_only=False))))[ends]
+        at = at.drop_null()
+        return pa.MapArray.from_arrays(pa.array(kept.astype(np.int32)), keys.take(at), values.take(at))
+
+    return rows.withColumn(name, F.arrow_udf(run, f"map<string, {kind}>")(F.array_compact(F.array_distinct(words))))
+
+
+def _maps_by_join(rows: DataFrame, key: str, said: DataFrame, known: DataFrame, value: str, name: str, kind: str) -> DataFrame:
+    """Rows are larger than the files that they come from let Spark guess, so no side that has one for each is broadcast."""
+    found = said.distinct().join(known.hint("merge"), "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", value))).alias(name))
+    return rows.join(found.hint("merge"), key, "left").withColumn(name, F.coalesce(name, F.expr(f"cast(map() as map<string, {kind}>)")))
+
+
+def with_lexicon(rows: DataFrame, key: str, words: Column, lexicon: DataFrame, value: str, name: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """rows with a map `name` from those of their words, an array, that `lexicon` (word and others) has to its `value`.
-    Words and lexicon meet in a join on the word, after the words of all rows are made distinct, so a word that every row
-    has crosses once; Spark broadcasts the lexicon where it is small. `key` tells rows apart; a null `value` is none."""
-    said = rows.select(key, F.explode(F.array_distinct(words)).alias("word"))
-    known = said.select("word").distinct().join(lexicon.select("word", value).where(F.col(value).isNotNull()).dropDuplicates(["word"]), "word")
-    found = said.join(known, "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", value))).alias(name))
+    What the lexicon has of the distinct words of all rows is broadcast if its words are at most most_bytes; then rows
+    don't travel. Else words and lexicon meet in a join on the word. `key` tells rows apart; a null `value` is none."""
+    said = rows.select(key, F.explode_outer(words).alias("word"))  # outer, or Spark makes the words twice, to drop empty lists first
+    known = said.select("word").distinct().join(lexicon.select("word", value).where(F.col(value).isNotNull()).dropDuplicates(["word"]).hint("merge"), "word")
+    path = shared_path(rows.sparkSession, "known")
+    known.write.parquet(path)
+    known = rows.sparkSession.read.schema(known.schema).parquet(path)
     kind = lexicon.schema[value].dataType.simpleString()
-    return rows.join(found, key, "left").withColumn(name, F.coalesce(name, F.expr(f"cast(map() as map<string, {kind}>)")))
+    size = known.agg(F.coalesce(F.sum(F.octet_length("word") + F.octet_length(F.col(value).cast("string"))), F.lit(0)).alias("n")).first().n
+    if size <= most_bytes:
+        return _maps_by_lookup(rows, words, known, value, name, kind)
+    return _maps_by_join(rows, key, said, known, value, name, kind)

@@ -3,11 +3,13 @@ DuckDB both read, so that a query and its oracle start from equal rows."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+NARROW_BYTES, WIDE_BYTES = 1 << 18, 16 << 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -57,10 +59,19 @@ SHAPES = {
 }
 
 
-def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in parts of about NARROW_BYTES of their files, as many as the session's shuffle partitions; more if these
+    were larger than WIDE_BYTES."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if hasattr(rows, "_jdf") else parts * NARROW_BYTES
+    n = max(min(parts, math.ceil(size / NARROW_BYTES)), math.ceil(size / WIDE_BYTES))
+    return rows.repartition(n) if n > 1 else rows
+
+
+def shape(spark: SparkSession, sf_dir: str, name: str, dealt: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     text = SHAPES[name]
     table = text.rsplit("FROM ", 1)[1].split()[0]
-    return spark.sql(text.replace(f"FROM {table}", "FROM {src}"), src=table_of(spark, sf_dir, table))
+    return spark.sql(text.replace(f"FROM {table}", "FROM {src}"), src=dealt(table_of(spark, sf_dir, table)))
 
 
 def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +83,12 @@ class Tables:
     spark: SparkSession
     sf_dir: str
 
+    def spread(self, name: str) -> DataFrame:
+        """The table or shape dealt over more tasks than its few groups of rows make, for work that is long by row."""
+        if name not in SHAPES:
+            return spread(self(name))
+        return shape(self.spark, self.sf_dir, name, spread)
+
     def __call__(self, name: str) -> DataFrame:
         return (shape if name in SHAPES else table_of)(self.spark, self.sf_dir, name)
 

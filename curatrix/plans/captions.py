@@ -20,7 +20,7 @@ _LEXICON = f"""(SELECT word, regexp_replace(word, '(ning|ping|ting|ing|s)$', '')
 
 
 def _lexicon(get):
-    word = get("acts").select(F.explode(F.split(F.regexp_replace(F.concat_ws(" ", "input", "output", "edit", "new_object"), "[.,]", ""), " ")).alias("word")).distinct()
+    word = get.spread("acts").select(F.explode_outer(F.split(F.regexp_replace(F.concat_ws(" ", "input", "output", "edit", "new_object"), "[.,]", ""), " ")).alias("word")).distinct()
     h = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % 5
     return word.select("word", F.regexp_replace("word", "(ning|ping|ting|ing|s)$", "").alias("lemma"), F.when(h == 0, "ADJ").when(h <= 2, "NOUN").otherwise("VERB").alias("pos"))
 
@@ -81,7 +81,7 @@ def f10_p21_action_cut(get):
     """Verbs by a lexicon, of which each row gets its own words."""
     kept, said, output = r.action_cut(C("edit"), C("input"), C("output"), C("verbs"))
     words = F.split(F.regexp_replace(F.concat_ws(" ", "input", "output", "edit"), "[.,]", ""), " ")
-    return keywords.with_lexicon(get("acts"), "row_id", words, _lexicon(get).where("pos = 'VERB'"), "lemma", "verbs").select("row_id", kept.alias("kept"), said.alias("input"), output.alias("output"))
+    return keywords.with_lexicon(get.spread("acts"), "row_id", words, _lexicon(get).where("pos = 'VERB'"), "lemma", "verbs").select("row_id", kept.alias("kept"), said.alias("input"), output.alias("output"))
 
 
 @query(f"""WITH w AS (SELECT row_id, {_entries('lemma')} AS m, string_split(new_object, ' ')[-1] AS w FROM {{acts}}), l AS (SELECT row_id, unnest([w, coalesce(m[w], w)]) AS w FROM w)
@@ -89,14 +89,14 @@ def f10_p21_action_cut(get):
 def f09_replace_words(get):
     """Objects whose last word, and its lemma, name no human."""
     last = t.last_word(C("new_object"))
-    rows = keywords.with_lexicon(get("acts"), "row_id", F.array(last), _lexicon(get), "lemma", "lemmas")
+    rows = keywords.with_lexicon(get.spread("acts"), "row_id", F.array(last), _lexicon(get), "lemma", "lemmas")
     return rows.where(r.passes(r.replace_words(C("lemmas")[last]))).select("row_id")
 
 
 @query(f"""SELECT row_id FROM (SELECT row_id, edit_type, {_entries('pos')} AS m, string_split(trim(input, '.'), ' ') AS w FROM {{acts}})
     WHERE len(list_filter(w, lambda x: coalesce(m[x], '') = CASE WHEN edit_type = 'action_change' THEN 'VERB' ELSE 'NOUN' END)) > 0""")
 def f13_nouns_and_verbs(get):
-    rows = keywords.with_lexicon(get("acts"), "row_id", t.words(t.strip(C("input"), ".")), _lexicon(get), "pos", "tags")
+    rows = keywords.with_lexicon(get.spread("acts"), "row_id", t.words(t.strip(C("input"), ".")), _lexicon(get), "pos", "tags")
     return rows.where(r.named_parts(C("edit_type"), C("input"), C("tags"))).select("row_id")
 
 

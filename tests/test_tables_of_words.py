@@ -36,6 +36,18 @@ def test_with_lexicon(spark):
     assert got == {1: {"a": "A"}, 2: {}, 3: {}, 4: {"z": "Z"}}
 
 
+def test_with_lexicon_by_lookup_and_by_join(spark):
+    rng = random.Random(9)
+    lists = {k: None if k % 11 == 0 else [rng.choice(["a", "b", "c", "d", "", None]) for _ in range(rng.randint(0, 6))] for k in range(200)}
+    rows = spark.createDataFrame(list(lists.items()), "k int, w array<string>").repartition(3)
+    lexicon = spark.createDataFrame([("a", 1), ("b", None), ("", 3), ("d", 4), (None, 5)], "word string, n long")
+    want = {k: {w: n for w, n in (("a", 1), ("", 3), ("d", 4)) if w in (ws or ())} for k, ws in lists.items()}
+    for limit in (1 << 20, 0):
+        assert {r.k: r.m for r in kw.with_lexicon(rows, "k", F.col("w"), lexicon, "n", "m", limit).collect()} == want
+    assert kw.with_lexicon(rows, "k", F.col("w"), lexicon.limit(0), "n", "m").where("size(m) > 0").isEmpty()
+    assert kw.with_lexicon(rows.limit(0), "k", F.col("w"), lexicon, "n", "m").isEmpty()
+
+
 def test_sessions_of_any_length(spark):
     turns = [(s, k, f"t{k}" if (s * 7 + k) % 13 else None) for s in range(12) for k in range(s * 3)]
     random.Random(1).shuffle(turns)
