@@ -48,6 +48,14 @@ def test_with_lexicon_by_lookup_and_by_join(spark):
     assert kw.with_lexicon(rows.limit(0), "k", F.col("w"), lexicon, "n", "m").isEmpty()
 
 
+def test_rows_are_not_broadcast_for_a_lexicon(spark):
+    rows = spark.range(50).selectExpr("id AS k", "array('a', 'b') AS w")
+    lexicon = spark.createDataFrame([("a", 1)], "word string, n long")
+    for limit in (1 << 20, 0):
+        plan = kw.with_lexicon(rows, "k", F.col("w"), lexicon, "n", "m", limit)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+
+
 def test_sessions_of_any_length(spark):
     turns = [(s, k, f"t{k}" if (s * 7 + k) % 13 else None) for s in range(12) for k in range(s * 3)]
     random.Random(1).shuffle(turns)
