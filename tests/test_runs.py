@@ -107,3 +107,35 @@ def test_merged(spark, monkeypatch):
             assert (grid_of(got[n], 6, 7) == np.any([g for x, g in some if x == n], axis=0)).all()
         assert len(got) == 6
     assert vision.merged_masks(frame.limit(0), "name").count() == 0
+
+
+def test_batches_of_masks(spark):
+    """Masks of several sizes in one batch, with nulls, empty lists and images too large to lie end to end, against each alone."""
+    some = [(k, *g.shape, coded(g), k % 3) for k, g in enumerate(grids())] * 4 + [(-1, 3, 3, None, 1), (-2, 2, 2, [], 1)] + [(-3, 1 << 57, 8, [5, 7, (1 << 60) - 12], 1)] * 9
+    frame = spark.createDataFrame(some, "k int, h long, w int, a array<long>, r int").coalesce(1)
+    a, h, w, r = map(F.col, "ahwr")
+    got = frame.select("*", runs.dilation(a, h, w, r, True).alias("d"), runs.erosion(a, h, w, r).alias("e"), runs.difference(a, runs.erosion(a, h, w, r)).alias("x")).collect()
+    assert len(got) == len(some)
+    for g in got:
+        if g.a is None:
+            assert g.d is None and g.e is None and g.x is None
+            continue
+        s, size = runs.spans_of(np.array(g.a, np.int64)), g.h * g.w
+        assert g.d == runs.counts_of(runs.dilated(s, g.h, g.w, g.r, True), size).tolist()
+        thin = runs.eroded(s, g.h, g.w, g.r)
+        assert g.e == runs.counts_of(thin, size).tolist()
+        assert g.x == runs.counts_of(runs.combined(s, thin, lambda p, q: p & ~q), max(sum(g.a), size)).tolist()
+
+
+def test_a_batch_is_worked_on_at_once(spark, monkeypatch):
+    frame = spark.createDataFrame([([3, 2, 4],)] * 50, "a array<long>").coalesce(1)
+    plain = runs.united
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(*spans):
+        calls.add(1)
+        return plain(*spans)
+
+    monkeypatch.setattr(runs, "united", counted)
+    assert frame.select(runs._batch(lambda step, m, a: counted(*a), lambda pixels: pixels[0], 1)(F.col("a")).alias("n")).distinct().collect()[0].n == [3, 2, 4]
+    assert calls.value < 50
