@@ -30,6 +30,16 @@ def spans_of(counts: np.ndarray) -> Spans:
     return united(start, end)
 
 
+def laid_out(values: np.ndarray, n: np.ndarray, step: int, on: bool = True) -> Spans:
+    """Where the runs that are on, or off, begin and end, of masks whose run lengths follow each other in values, n of
+    them each; mask k begins at k * step."""
+    first, ends = np.cumsum(n) - n, np.cumsum(values)
+    k = np.repeat(np.arange(len(n)), n)
+    use = (np.arange(len(values)) - first[k]) % 2 == int(on)
+    end = (ends - np.append(0, ends)[first][k] + k * step)[use]
+    return united(end - values[use], end)
+
+
 def united(start: np.ndarray, end: np.ndarray) -> Spans:
     """The union of spans in any order, which may overlap or touch."""
     use = end > start
@@ -174,12 +184,7 @@ def _batch(work: Callable[..., Spans], size: Callable[..., np.ndarray | int], ma
             cut = m // 2
             halves = ([(v[: n[:cut].sum()], n[:cut]) for v, n in lists], [(v[n[:cut].sum() :], n[cut:]) for v, n in lists])
             return tuple(map(np.concatenate, zip(*(some(x, numbers) for x in halves), strict=True)))
-        spans = []
-        for (v, n), e, b in zip(lists, ends, before, strict=True):
-            k = np.repeat(np.arange(m), n)
-            on = (np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)) % 2 == 1
-            end = (e - b[k] + k * step)[on]
-            spans.append(united(end - v[on], end))
+        spans = [laid_out(v, n, step) for v, n in lists]
         return lists_of(work(step, m, *spans, *numbers), sizes, step)
 
     def run(*cols: pa.Array) -> pa.Array:

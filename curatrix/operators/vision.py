@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,56 +132,66 @@ def merged_masks(masks: DataFrame, group: str) -> DataFrame:
     return part.repartition(group).sortWithinPartitions(group).mapInArrow(unite, schema)
 
 
-def _runs(counts: np.ndarray, h: int, on: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(column, first row, row after the last) of the runs, cut at columns, of a mask's pixels that are on, or off."""
-    ends = np.cumsum(counts)
-    start, stop = (ends - counts)[int(on) :: 2], ends[int(on) :: 2]
-    start, stop = start[stop > start], stop[stop > start]
-    apart = start[1:] != stop[:-1]  # an empty run between two cuts nothing
-    start, stop = start[np.append(True, apart)[: len(start)]], stop[np.append(apart, True)[: len(stop)]]
-    first, last = start // h, (stop - 1) // h
-    n = last - first + 1
-    col = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return col, np.maximum(np.repeat(start, n) - col * h, 0), np.minimum(np.repeat(stop, n) - col * h, h)
-
-
-def _labels(col: np.ndarray, top: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The number of the component of each run: runs of neighbouring columns touch by sides or corners."""
-    parent = np.arange(len(col))
-    at = np.searchsorted(col, np.arange(col.max(initial=-1) + 3))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i in range(len(col)):
-        a, z = at[col[i] + 1], at[col[i] + 2]
-        a += np.searchsorted(end[a:z], top[i])  # the first run of the next column that reaches as far as the row above this one
-        while a < z and top[a] <= end[i]:
-            x, y = root(i), root(a)
-            parent[max(x, y)] = min(x, y)
-            a += 1
-    return np.array([root(i) for i in range(len(col))], np.int64)
-
-
-def _by_mask(masks: DataFrame, schema: str, work: Callable[[np.ndarray, int], list[tuple]]) -> DataFrame:
-    """(id, ...) rows that `work` makes of the run lengths and the height of each mask (id, h, counts); an image is a
-    row, so a task holds a batch of them."""
+def _labels(col: np.ndarray, top: np.ndarray, end: np.ndarray, h: int) -> np.ndarray:
+    """The number of the first run of the component of each run, sorted by column and row: runs of neighbouring columns
+    touch by sides or corners."""
+    label = np.arange(len(col))
+    low = np.searchsorted(col * (h + 1) + end, (col + 1) * (h + 1) + top)  # the first of the next column that reaches as far as the row above this one
+    n = np.maximum(np.searchsorted(col * (h + 1) + top, (col + 1) * (h + 1) + end, "right") - low, 0)
+    a = np.repeat(label, n)
+    b = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+@dataclass
+class _Parts:
+    """The components of the masks of a batch: col, top, end, mask of each run, and the number of its component, by which
+    first (its first run), of (its mask) and area go."""
+
+    values: np.ndarray
+    n: np.ndarray
+    h: int
+    on: bool
+
+    def __post_init__(self) -> None:
+        ends = np.append(0, np.cumsum(self.values))
+        self.sizes = ends[np.cumsum(self.n)] - ends[np.cumsum(self.n) - self.n]
+        self.step = int(self.sizes.max(initial=0)) + 1
+        self.col, self.top, self.end, self.mask = runs.columns_of(runs.laid_out(self.values, self.n, self.step, self.on), self.h, self.step)
+        label = _labels(self.col + self.mask * (self.step // self.h + 3), self.top, self.end, self.h)
+        self.first, self.part = np.unique(label, return_inverse=True)
+        self.of = self.mask[self.first]
+        self.area = np.bincount(self.part, self.end - self.top, len(self.first)).astype(np.int64)
+
+
+def _by_mask(masks: DataFrame, schema: str, on: bool, work: Callable[[_Parts], tuple[np.ndarray, list[pa.Array]]]) -> DataFrame:
+    """(id, ...) rows that `work` makes, as numbers of masks and columns, of the components of masks (id, h, counts). Those
+    of one height of a batch are worked on at once."""
     kind = masks.schema["id"].dataType.simpleString()
     names = ["id", *[c.split()[0] for c in schema.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            ids, out = [], []
-            for i, h, counts in zip(*(x.column(c).to_pylist() for c in ("id", "h", "counts")), strict=True):
-                got = work(np.array(counts or [], np.int64), h)
-                ids += [i] * len(got)
-                out += got
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_pydict(dict(zip(names, [pa.array(ids, x.column("id").type), *map(pa.array, cols)], strict=True)))
+            tall = x.column("h").to_numpy(zero_copy_only=False)
+            for h in np.unique(tall).tolist():
+                y = x.take(pa.array(np.flatnonzero(tall == h)))
+                n = pc.coalesce(pc.list_value_length(y.column("counts")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                values = y.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.append(0, np.cumsum(n))
+                largest = max((int(values[ends[i] : ends[i + 1]].sum()) for i in range(len(n))), default=0) if len(values) and values.max() > 1 << 30 else int(values.sum())
+                many = max(1, (1 << 60) // (largest + 4 * h + 4))
+                for at in range(0, len(n), many):
+                    part = n[at : at + many]
+                    rows, columns = work(_Parts(values[ends[at] : ends[at + len(part)]], part, int(h), on))
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays([y.column("id").take(pa.array(rows + at)), *columns], names)
 
     return masks.select("id", "h", "counts").mapInArrow(run, f"id {kind}, {schema}")
 
@@ -188,35 +200,37 @@ def components(masks: DataFrame, on: bool = True) -> DataFrame:
     """(id, component, area) of the connected parts, by sides and corners, of the pixels that are on, or off, of
     column-major run-length masks (id, h, counts). component: the position of its first pixel. Empty masks have none."""
 
-    def work(counts: np.ndarray, h: int) -> list[tuple]:
-        col, top, end = _runs(counts, h, on)
-        label = _labels(col, top, end)
-        return [(int(col[k] * h + top[k]), int((end - top)[label == k].sum())) for k in np.unique(label).tolist()]
+    def work(p: _Parts) -> tuple[np.ndarray, list[pa.Array]]:
+        return p.of, [pa.array(p.col[p.first] * p.h + p.top[p.first]), pa.array(p.area)]
 
-    return _by_mask(masks, "component long, area long", work)
+    return _by_mask(masks, "component long, area long", on, work)
 
 
 def without_small(masks: DataFrame, least: int, holes: bool = False) -> DataFrame:
     """(id, counts, changed): masks without islands of fewer than `least` pixels, of which the largest stays if all are
     small; or, with `holes`, with such holes filled."""
 
-    def work(counts: np.ndarray, h: int) -> list[tuple]:
-        col, top, end = _runs(counts, h, not holes)
-        label = _labels(col, top, end)
-        area = np.bincount(label, end - top, len(label)) if len(label) else np.zeros(0)
-        small = (area < least) & (area > 0)
-        if not small.any():
-            return [(counts.tolist(), False)]
-        bits = np.repeat(np.arange(len(counts)) % 2, counts)
-        if not holes and not (area >= least).any():
-            small[int(area.argmax())] = False  # of equal ones that with the first pixel
-        for k in np.flatnonzero(small[label]).tolist():
-            bits[col[k] * h + top[k] : col[k] * h + end[k]] = int(holes)
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(bits)) + 1, [len(bits)]))
-        runs = np.diff(cut).tolist()
-        return [(([0] if bits[0] else []) + runs, True)]
-
-    return _by_mask(masks, "counts array<long>, changed boolean", work)
+    def work(p: _Parts) -> tuple[np.ndarray, list[pa.Array]]:
+        small = p.area < least
+        m = len(p.n)
+        changed = np.bincount(p.of[small], minlength=m) > 0
+        if not holes:
+            order = np.lexsort((p.first, -p.area, p.of))  # of equal ones that with the first pixel stays
+            small[order[np.append(True, np.diff(p.of[order]) > 0)[: len(order)]]] = False
+        use = small[p.part] if holes else ~small[p.part]
+        at = p.mask[use] * p.step + p.col[use] * p.h
+        start, end = at + p.top[use], at + p.end[use]
+        if holes:
+            was = runs.laid_out(p.values, p.n, p.step)
+            start, end = np.concatenate((was[0], start)), np.concatenate((was[1], end))
+        new, n = runs.lists_of(runs.united(start, end), p.sizes, p.step)
+        keep, made = ~np.repeat(changed, p.n), np.repeat(changed, n)  # what does not change stays as it is coded
+        row = np.concatenate((np.repeat(np.arange(m), p.n)[keep], np.repeat(np.arange(m), n)[made]))
+        values = np.concatenate((p.values[keep], new[made]))[np.argsort(row, kind="stable")]
+        ends = np.concatenate(([0], np.cumsum(np.where(changed, n, p.n)))).astype(np.int32)
+        return np.arange(m), [pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(changed)]
+
+    return _by_mask(masks, "counts array<long>, changed boolean", not holes, work)
 
 
 def occlusion(parts: DataFrame, threshold: float = 0.15, least: int = 50) -> DataFrame:

@@ -139,3 +139,47 @@ def test_a_batch_is_worked_on_at_once(spark, monkeypatch):
     monkeypatch.setattr(runs, "united", counted)
     assert frame.select(runs._batch(lambda step, m, a: counted(*a), lambda pixels: pixels[0], 1)(F.col("a")).alias("n")).distinct().collect()[0].n == [3, 2, 4]
     assert calls.value < 50
+
+
+def flooded(bits):
+    """Components of a grid as sets of pixels (column, row)."""
+    left, out = set(zip(*np.nonzero(bits.T), strict=True)), []
+    while left:
+        todo, part = [min(left)], set()
+        while todo:
+            x, y = todo.pop()
+            if (x, y) in left:
+                left.remove((x, y))
+                part.add((x, y))
+                todo += [(x + i, y + k) for i in (-1, 0, 1) for k in (-1, 0, 1)]
+        out.append(part)
+    return out
+
+
+def test_components_of_batches(spark):
+    """Parts, islands and holes of masks of several sizes in one batch against a flood; heights and calls are few."""
+    some = [(k, g.shape[0], coded(g)) for k, g in enumerate(grids())]
+    frame = spark.createDataFrame([*some, (-1, 3, None), (-2, 3, [])], "id int, h int, counts array<long>").coalesce(1)
+    by_id = {k: g for k, g in enumerate(grids())}
+    for on in (True, False):
+        want = {(k, min(x * g.shape[0] + y for x, y in p), len(p)) for k, g in by_id.items() for p in flooded(g == on)}
+        assert {tuple(r) for r in vision.components(frame, on).collect()} == want
+    for holes in (False, True):
+        got = {r.id: r for r in vision.without_small(frame, 4, holes).collect()}
+        assert got[-1].counts == [] == got[-2].counts and not got[-1].changed
+        for k, h, counts in some:
+            g, parts = by_id[k].copy(), flooded(by_id[k] != holes)
+            small = [p for p in parts if len(p) < 4]
+            if not holes and small and len(small) == len(parts):
+                small.remove(max(small, key=lambda p: (len(p), tuple(-v for v in min(p)))))
+            for p in small:
+                for x, y in p:
+                    g[y, x] = holes
+            assert (grid_of(got[k].counts, *g.shape) == g).all()
+            assert got[k].changed == any(len(p) < 4 for p in parts)
+            assert got[k].changed or got[k].counts == counts
+
+
+def test_labels_take_columns_of_all_masks(spark):
+    col, top, end = (np.array(x) for x in ([0, 1, 5, 6], [0, 2, 0, 3], [2, 3, 1, 4]))
+    assert vision._labels(col, top, end, 4).tolist() == [0, 0, 2, 3]
