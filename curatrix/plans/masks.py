@@ -216,7 +216,7 @@ def a22_elementwise_max(get):
 def f51_quaternions(get):
     """Quaternions back from the matrices made of them; of the two of a matrix that whose z, never 0 here, is positive."""
     q = v.unit(F.array(C("clip"), C("l1"), C("clip_dir"), F.lit(-0.5)))
-    rows = get("scores").select("row_id", v.rotation(q).alias("m")).select("row_id", v.quaternion(C("m")).alias("q"))
+    rows = get.spread("scores").select("row_id", v.rotation(q).alias("m")).select("row_id", v.quaternion(C("m")).alias("q"))
     return rows.select("row_id", *[(R(C("q")[i] * F.signum(C("q")[3])) + 0.0).alias(c) for i, c in enumerate("wxyz")])
 
 
@@ -228,5 +228,5 @@ def f51_quaternions(get):
 def f47_ssim(get):
     i = F.sequence(F.lit(0).cast("long"), F.lit(195).cast("long"))
     at = lambda i: C("p_partkey") * 7 + F.floor(i / 14) * 13 + i % 14 * 29
-    rows = get("part").select("p_partkey", F.transform(i, lambda i: (at(i) % 256).cast("int")).alias("a"), F.transform(i, lambda i: ((at(i) + C("p_size") * F.floor(i / 14) % 17) % 256).cast("int")).alias("b"))
+    rows = get.spread("part").select("p_partkey", F.transform(i, lambda i: (at(i) % 256).cast("int")).alias("a"), F.transform(i, lambda i: ((at(i) + C("p_size") * F.floor(i / 14) % 17) % 256).cast("int")).alias("b"))
     return rows.select("p_partkey", R(v.ssim(C("a"), C("b"), 14), 5).alias("ssim"))

@@ -6,6 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from curatrix.functions import vector as v
 from curatrix.functions import align, scorers
 from curatrix.functions import boxes as bx
 from curatrix.operators import vision
@@ -137,3 +138,40 @@ def test_isolated_rows(spark):
     rows = spark.range(20).select(F.col("id").alias("k"))
     got = scorers.scored(rows, [scorers.isolated("inverse", lambda x: 10 / x["k"].where(x["k"] != 7).astype("Int64").map(lambda v: v if v else 1 / 0), ["k"])]).collect()
     assert len(got) == 20 and {r.k for r in got if r.inverse_error} == {0} and got[5].inverse == 2.0
+
+
+def test_ssim_of_batches(spark, monkeypatch):
+    """Pictures of several sizes in one batch against one window at a time; null where there is none."""
+    rng = np.random.default_rng(3)
+    size, w = 3, 4
+    some = [(k, rng.integers(0, 256, h * w).tolist(), rng.integers(0, 256, h * w).tolist()) for k, h in enumerate([3, 5, 3, 8, 5, 3] * 5)]
+    rows = [*some, (-1, None, [1] * 12), (-2, [1] * 12, [1] * 16), (-3, [1] * 8, [2] * 8), (-4, [], [])]
+    at = np.arange(size) - 1
+    k = np.exp(-(at**2) / (2 * 1.5**2))
+    k = np.outer(k, k) / k.sum() ** 2
+
+    def brute(a, b):
+        a, b = (np.array(v, float).reshape(-1, w) for v in (a, b))
+        out = []
+        for y in range(len(a) - size + 1):
+            for x in range(w - size + 1):
+                p, q = (v[y : y + size, x : x + size] for v in (a, b))
+                ma, mb = (k * p).sum(), (k * q).sum()
+                va, vb, cov = (k * p * p).sum() - ma**2, (k * q * q).sum() - mb**2, (k * p * q).sum() - ma * mb
+                out.append((2 * ma * mb + 6.5025) * (2 * cov + 58.5225) / ((ma**2 + mb**2 + 6.5025) * (va + vb + 58.5225)))
+        return np.mean(out)
+
+    frame = spark.createDataFrame(rows, "k int, a array<int>, b array<int>").coalesce(1)
+    for held in (1 << 18, 1, 30):
+        monkeypatch.setattr(v, "SSIM_VALUES", held)
+        got = {r.k: r.s for r in frame.select("k", v.ssim(F.col("a"), F.col("b"), w, size).alias("s")).collect()}
+        assert all(got[i] is None for i in (-1, -2, -3, -4))
+        assert all(abs(got[i] - brute(a, b)) < 1e-9 for i, a, b in some)
+
+
+def test_rows_of_one_group_are_spread(spark, tmp_path):
+    from curatrix.plans import base
+
+    spark.range(200_000).selectExpr("id AS p_partkey", "uuid() AS p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    get = base.Tables(spark, str(tmp_path))
+    assert get.spread("part").rdd.getNumPartitions() >= 4 and get.spread("part").count() == 200_000
