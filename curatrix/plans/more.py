@@ -142,7 +142,7 @@ def f20_word_differences(get):
 
 @query()
 def f19_alignment(get):
-    return get("instr").where("input is not null and output is not null").select("row_id", align.aligned(C("input"), C("output")).alias("partners"))
+    return get.spread("instr").where("input is not null and output is not null").select("row_id", align.aligned(C("input"), C("output")).alias("partners"))
 
 
 @query("""SELECT p_partkey, array_to_string(CASE WHEN n <= 1 THEN list_transform(range(8), lambda i: -1) WHEN n < 8 THEN list_concat(list_transform(range(8 - n), lambda i: -1), range(n))
@@ -291,7 +291,7 @@ def f18_between_tags(get):
 @query("SELECT row_id, array_to_string(list_filter(string_split(input, ' '), lambda x: NOT list_contains(string_split(output, ' '), x)), ' ') AS only FROM {instr} WHERE input IS NOT NULL AND output IS NOT NULL")
 def f31_list_difference(get):
     only = F.filter(F.split("input", " "), lambda x: ~F.array_contains(F.split("output", " "), x))
-    return get("instr").where("input is not null and output is not null").select("row_id", F.array_join(only, " ").alias("only"))
+    return get.spread("instr").where("input is not null and output is not null").select("row_id", F.array_join(only, " ").alias("only"))
 
 
 @query("SELECT row_id, trunc(clip * 512 - l1 * 512)::INT AS x, least(greatest(trunc(l1 * 600), 0), 512)::INT AS y, round((1 + 4) * clip * l1 / nullif(4 * clip + l1, 0), 6) AS f2 FROM {scores}")
