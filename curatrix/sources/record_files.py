@@ -10,6 +10,7 @@ moves those of the attempts that count and removes all else, so no failed task l
 from __future__ import annotations
 
 import contextlib
+import itertools
 import re
 import shutil
 import struct
@@ -43,6 +44,7 @@ FORMAT = "camera_records"
 RANGE_BYTES = 16 << 20
 HEAD = 8  # bytes of the count
 ROWS = 4096
+MOST_TASKS = 1024
 CHUNK = 1 << 20
 
 
@@ -150,6 +152,20 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Pack(InputPartition):
+    ranges: list[Range]
+
+
+def packed(ranges: list[Range], most: int) -> list[Pack]:
+    """The ranges in their order, a task each; of more than `most`, neighbours share a task, by bytes."""
+    if len(ranges) <= most:
+        return [Pack([r]) for r in ranges]
+    ends = list(itertools.accumulate(r.end - r.start for r in ranges))
+    share = ends[-1] / most
+    return [Pack([r for _, r in g]) for _, g in itertools.groupby(zip(ends, ranges, strict=True), lambda x: min(most - 1, int(x[0] / share)))]
+
+
 def ranges_of(path: str, kind: str, range_bytes: int = RANGE_BYTES) -> Iterator[Range]:
     """The ranges of whole records of a file, each of about range_bytes or of one longer record."""
     fs, name = file_system(path)
@@ -192,7 +208,10 @@ class RangeReader(DataSourceReader):
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.names = schema.names
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Pack]:
+        return packed(self._ranges(), MOST_TASKS)
+
+    def _ranges(self) -> list[Range]:
         if self.index is None:
             fs, name = file_system(self.path)
             info = fs.get_file_info(name)
@@ -202,9 +221,11 @@ class RangeReader(DataSourceReader):
         fs, name = file_system(self.index)
         return [Range(**r) for r in ds.dataset(name, filesystem=fs, format="parquet").to_table(["path", "start", "end"]).to_pylist()]
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # what Spark asks for where there are none
-            return
+    def read(self, partition: Pack | None) -> Iterator[pa.RecordBatch]:
+        for r in partition.ranges if partition else ():  # Spark asks for None where there are none
+            yield from self._read(r)
+
+    def _read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         fs, name = file_system(partition.path)
         with fs.open_input_file(name) as file:
             data = file.read_at(partition.end - partition.start, partition.start)

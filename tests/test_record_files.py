@@ -86,3 +86,11 @@ def test_broken_files(spark, tmp_path):
             list(rf.ranges_of(str(tmp_path / "a.bin"), "cameras"))
     (tmp_path / "a.bin").write_bytes(good + b"\n")  # what stands behind the last record is not read
     assert rf.read_records(spark, f"file://{tmp_path}/a.bin", "cameras").count() == 2
+
+
+def test_ranges_share_tasks():
+    ranges = [rf.Range("f", 10 * i, 10 * i + 10) for i in range(5000)]
+    packs = rf.packed(ranges, 64)
+    assert len(packs) == 64 and [r for p in packs for r in p.ranges] == ranges
+    assert max(len(p.ranges) for p in packs) <= 80
+    assert [p.ranges for p in rf.packed(ranges[:64], 64)] == [[r] for r in ranges[:64]] and rf.packed([], 64) == []
