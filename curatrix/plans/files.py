@@ -28,7 +28,7 @@ def _text_files(files) -> str:
 
 
 def _json(get):
-    return get("part").select(model(), "p_partkey", F.to_json(F.struct("p_partkey", "p_name", "p_size")).alias("line"))
+    return get.spread("part").select(model(), "p_partkey", F.to_json(F.struct("p_partkey", "p_name", "p_size")).alias("line"))
 
 
 @query("SELECT p_partkey::INT AS p_partkey, p_name, p_size FROM part")
@@ -73,7 +73,7 @@ _number = lambda c: C(c).cast("double")
 def _images(get):
     xys = F.transform(F.sequence(F.lit(1), C("p_size") % 4 + 1), lambda i: F.struct((C("p_size") * 0.5).alias("x"), i.cast("double").alias("y")))
     ids = F.transform(F.sequence(F.lit(1), C("p_size") % 4 + 1), lambda i: F.when(i == 1, F.lit(-1).cast("long")).otherwise(C("p_partkey") + i))
-    rows = get("part").select(
+    rows = get.spread("part").select(
         model(), "p_partkey", C("p_partkey").cast("int").alias("image_id"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("qvec"), F.array(F.lit(0.5), _number("p_size"), F.lit(2.0)).alias("tvec"),
         C("p_size").alias("camera_id"), F.concat("p_name", F.lit(".jpg")).alias("name"), xys.alias("xys"), ids.alias("point3d_ids"))
     return rows.withColumn("name", F.replace("name", F.lit(" "), F.lit("_")))

@@ -17,7 +17,7 @@ seconds = lambda c: F.unix_seconds(C(c)).alias(c)
 
 def _camera_lines(get):
     wide = F.when(C("p_size") % 2 == 0, text(C("p_partkey"), F.lit("PINHOLE"), C("p_size") * 10, C("p_size") * 8, C("p_size"), C("p_size") + 1, F.lit(3), F.lit(4)))
-    return get("part").select(F.when(C("p_size") % 7 == 0, F.lit("# comment")).otherwise(wide.otherwise(text(C("p_partkey"), F.lit("SIMPLE_PINHOLE"), C("p_size") * 10, C("p_size") * 8, C("p_size"), F.lit(2), F.lit(3)))).alias("value"))
+    return get.spread("part").select(F.when(C("p_size") % 7 == 0, F.lit("# comment")).otherwise(wide.otherwise(text(C("p_partkey"), F.lit("SIMPLE_PINHOLE"), C("p_size") * 10, C("p_size") * 8, C("p_size"), F.lit(2), F.lit(3)))).alias("value"))
 
 
 @query("SELECT p_partkey::INT AS camera_id, CASE WHEN p_size % 2 = 0 THEN 'PINHOLE' ELSE 'SIMPLE_PINHOLE' END AS model, (p_size * 10)::BIGINT AS width, CASE WHEN p_size % 2 = 0 THEN p_size * 2 + 8.0 ELSE p_size + 5.0 END::DOUBLE AS params FROM part WHERE p_size % 7 <> 0")
