@@ -102,10 +102,11 @@ def with_lexicon(rows: DataFrame, key: str, words: Column, lexicon: DataFrame, v
     What the lexicon has of the distinct words of all rows is broadcast if its words are at most most_bytes; then rows
     don't travel. Else words and lexicon meet in a join on the word. `key` tells rows apart; a null `value` is none."""
     said = rows.select(key, F.explode_outer(words).alias("word"))  # outer, or Spark makes the words twice, to drop empty lists first
-    known = said.select("word").distinct().join(lexicon.select("word", value).where(F.col(value).isNotNull()).dropDuplicates(["word"]).hint("merge"), "word")
+    # One value a word is taken from what is written: with dropDuplicates here Spark leaves out a distinct() of the lexicon's own and sorts all that it was to drop.
+    known = lexicon.select("word", value).where(F.col(value).isNotNull()).hint("merge").join(said.select("word").distinct(), "word")
     path = shared_path(rows.sparkSession, "known")
     known.write.parquet(path)
-    known = rows.sparkSession.read.schema(known.schema).parquet(path)
+    known = rows.sparkSession.read.schema(known.schema).parquet(path).dropDuplicates(["word"])
     kind = lexicon.schema[value].dataType.simpleString()
     size = known.agg(F.coalesce(F.sum(F.octet_length("word") + F.octet_length(F.col(value).cast("string"))), F.lit(0)).alias("n")).first().n
     if size <= most_bytes:

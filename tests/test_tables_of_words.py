@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from curatrix.functions import raster
@@ -56,6 +57,21 @@ def test_rows_are_not_broadcast_for_a_lexicon(spark):
         assert "Broadcast" not in plan
 
 
+def test_words_of_a_lexicon_are_not_sorted_before_they_are_distinct(spark, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+
+    def noted(self, *args, **more):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    rows = spark.range(50).selectExpr("id AS k", "array('as', 'bs') AS w")
+    lexicon = rows.select(F.explode("w").alias("word")).distinct().select("word", F.regexp_replace("word", "s$", "").alias("lemma"))
+    got = kw.with_lexicon(rows, "k", F.col("w"), lexicon, "lemma", "m")
+    assert plans and not any("SortAggregate" in p for p in plans)
+    assert got.where("m['as'] = 'a' and m['bs'] = 'b'").count() == 50
+
+
 def test_sessions_of_any_length(spark):
     turns = [(s, k, f"t{k}" if (s * 7 + k) % 13 else None) for s in range(12) for k in range(s * 3)]
     random.Random(1).shuffle(turns)
