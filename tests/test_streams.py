@@ -1,6 +1,8 @@
 """Keyed state: batches and restarts give what the whole series gives."""
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from curatrix.operators import relational as rel
@@ -42,3 +44,58 @@ def test_a_silent_series_ends(spark, tmp_path):
     assert {(r.name, r.seq): (r.median, r.most) for r in rows.where("ended").collect()}[("a", 3)] == (2.0, 3.0)  # in the second run, in which it has no rows
     again = rows.where("name = 'a' and seq = 20").first()
     assert again["median"] == again["mean"] == again.most == 2.0  # nothing of before
+
+
+class Handle:
+    """What a series keeps, without a stream."""
+
+    state, timers = None, ()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.state is not None
+
+    def get(self):
+        return self.state
+
+    def update(self, state):
+        self.state = state
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, t):
+        self.timers = [t]
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_series_is_never_held_whole():
+    meter, handle, taken = meters.MovingMeter(3), Handle(), []
+    meter.init(handle)
+
+    def pieces(*starts):
+        for k in starts:
+            taken.append(k)
+            yield pd.DataFrame({"seq": range(k, k + 10), "at": range(k, k + 10), "value": np.arange(k, k + 10.0)})
+
+    out = meter.handleInputRows(("a",), pieces(0, 10, 20), handle)
+    first = next(out)
+    assert taken == [0] and len(first) == 10
+    assert pd.concat([first, *out])["median"].tolist() == [0, 0, *range(1, 29)] and handle.state == (29, 29, [27.0, 28.0, 29.0])
+    with pytest.raises(ValueError):
+        list(meter.handleInputRows(("a",), pieces(50, 40), handle))
+
+
+def test_a_long_batch_is_sorted(spark, tmp_path):
+    rows = spark.range(24_000).select(F.lit("a").alias("name"), F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") + 1).alias("ts"), F.pmod(F.xxhash64("id"), F.lit(99)).cast("double").alias("value"))
+    source, sink, mark = (str(tmp_path / x) for x in ("source", "sink", "mark"))
+    rows.repartition(3, F.xxhash64("seq")).sortWithinPartitions(F.desc("seq")).write.parquet(source)
+    meters.run_keyed(spark, source, rows.schema, lambda d: meters.moving_meters(d, idle_ms=1 << 40, late="36500 days"), sink, mark)
+    got = spark.read.parquet(sink).select("name", "seq", "value", "median", F.round("mean", 9).alias("mean"), "most")
+    want = rel.moving_meter(rows, "name", "seq", "value").select("name", "seq", "value", "median", F.round("mean", 9).alias("mean"), "most")
+    assert got.count() == 24_000 and got.exceptAll(want).isEmpty()
+    assert spark.conf.get("spark.sql.streaming.unsupportedOperationCheck") == "true"
