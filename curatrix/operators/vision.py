@@ -37,29 +37,79 @@ def suppressed(boxes: DataFrame, group: str, threshold: float = 0.5, by_class: s
     return rows.select(*[F.col(c) if c in keys else F.col(f"x.{c}") for c in boxes.columns])
 
 
+CELLS = 1 << 18  # boxes, padded to groups of one width, that are softened at once
+
+
+def _ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """bx.iou of boxes (x0, y0, x1, y1 first): 0 without an area."""
+    w, h = (np.maximum(0, np.minimum(a[k + 2], b[k + 2]) - np.maximum(a[k], b[k])) for k in (0, 1))
+    both = w * h
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
+    return np.where(union == 0, 0, both / np.where(union == 0, 1, union))
+
+
+def _softened(score: np.ndarray, box: np.ndarray, known: np.ndarray, same: np.ndarray, alive: np.ndarray, lower: Callable, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(score at which it was kept, kept) of each box of groups, a row each, by order of box_id; all groups go on by one
+    box at a time. known: has all of its corners; same: numbers that boxes of one box_id share. NaN is over any `least`,
+    and the last to be kept, as in Spark."""
+    out, kept, at = np.zeros(score.shape), np.zeros(score.shape, bool), np.arange(len(score))
+    alive = alive & ~(score <= least)
+    while True:
+        some = alive.any(1)
+        at, score, box, known, same, alive = at[some], score[some], box[:, some], known[some], same[some], alive[some]
+        if not len(at):
+            return out, kept
+        row, top = np.arange(len(at)), np.where(alive, np.where(np.isnan(score), np.finfo(float).min, score), -np.inf).argmax(1)
+        out[at, top], kept[at, top] = score[row, top], True
+        iou = np.where(known & known[row, top][:, None], _ious(box[:, row, top][:, :, None], box), 0)
+        score = score * lower(iou)
+        alive = alive & (same != same[row, top][:, None]) & ~(score <= least)
+
+
 def softly_suppressed(boxes: DataFrame, group: str, threshold: float = 0.3, sigma: float = 0.5, least: float = 1e-3, gaussian: bool = False) -> DataFrame:
     """Soft suppression: the box of the greatest score (then smallest box_id) is kept, the scores of the rest fall by
     their overlap with it, and so on. Linear: by 1 - IoU where the IoU is over threshold; gaussian: by
     exp(-IoU * IoU / sigma). Boxes whose score falls to `least` or below are dropped. `score` is that at which a box
     was kept."""
     rest = [c for c in boxes.columns if c not in (group, "box_id", "score", *BOX)]
-    kind = _ranked(boxes, [group], rest)
-
-    def lower(top: Column, x: Column) -> Column:
-        iou = F.coalesce(bx.iou(top, x), F.lit(0.0))
-        score = x["score"] * (F.exp(-iou * iou / sigma) if gaussian else F.when(iou > threshold, 1 - iou).otherwise(1.0))
-        return x.withField("score", score).withField("order", -score)
-
-    def step(state: Column, _: Column) -> Column:
-        top = F.array_min(state["left"])
-        left = F.filter(F.transform(F.filter(state["left"], lambda x: x["box_id"] != top["box_id"]), lambda x: lower(top, x)), lambda x: x["score"] > least)
-        done = F.when(top.isNull(), state["kept"]).otherwise(F.array_append(state["kept"], top))
-        return F.struct(left.alias("left"), done.alias("kept"))
-
-    start = F.struct(F.filter("found", lambda x: x["score"] > least).alias("left"), F.filter("found", lambda x: F.lit(False)).alias("kept"))
-    kept = F.aggregate(F.sequence(F.lit(1), F.size("found")), start, step)["kept"]
-    rows = kind.select(group, F.explode(kept).alias("x"))
-    return rows.select(*[F.col(c) if c == group else F.col(f"x.{c}") for c in boxes.columns])
+    kind = boxes.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("box_id", "score", *BOX, *rest))).alias("found"))
+
+    def lower(iou: np.ndarray) -> np.ndarray:
+        return np.exp(-iou * iou / sigma) if gaussian else np.where(iou <= threshold, 1.0, 1 - iou)
+
+    def run(ids: pa.Array, *numbers: pa.Array) -> pa.Array:
+        size = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        flat, ids = [x.flatten() for x in numbers], ids.flatten()
+        there = np.array([x.is_valid().to_numpy(zero_copy_only=False) for x in flat])
+        score, *box = (x.fill_null(0.0).to_numpy(zero_copy_only=False) for x in flat)
+        box, known = np.array(box), there[1:].all(0)
+        other = pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_numpy(zero_copy_only=False)  # ids are in order
+        if ids.null_count:
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            other = other & ~(null[1:] & null[:-1])
+        same = np.concatenate(([0], np.cumsum(other)))
+        out, kept = np.zeros(len(score)), np.zeros(len(score), bool)
+        order, wide = np.argsort(size, kind="stable"), np.sort(size)
+        k = 0
+        with np.errstate(all="ignore"):
+            while k < len(order):
+                most = max(1, CELLS // max(1, 2 * int(wide[k])))
+                some = order[k : min(k + most, int(np.searchsorted(wide, 2 * wide[k], "right")))]
+                k += len(some)
+                spots = (ends - size)[some][:, None] + np.arange(size[some].max())
+                inside = np.arange(spots.shape[1]) < size[some][:, None]
+                spots = np.where(inside, spots, 0)
+                if not inside.any():
+                    continue
+                s, have = _softened(score[spots], box[:, spots], known[spots], same[spots], there[0][spots] & inside, lower, least)
+                out[spots[have]], kept[spots[have]] = s[have], True
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(out, mask=~kept))
+
+    numbers = [F.col("found")[c].cast("array<double>") for c in ("score", *BOX)]
+    rows = kind.withColumn("kept", F.arrow_udf(run, "array<double>")(F.col("found")["box_id"], *numbers))
+    rows = rows.select(group, F.explode_outer(F.arrays_zip("found", "kept")).alias("x")).where("x.kept is not null")  # outer, or Spark does the work twice, to drop empty lists first
+    return rows.select(*[F.col(c) if c == group else F.col("x.kept").alias(c) if c == "score" else F.col(f"x.found.{c}") for c in boxes.columns])
 
 
 def enough_per_group(rows: DataFrame, group: str, order: Column, n: Column) -> DataFrame:

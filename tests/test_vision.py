@@ -61,6 +61,48 @@ def test_softly_suppressed(spark):
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
 
 
+def test_softly_suppressed_groups_of_all_sizes(spark):
+    """Against a loop: nulls and NaN, a group of hundreds, names as ids; and no box is a step of an interpreted lambda."""
+    rng, rows = random.Random(5), []
+    for image in range(120):
+        for k in range(300 if image == 7 else rng.choice([1, 1, 2, 3, 5, 9, 17])):
+            x, y = rng.randint(0, 30), rng.randint(0, 30)
+            box = [float(x), float(y), float(x + rng.randint(0, 40)), float(y + rng.randint(0, 40))]
+            if rng.random() < 0.05:
+                box[rng.randrange(4)] = rng.choice([None, math.nan])
+            rows.append((image, f"b{k if rng.random() < 0.9 else 0:03d}", rng.choice([0.1, 0.5, rng.random(), rng.random(), None, math.nan] if rng.random() < 0.2 else [0.5, rng.random()]), *box, rng.choice("ab")))
+    ones = {}
+    for r in rows:
+        ones.setdefault(r[:2], r)
+    rows = [*ones.values(), (500, None, 0.9, 0.0, 0.0, 9.0, 9.0, "a"), (500, "z", 0.8, 50.0, 50.0, 60.0, 60.0, "b")]
+    frame = spark.createDataFrame(rows, "image_id int, box_id string, score double, x0 double, y0 double, x1 double, y1 double, cls string").repartition(3)
+
+    def overlap(a, b):
+        if None in (*a, *b):
+            return 0.0
+        return math.nan if any(map(math.isnan, (*a, *b))) else iou(a, b)
+
+    want = {}
+    for image in {r[0] for r in rows}:
+        left = {r[1]: [r[2], r[3:7]] for r in rows if r[0] == image and r[2] is not None and not r[2] <= 0.05}
+        while left:
+            top = min(left, key=lambda k: (math.isnan(left[k][0]), -left[k][0] if left[k][0] == left[k][0] else 0, k or ""))
+            score, box = left.pop(top)
+            want[image, top] = score
+            for k in list(left):
+                o = overlap(box, left[k][1])
+                left[k][0] *= 1.0 if o <= 0.3 else 1 - o
+                if left[k][0] <= 0.05:
+                    del left[k]
+    out = vision.softly_suppressed(frame, "image_id", least=0.05)
+    got = {(r.image_id, r.box_id): (r.score, r.cls) for r in out.collect()}
+    cls = {r[:2]: r[7] for r in rows}
+    assert got.keys() == want.keys() and len(got) > 500
+    assert all((math.isnan(want[k]) and math.isnan(s)) or math.isclose(s, want[k]) for k, (s, _) in got.items()) and all(c == cls[k] for k, (_, c) in got.items())
+    assert out.columns == frame.columns and "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+    assert vision.softly_suppressed(frame.limit(0), "image_id").isEmpty()
+
+
 def brute_components(bits):
     h, w = bits.shape
     label, out = np.full((h, w), -1), []
