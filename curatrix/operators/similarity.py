@@ -1,7 +1,8 @@
 """Similarities of all pairs, or of many, as products of blocks.
 
-Rows are dealt over blocks of about `block` rows by the hash of a key that no large part of the rows shares; each pair of blocks is a group of its own, so a task holds two blocks
-and a tile of their product, however many rows there are. Each row travels once for each block it meets.
+Rows are dealt over blocks by the hash of a key that no large part of the rows shares; each pair of blocks is a group of its own, so a task holds two blocks
+and a tile of their product, however many rows there are. Each row travels once for each block it meets. Blocks of vectors are so many that their pairs fill the
+session's shuffle partitions, and more only where they would be larger than BLOCK_BYTES: until then what travels grows as the rows do.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-BLOCK = 2048
+BLOCK = 2048  # rows of a block, at least for vectors
+BLOCK_BYTES = 32 << 20  # of a block of vectors as doubles, about
+EACH = 4  # pairs of blocks for each shuffle partition, about
 TILE = 512
 DIGITS = 9  # similarities are rounded to these, so that those of equal vectors are 1
 
@@ -23,6 +27,16 @@ def _blocks(rows: DataFrame, block: int) -> int:
     return max(1, math.ceil(rows.count() / block))
 
 
+def _parts(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _vector_blocks(vectors: DataFrame, block: int, most: float) -> int:
+    """Blocks of about `block` vectors; no more than `most` as long as they are within BLOCK_BYTES."""
+    rows, entries = vectors.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0))).first()
+    return max(1, math.ceil(min(rows, max(min(rows / block, most), 8 * entries / BLOCK_BYTES))))
+
+
 def in_grid(rows: DataFrame, key: str, blocks: int) -> DataFrame:
     """rows with (bi, bj), bi <= bj: each once for each pair of blocks that its own is of; own: its block."""
     rows = rows.withColumn("own", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
@@ -44,8 +58,10 @@ def _tiles(a: np.ndarray, b: np.ndarray, tile: int) -> Iterator[tuple[int, int,
 
 
 def _whole(vectors: DataFrame, *cols: str) -> DataFrame:
-    """The rows whose vector is there and without nulls, as doubles."""
-    v = F.col("embedding").cast("array<double>")
+    """The rows whose vector is there and without nulls, as doubles; floats travel as such."""
+    v, kind = F.col("embedding"), vectors.schema["embedding"].dataType
+    if not (isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)):
+        v = v.cast("array<double>")
     return vectors.select(*cols, v.alias("embedding")).where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()))
 
 
@@ -54,7 +70,8 @@ def pair_counts(vectors: DataFrame, edges: list[float], ordered: bool = False, b
     edge up to the next; ordered: each pair counts twice. Similarities outside of the edges count nowhere, empty bins are
     there too. Rows with null vectors or entries are in no pair. All vectors are of one length. Only the counts of a pair
     of blocks leave its task."""
-    blocks = _blocks(vectors, block)
+    parts = _parts(vectors)
+    blocks = _vector_blocks(vectors, block, math.sqrt(2 * EACH * parts))
 
     def count(table: pa.Table) -> pa.Table:
         own, same = table.column("own").to_numpy(), table.column("bi")[0] == table.column("bj")[0]
@@ -70,6 +87,7 @@ def pair_counts(vectors: DataFrame, edges: list[float], ordered: bool = False, b
         return pa.table({"bin": pa.array(np.arange(len(edges) - 1, dtype=np.int32)), "n": pa.array(total[1:-1] * (2 if ordered else 1))})
 
     grid = in_grid(_whole(vectors, "vec_id"), "vec_id", blocks).select("bi", "bj", "own", "embedding")
+    grid = grid.repartition(parts, "bi", "bj")  # by number, or Spark joins parts that are small but long to work on
     found = grid.groupBy("bi", "bj").applyInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
     bins = vectors.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, edges[:-1]))).alias("bin", "low"))
     return bins.join(found, "bin", "left").select("bin", "low", F.coalesce("n", F.lit(0)).alias("n"))
@@ -78,7 +96,8 @@ def pair_counts(vectors: DataFrame, edges: list[float], ordered: bool = False, b
 def over_threshold(probes: DataFrame, vectors: DataFrame, least: float, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """(probe, vec_id, similarity): the vectors (vec_id, embedding) whose cosine with a probe of another vec_id, of the same
     columns, is over `least`, rounded. Both sides are dealt over blocks, so neither has to be small."""
-    n, m = _blocks(probes, block), _blocks(vectors, block)
+    parts = _parts(vectors)
+    n, m = _vector_blocks(probes, block, EACH), _vector_blocks(vectors, block, parts)
     spread = lambda rows, side, own, met, count, others: _whole(rows, F.col("vec_id")).select(
         F.lit(side).alias("side"), "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(met))
     rows = spread(probes, True, "bi", "bj", n, m).unionByName(spread(vectors, False, "bj", "bi", m, n))
@@ -93,7 +112,7 @@ def over_threshold(probes: DataFrame, vectors: DataFrame, least: float, block: i
         a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"probe": pa.array(a), "vec_id": pa.array(b), "similarity": pa.array(s)})
 
-    return rows.groupBy("bi", "bj").applyInArrow(near, "probe long, vec_id long, similarity double")
+    return rows.repartition(parts, "bi", "bj").groupBy("bi", "bj").applyInArrow(near, "probe long, vec_id long, similarity double")
 
 
 def grid_pairs(rows: DataFrame, key: str, less: Column, block: int = BLOCK) -> DataFrame:

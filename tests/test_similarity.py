@@ -43,6 +43,18 @@ def test_counts_of_all_pairs(frame, block):
     assert [r.n for r in similarity.pair_counts(frame.limit(0), EDGES).collect()] == [0, 0, 0]
 
 
+def test_what_travels_grows_as_the_rows_do(spark, monkeypatch):
+    dealt, grid = [], similarity.in_grid
+    monkeypatch.setattr(similarity, "in_grid", lambda rows, key, blocks: dealt.append(blocks) or grid(rows, key, blocks))
+    rows = lambda n: spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.sin("id").cast("float"), F.cos("id").cast("float")).alias("embedding"))
+    for n in (60, 240):
+        assert sum(r.n for r in similarity.pair_counts(rows(n), [-2.0, 0.0, 2.0], block=2).collect()) == n * (n - 1) // 2
+    assert dealt[0] == dealt[1] < 10
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 1 << 6)  # blocks stay within it: 60 vectors of 16 bytes each
+    similarity.pair_counts(rows(60), [-2.0, 0.0, 2.0], block=2)
+    assert dealt[2] == 15
+
+
 @pytest.mark.parametrize("block", [5, 1000])
 def test_probes(frame, block):
     probes = frame.where("vec_id % 500 = 0 or vec_id in (1, 300)")
