@@ -96,8 +96,7 @@ def pair_counts(vectors: DataFrame, edges: list[float], ordered: bool = False, b
 def over_threshold(probes: DataFrame, vectors: DataFrame, least: float, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """(probe, vec_id, similarity): the vectors (vec_id, embedding) whose cosine with a probe of another vec_id, of the same
     columns, is over `least`, rounded. Both sides are dealt over blocks, so neither has to be small."""
-    parts = _parts(vectors)
-    n, m = _vector_blocks(probes, block, EACH), _vector_blocks(vectors, block, parts)
+    n, m = _vector_blocks(probes, block, EACH), _vector_blocks(vectors, block, _parts(vectors))
     spread = lambda rows, side, own, met, count, others: _whole(rows, F.col("vec_id")).select(
         F.lit(side).alias("side"), "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(met))
     rows = spread(probes, True, "bi", "bj", n, m).unionByName(spread(vectors, False, "bj", "bi", m, n))
@@ -112,7 +111,7 @@ def over_threshold(probes: DataFrame, vectors: DataFrame, least: float, block: i
         a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"probe": pa.array(a), "vec_id": pa.array(b), "similarity": pa.array(s)})
 
-    return rows.repartition(parts, "bi", "bj").groupBy("bi", "bj").applyInArrow(near, "probe long, vec_id long, similarity double")
+    return rows.groupBy("bi", "bj").applyInArrow(near, "probe long, vec_id long, similarity double")
 
 
 def grid_pairs(rows: DataFrame, key: str, less: Column, block: int = BLOCK) -> DataFrame:
